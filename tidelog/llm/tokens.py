@@ -51,6 +51,12 @@ def pieces(text: str) -> list[str] | None:
     return text.split(" ")
 
 
+def ragged(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs flat[begin : begin + size] in a row."""
+    after = np.cumsum(size)
+    return flat[np.repeat(begin - (after - size), size) + np.arange(after[-1] if len(after) else 0)]
+
+
 class RankMerger:
     """A byte-level BPE vocabulary as sorted arrays."""
 
@@ -82,6 +88,21 @@ class RankMerger:
     def counts(self, sequences: list[bytes]) -> np.ndarray:
         """Symbols left of each non-empty byte sequence after all merges."""
         out = np.ones(len(sequences), np.int64)
+        for ids, lengths, _ in self._merged(sequences):
+            out[ids] = lengths
+        return out
+
+    def merge(self, sequences: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols left of all non-empty byte sequences in a row, and how many each has."""
+        done = list(self._merged(sequences))
+        if not done:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        ids, lengths, symbols = (np.concatenate(x) for x in zip(*done, strict=True))
+        order = np.argsort(ids)
+        return ragged(symbols, (np.cumsum(lengths) - lengths)[order], lengths[order]), lengths[order]
+
+    def _merged(self, sequences: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Numbers, lengths and symbols of the sequences, as rounds end them."""
         lengths = np.fromiter(map(len, sequences), np.int64, len(sequences))
         raw = np.frombuffer(b"".join(sequences), np.uint8)
         symbols = self.bytes[raw]
@@ -94,8 +115,8 @@ class RankMerger:
             lowest = np.minimum.reduceat(rank, starts)
             going = lowest < self.none
             if not going.all():
-                out[ids[~going]] = lengths[~going]
                 keep = np.repeat(going, lengths)
+                yield ids[~going], lengths[~going], symbols[~keep]
                 symbols, rank = symbols[keep], rank[keep]
                 ids, lengths, lowest = ids[going], lengths[going], lowest[going]
                 if not len(ids):
@@ -125,7 +146,6 @@ class RankMerger:
             rank[moved[at_end]] = self.none
             rank[after] = self._rank(symbols[after], symbols[after + 1])
             rank[before - 1] = self._rank(symbols[before - 1], symbols[before])
-        return out
 
     def units(self, text: str) -> list[str]:
         return self.pattern.findall(text)
