@@ -3,36 +3,26 @@
 from __future__ import annotations
 
 import tempfile
+from itertools import repeat
 
-from pyspark.sql import DataFrame, SparkSession
-
-#: ASCII white space, as in the contracts' word pattern [^\x20\x09-\x0D]+.
-BLANKS = "\t\n\x0b\x0c\r"
-_TO_SPACE = str.maketrans(dict.fromkeys(BLANKS, " "))
-_TO_LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+import numpy as np
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def words(text: str | None) -> list[str]:
-    """Maximal runs of characters other than ASCII white space."""
-    if not text:
-        return []
-    return [w for w in text.translate(_TO_SPACE).split(" ") if w] if not text.isascii() else _ascii_words(text)
-
-
-def _ascii_words(text: str) -> list[str]:
-    # str.split() also splits at \x1c-\x1f, which are not blanks here
-    if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-        return [w for w in text.translate(_TO_SPACE).split(" ") if w]
-    return text.split()
+def raw_text(name: str = "text") -> Column:
+    """A text column as UTF-8 bytes, which Python splits and lower-cases by ASCII rules alone."""
+    return F.col(name).cast("binary")
 
 
-def lower_ascii(text: str) -> str:
-    """Lower-case A-Z only."""
-    return text.lower() if text.isascii() else text.translate(_TO_LOWER)
+def words(text: bytes | None) -> list[bytes]:
+    """Words [^\\x20\\x09-\\x0D]+ of a text; null has none."""
+    return text.split() if text else []
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -45,3 +35,35 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidelog-"))
     return df.checkpoint()
+
+
+class WordHasher:
+    """64-bit hashes of words, with those of words seen before kept in a bounded map."""
+
+    def __init__(self, most: int = 800_000):
+        self.most, self.known = most, {}
+
+    def __call__(self, found: list[bytes]) -> np.ndarray:
+        out = np.fromiter(map(self.known.get, found, repeat(0)), np.uint64, len(found))
+        open_ = np.flatnonzero(out == 0)
+        own = {w: xxhash.xxh3_64_intdigest(w) or 1 for w in {found[i] for i in open_}}
+        out[open_] = np.fromiter((own[found[i]] for i in open_), np.uint64, len(open_))
+        if len(self.known) + len(own) > self.most:
+            self.known.clear()
+        self.known.update(own)
+        return out
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit values that spreads every bit."""
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the n-word sequences that begin at each word but the last n-1."""
+    out = np.zeros(max(0, len(hashes) - n + 1), np.uint64)
+    for k in range(n):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + len(out)]
+    return mixed(out + np.uint64(n))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import packing, tokens, toxicity
+from tidelog.llm import neardup, packing, tokens, toxicity
 from tidelog.llm.common import table
 
 
@@ -24,10 +24,15 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), neardup.Params(shingle=4))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_token_counts": op2_token_counts,
     "op4_packing": op4_packing,
+    "op9_minhash": op9_minhash,
 }
 
 ORACLES: dict[str, str] = {}
