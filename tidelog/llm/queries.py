@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import neardup, packing, tokens, toxicity
+from tidelog.llm import neardup, packing, pii, tokens, toxicity
 from tidelog.llm.common import table
 
 
@@ -28,11 +28,16 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), neardup.Params(shingle=4))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_token_counts": op2_token_counts,
     "op4_packing": op4_packing,
     "op9_minhash": op9_minhash,
+    "op10_pii": op10_pii,
 }
 
 ORACLES: dict[str, str] = {}
