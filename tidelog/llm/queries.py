@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import neardup, packing, pii, tokens, toxicity
+from tidelog.llm import ann, neardup, packing, pii, substrings, tokens, toxicity
 from tidelog.llm.common import table
 
 
@@ -32,10 +32,21 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"), neighbours=20)
+
+
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_token_counts": op2_token_counts,
+    "op3_neighbours": op3_neighbours,
     "op4_packing": op4_packing,
+    "op5_repeats": op5_repeats,
     "op9_minhash": op9_minhash,
     "op10_pii": op10_pii,
 }
