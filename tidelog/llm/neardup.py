@@ -7,9 +7,10 @@
    signatures of a pair are compared by bit counts; equal low bits by chance are corrected for:
    similarity = (matches - 2^-bits) / (1 - 2^-bits). Pairs far below the threshold end here.
 4. What is left is confirmed on the full shingle sets, and the links give components.
-5. Two members of a bucket that are in different components then were perhaps never compared.
-   Buckets in which that can be are compared in blocks of bounded size: members outside the
-   component of the bucket's least node against all others. So no link within a bucket is lost.
+5. Two members of a bucket that are in different components then were perhaps never compared. In
+   blocks of bounded size, signatures tell which components may belong together, and full sets
+   which do: each member outside a family's largest component meets all others. Only links that
+   connect components are put out, never all pairs. So no link within a bucket is lost.
 
 With 30 bands of 5, a pair at the threshold of 0.8 shares no bucket with probability 7e-6, and
 the signature bound (5 standard deviations) loses fewer than that.
@@ -161,45 +162,120 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, params: Par
     return pairs.where(similar(F.col("raw_a"), F.col("raw_b"), params)).select("a", "b").distinct()
 
 
-def _unseen(members: DataFrame, params: Params) -> DataFrame:
-    """Pairs (a, b) in one bucket and different components, at least one outside the centre's component.
+def _dealt(members: DataFrame, group: str, block: int) -> DataFrame:
+    """Members once for each pair (i, j) of blocks that they are compared in; j < 0 is a block of main members.
 
-    members: key, node, signature, component, main (in the component of the bucket's least node).
+    Blocks hold about `block` members. Stray blocks meet each other and every main block; main blocks,
+    whose members are linked already, don't meet. members: group, node, main and more columns.
     """
-    size = F.lit(params.block)
-    counts = members.groupBy("key").agg(F.count_if(~F.col("main")).alias("n_stray"), F.count_if(F.col("main")).alias("n_main"))
-    counts = counts.where("n_stray > 0").select("key", F.ceil(F.col("n_stray") / size).alias("s"), F.ceil(F.col("n_main") / size).alias("m"))
-    dealt = members.join(counts, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("main"), F.greatest("m", F.lit(1))).otherwise(F.col("s"))))
-    stray_blocks = F.sequence(F.lit(0).cast("long"), F.col("s") - 1)
-    with_strays = F.transform(stray_blocks, lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j")))
-    main_blocks = F.when(F.col("m") > 0, F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).otherwise(F.array().cast("array<bigint>"))
-    # stray blocks meet each other as (i, j), and main block j as (i, -1 - j)
-    groups = F.when(F.col("main"), F.transform(stray_blocks, lambda k: F.struct(k.alias("i"), (-1 - F.col("own")).alias("j")))).otherwise(
-        F.concat(with_strays, F.transform(main_blocks, lambda k: F.struct(F.col("own").alias("i"), (-1 - k).alias("j"))))
-    )
-    dealt = dealt.select("key", "node", "component", "signature", "main", F.explode(F.array_distinct(groups)).alias("g")).select("key", "g.i", "g.j", "node", "component", "signature", "main")
-    ones = np.uint64(sum(1 << k for k in range(0, 64, params.bits)))
+    counts = members.groupBy(group).agg(F.count_if(~F.col("main")).alias("s"), F.count_if(F.col("main")).alias("m")).where("s > 0")
+    counts = counts.select(group, *(F.ceil(F.col(c) / block).alias(c) for c in "sm"))
+    dealt = members.join(counts, group).withColumn("own", F.pmod(F.xxhash64("node"), F.greatest(F.when(F.col("main"), F.col("m")).otherwise(F.col("s")), F.lit(1))))
+
+    def up_to(n: str) -> Column:
+        return F.when(F.col(n) > 0, F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).otherwise(F.array().cast("array<bigint>"))
+
+    with_strays = F.transform(up_to("s"), lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j")))
+    with_main = F.transform(up_to("m"), lambda k: F.struct(F.col("own").alias("i"), (-1 - k).alias("j")))
+    from_main = F.transform(up_to("s"), lambda k: F.struct(k.alias("i"), (-1 - F.col("own")).alias("j")))
+    return dealt.withColumn("g", F.explode(F.when(F.col("main"), from_main).otherwise(F.concat(with_strays, with_main)))).select("*", "g.i", "g.j").drop("g", "own", "s", "m")
+
+
+def _forest(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> pd.DataFrame:
+    """Pairs of components that the matrix links, no more than it takes to connect them."""
+    names, of = np.unique(np.concatenate([left, right]), return_inverse=True)
+    root = list(range(len(names)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
 
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        sig = np.array(rows["signature"].tolist(), np.int64).view(np.uint64).reshape(len(rows), -1)
-        part = rows["component"].to_numpy()
-        node = rows["node"].to_numpy()
-        left = np.flatnonzero(~rows["main"].to_numpy())
-        right = np.flatnonzero(rows["main"].to_numpy()) if rows["j"].iloc[0] < 0 else left
+    out = []
+    for i, x in enumerate(of[: len(left)].tolist()):
+        for y in np.unique(of[len(left) :][linked[i]]).tolist():
+            if (p := find(x)) != (q := find(y)):
+                root[max(p, q)] = min(p, q)
+                out.append((names[x], names[y]))
+    return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+
+def _compared(dealt: DataFrame, group: str, linked) -> DataFrame:
+    """Pairs of components (a, b) that a block pair links. linked(rows of one side, rows of the other): a matrix."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        left = rows[~rows["main"]]
+        right = rows[rows["main"]] if rows["j"].iloc[0] < 0 else left
         if not len(left) or not len(right):
             return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
-        apart = np.zeros((len(left), len(right)), np.int64)
-        for w in range(sig.shape[1]):
-            x = sig[left, w][:, None] ^ sig[right, w][None, :]
+        apart = left["component"].to_numpy()[:, None] != right["component"].to_numpy()[None, :]
+        return _forest(linked(left, right) & apart, left["component"].to_numpy(), right["component"].to_numpy())
+
+    n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(n, group, "i", "j").groupBy(group, "i", "j").applyInPandas(run, "a long, b long").distinct()
+
+
+def _near_signatures(params: Params):
+    ones = np.uint64(sum(1 << k for k in range(0, 64, params.bits)))
+
+    def linked(left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
+        a, b = (np.array(x["signature"].tolist(), np.int64).view(np.uint64) for x in (left, right))
+        apart = np.zeros((len(a), len(b)), np.int64)
+        for w in range(a.shape[1]):
+            x = a[:, w][:, None] ^ b[:, w][None, :]
             y = x.copy()
             for k in range(1, params.bits):
                 y |= x >> np.uint64(k)
             apart += np.bitwise_count(y & ones)
-        i, j = np.nonzero((apart <= params.most_misses) & (part[left][:, None] != part[right][None, :]))
-        a, b = node[left[i]], node[right[j]]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+        return apart <= params.most_misses
+
+    return linked
 
-    return dealt.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+
+def _near_sets(params: Params, columns: int = 20_000):
+    """Exact comparison: sizes of all intersections as products of 0/1 matrices, some shingles at a time."""
+
+    def linked(left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
+        hasher = WordHasher()
+        a = shingled(left["raw"].tolist(), hasher, params)
+        b = a if right is left else shingled(right["raw"].tolist(), hasher, params)
+        both = np.intersect1d(np.concatenate(a), np.concatenate(b))
+        shared = np.zeros((len(a), len(b)), np.float64)
+        for at in range(0, len(both), columns):
+            some = both[at : at + columns]
+            x, y = np.zeros((len(a), len(some)), np.float32), np.zeros((len(b), len(some)), np.float32)
+            for matrix, sets in ((x, a), (y, b)):
+                for n, s in enumerate(sets):
+                    place = np.minimum(np.searchsorted(some, s), len(some) - 1)
+                    matrix[n, place[some[place] == s]] = 1
+            shared += x @ y.T
+        sizes = np.array([len(s) for s in a])[:, None] + np.array([len(s) for s in b])[None, :]
+        return 100 * shared >= params.percent * (sizes - shared)
+
+    return linked
+
+
+def _rest(shared: DataFrame, parts: DataFrame, nodes: DataFrame, rows: DataFrame, params: Params) -> DataFrame | None:
+    """Links (a, b) between nodes or components of one bucket that stars have left apart; None where there are none.
+
+    Signatures first tell, in each unsettled bucket, which components may belong together; components
+    that may form families. In a family every member outside its largest component is compared with
+    all others on full sets, once, however many buckets they share.
+    """
+    labelled = shared.where("n > 2").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    unsettled = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.when(F.col("node") == F.col("centre"), F.col("component"))).alias("of_centre")).where("low < high").select("key", "of_centre")
+    members = labelled.join(unsettled, "key").select("key", "node", "component", (F.col("component") == F.col("of_centre")).alias("main"))
+    members = members.join(nodes.select("node", "signature"), "node")
+    may = checkpointed(_compared(_dealt(members, "key", params.block), "key", _near_signatures(params)))
+    if may.isEmpty():
+        return None
+    families = components(may).select(F.col("node").alias("component"), F.col("component").alias("family"))
+    labels = nodes.select("node", "row_id", "text_hash").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    inside = labels.join(families, "component")
+    largest = inside.groupBy("family", "component").agg(F.count("*").alias("n")).groupBy("family").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
+    inside = inside.join(largest, "family").select("family", "node", "component", "row_id", "text_hash", (F.col("component") == F.col("largest")).alias("main"))
+    dealt = _dealt(inside, "family", params.block).join(rows.select("row_id", "text_hash", "raw"), ["row_id", "text_hash"])
+    return _compared(dealt.dropDuplicates(["family", "node", "i", "j"]), "family", _near_sets(params))
 
 
 def near_duplicates(documents: DataFrame, params: Params = Params()) -> DataFrame:  # noqa: B008
@@ -224,13 +300,8 @@ def near_duplicates(documents: DataFrame, params: Params = Params()) -> DataFram
     links = checkpointed(_confirmed(stars, nodes, rows, params))
     parts = components(links)
 
-    labelled = shared.where("n > 2").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed_keys = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.when(F.col("node") == F.col("centre"), F.col("component"))).alias("main")).where("low < high").select("key", "main")
-    members = labelled.join(mixed_keys, "key").select("key", "node", "component", (F.col("component") == F.col("main")).alias("main"))
-    members = members.join(nodes.select("node", "signature"), "node")
-    more = checkpointed(_unseen(members, params).join(stars, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        parts = components(links.unionByName(_confirmed(more, nodes, rows, params)))
+    if (more := _rest(shared, parts, nodes, rows, params)) is not None:
+        parts = components(links.unionByName(more))
 
     least = parts.join(nodes, "node").groupBy("component").agg(F.min("least_id").alias("component_id"))
     named = parts.join(least, "component").select("node", "component_id")
