@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import ann, html, neardup, packing, pii, substrings, tokens, toxicity
+from tidelog.llm import ann, decontamination, html, neardup, packing, pii, substrings, tokens, toxicity
 from tidelog.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_neighbours": op3_neighbours,
     "op4_packing": op4_packing,
     "op5_repeats": op5_repeats,
+    "op6_decontamination": op6_decontamination,
     "op7_html": op7_html,
     "op9_minhash": op9_minhash,
     "op10_pii": op10_pii,
