@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import ann, decontamination, html, neardup, packing, pii, substrings, tokens, toxicity
+from tidelog.llm import ann, decontamination, html, lm, neardup, packing, pii, substrings, tokens, toxicity
 from tidelog.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), neardup.Params(shingle=4))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_repeats": op5_repeats,
     "op6_decontamination": op6_decontamination,
     "op7_html": op7_html,
+    "op8_lm_scores": op8_lm_scores,
     "op9_minhash": op9_minhash,
     "op10_pii": op10_pii,
 }
