@@ -286,6 +286,19 @@ def near_duplicates(documents: DataFrame, params: Params = Params()) -> DataFram
     row is kept only where its component has no id. Of rows that repeat an id, all that carry the
     component's id are kept. Other columns are not read.
     """
+    return _found(documents, params).drop("row_id", "text_hash")
+
+
+def without_copies(documents: DataFrame, params: Params = Params()) -> DataFrame:  # noqa: B008
+    """The kept rows of documents, with all columns; of rows that repeat an id and a text, one."""
+    kept = _found(documents, params).where("kept").select(F.col("row_id").alias("_row_id"), F.col("text_hash").alias("_text_hash"))
+    keyed = documents.withColumn("_text_hash", F.xxhash64("text")).withColumn("_row_id", F.coalesce(F.col("doc_id").cast("long"), "_text_hash"))
+    one = keyed.dropDuplicates(["_row_id", "_text_hash"])
+    return one.join(kept, ["_row_id", "_text_hash"], "left_semi").select(*documents.columns)
+
+
+def _found(documents: DataFrame, params: Params) -> DataFrame:
+    """near_duplicates(), with row_id (the id, or the text's hash for a null one) and text_hash."""
     rows = documents.select("doc_id", raw_text().alias("raw"), F.xxhash64("text").alias("text_hash"))
     rows = rows.withColumn("row_id", F.coalesce(F.col("doc_id").cast("long"), "text_hash"))
     drawn = checkpointed(rows.select("doc_id", "row_id", "text_hash", sketch(F.col("raw"), params).alias("s")).select("doc_id", "row_id", "text_hash", "s.*"))
@@ -306,6 +319,6 @@ def near_duplicates(documents: DataFrame, params: Params = Params()) -> DataFram
     least = parts.join(nodes, "node").groupBy("component").agg(F.min("least_id").alias("component_id"))
     named = parts.join(least, "component").select("node", "component_id")
     of_node = nodes.join(named, "node", "left").select("node", F.coalesce("component_id", "least_id").alias("component_id"))
-    out = drawn.select("doc_id", F.coalesce("n_shingles", F.lit(0)).cast("long").alias("n_shingles"), F.col("set_low").alias("node")).join(of_node, "node", "left")
+    out = drawn.select("doc_id", "row_id", "text_hash", F.coalesce("n_shingles", F.lit(0)).cast("long").alias("n_shingles"), F.col("set_low").alias("node")).join(of_node, "node", "left")
     out = out.withColumn("component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "row_id", "text_hash")
