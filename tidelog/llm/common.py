@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from itertools import repeat
 
 import numpy as np
@@ -10,6 +9,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog.session import checkpointed
+
+
+__all__ = ["WordHasher", "checkpointed", "gram_hashes", "mixed", "raw_text", "table", "words"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -25,18 +29,6 @@ def words(text: bytes | None) -> list[bytes]:
     return text.split() if text else []
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut in the shared checkpoint folder.
-
-    The folder is spark.checkpoint.dir where the session has it; only without that
-    (tests on one machine) a temporary folder is set.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidelog-"))
-    return df.checkpoint()
-
-
 class WordHasher:
     """64-bit hashes of words, with those of words seen before kept in a bounded map."""
 

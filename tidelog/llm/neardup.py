@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import WordHasher, checkpointed, gram_hashes, mixed, raw_text, words
-from tidelog.llm.components import components
+from tidelog.operators.components import components
 
 SKETCH = "struct<n_shingles:long,set_low:long,set_high:long,bands:array<long>,signature:array<long>>"
 
