@@ -11,6 +11,7 @@ a row for each edge. Joined and counted in Spark:
   looked at: one occurrence of each such path is taken up again in its source text by its
   coordinates, and the windows that it shares with another path are repeated.
 
+Paths and texts go into a shuffle only where a bitmap of fixed size says that they may meet others.
 Windows are compared by two 64-bit hashes (core and window). Nothing is sampled: a window is found
 exactly where its word sequence starts elsewhere too.
 """
@@ -83,8 +84,38 @@ def paths(hashes: np.ndarray, windows: Windows, length: int, core: int) -> tuple
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def _path_rows(rows: DataFrame, length: int, core: int) -> DataFrame:
-    """core, path, row_key and span (first window * 64 + windows - 1) of every path."""
+BITS = 1 << 27
+
+
+def bitmap_of(values: DataFrame, column: str):
+    """A broadcast bitmap of fixed size (16 MB) with the bit of each value (a well-mixed long) set.
+
+    It only spares rows that a join would drop: where it is crowded, more rows reach the join.
+    """
+    place = F.pmod(F.col(column), F.lit(BITS))
+    parts = values.select(F.floor(place / 32768).alias("part"), (place % 32768).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    out = np.zeros(BITS // 8, np.uint8)
+    for row in parts.toLocalIterator():
+        out[row.part * 4096 : (row.part + 1) * 4096] = np.frombuffer(row.bits, np.uint8)
+    return values.sparkSession.sparkContext.broadcast(out)
+
+
+def in_bitmap(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    place = values.astype(np.int64) & (BITS - 1)
+    return (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+
+
+def _maybe(bitmap, key: str) -> Column:
+    @F.arrow_udf("boolean")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array(in_bitmap(bitmap.value, batch.to_numpy(zero_copy_only=False)), pa.bool_())
+
+    return run(F.col(key))
+
+
+def _path_rows(rows: DataFrame, length: int, core: int, wanted=None) -> DataFrame:
+    """core, path, row_key and span (first window * 64 + windows - 1) of every path, or of those with wanted cores."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, windows = WordHasher(), Windows()
@@ -94,7 +125,11 @@ def _path_rows(rows: DataFrame, length: int, core: int) -> DataFrame:
                 found = [paths(hasher(words(t)), windows, length, core) for t in part.column("raw").to_pylist()]
                 cores, path, first, count = (np.concatenate(x) for x in zip(*found, strict=True))
                 keys = np.repeat(part.column("row_key").to_numpy(), [len(f[0]) for f in found])
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (cores.view(np.int64), path.view(np.int64), keys, first * 64 + count - 1)], names=["core", "path", "row_key", "span"])
+                columns = (cores.view(np.int64), path.view(np.int64), keys, first * 64 + count - 1)
+                if wanted is not None:
+                    kept = in_bitmap(wanted.value, columns[0])
+                    columns = tuple(c[kept] for c in columns)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["core", "path", "row_key", "span"])
 
     return rows.select("row_key", "raw").mapInArrow(run, "core long, path long, row_key long, span long")
 
@@ -158,14 +193,26 @@ def remove_repeats(documents: DataFrame, length: int = 35, core: int = 12) -> Da
     others. Other columns are not read. length may be at most core + 63.
     """
     rows = documents.select("doc_id", raw_text().alias("raw"), F.xxhash64("doc_id", "text").alias("row_key"))
-    drawn = checkpointed(_path_rows(rows, length, core))
-    counted = drawn.groupBy("core", "path").agg(F.count("*").alias("times"), F.min("row_key").alias("row_key"), F.min_by("span", "row_key").alias("span"))
-    branching = counted.groupBy("core").agg(F.count("*").alias("n"), F.min("times").alias("least")).where("n > 1 and least = 1").select("core")
-    taken = counted.join(branching, "core").groupBy("row_key").agg(F.collect_list(F.struct("span", "times")).alias("taken"))
-    windows = checkpointed(_window_rows(rows.join(taken, "row_key"), length, core).distinct())
+    cores = _path_rows(rows, length, core).groupBy("core").agg(F.count("*").alias("n"), F.min("path").alias("low"), F.max("path").alias("high")).where("n > 1")
+    again = checkpointed(cores.select("core", (F.col("low") != F.col("high")).alias("branches")))
+    drawn = checkpointed(_path_rows(rows, length, core, bitmap_of(again, "core")).join(again, "core"))
+
+    # where the graph branches: paths that occur once, among others with their core
+    branching = drawn.where("branches").groupBy("core", "path").agg(F.count("*").alias("times"), F.min("row_key").alias("row_key"), F.min_by("span", "row_key").alias("span"))
+    counted = checkpointed(branching)
+    some = counted.where("times = 1").select("core").distinct()
+    taken = checkpointed(counted.join(some, "core").groupBy("row_key").agg(F.collect_list(F.struct("span", "times")).alias("taken")))
+    # a row that is repeated gives its windows twice, but then all of its paths occur twice anyway
+    texts = rows.where(_maybe(bitmap_of(taken, "row_key"), "row_key")).join(taken, "row_key")
+    windows = checkpointed(_window_rows(texts, length, core))
     shared = windows.groupBy("core", "window").agg(F.sum("times").alias("total"), F.min("times").alias("low")).where("total > 1 and low = 1").select("core", "window")
     single = windows.where("times = 1").join(shared, ["core", "window"]).select("row_key", (F.col("first") * 64).alias("span"))
-    again = counted.where("times > 1").select("core", "path")
-    marks = drawn.join(again, ["core", "path"]).select("row_key", "span").unionByName(single).groupBy("row_key").agg(F.collect_list("span").alias("spans"))
-    joined = rows.join(marks, "row_key", "left").select("doc_id", _digest(F.col("raw"), F.col("spans"), length).alias("d"))
+
+    twice = drawn.where("branches").join(counted.where("times > 1").select("core", "path"), ["core", "path"]).select("row_key", "span")
+    found = drawn.where("not branches").select("row_key", "span").unionByName(twice).unionByName(single)
+    marks = checkpointed(found.groupBy("row_key").agg(F.collect_list("span").alias("spans")))
+    marked = rows.withColumn("marked", _maybe(bitmap_of(marks, "row_key"), "row_key"))
+    none = F.lit(None).cast("array<bigint>")
+    clean = marked.where("not marked").select("doc_id", _digest(F.col("raw"), none, length).alias("d"))
+    joined = marked.where("marked").join(marks, "row_key", "left").select("doc_id", _digest(F.col("raw"), F.col("spans"), length).alias("d")).unionByName(clean)
     return joined.select("doc_id", "d.n_words", "d.n_removed", "d.kept_sha256", F.col("d.kept").cast("string").alias("kept"))
