@@ -94,7 +94,7 @@ def effective_interval(now: Column, age_seconds: Column, views_hour: Column, tie
     ceiling = F.lit(p.intervals["c"][1])
     for t, (active, normal) in p.intervals.items():
         ceiling = F.when(tier == t, F.when(busy, active).otherwise(normal)).otherwise(ceiling)
-    return F.least(age_interval(age_seconds, views_hour), ceiling, F.greatest(to_checkpoint, F.lit(0)))
+    return F.least(age_interval(age_seconds, views_hour), ceiling, F.when(to_checkpoint > 0, to_checkpoint).when(to_checkpoint <= 0, 0))
 
 
 def next_slot(anchor: Column, now: Column, interval: Column) -> Column:
