@@ -156,4 +156,6 @@ ORACLES = {
     "raw_integrity": "SELECT CASE WHEN doc_id % 7 = 0 THEN 'size_mismatch' WHEN doc_id % 10 = 0 THEN 'hash_mismatch' ELSE 'ok' END AS outcome, count(*) AS payloads, CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes FROM documents GROUP BY 1",
     "month_layout": "SELECT strftime(o_orderdate, '%Y-%m') AS captured_month, count(*) AS rows FROM orders GROUP BY 1",
     "folded_texts": "SELECT doc_id, sha256(replace(lower(text), 'ß', 'ss')) AS folded_sha256 FROM documents",
+    "stream_state_changes": f"WITH {CHANGES} SELECT * FROM changes",
+    "stream_trends": f"WITH {OBS}, {WORDS} SELECT keyword, us // 86400000000 * 86400 AS bucket, count(DISTINCT rpid) AS distinct_comments, count(*) AS observations FROM obs, words WHERE contains(lower(content), keyword) GROUP BY ALL",
 }

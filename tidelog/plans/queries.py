@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +14,7 @@ from tidelog.functions.windows import as_of, newest
 from tidelog.operators import assess, derive, event, flatten, graph, quality, video
 from tidelog.sources import bindings as b
 from tidelog.sources import sinks
+from tidelog.streaming import jobs
 
 DAY = 86_400
 NOW = datetime(2024, 1, 20, 12, tzinfo=UTC)
@@ -442,3 +445,21 @@ def month_layout(spark, sf_dir):
 def folded_texts(spark, sf_dir):
     d = b.read(spark, sf_dir, "documents")
     return d.select("doc_id", F.sha2(fold_text(F.col("text"), "fold"), 256).alias("folded_sha256"))
+
+
+def drained(spark, sf_dir, job, mode):
+    """The job's result over events.parquet as a stream."""
+    folder = f"{spark.sparkContext.getConf().get('spark.checkpoint.dir') or tempfile.mkdtemp(prefix='tidelog-')}/stream-{uuid.uuid4().hex}"
+    obs = b.observations(spark, sf_dir, jobs.stream_of(spark, sf_dir, "events"))
+    jobs.drain(job(obs), f"{folder}/out", f"{folder}/state", mode)
+    return spark.read.parquet(f"{folder}/out")
+
+
+@query
+def stream_state_changes(spark, sf_dir):
+    return drained(spark, sf_dir, jobs.state_changes, "append")
+
+
+@query
+def stream_trends(spark, sf_dir):
+    return drained(spark, sf_dir, lambda obs: jobs.keyword_counts(obs, list(b.KEYWORDS), DAY), "complete")

@@ -20,8 +20,8 @@ def utc(time) -> F.Column:
     return F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), time.cast("timestamp_ntz")))
 
 
-def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "events")
+def observations(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    e = read(spark, sf_dir, "events") if events is None else events
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("long")
     return e.select(
         F.col("event_id").alias("id"), F.col("user_id").alias("rpid"), F.concat(F.lit("v"), F.col("user_id") % 15).alias("bvid"), (F.col("user_id") % 40).alias("author_mid"),
