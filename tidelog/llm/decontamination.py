@@ -157,5 +157,5 @@ def matches(documents: DataFrame, benchmark: DataFrame, params: Params = Params(
 
 def without_matches(documents: DataFrame, benchmark: DataFrame, params: Params = Params()) -> DataFrame:  # noqa: B008
     """The rows of documents whose text matches no item; all of their columns."""
-    found = matches(documents.select(F.xxhash64("text").alias("doc_id"), "text"), benchmark, params).select(F.col("doc_id").alias("_hash")).distinct()
-    return documents.withColumn("_text_hash", F.xxhash64("text")).join(found, F.col("_text_hash") == F.col("_hash"), "left_anti").drop("_text_hash")
+    found = matches(documents.select(F.xxhash64("text").alias("doc_id"), "text"), benchmark, params).select(F.col("doc_id").alias("_tidelog_key")).distinct()
+    return documents.withColumn("_tidelog_hash", F.xxhash64("text")).join(found, F.col("_tidelog_hash") == F.col("_tidelog_key"), "left_anti").drop("_tidelog_hash")

@@ -291,10 +291,10 @@ def near_duplicates(documents: DataFrame, params: Params = Params()) -> DataFram
 
 def without_copies(documents: DataFrame, params: Params = Params()) -> DataFrame:  # noqa: B008
     """The kept rows of documents, with all columns; of rows that repeat an id and a text, one."""
-    kept = _found(documents, params).where("kept").select(F.col("row_id").alias("_row_id"), F.col("text_hash").alias("_text_hash"))
-    keyed = documents.withColumn("_text_hash", F.xxhash64("text")).withColumn("_row_id", F.coalesce(F.col("doc_id").cast("long"), "_text_hash"))
-    one = keyed.dropDuplicates(["_row_id", "_text_hash"])
-    return one.join(kept, ["_row_id", "_text_hash"], "left_semi").select(*documents.columns)
+    kept = _found(documents, params).where("kept").select(F.col("row_id").alias("_tidelog_row"), F.col("text_hash").alias("_tidelog_hash"))
+    keyed = documents.withColumn("_tidelog_hash", F.xxhash64("text")).withColumn("_tidelog_row", F.coalesce(F.col("doc_id").cast("long"), "_tidelog_hash"))
+    one = keyed.dropDuplicates(["_tidelog_row", "_tidelog_hash"])
+    return one.join(kept, ["_tidelog_row", "_tidelog_hash"], "left_semi").select(*documents.columns)
 
 
 def _found(documents: DataFrame, params: Params) -> DataFrame:

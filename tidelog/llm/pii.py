@@ -174,18 +174,18 @@ def redact(documents: DataFrame, boot: Bootstrap = Bootstrap()) -> DataFrame:  #
     n_chars, where there is one, is set anew. Null texts stay null; rows and other columns stay.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    found = located_pii(documents, boot).where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "spans").dropDuplicates(["_id", "_hash"]).withColumnRenamed("spans", "_spans")
-    keyed = documents.withColumn("_text_hash", F.xxhash64(text))
-    both = keyed.join(found, (F.col("_text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    found = located_pii(documents, boot).where(F.size("spans") > 0).select(F.col("doc_id").alias("_tidelog_id"), F.col("text_hash").alias("_tidelog_key"), "spans").dropDuplicates(["_tidelog_id", "_tidelog_key"]).withColumnRenamed("spans", "_tidelog_spans")
+    keyed = documents.withColumn("_tidelog_hash", F.xxhash64(text))
+    both = keyed.join(found, (F.col("_tidelog_hash") == F.col("_tidelog_key")) & F.col("doc_id").eqNullSafe(F.col("_tidelog_id")), "left")
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(state: Column, s: Column) -> Column:
         piece = F.concat(F.substring(text, (state["at"] + 1).cast("int"), (s["start"] - state["at"]).cast("int")), F.lit("["), F.upper(s["kind"]), F.lit("]"))
         return F.when(s["start"] >= state["at"], F.struct(s["stop"].alias("at"), F.concat(state["out"], F.array(piece)).alias("out"))).otherwise(state)
 
-    done = F.aggregate("_spans", start, step)
+    done = F.aggregate("_tidelog_spans", start, step)
     whole = F.concat(F.array_join(done["out"], ""), F.substring(text, (done["at"] + 1).cast("int"), F.length(text)))
-    out = both.withColumn("text", F.when(F.col("_spans").isNotNull(), whole).otherwise(F.col("text")))
+    out = both.withColumn("text", F.when(F.col("_tidelog_spans").isNotNull(), whole).otherwise(F.col("text")))
     if "n_chars" in documents.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col("_tidelog_spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*documents.columns)

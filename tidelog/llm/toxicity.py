@@ -152,3 +152,9 @@ def grade(documents: DataFrame, model: Ordinal, threshold: float = 0.5) -> DataF
         .withColumn("toxic", above[0] >= threshold)
         .drop("_tidelog_score")
     )
+
+
+def without_toxic(documents: DataFrame, model: Ordinal, threshold: float = 0.5) -> DataFrame:
+    """The rows of documents that grade() would not mark as toxic, with all of their columns as they are."""
+    above = 1 / (1 + F.exp(F.lit(model.thresholds[0]) - F.col("_tidelog_score")))
+    return documents.withColumn("_tidelog_score", word_score(F.col("text"), model)).where(above < threshold).drop("_tidelog_score")
