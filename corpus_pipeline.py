@@ -11,7 +11,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidelog.llm import decontamination, neardup, packing, pii, toxicity
 from tidelog.llm.common import table
@@ -20,7 +19,7 @@ from tidelog.llm.common import table
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without those that the toxicity model rejects. It is fitted on the labelled rows among docs."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.grade(docs, model).where(~F.col("toxic")).select(*docs.columns)
+    return toxicity.without_toxic(docs, model)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
