@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -50,31 +50,49 @@ class Ordinal:
         return 1 / (1 + np.exp(-np.clip(score[:, None] - np.array(self.thresholds), -60, 60)))
 
 
-def train(sets: list[set[str]], toxic: list[int], most_features: int = 4000, least: int = 3, l1: float = 2e-4, rounds: int = 300) -> Ordinal:
+def _feature_rows(sets: Iterable[Iterable[str]]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Names of all features, and (row, feature, count) of those that each set has, as compact arrays."""
+    numbers: dict[str, int] = {}
+    lists = [np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int32) for words in sets]
+    names: dict[str, int] = {}
+    of_word = np.full((len(numbers), 3), -1, np.int32)
+    for word, n in numbers.items():
+        for k, f in enumerate(features(word)):
+            of_word[n, k] = names.setdefault(f, len(names))
+    del numbers
+    rows, cols, counts = [np.empty(0, np.int32)], [np.empty(0, np.int32)], [np.empty(0, np.int32)]
+    for n, words in enumerate(lists):
+        found = of_word[words].ravel()
+        col, count = np.unique(found[found >= 0], return_counts=True)
+        rows.append(np.full(len(col), n, np.int32))
+        cols.append(col)
+        counts.append(count.astype(np.int32))
+    return list(names), np.concatenate(rows), np.concatenate(cols), np.concatenate(counts)
+
+
+def train(sets: Iterable[Iterable[str]], toxic: list[int], most_features: int = 4000, least: int = 3, l1: float = 2e-4, rounds: int = 300) -> Ordinal:
     """The model of the given word sets and 0/1 labels; without both labels, one that rejects nothing."""
     y = np.array(toxic)
     if not len(y) or y.min() == y.max():
         return Ordinal({}, tuple(10.0 + k for k in range(GRADES - 1)))
-    counts = [Counter(), Counter()]
-    held = [Counter(f for w in words for f in features(w)) for words in sets]
-    for x, label in zip(held, toxic, strict=True):
-        counts[label].update(x.keys())
+    names, row, col, value = _feature_rows(sets)
     n = np.bincount(y, minlength=2)
-    found = [f for f, c in (counts[0] + counts[1]).items() if c >= least]
-    rate = np.array([[(counts[k][f] + 0.5) / (n[k] + 1) for k in (0, 1)] for f in found])
+    has = np.stack([np.bincount(col, y[row] == k, len(names)) for k in (0, 1)])
+    found = np.flatnonzero(has.sum(0) >= least)
+    rate = ((has[:, found] + 0.5) / (n[:, None] + 1)).T
     lift = np.log(rate[:, 1] / rate[:, 0]) * np.sqrt(np.minimum(n[1] * rate.max(1), n[0] * rate.max(1)))
     chosen = np.argsort(-np.abs(lift), kind="stable")[:most_features]
     chosen = chosen[np.abs(lift[chosen]) > 4]
-    place = {found[i]: k for k, i in enumerate(chosen)}
-    markers = {found[i] for i in chosen if lift[i] > 8}
-    amount = np.array([sum(f in markers for f in x) for x in held])
+    place = np.full(len(names), -1, np.int64)
+    place[found[chosen]] = np.arange(len(chosen))
+    names = [names[i] for i in found[chosen]]
+    kept = place[col] >= 0
+    row, col, value = row[kept], place[col[kept]], np.log1p(value[kept].astype(float))
+    amount = np.bincount(row, lift[chosen][col] > 8, len(y))
     steps = np.quantile(amount[y == 1], np.arange(1, GRADES - 1) / (GRADES - 1))
     grade = np.where(y == 1, 1 + (amount[:, None] > steps).sum(1), 0)
 
-    pairs = [(row, place[f], c) for row, x in enumerate(held) for f, c in x.items() if f in place]
-    row, col, value = (np.array(v) for v in zip(*pairs, strict=True))
-    value = np.log1p(value.astype(float))
-    w, theta = np.zeros(len(place)), np.arange(GRADES - 1) + 2.0
+    w, theta = np.zeros(len(names)), np.arange(GRADES - 1) + 2.0
     over = grade[:, None] > np.arange(GRADES - 1)
     weight = np.where(y == 1, n[0] / n[1], 1.0)[:, None] / (2 * n[0] / len(y))  # both labels count alike
     step = 4.0 / ((np.bincount(row, value**2, len(y)) * weight[:, 0]).mean() * (GRADES - 1) + 1)
@@ -88,7 +106,6 @@ def train(sets: list[set[str]], toxic: list[int], most_features: int = 4000, lea
         t, before = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
         held_w, w = new + (before - 1) / t * (new - w), new
         theta = np.sort(theta + step * 4 * miss.mean(0))
-    names = list(place)
     return Ordinal({names[i]: float(w[i]) for i in np.flatnonzero(w)}, tuple(theta.tolist()))
 
 
@@ -108,7 +125,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = 8000) -> Ordinal:
             yield pa.array([sorted(text_words(t)) for t in batch.to_pylist()], pa.list_(pa.string()))
 
     rows = texts.withColumn("words", own_words("text")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("words").alias("words")).orderBy("doc_id").select("words", "toxic").toArrow()
-    return train([set(w) for w in rows.column("words").to_pylist()], rows.column("toxic").to_pylist())
+    return train((w.as_py() for w in rows.column("words")), rows.column("toxic").to_pylist())
 
 
 def word_score(text: Column, model: Ordinal) -> Column:
