@@ -192,3 +192,12 @@ def cascaded(rows: DataFrame, targets: DataFrame) -> DataFrame:
     """Keywords or videos that are active only while their source target is."""
     state = targets.select(F.col("id").alias("source_target_id"), F.col("active").alias("_on"))
     return rows.join(state, "source_target_id", "left").withColumn("active", F.col("active") & F.coalesce("_on", F.lit(True))).drop("_on")
+
+
+def with_assets(links: DataFrame, sources: DataFrame, assets: DataFrame) -> DataFrame:
+    """Links with the asset of their source's content, on every link of the source.
+
+    links: media_source_id; sources: media_source_id, blob_sha256; assets: exact_assets().
+    """
+    of_source = sources.join(assets.select("blob_sha256", "asset_id"), "blob_sha256").select("media_source_id", F.col("asset_id").alias("media_asset_id"))
+    return links.join(of_source, "media_source_id", "left")

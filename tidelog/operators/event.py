@@ -223,3 +223,10 @@ def evidence_index(**ids: DataFrame) -> DataFrame:
         part = df.select(F.lit(kind).alias("kind"), F.col(df.columns[0]).cast("long").alias("id")).where("id is not null")
         out = part if out is None else out.unionByName(part)
     return out.distinct()
+
+
+def hot_changes(turnover: DataFrame, on_page: DataFrame) -> DataFrame:
+    """Turnover points with the observation ids of both of their pages."""
+    ids = on_page.groupBy("page_id").agg(F.array_sort(F.collect_set("comment_observation_id")).alias("ids"))
+    side = lambda s: ids.select(F.col("page_id").alias(f"{s}_page_id"), F.col("ids").alias(f"{s}_observation_ids"))
+    return turnover.join(side("previous"), "previous_page_id", "left").join(side("current"), "current_page_id", "left")

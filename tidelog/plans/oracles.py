@@ -76,6 +76,8 @@ SLOTS = f"""{ASSESSED}, slots AS (SELECT bvid, {NOW} - n * 7200 AS anchor, {NOW}
 EXACT = f"{ALNUM}, pairs AS (SELECT a.rpid AS left_rpid, b.rpid AS right_rpid, a.bvid AS left_bvid, b.bvid AS right_bvid, 1.0::DOUBLE AS similarity, b.s - a.s AS seconds_apart FROM f a JOIN f b ON a.key = b.key AND a.rpid < b.rpid AND a.bvid <> b.bvid AND b.s - a.s <= 86400 WHERE a.n_chars <= 500 AND b.n_chars <= 500 AND length(a.key) >= 4)"
 LEX = "lex AS (SELECT * FROM (VALUES ('support', 'the'), ('support', 'und'), ('support', 'que'), ('criticism', 'idiot'), ('criticism', 'trash'), ('neutral', 'for'), ('neutral', 'de la')) t(category, term))"
 
+SIGHT = "sight AS (SELECT 'v' || o_custkey AS bvid, o_orderkey AS k, epoch_us(CAST(o_orderdate AS TIMESTAMP)) AS us, o_orderpriority AS pool_type, o_orderstatus AS pool_id FROM orders)"
+
 ORACLES = {
     "keyword_trends": f"WITH {TREND} SELECT bucket, keyword, coalesce(d, 0) AS distinct_comments, coalesce(n, 0) AS observations FROM grid CROSS JOIN words LEFT JOIN counts USING (keyword, bucket)",
     "keyword_trends_evidence": f"WITH {TREND} SELECT bucket, keyword, coalesce(d, 0) AS distinct_comments, coalesce(n, 0) AS observations, coalesce(ids, '') AS raw_payload_ids, coalesce(ids, '') AS observation_ids FROM grid CROSS JOIN words LEFT JOIN counts USING (keyword, bucket)",
@@ -158,4 +160,20 @@ ORACLES = {
     "folded_texts": "SELECT doc_id, sha256(replace(lower(text), 'ß', 'ss')) AS folded_sha256 FROM documents",
     "stream_state_changes": f"WITH {CHANGES} SELECT * FROM changes",
     "stream_trends": f"WITH {OBS}, {WORDS} SELECT keyword, us // 86400000000 * 86400 AS bucket, count(DISTINCT rpid) AS distinct_comments, count(*) AS observations FROM obs, words WHERE contains(lower(content), keyword) GROUP BY ALL",
+    "hot_changes": f"WITH {TURNOVER}, e AS (SELECT page_id, string_agg(id, ',' ORDER BY id) AS ids FROM on_page GROUP BY page_id) SELECT current_page_id, p.ids AS previous_observation_ids, c.ids AS current_observation_ids FROM turnover LEFT JOIN e p ON p.page_id = previous_page_id LEFT JOIN e c ON c.page_id = current_page_id",
+    "media_sources": "SELECT 'p' AS platform, sha256('https://x.org/' || (l_partkey % 50)) AS url_hash, 'https://x.org/' || (l_partkey % 50) AS source_url, epoch_us(CAST(min(o_orderdate) AS TIMESTAMP)) AS first_seen_at, epoch_us(CAST(max(o_orderdate) AS TIMESTAMP)) AS last_seen_at FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL",
+    "known_videos": f"WITH {SIGHT} SELECT bvid, lpad(CAST(k AS VARCHAR), 12, '0') AS source_mid, us AS pubdate, us AS first_seen_at FROM sight QUALIFY row_number() OVER (PARTITION BY bvid ORDER BY us, k) = 1",
+    "video_sources": f"WITH {SIGHT} SELECT bvid, pool_id AS source_mid, pool_type, pool_id, true AS official, true AS monitored, min(us) AS first_seen_at, max(us) AS last_seen_at, true AS active FROM sight GROUP BY bvid, pool_type, pool_id",
+    "discovery_priority": f"WITH {SIGHT}, n AS (SELECT bvid, max(us) AS pubdate FROM sight GROUP BY bvid HAVING min(us) >= epoch_us(TIMESTAMP '1993-01-01')) SELECT bvid, pubdate, CASE WHEN epoch_us(TIMESTAMP '1998-01-01') - pubdate > 120000000 THEN 'delayed_discovery' ELSE 'fresh_discovery' END AS reason, CAST(CASE WHEN epoch_us(TIMESTAMP '1998-01-01') - pubdate > 120000000 THEN 90 ELSE 100 END AS BIGINT) AS priority FROM n",
+    "event_video_log": f"WITH {SIGHT} SELECT CAST(1 AS BIGINT) AS event_id, bvid, min(us) AS first_seen_at, max(us) AS last_seen_at, true AS active FROM sight GROUP BY bvid",
+    "active_event_videos": "SELECT CAST(n_nationkey AS BIGINT) AS source_target_id, CAST(c_custkey AS BIGINT) AS bvid, n_regionkey <> 2 AS active FROM customer JOIN nation ON c_nationkey = n_nationkey",
+    "metric_flatten": f"WITH {METRICS} SELECT bvid, raw_payload_id, view_count, like_count, coin_count, CAST(NULL AS BIGINT) AS share_count FROM metrics",
+    "info_flatten": f"WITH {METRICS} SELECT raw_payload_id, 't' || raw_payload_id AS title, owner_mid, 'x,y' AS tag_names, 'tag,tname' AS tag_fields FROM metrics",
+    "availability_flatten": f"WITH {METRICS} SELECT raw_payload_id, status, CAST(CASE WHEN status = 'deleted' THEN -404 ELSE 0 END AS BIGINT) AS code FROM metrics",
+    "request_errors": "SELECT CASE substring(o_orderpriority, 1, 1) WHEN '1' THEN 'forbidden' WHEN '2' THEN 'rate_limited' WHEN '3' THEN 'captcha' WHEN '4' THEN 'server_error' END AS kind, count(*) AS requests FROM orders GROUP BY 1",
+    "run_summary": "SELECT CAST(o_orderkey % 10 AS BIGINT) AS run_id, count(*) AS started, count(*) FILTER (o_orderstatus = 'F') AS succeeded, count(*) FILTER (o_orderstatus NOT IN ('O', 'F')) AS failed FROM orders GROUP BY 1",
+    "slot_plan": f"WITH {ASSESSED}, x AS (SELECT *, CASE WHEN {NOW} < anchor THEN anchor ELSE anchor + (({NOW} - anchor) // 600 + 1) * 600 END AS slot FROM tiered) SELECT bvid, 'routine:' || bvid || ':' || strftime(make_timestamp(slot * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS slot_key, CAST(CASE desired WHEN 's' THEN 100 WHEN 'a' THEN 90 WHEN 'b' THEN 80 ELSE 70 END AS BIGINT) AS priority, CAST(CASE WHEN n % 3 = 0 THEN 1 WHEN n % 3 = 2 OR n % 2 = 0 THEN 3 ELSE 2 END AS BIGINT) AS components FROM x",
+    "finalized_components": "SELECT CASE WHEN o_orderstatus = 'F' THEN 'complete' WHEN o_orderstatus = 'O' THEN CASE WHEN 1000000 > o_orderkey * 100 THEN 'missed_due_to_capacity' ELSE 'pending' END ELSE CASE WHEN 1000000 > o_orderkey * 100 THEN 'missed_due_to_service_gap' ELSE 'blocked' END END AS status, count(*) AS components FROM orders GROUP BY 1",
+    "candidate_ranking": f"WITH {ASSESSED} SELECT bvid FROM (SELECT bvid FROM a ORDER BY n % 3 <> 0, CASE WHEN n % 3 <> 0 AND n % 2 = 0 THEN 1 ELSE 0 END, CASE WHEN n % 3 <> 0 AND n % 2 = 0 THEN anchor + n END, anchor, bvid LIMIT 10)",
+    "focus_slots": f"WITH {OBS}, l AS (SELECT id, strftime(captured_at + INTERVAL 8 HOUR, '%H:%M') AS hm FROM obs) SELECT id FROM l WHERE hm IN ('10:00', '12:30', '15:15')",
 }

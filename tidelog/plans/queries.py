@@ -463,3 +463,122 @@ def stream_state_changes(spark, sf_dir):
 @query
 def stream_trends(spark, sf_dir):
     return drained(spark, sf_dir, lambda obs: jobs.keyword_counts(obs, list(b.KEYWORDS), DAY), "complete")
+
+
+@query
+def hot_changes(spark, sf_dir):
+    pages, on_page = b.hot_pages(b.observations(spark, sf_dir))
+    return event.hot_changes(video.hot_turnover(pages, on_page, 5), on_page).select("current_page_id", "previous_observation_ids", "current_observation_ids")
+
+
+@query
+def media_sources(spark, sf_dir):
+    links = b.read(spark, sf_dir, "lineitem").join(b.read(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    at = b.utc(F.col("o_orderdate").cast("timestamp_ntz"))
+    own = links.select(F.lit("p").alias("platform"), F.concat(F.lit("https://x.org/"), F.col("l_partkey") % 50).alias("url"), at.alias("captured_at"), F.col("l_orderkey").alias("page_id"))
+    return derive.media_sources(own).drop("first_page_id", "last_page_id")
+
+
+def sightings(spark, sf_dir):
+    """Orders as sightings of customers' videos."""
+    at = b.utc(F.col("o_orderdate").cast("timestamp_ntz"))
+    return b.read(spark, sf_dir, "orders").select(F.concat(F.lit("v"), F.col("o_custkey")).alias("bvid"), F.col("o_orderkey").cast("string").alias("source_mid"), at.alias("pubdate"), at.alias("captured_at"), F.col("o_orderpriority").alias("pool_type"), F.col("o_orderstatus").alias("pool_id"), (F.col("o_orderkey") % 2 == 0).alias("official"), F.lit(True).alias("monitored"))
+
+
+@query
+def known_videos(spark, sf_dir):
+    return derive.known_videos(sightings(spark, sf_dir).withColumn("source_mid", F.lpad("source_mid", 12, "0")))
+
+
+@query
+def video_sources(spark, sf_dir):
+    own = sightings(spark, sf_dir).withColumn("source_mid", F.col("pool_id")).withColumn("official", F.lit(True))
+    return derive.video_sources(own)
+
+
+@query
+def discovery_priority(spark, sf_dir):
+    s = sightings(spark, sf_dir)
+    known = s.where(F.col("captured_at") < F.lit(datetime(1993, 1, 1, tzinfo=UTC))).select("bvid").distinct()
+    new = s.groupBy("bvid").agg(F.max("pubdate").alias("pubdate"))
+    return derive.discovery_priority(new, known, F.lit(datetime(1998, 1, 1, tzinfo=UTC)))
+
+
+@query
+def event_video_log(spark, sf_dir):
+    log = sightings(spark, sf_dir).select(F.lit(1).cast("long").alias("event_id"), "bvid", F.col("source_mid").cast("long").alias("source_target_id"), F.col("pool_type").alias("association_reason"), F.lit(1.0).alias("confidence"), F.lit(True).alias("active"), F.struct("captured_at", "source_mid").alias("ts"))
+    return derive.folded_event_videos(log).select("event_id", "bvid", F.col("first_seen_at.captured_at").alias("first_seen_at"), F.col("last_seen_at.captured_at").alias("last_seen_at"), "active")
+
+
+@query
+def active_event_videos(spark, sf_dir):
+    """Videos that are active only while their target (the nation) is."""
+    targets = b.read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), (F.col("n_regionkey") != 2).alias("active"))
+    videos = b.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("bvid"), F.col("c_nationkey").alias("source_target_id"), F.lit(True).alias("active"))
+    return derive.cascaded(videos, targets)
+
+
+def metric_payloads(spark, sf_dir):
+    m = b.metrics(spark, sf_dir)
+    body = F.to_json(F.struct(F.when(F.col("status") == "deleted", -404).otherwise(0).alias("code"), F.struct(F.struct(F.col("view_count").alias("view"), F.col("like_count").alias("like"), F.col("coin_count").alias("coin")).alias("stat"), F.concat(F.lit("t"), F.col("raw_payload_id")).alias("title"), F.struct(F.col("owner_mid").alias("mid")).alias("owner"), F.lit("x,y,x").alias("tag"), F.lit("y").alias("tname")).alias("data")))
+    return m.select("bvid", "captured_at", "raw_payload_id", body.alias("body"))
+
+
+@query
+def metric_flatten(spark, sf_dir):
+    return flatten.video_metrics(metric_payloads(spark, sf_dir)).select("bvid", "raw_payload_id", "view_count", "like_count", "coin_count", "share_count")
+
+
+@query
+def info_flatten(spark, sf_dir):
+    out = flatten.video_info(metric_payloads(spark, sf_dir))
+    return out.select("raw_payload_id", "title", "owner_mid", F.col("tags.names").alias("tag_names"), F.col("tags.source_fields").alias("tag_fields"))
+
+
+@query
+def availability_flatten(spark, sf_dir):
+    return flatten.video_availability(metric_payloads(spark, sf_dir)).select("raw_payload_id", "status", "code")
+
+
+@query
+def request_errors(spark, sf_dir):
+    """Orders as requests: status by priority."""
+    o = b.read(spark, sf_dir, "orders")
+    status = F.element_at(F.array(*(F.lit(s) for s in (403, 429, 412, 503, 200))), F.substring("o_orderpriority", 1, 1).cast("int"))
+    from tidelog.functions.values import error_class
+
+    return o.groupBy(error_class(status, F.col("o_comment") if "o_comment" in o.columns else F.lit("")).alias("kind")).agg(F.count("*").alias("requests"))
+
+
+@query
+def run_summary(spark, sf_dir):
+    return quality.run_summary(b.tasks(spark, sf_dir).withColumn("run_id", F.col("id") % 10).withColumn("status", F.when(F.col("status") == "running", "failed").otherwise(F.col("status"))))
+
+
+@query
+def slot_plan(spark, sf_dir):
+    """Next routine slots with key, priority and number of components."""
+    a = assessed(spark, sf_dir).withColumn("tier", assess.desired_tier(P))
+    slot = assess.next_slot(F.col("anchor"), F.lit(NOW_S), F.lit(600))
+    stage = F.when(F.col("n") % 3 == 0, "archived").when(F.col("n") % 3 == 1, "dormant").otherwise("active")
+    return a.select("bvid", assess.slot_key(F.lit("routine"), F.col("bvid"), slot).alias("slot_key"), assess.slot_priority(F.lit("routine"), F.col("tier")).alias("priority"), F.size(assess.component_kinds(stage, F.col("n") % 2 == 0)).alias("components"))
+
+
+@query
+def finalized_components(spark, sf_dir):
+    t = b.tasks(spark, sf_dir).select("id", F.when(F.col("status") == "succeeded", "complete").when(F.col("status") == "running", "blocked").otherwise(F.col("status")).alias("status"), (F.col("id") * 100).alias("deadline"))
+    return assess.finalized(t, 1_000_000).groupBy("status").agg(F.count("*").alias("components"))
+
+
+@query
+def candidate_ranking(spark, sf_dir):
+    """The 10 first videos to assess."""
+    a = assessed(spark, sf_dir)
+    states = a.where("n % 3 != 0").select("bvid", F.when(F.col("n") % 2 == 0, F.col("anchor") + F.col("n")).alias("next_due"))
+    return assess.ranked_candidates(a.select("bvid", F.col("anchor").alias("first_seen")), states, 10).select("bvid")
+
+
+@query
+def focus_slots(spark, sf_dir):
+    o = b.observations(spark, sf_dir)
+    return o.where(assess.focus_slot(F.col("captured_at"), P.zone, 9, 18, ("10:00", "12:30", "15:15"))).select("id")
