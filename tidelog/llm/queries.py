@@ -66,4 +66,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pii": op10_pii,
 }
 
-ORACLES: dict[str, str] = {}
+_WORDS = r"list_filter(regexp_split_to_array({0}, '[\x09-\x0D\x20]+'), lambda x: x <> '')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLES: dict[str, str] = {
+    "op5_repeats": f"""WITH w AS (SELECT doc_id, row_number() OVER () AS k, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+ windows AS (SELECT k, s, md5(array_to_string(ws[s:s + 34], ' ')) AS h FROM (SELECT k, ws, unnest(range(1, len(ws) - 33)) AS s FROM w)),
+ again AS (SELECT h FROM windows GROUP BY h HAVING count(*) > 1),
+ gone AS (SELECT DISTINCT k, unnest(range(s, s + 35)) AS i FROM windows WHERE h IN (SELECT h FROM again)),
+ each AS (SELECT k, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM w),
+ kept AS (SELECT k, string_agg(word, ' ' ORDER BY i) AS text FROM each ANTI JOIN gone USING (k, i) GROUP BY k), n AS (SELECT k, count(*) AS removed FROM gone GROUP BY k)
+ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(removed, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM w LEFT JOIN n USING (k) LEFT JOIN kept USING (k)""",
+    "op9_minhash": f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(_LOWER)} AS ws FROM documents),
+ s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) END) AS g FROM w),
+ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+ pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+ links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+ ways AS (SELECT a AS x, b AS y FROM links UNION SELECT b, a FROM links), reach(node, label) AS (SELECT x, x FROM ways UNION SELECT y, label FROM reach JOIN ways ON node = x),
+ parts AS (SELECT node AS doc_id, min(label) AS component FROM reach GROUP BY node)
+ SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component, doc_id) AS component_id, coalesce(component, doc_id) = doc_id AS kept FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN parts USING (doc_id)""",
+}
