@@ -93,20 +93,28 @@ class Network:
         self.seen = np.full_like(self.values, 1e-3)
         self.s = [x.reshape(s) for x, s in zip(np.split(self.seen, np.cumsum(sizes)[:-1]), shapes, strict=True)]
 
-    def hidden(self, sequence: np.ndarray, at: np.ndarray) -> np.ndarray:
-        return sum(self.r[sequence[at - i]] * self.c[i - 1] for i in range(1, self.params.context + 1))
+    def hidden(self, sequence: np.ndarray, low: int, high: int) -> np.ndarray:
+        """Context vectors of the places low to high: each unit's vector is looked up once, and shifted."""
+        back = self.params.context
+        vectors = self.r[sequence[low - back : high]]
+        return sum(vectors[back - i : len(vectors) - i] * self.c[i - 1] for i in range(1, back + 1))
 
     def scores(self, sequence: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Normalised natural log-probabilities of the units at these places."""
+        """Normalised natural log-probabilities of the units at these places (rising, behind the first context)."""
         out = np.empty(len(at), np.float64)
-        weights = np.ascontiguousarray(self.q.T)
+        # the bias as one more component; float32 sums of a few hundred terms are good to six digits
+        weights = np.vstack([self.q.T, self.b[None, :]]).astype(np.float32)
+        ones = np.ones(self.units, np.float32)
+        longest = float(np.linalg.norm(self.q, axis=1).max())
         for k in range(0, len(at), self.params.batch):
             here = at[k : k + self.params.batch]
-            score = self.hidden(sequence, here) @ weights
-            score += self.b
-            np.clip(score, -60, 60, out=score)
+            low, high = int(here[0]), int(here[-1]) + 1
+            hidden = self.hidden(sequence, low, high)[here - low]
+            score = np.hstack([hidden, np.ones((len(here), 1), np.float32)]) @ weights
+            if longest * float(np.linalg.norm(hidden, axis=1).max()) > 60:  # far from where training ends
+                score -= score.max(axis=1, keepdims=True)
             own = score[np.arange(len(here)), sequence[here]].astype(np.float64)
-            out[k : k + len(here)] = own - np.log(np.exp(score, out=score).sum(axis=1, dtype=np.float64))
+            out[k : k + len(here)] = own - np.log((np.exp(score, out=score) @ ones).astype(np.float64))
         return out
 
     def _scatter(self, to: int, rows: np.ndarray, gradient: np.ndarray) -> None:
@@ -117,26 +125,36 @@ class Network:
         table -= self.params.rate * total / np.sqrt(seen)
 
     def learn(self, sequence: np.ndarray, at: np.ndarray, frequency: np.ndarray, rng: np.random.Generator, batch: int) -> None:
-        """Noise-contrastive steps over the tokens at these places."""
+        """Noise-contrastive steps over the tokens at these places (rising, behind the first context)."""
         p = self.params
-        log_noise = np.log(p.noise * frequency)
+        log_noise = np.log(p.noise * frequency).astype(np.float32)
         drawn = np.cumsum(frequency)
-        for k in range(0, len(at), batch):
+        for k in rng.permutation(np.arange(0, len(at), batch)):
             here = at[k : k + batch]
+            low, high = int(here[0]), int(here[-1]) + 1
             noise = np.minimum(np.searchsorted(drawn, rng.random(p.noise)), self.units - 1)
             target = sequence[here]
-            hidden = self.hidden(sequence, here)
-            true = (hidden * self.q[target]).sum(axis=1) + self.b[target] - log_noise[target]
+            hidden = self.hidden(sequence, low, high)[here - low]
+            own = self.q[target]
+            true = np.einsum("ij,ij->i", hidden, own) + self.b[target] - log_noise[target]
             false = hidden @ self.q[noise].T + self.b[noise] - log_noise[noise]
-            miss = (-1 / (1 + np.exp(np.clip(true, -40, 40)))).astype(np.float32) / len(here)
-            hit = (1 / (1 + np.exp(-np.clip(false, -40, 40)))).astype(np.float32) / len(here)
-            back = hit @ self.q[noise] + miss[:, None] * self.q[target]
+            miss = -1 / (1 + np.exp(np.clip(true, -40, 40))) / np.float32(len(here))
+            hit = 1 / (1 + np.exp(-np.clip(false, -40, 40))) / np.float32(len(here))
+            back = np.zeros((high - low + p.context, p.size), np.float32)
+            back[here - low + p.context] = hit @ self.q[noise] + miss[:, None] * own
             out_rows, out_gradient = np.concatenate([target, noise]), np.concatenate([miss[:, None] * hidden, hit.T @ hidden])
             bias = np.bincount(out_rows, np.concatenate([miss, hit.sum(axis=0)]), self.units)
-            contexts = [sequence[here - i] for i in range(1, p.context + 1)]
-            c_gradient = np.stack([(back * self.r[x]).sum(axis=0) for x in contexts])
+            # each place's part in the contexts behind it, gathered before one pass over the units
+            window = sequence[low - p.context : high]
+            vectors = self.r[window]
+            given = np.zeros_like(back)
+            c_gradient = np.empty_like(self.c)
+            for i in range(1, p.context + 1):
+                later = back[i:]
+                c_gradient[i - 1] = np.einsum("ij,ij->j", vectors[: len(later)], later)
+                given[: len(later)] += later * self.c[i - 1]
             self._scatter(1, out_rows, out_gradient)
-            self._scatter(0, np.concatenate(contexts), np.concatenate([back * c for c in self.c]))
+            self._scatter(0, window, given)
             for table, seen, g in ((self.c, self.s[2], c_gradient), (self.b, self.s[3], bias)):
                 seen += g * g
                 table -= p.rate * g / np.sqrt(seen)
@@ -169,6 +187,18 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.select("raw").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """All words above a count, at most `most`; the count comes from how many words have each count."""
+    sizes = counts.groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("c"))
+    least, total = None, 0
+    for r in sizes.toLocalIterator():
+        total += r.n
+        if total > most:
+            break
+        least = r.c
+    return counts.where(F.lit(False) if least is None else F.col("c") >= least)
+
+
 def make_units(counts: DataFrame, params: Params) -> Units:
     """Units from the counts; a bounded number of rows comes to the driver."""
     head = counts.orderBy(F.desc(F.col("word") == F.lit(END)), F.desc("c"), "word").limit(params.head).collect()
@@ -193,7 +223,7 @@ def train(texts: DataFrame, units: Units, params: Params) -> Network:
     for _ in range(params.start_rounds):
         for at in range(0, len(sample), 250):
             sequence, tokens = padded(lowered(sample[at : at + 250]), units, params.context)
-            start.learn(sequence, rng.permutation(tokens), units.frequency, rng, params.start_batch)
+            start.learn(sequence, tokens, units.frequency, rng, params.start_batch)
     begun, seen = start.values, start.seen
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +233,7 @@ def train(texts: DataFrame, units: Units, params: Params) -> Network:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 sequence, tokens = padded(lowered(batch.column("raw").slice(at, 256)), units, params.context)
-                own.learn(sequence, rng.permutation(tokens), units.frequency, rng, params.batch)
+                own.learn(sequence, tokens, units.frequency, rng, params.batch)
                 total += len(tokens)
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(own.values))), pa.array(own.values.astype(float) * total), pa.array(np.full(len(own.values), total))], names=["place", "value", "n"])
@@ -236,7 +266,7 @@ def score(documents: DataFrame, params: Params = Params(), fold: int = 1, folds:
     bottom = np.array([n + 0.5 * (v + 1) for n, v in n_classes])
     base_bottom = total + 0.5 * (distinct + 1)
 
-    top = counts.orderBy(F.desc("c"), "word").limit(params.sent).toArrow()
+    top = most_frequent(counts, params.sent).toArrow()
     sent = documents.sparkSession.sparkContext.broadcast((top.column("word").to_pylist(), top.column("c").to_numpy()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,7 +276,6 @@ def score(documents: DataFrame, params: Params = Params(), fold: int = 1, folds:
         base_log = np.append(np.log10((c + 0.5) / base_bottom), 0.0)
         inner = np.where(unit >= len(units.head), np.log10((c + 0.5) / bottom[np.maximum(0, unit - len(units.head))]), 0.0) if len(names) else np.empty(0)
         inner = np.append(inner, 0.0)
-        rare = pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int64()), ("class", pa.int64())]))
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
@@ -261,15 +290,14 @@ def score(documents: DataFrame, params: Params = Params(), fold: int = 1, folds:
                 sums += np.diff(np.concatenate(([0.0], np.cumsum(inner[found])))[cut])
                 base = np.diff(np.concatenate(([0.0], np.cumsum(base_log[found])))[cut])
                 known = np.diff(np.concatenate(([0], np.cumsum(found >= 0)))[cut])
-                doc = np.searchsorted(ends, np.arange(len(flat)), side="right")
-                tails = [Counter() for _ in lists]
-                for i in np.flatnonzero(found < 0).tolist():
-                    tails[doc[i]][flat[i]] += 1
-                held = []
-                for tail in tails:
-                    keys = list(tail)
-                    held.append([{"word": w, "tf": tail[w], "class": k} for w, k in zip(keys, (units.of(keys) - len(units.head)).tolist(), strict=True)])
-                columns = [part.column("doc_id"), part.column("held_out"), pa.array([len(x) + 1 for x in lists], pa.int64()), pa.array(known), pa.array(base), pa.array(sums), pa.array(held, rare)]
+                rare_at = np.flatnonzero(found < 0)
+                owner = np.searchsorted(ends, rare_at, side="right").tolist()
+                tails = Counter(zip(owner, [flat[i] for i in rare_at.tolist()], strict=True))
+                keys = sorted(tails)
+                classes = units.of([w for _, w in keys]) - len(units.head)
+                offsets = np.concatenate(([0], np.cumsum(np.bincount([d for d, _ in keys], minlength=len(lists)))))
+                held = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array([w for _, w in keys], pa.binary()), pa.array([tails[k] for k in keys], pa.int64()), pa.array(classes, pa.int64())], ["word", "tf", "class"]))
+                columns = [part.column("doc_id"), part.column("held_out"), pa.array([len(x) + 1 for x in lists], pa.int64()), pa.array(known), pa.array(base), pa.array(sums), held]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "known", "base", "sum", "rare"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
