@@ -163,7 +163,7 @@ def test_tiers_need_two_downgrades(spark):
 
 def test_backoff_counts_since_success(spark):
     log = spark.createDataFrame([("k", n, n, f, None) for n, f in enumerate([True, False, True, True, True])], "k string, at int, id int, failed boolean, retry_after long")
-    assert quality.failure_streaks(log, "k").first()[1:] == (3, 240)
+    assert quality.failure_streaks(log, "k").first()[1:] == (3, 1200)
 
 
 def test_month_layout_and_json_lines(spark, tmp_path):

@@ -78,4 +78,4 @@ def error_class(status: Column, body: Column) -> Column:
 
 
 def retry_after(header: Column) -> Column:
-    return F.when(F.trim(header).rlike("^[0-9]+$"), F.trim(header).try_cast("long"))
+    return F.when(header.rlike("^[0-9]+$"), header.try_cast("long"))

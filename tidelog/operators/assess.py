@@ -13,18 +13,19 @@ TIERS = ("s", "a", "b", "c")
 
 @dataclass(frozen=True)
 class Policy:
-    """Thresholds (views an hour, comments an hour, turnover) and intervals in seconds (activity window, else)."""
+    """Thresholds (views an hour, comments an hour, turnover), intervals in seconds (activity window, else),
+    and local activity windows in minutes of the day. The defaults are fixed values of the archive's policy."""
 
     thresholds: dict[str, tuple[int, int, float | None]] = field(default_factory=lambda: {"s": (6000, 60, 0.35), "a": (1200, 20, 0.20), "b": (300, 5, None)})
     intervals: dict[str, tuple[int, int]] = field(default_factory=lambda: {"s": (120, 600), "a": (600, 1800), "b": (1800, 3600), "c": (3600, 7200)})
-    windows: tuple[tuple[int, int], ...] = ((11 * 60, 14 * 60), (18 * 60, 60))
+    windows: tuple[tuple[int, int], ...] = ((11 * 60 + 30, 13 * 60 + 30), (17 * 60 + 30, 20 * 60 + 30), (21 * 60 + 30, 30))
     zone: str = "Asia/Shanghai"
-    official_s_seconds: int = 24 * 3600
+    official_s_seconds: int = 6 * 3600
     confirmations: int = 2
     dormant_seconds: int = 7 * 86_400
     archive_seconds: int = 30 * 86_400
     checkpoint_hours: tuple[int, ...] = (6, 12, 18, 24)
-    checkpoint_late_seconds: int = 1800
+    checkpoint_late_seconds: int = 3600
 
 
 def desired_tier(p: Policy) -> Column:
@@ -157,7 +158,10 @@ def routine_slots(slots: DataFrame, taken: DataFrame) -> DataFrame:
     return slots.join(taken.select("bvid", "bucket"), ["bvid", "bucket"], "left_anti")
 
 
-ACTIVE, MISSED = ("running", "retry"), ("missed_due_to_capacity", "missed_due_to_service_gap", "missed")
+#: Fixed groups of component statuses.
+ACTIVE = ("running", "joined_active_task")
+MISSED = ("missed_due_to_capacity", "missed_due_to_service_gap")
+STARTED = ("running", "complete", "partial", "joined_active_task", "failed", "corrupted")
 
 
 def cohort_status(components: DataFrame, key: str = "cohort") -> DataFrame:
@@ -166,7 +170,7 @@ def cohort_status(components: DataFrame, key: str = "cohort") -> DataFrame:
     s = F.col("status")
     usable = s != "not_applicable"
     g = r.groupBy(key).agg(
-        F.bool_or(s == "corrupted").alias("corrupted"), F.bool_or(s.isin(*ACTIVE)).alias("active"), F.bool_and(s == "pending").alias("all_pending"), F.bool_and(~usable).alias("none"), F.bool_or("started").alias("started"),
+        F.bool_or(s == "corrupted").alias("corrupted"), F.bool_or(s.isin(*ACTIVE)).alias("active"), F.bool_and(s == "pending").alias("all_pending"), F.bool_and(~usable).alias("none"), F.bool_or(F.col("started") | s.isin(*STARTED)).alias("started"),
         F.bool_and((s == "blocked") | ~usable).alias("all_blocked"), F.bool_or(s.isin(*MISSED)).alias("missed"), F.bool_and(s.isin("complete", "not_applicable")).alias("complete"), F.bool_or(s == "pending").alias("pending"), F.bool_and(s.isin("pending", "blocked", "not_applicable")).alias("waiting"),
     )
     c = F.col

@@ -66,35 +66,43 @@ def video_metrics(payloads: DataFrame) -> DataFrame:
 
 
 def video_info(payloads: DataFrame) -> DataFrame:
-    """Title, description, owner and the ordered, distinct tag names with their source fields."""
+    """Title, description, owner, and the ordered, distinct tag names with the fields that gave new ones."""
     text = lambda path: F.get_json_object("body", f"$.data.{path}")
     none = F.array().cast("array<string>")
+    name = lambda x: F.coalesce(*(blank_to_null(F.get_json_object(x, f"$.{k}")) for k in ("tag_name", "name", "title")))
 
-    def names(field: str) -> Column:
-        items = F.from_json(text(field), "ARRAY<STRING>")
-        listed = F.transform(items, lambda x: F.when(F.ltrim(x).startswith("{"), F.coalesce(F.get_json_object(x, "$.tag_name"), F.get_json_object(x, "$.name"))).otherwise(x))
-        one = F.when(F.ltrim(text(field)).startswith("["), listed).otherwise(F.split(text(field), ","))
-        return F.coalesce(F.filter(F.transform(one, lambda x: F.trim(x)), lambda x: x != ""), none)
+    def listed(field: str) -> Column:
+        items = F.when(F.ltrim(text(field)).startswith("["), F.from_json(text(field), "ARRAY<STRING>"))
+        names = F.transform(items, lambda x: F.trim(F.when(F.ltrim(x).startswith("{"), name(x)).otherwise(x)))
+        return F.coalesce(F.array_distinct(F.filter(names, lambda x: x != "")), none)
 
-    fields = ("tag", "tags", "tname")
-    all_names = F.array_distinct(F.concat(*(names(f) for f in fields)))
-    used = F.filter(F.array(*(F.when(F.size(names(f)) > 0, f) for f in fields)), lambda x: x.isNotNull())
-    return payloads.select("bvid", "captured_at", text("title").alias("title"), text("desc").alias("description"), safe_long(text("owner.mid")).alias("owner_mid"), text("owner.name").alias("owner_name"), F.struct(all_names.alias("names"), used.alias("source_fields")).alias("tags"), "raw_payload_id")
+    kind = F.trim(text("tname"))
+    given = {"tag": listed("tag"), "tags": listed("tags"), "tname": F.when(kind != "", F.array(kind)).otherwise(none)}
+    names, used = none, []
+    for field, found in given.items():
+        new = F.array_except(found, names)
+        used.append(F.when(F.size(new) > 0, F.lit(field)))
+        names = F.concat(names, new)
+    fields = F.filter(F.array(*used), lambda x: x.isNotNull())
+    return payloads.select("bvid", "captured_at", text("title").alias("title"), text("desc").alias("description"), safe_long(text("owner.mid")).alias("owner_mid"), text("owner.name").alias("owner_name"), F.struct(names.alias("names"), fields.alias("source_fields")).alias("tags"), "raw_payload_id")
+
+
+#: Fixed words of messages, in order of precedence.
+UNAVAILABLE = {"permission_denied": (-403, "权限|无权|forbid"), "deleted": (-404, "不存在|删除|not found"), "invisible": (None, "不可见|隐藏|审核|下架")}
 
 
 def video_availability(payloads: DataFrame) -> DataFrame:
-    """visible, permission_denied, deleted, invisible or unknown_error from code and message."""
+    """visible (code 0 or none, with a bvid in data), permission_denied, deleted, invisible or unknown_error."""
     code, message = safe_long(F.get_json_object("body", "$.code")), F.lower(F.coalesce(F.get_json_object("body", "$.message"), F.lit("")))
-    status = (
-        F.when(F.coalesce(code, F.lit(0)) == 0, "visible").when((code == -403) | message.rlike("permission|权限"), "permission_denied")
-        .when((code == -404) | message.rlike("deleted|not found|删除|不存在"), "deleted").when((code == 62002) | message.rlike("invisible|不可见"), "invisible").otherwise("unknown_error")
-    )
-    return payloads.select("bvid", "captured_at", status.alias("status"), code.alias("code"), "raw_payload_id")
+    status = F.when((F.coalesce(code, F.lit(0)) == 0) & (F.coalesce(F.get_json_object("body", "$.data.bvid"), F.lit("")) != ""), "visible")
+    for name, (own, words) in UNAVAILABLE.items():
+        status = status.when((F.lit(False) if own is None else F.coalesce(code == own, F.lit(False))) | message.rlike(words), name)
+    return payloads.select("bvid", "captured_at", status.otherwise("unknown_error").alias("status"), code.alias("code"), "raw_payload_id")
 
 
 def user_videos(payloads: DataFrame) -> DataFrame:
     """bvid and publish time of listed videos; rows without either are left out."""
     items = F.coalesce(F.from_json(F.get_json_object("body", "$.data.list.vlist"), "ARRAY<STRING>"), F.array().cast("array<string>"))
     each = payloads.select("source_mid", "captured_at", F.explode(items).alias("v"))
-    out = each.select("source_mid", "captured_at", blank_to_null(F.get_json_object("v", "$.bvid")).alias("bvid"), epoch_time(F.coalesce(safe_long(F.get_json_object("v", "$.created")), safe_long(F.get_json_object("v", "$.pubdate")))).alias("pubdate"))
+    out = each.select("source_mid", "captured_at", blank_to_null(F.get_json_object("v", "$.bvid")).alias("bvid"), F.timestamp_seconds(F.coalesce(safe_long(F.get_json_object("v", "$.created"), True), safe_long(F.get_json_object("v", "$.pubdate")))).alias("pubdate"))
     return out.where("bvid is not null and pubdate is not null")

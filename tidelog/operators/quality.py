@@ -48,7 +48,7 @@ def alert_transitions(state: DataFrame, drafts: DataFrame, now: Column, repeat_s
     return j.select("alert_key", action.alias("action"), on.alias("active"), (F.coalesce("occurrences", F.lit(0)) + F.when(on, 1).otherwise(0)).alias("occurrences"), F.when(action.isin("triggered", "repeated"), now).otherwise(F.col("notified_at")).alias("notified_at"))
 
 
-def failure_streaks(log: DataFrame, key: str, base_seconds: int = 60, most_seconds: int = 3600) -> DataFrame:
+def failure_streaks(log: DataFrame, key: str, base_seconds: int = 300, most_seconds: int = 3600) -> DataFrame:
     """Failures since the last success of each key, and the wait that they ask for. log: key, at, id, failed, retry_after."""
     w = Window.partitionBy(key).orderBy("at", "id")
     g = log.withColumn("island", F.sum(F.when(F.col("failed"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))

@@ -68,11 +68,11 @@ GROWTH = f"""g AS (SELECT bvid, arg_max(view_count, us) AS last, max(us) AS last
  growth AS (SELECT bvid, CASE WHEN coalesce(base_at, first_at) <> last_at THEN greatest(last - coalesce(base, first), 0) END AS view_growth FROM g)"""
 ASSESSED = f"""{METRICS}, {GROWTH}, seen_first AS (SELECT bvid, min(us) AS first_us FROM metrics GROUP BY bvid),
  a AS (SELECT f.bvid, first_us, first_us // 1000000 AS anchor, {NOW} - first_us // 1000000 AS age, view_growth AS v, CAST(substring(f.bvid, 2) AS BIGINT) AS n FROM seen_first f LEFT JOIN growth USING (bvid)),
- tiered AS (SELECT *, CASE WHEN n = 3 AND age >= 0 AND age < 86400 THEN 's' WHEN n = 7 THEN 's' WHEN n = 9 THEN 'b' WHEN v >= 6000 OR n * 4 >= 60 OR (n % 2 = 0 AND n / 40 >= 0.35) THEN 's' WHEN v >= 1200 OR n * 4 >= 20 OR (n % 2 = 0 AND n / 40 >= 0.2) THEN 'a' WHEN v >= 300 OR n * 4 >= 5 THEN 'b' ELSE 'c' END AS desired FROM a)"""
+ tiered AS (SELECT *, CASE WHEN n = 3 AND age >= 0 AND age < 21600 THEN 's' WHEN n = 7 THEN 's' WHEN n = 9 THEN 'b' WHEN v >= 6000 OR n * 4 >= 60 OR (n % 2 = 0 AND n / 40 >= 0.35) THEN 's' WHEN v >= 1200 OR n * 4 >= 20 OR (n % 2 = 0 AND n / 40 >= 0.2) THEN 'a' WHEN v >= 300 OR n * 4 >= 5 THEN 'b' ELSE 'c' END AS desired FROM a)"""
 RANK = "(CASE {0} WHEN 's' THEN 1 WHEN 'a' THEN 2 WHEN 'b' THEN 3 ELSE 4 END)"
 AGE_STEP = "CASE WHEN {age} < 1800 THEN 60 WHEN {age} < 21600 THEN 300 WHEN coalesce(v, 0) > 30000 THEN 300 WHEN coalesce(v, 0) > 6000 THEN 900 WHEN coalesce(v, 0) > 1200 THEN 1800 ELSE 7200 END"
 SLOTS = f"""{ASSESSED}, slots AS (SELECT bvid, {NOW} - n * 7200 AS anchor, {NOW} - n * 3600 AS discovered, CAST(h AS BIGINT) AS hours, {NOW} - n * 7200 + h * 3600 AS due FROM a CROSS JOIN (SELECT unnest([6, 12, 18, 24]) AS h)),
- states AS (SELECT *, CASE WHEN discovered > due + 1800 THEN 'not_applicable' WHEN {NOW} <= due + 1800 THEN 'planned' ELSE 'missed' END AS state FROM slots)"""
+ states AS (SELECT *, CASE WHEN discovered > due + 3600 THEN 'not_applicable' WHEN {NOW} <= due + 3600 THEN 'planned' ELSE 'missed' END AS state FROM slots)"""
 EXACT = f"{ALNUM}, pairs AS (SELECT a.rpid AS left_rpid, b.rpid AS right_rpid, a.bvid AS left_bvid, b.bvid AS right_bvid, 1.0::DOUBLE AS similarity, b.s - a.s AS seconds_apart FROM f a JOIN f b ON a.key = b.key AND a.rpid < b.rpid AND a.bvid <> b.bvid AND b.s - a.s <= 86400 WHERE a.n_chars <= 500 AND b.n_chars <= 500 AND length(a.key) >= 4)"
 LEX = "lex AS (SELECT * FROM (VALUES ('support', 'the'), ('support', 'und'), ('support', 'que'), ('criticism', 'idiot'), ('criticism', 'trash'), ('neutral', 'for'), ('neutral', 'de la')) t(category, term))"
 
@@ -112,7 +112,7 @@ ORACLES = {
     "duplicate_display": f"WITH {PAGES} SELECT page_id, rpid, count(*) AS shown, string_agg(id, ',' ORDER BY id) AS observation_ids FROM on_page GROUP BY ALL HAVING count(*) > 1",
     "same_author_pairs": f"WITH {SAME} SELECT * FROM same",
     "template_candidates": f"WITH {EXACT} SELECT * FROM pairs",
-    "comment_flags": f"""WITH {PAGES}, {SAME.replace("docs AS", "docs AS", 1)}, shown AS (SELECT page_id, rpid FROM on_page GROUP BY ALL HAVING count(*) > 1), d AS (SELECT 'same_author_duplicate_text' AS flag_type, subject_rpid, related_rpid, CAST(NULL AS VARCHAR) AS evidence_scope FROM same UNION ALL SELECT 'duplicate_display', rpid, NULL, page_id FROM shown)
+    "comment_flags": f"""WITH {PAGES}, {SAME.replace("docs AS", "docs AS", 1)}, shown AS (SELECT page_id, rpid FROM on_page GROUP BY ALL HAVING count(*) > 1), d AS (SELECT 'same_user_duplicate_submission' AS flag_type, subject_rpid, related_rpid, CAST(NULL AS VARCHAR) AS evidence_scope FROM same UNION ALL SELECT 'same_rpid_duplicate_display', rpid, NULL, page_id FROM shown)
  SELECT CAST(1 AS BIGINT) AS event_id, flag_type, subject_rpid, related_rpid, evidence_scope, sha256('{{"algorithm_version":"1","event_id":1,"evidence_scope":' || coalesce('"' || evidence_scope || '"', 'null') || ',"flag_type":"' || flag_type || '","related_rpid":' || coalesce(CAST(related_rpid AS VARCHAR), 'null') || ',"subject_rpid":' || subject_rpid || '}}') AS stable_key FROM d""",
     "propagation_nodes": f"""WITH {SAME}, own AS (SELECT author_mid, count(*) AS comments, count(DISTINCT bvid) AS videos, count(*) FILTER (rpid % 3 = 0 AND rpid <> 1) AS replies FROM docs GROUP BY ALL), o AS (SELECT author_mid, count(*) AS origins FROM same GROUP BY ALL), p AS (SELECT own.*, coalesce(origins, 0) AS origins, coalesce(origins, 0) AS amplified, CASE WHEN author_mid = 4 THEN 1.0 ELSE 0.0 END AS official FROM own LEFT JOIN o USING (author_mid)),
  m AS (SELECT max(videos) AS mv, max(replies) AS mr, max(origins) AS mo FROM p), s AS (SELECT p.*, coalesce(origins / nullif(mo, 0), 0) AS originator, coalesce(amplified / nullif(mo, 0), 0) AS amplifier, CASE WHEN mv > 1 THEN (videos - 1) / (mv - 1) ELSE 0 END AS bridge, coalesce(replies / nullif(mr, 0), 0) AS responder FROM p, m)
@@ -134,7 +134,7 @@ ORACLES = {
     "queue_depth": "SELECT CASE o_orderstatus WHEN 'O' THEN 'pending' WHEN 'F' THEN 'succeeded' ELSE 'running' END AS status, o_orderpriority AS kind, count(*) AS tasks, CAST(greatest(DATE '1998-12-31' - CAST(min(o_orderdate) AS DATE), 0) AS BIGINT) AS oldest_days FROM orders GROUP BY ALL",
     "core_videos": f"WITH {METRICS}, {VIDEOS}, l AS (SELECT * FROM metrics WHERE us < {NOW}000000 QUALIFY row_number() OVER (PARTITION BY bvid ORDER BY us DESC, raw_payload_id DESC) = 1) SELECT bvid, active, view_count, like_count, raw_payload_id, us AS captured_at FROM videos LEFT JOIN l USING (bvid)",
     "failure_streak": f"""WITH {OBS}, g AS (SELECT bvid, us, id, event_type <> 'view' AS failed, CASE WHEN reply_count < 20 THEN reply_count END AS retry, sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) OVER (PARTITION BY bvid ORDER BY us, id ROWS UNBOUNDED PRECEDING) AS island FROM obs), i AS (SELECT bvid, island, count(*) FILTER (failed) AS streak FROM g GROUP BY ALL), l AS (SELECT bvid, streak, island FROM i QUALIFY row_number() OVER (PARTITION BY bvid ORDER BY island DESC) = 1),
- r AS (SELECT g.bvid, retry FROM g JOIN l ON g.bvid = l.bvid AND g.island = l.island QUALIFY row_number() OVER (PARTITION BY g.bvid ORDER BY us DESC, id DESC) = 1) SELECT l.bvid, streak, CASE WHEN streak > 0 THEN CAST(least(coalesce(retry, 60) * pow(2, least(streak - 1, 5)), 3600) AS BIGINT) ELSE 0 END AS backoff_seconds FROM l LEFT JOIN r USING (bvid)""",
+ r AS (SELECT g.bvid, retry FROM g JOIN l ON g.bvid = l.bvid AND g.island = l.island QUALIFY row_number() OVER (PARTITION BY g.bvid ORDER BY us DESC, id DESC) = 1) SELECT l.bvid, streak, CASE WHEN streak > 0 THEN CAST(least(coalesce(retry, 300) * pow(2, least(streak - 1, 5)), 3600) AS BIGINT) ELSE 0 END AS backoff_seconds FROM l LEFT JOIN r USING (bvid)""",
     "alert_transitions": f"""WITH {COVERAGE}, d AS (SELECT task_kind AS alert_key, sum(request_errors) / sum(pages_requested) >= 0.155 AS t FROM cover GROUP BY ALL), s AS (SELECT DISTINCT o_orderpriority AS alert_key, CAST(substring(o_orderpriority, 1, 1) AS BIGINT) AS n FROM orders), j AS (SELECT alert_key, n % 2 = 1 AS was, n AS occ, 1000 * n AS told, coalesce(t, false) AS t FROM s LEFT JOIN d USING (alert_key)),
  x AS (SELECT *, CASE WHEN t AND NOT was THEN 'triggered' WHEN t AND was AND 6000 - told >= 3600 THEN 'repeated' WHEN NOT t AND was THEN 'resolved' ELSE 'none' END AS action FROM j) SELECT alert_key, action, t AS active, occ + CASE WHEN t THEN 1 ELSE 0 END AS occurrences, CASE WHEN action IN ('triggered', 'repeated') THEN 6000 ELSE told END AS notified_at FROM x""",
     "signature_edges": f"WITH {SIGNS} SELECT a, b, distance, greatest(1 - distance / 64, 0)::DOUBLE AS confidence FROM edges",
@@ -150,8 +150,8 @@ ORACLES = {
     "checkpoint_slots": f"WITH {SLOTS} SELECT bvid, anchor, discovered, hours, due, state FROM states",
     "recovery_slots": f"WITH {SLOTS} SELECT bvid, max(hours) AS hours, count(*) AS coalesced FROM states WHERE state = 'missed' GROUP BY bvid",
     "schedule_gaps": f"WITH {ASSESSED}, x AS (SELECT bvid, anchor + n * 86400 AS due, n * 600 + 60 AS step FROM a) SELECT bvid, due AS gap_from, CAST({NOW} AS BIGINT) AS gap_until, ({NOW} - due) // step AS missed FROM x WHERE {NOW} - due >= step",
-    "cohort_status": f"""WITH {OBS}, c AS (SELECT rpid AS cohort, list_element(['pending', 'complete', 'blocked', 'not_applicable', 'missed', 'complete', 'running', 'corrupted'], CASE WHEN rpid % 11 = 0 THEN reply_count % 8 + 1 WHEN rpid % 3 = 0 THEN 2 ELSE rpid % 5 + 1 END) AS s, reply_count > 50 AS started FROM obs WHERE reply_count > 10),
- g AS (SELECT cohort, bool_or(s = 'corrupted') AS cor, bool_or(s = 'running') AS act, bool_and(s = 'pending') AS allp, bool_and(s = 'not_applicable') AS nothing, bool_or(started) AS st, bool_and(s IN ('blocked', 'not_applicable')) AS allb, bool_or(s = 'missed') AS mis, bool_and(s IN ('complete', 'not_applicable')) AS comp, bool_or(s = 'pending') AS pend, bool_and(s IN ('pending', 'blocked', 'not_applicable')) AS wait FROM c GROUP BY cohort)
+    "cohort_status": f"""WITH {OBS}, c AS (SELECT rpid AS cohort, list_element(['pending', 'complete', 'blocked', 'not_applicable', 'missed_due_to_capacity', 'complete', 'running', 'corrupted'], CASE WHEN rpid % 11 = 0 THEN reply_count % 8 + 1 WHEN rpid % 3 = 0 THEN 2 ELSE rpid % 5 + 1 END) AS s, reply_count > 50 AS started FROM obs WHERE reply_count > 10),
+ g AS (SELECT cohort, bool_or(s = 'corrupted') AS cor, bool_or(s = 'running') AS act, bool_and(s = 'pending') AS allp, bool_and(s = 'not_applicable') AS nothing, bool_or(started OR s IN ('running', 'complete', 'corrupted')) AS st, bool_and(s IN ('blocked', 'not_applicable')) AS allb, bool_or(s = 'missed_due_to_capacity') AS mis, bool_and(s IN ('complete', 'not_applicable')) AS comp, bool_or(s = 'pending') AS pend, bool_and(s IN ('pending', 'blocked', 'not_applicable')) AS wait FROM c GROUP BY cohort)
  SELECT cohort, CASE WHEN cor THEN 'corrupted' WHEN act THEN 'running' WHEN allp THEN 'planned' WHEN nothing THEN 'not_applicable' WHEN NOT st AND allb THEN 'blocked' WHEN NOT st AND mis THEN 'missed' WHEN comp THEN 'complete' WHEN st AND pend THEN 'running' WHEN NOT st AND wait THEN 'planned' ELSE 'partial' END AS status FROM g""",
     "due_list": f"WITH {ASSESSED}, x AS (SELECT bvid, anchor, {NOW} - n * 900 AS last, v FROM a WHERE n % 5 <> 0), y AS (SELECT *, {AGE_STEP.format(age='greatest(last - anchor, 0)')} AS step FROM x), z AS (SELECT bvid, CAST(CASE WHEN last < anchor THEN anchor ELSE anchor + ((last - anchor) // step + 1) * step END AS BIGINT) AS due FROM y) SELECT * FROM z WHERE due <= {NOW}",
     "terminal_list": f"WITH {ASSESSED} SELECT bvid, '2024-01-20' AS date FROM a WHERE n % 5 <> 0 AND bvid <> 'v1' AND first_us <= epoch_us(TIMESTAMP '2024-01-20 14:00:00')",
@@ -168,7 +168,7 @@ ORACLES = {
     "event_video_log": f"WITH {SIGHT} SELECT CAST(1 AS BIGINT) AS event_id, bvid, min(us) AS first_seen_at, max(us) AS last_seen_at, true AS active FROM sight GROUP BY bvid",
     "active_event_videos": "SELECT CAST(n_nationkey AS BIGINT) AS source_target_id, CAST(c_custkey AS BIGINT) AS bvid, n_regionkey <> 2 AS active FROM customer JOIN nation ON c_nationkey = n_nationkey",
     "metric_flatten": f"WITH {METRICS} SELECT bvid, raw_payload_id, view_count, like_count, coin_count, CAST(NULL AS BIGINT) AS share_count FROM metrics",
-    "info_flatten": f"WITH {METRICS} SELECT raw_payload_id, 't' || raw_payload_id AS title, owner_mid, 'x,y' AS tag_names, 'tag,tname' AS tag_fields FROM metrics",
+    "info_flatten": f"WITH {METRICS} SELECT raw_payload_id, 't' || raw_payload_id AS title, owner_mid, 'x,y' AS tag_names, 'tag' AS tag_fields FROM metrics",
     "availability_flatten": f"WITH {METRICS} SELECT raw_payload_id, status, CAST(CASE WHEN status = 'deleted' THEN -404 ELSE 0 END AS BIGINT) AS code FROM metrics",
     "request_errors": "SELECT CASE substring(o_orderpriority, 1, 1) WHEN '1' THEN 'forbidden' WHEN '2' THEN 'rate_limited' WHEN '3' THEN 'captcha' WHEN '4' THEN 'server_error' END AS kind, count(*) AS requests FROM orders GROUP BY 1",
     "run_summary": "SELECT CAST(o_orderkey % 10 AS BIGINT) AS run_id, count(*) AS started, count(*) FILTER (o_orderstatus = 'F') AS succeeded, count(*) FILTER (o_orderstatus NOT IN ('O', 'F')) AS failed FROM orders GROUP BY 1",

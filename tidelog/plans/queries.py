@@ -205,9 +205,9 @@ def template_candidates_fuzzy(spark, sf_dir):
 
 @query
 def comment_flags(spark, sf_dir):
-    same = event.same_author_texts(b.comments(spark, sf_dir)).select(F.lit(1).alias("event_id"), F.lit("same_author_duplicate_text").alias("flag_type"), "subject_rpid", "related_rpid", F.lit(None).cast("string").alias("evidence_scope"))
+    same = event.same_author_texts(b.comments(spark, sf_dir)).select(F.lit(1).alias("event_id"), F.lit("same_user_duplicate_submission").alias("flag_type"), "subject_rpid", "related_rpid", F.lit(None).cast("string").alias("evidence_scope"))
     _, on_page = b.hot_pages(b.observations(spark, sf_dir))
-    shown = event.duplicate_display(on_page).select(F.lit(1).alias("event_id"), F.lit("duplicate_display").alias("flag_type"), F.col("rpid").alias("subject_rpid"), F.lit(None).cast("long").alias("related_rpid"), F.col("page_id").alias("evidence_scope"))
+    shown = event.duplicate_display(on_page).select(F.lit(1).alias("event_id"), F.lit("same_rpid_duplicate_display").alias("flag_type"), F.col("rpid").alias("subject_rpid"), F.lit(None).cast("long").alias("related_rpid"), F.col("page_id").alias("evidence_scope"))
     return event.keyed_flags(same.unionByName(shown))
 
 
@@ -410,7 +410,7 @@ def schedule_gaps(spark, sf_dir):
 @query
 def cohort_status(spark, sf_dir):
     o = b.observations(spark, sf_dir)
-    status = F.element_at(F.array(*(F.lit(s) for s in ("pending", "complete", "blocked", "not_applicable", "missed", "complete", "running", "corrupted"))), F.when(F.col("rpid") % 11 == 0, F.col("reply_count") % 8 + 1).when(F.col("rpid") % 3 == 0, 2).otherwise(F.col("rpid") % 5 + 1).cast("int"))
+    status = F.element_at(F.array(*(F.lit(s) for s in ("pending", "complete", "blocked", "not_applicable", "missed_due_to_capacity", "complete", "running", "corrupted"))), F.when(F.col("rpid") % 11 == 0, F.col("reply_count") % 8 + 1).when(F.col("rpid") % 3 == 0, 2).otherwise(F.col("rpid") % 5 + 1).cast("int"))
     return assess.cohort_status(o.select(F.col("rpid").alias("cohort"), status.alias("status"), (F.col("reply_count") > 50).alias("started"), (F.col("reply_count") > 10).alias("required")))
 
 
@@ -520,7 +520,7 @@ def active_event_videos(spark, sf_dir):
 
 def metric_payloads(spark, sf_dir):
     m = b.metrics(spark, sf_dir)
-    body = F.to_json(F.struct(F.when(F.col("status") == "deleted", -404).otherwise(0).alias("code"), F.struct(F.struct(F.col("view_count").alias("view"), F.col("like_count").alias("like"), F.col("coin_count").alias("coin")).alias("stat"), F.concat(F.lit("t"), F.col("raw_payload_id")).alias("title"), F.struct(F.col("owner_mid").alias("mid")).alias("owner"), F.lit("x,y,x").alias("tag"), F.lit("y").alias("tname")).alias("data")))
+    body = F.to_json(F.struct(F.when(F.col("status") == "deleted", -404).otherwise(0).alias("code"), F.struct(F.struct(F.col("view_count").alias("view"), F.col("like_count").alias("like"), F.col("coin_count").alias("coin")).alias("stat"), F.concat(F.lit("t"), F.col("raw_payload_id")).alias("title"), F.struct(F.col("owner_mid").alias("mid")).alias("owner"), F.col("bvid"), F.array(F.lit("x"), F.lit(" y "), F.lit("x")).alias("tag"), F.lit("y").alias("tname")).alias("data")))
     return m.select("bvid", "captured_at", "raw_payload_id", body.alias("body"))
 
 
