@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tidelog.llm.tokens import RankMerger, pieces, ragged, steps, vocabulary_path
 
 #: Pieces whose ids a worker holds; characters encoded, and tokens packed, at a time.
-CACHED, TEXT_STEP, TOKEN_STEP = 700_000, 2_000_000, 1_500_000
+CACHED, TEXT_STEP, TOKEN_STEP = 450_000, 2_000_000, 1_000_000
 SENTENCE_ENDS = frozenset(".!?…。！？")
 END = "  "
 COLUMNS = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 #: Pre-tokens of the byte-level scheme (fixed by the public vocabulary file's format).
 PRE_TOKENS = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces whose counts a worker holds, and characters that it counts at a time.
-CACHED, TEXT_STEP = 1_000_000, 4_000_000
+CACHED, TEXT_STEP = 600_000, 2_000_000
 
 
 #: Marks in the map of pieces: not seen yet, and blank at an end, so that its text is taken whole.

@@ -146,7 +146,7 @@ def word_score(text: Column, model: Ordinal) -> Column:
                     if known[w]:
                         counts.update(f for f in features(w) if f in by_feature)
                 out.append(sum(by_feature[f] * float(np.log1p(c)) for f, c in sorted(counts.items())))
-                if len(known) > 1_000_000:
+                if len(known) > 150_000:
                     known.clear()
             yield pa.array(out, pa.float64())
 
