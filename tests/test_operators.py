@@ -1,6 +1,7 @@
 """Literal cases and properties of operators."""
 
 import difflib
+import itertools
 import json
 import random
 from datetime import UTC, datetime, timedelta
@@ -8,6 +9,7 @@ from datetime import UTC, datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from tidelog.catalog import QUERIES
 from tidelog.functions import values, windows
 from tidelog.functions.text import fold_text, seq_ratio
 from tidelog.operators import assess, derive, event, flatten, graph, quality, video
@@ -84,6 +86,31 @@ def test_templates_match_a_plain_loop(spark):
     assert got == want and want
 
 
+def test_templates_of_long_texts(spark, tmp_path):
+    """Whole queries on documents of more than 500 characters, and of unknown length, against a plain loop."""
+    random.seed(7)
+    words = [["".join(random.choice("etaoinshrdlucmfwyp") for _ in range(random.randint(2, 8))) for _ in range(n)] for n in (150, 150, 300)]
+    rows = []
+    for n in range(16):
+        t = list(random.choice(words))
+        for _ in range(random.choice((0, 0, 6, 40))):
+            t[random.randrange(len(t))] = "other"
+        rows.append((n, random.choice("ABC"), " ".join(t), None if n % 4 == 0 else len(" ".join(t))))
+    spark.createDataFrame(rows, "doc_id long, source string, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for (i, s, a, _), (j, r, b, _) in itertools.combinations(rows, 2):
+        x, y = (t.replace(" ", "") for t in (a, b))
+        ratio = difflib.SequenceMatcher(None, x, y, autojunk=False).ratio() if s != r else 0
+        if ratio >= 0.85:
+            want[i, j] = round(ratio, 6)
+    equal = {k for k, v in want.items() if v == 1}
+    assert 0 < len(equal) < len(want)
+    got = QUERIES["template_candidates_fuzzy"](spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and {(r.left_rpid, r.right_rpid): r.similarity for r in got} == want
+    assert {(r.left_rpid, r.right_rpid) for r in QUERIES["template_candidates"](spark, str(tmp_path)).collect()} == equal
+    assert {r.rpid for r in QUERIES["template_clusters"](spark, str(tmp_path)).collect()} == {x for k in equal for x in k}
+
+
 def test_signature_edges_lose_nothing(spark):
     random.seed(4)
     sig = []

@@ -7,10 +7,16 @@ from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Classes of code points that letters are counted in.
+LETTERS = 32
+#: Products of lengths up to which difflib itself matches.
+SMALL = 250_000
+
 
 def _alnum(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKC", text).casefold() if c.isalnum())
@@ -37,10 +43,28 @@ def fold_text(text: Column, mode: str) -> Column:
     return run(text)
 
 
+def letter_counts(text: Column) -> Column:
+    """How many of a text's characters fall in each of LETTERS classes of code points."""
+
+    @F.arrow_udf("array<int>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            counts = [None if t is None else np.bincount(np.frombuffer(t.encode("utf-32-le"), np.uint32) % LETTERS, minlength=LETTERS).tolist() for t in batch.to_pylist()]
+            yield pa.array(counts, pa.list_(pa.int32()))
+
+    return run(text)
+
+
+def shared_letters(left: Column, right: Column) -> Column:
+    """An upper bound of the characters that two texts can have in common, from their letter_counts."""
+    return F.aggregate(F.zip_with(left, right, lambda x, y: F.least(x, y)), F.lit(0), lambda a, x: a + x)
+
+
 def seq_ratio(left: Column, right: Column, least: float = 0.0) -> Column:
     """Ratio of matching blocks (argument order counts), rounded to 6; null below `least` or for a null.
 
-    Equal texts are 1. Length and letter counts bound the ratio from above, so most pairs end early.
+    Equal texts are 1. Length, letter counts and the longest common subsequence bound the ratio from
+    above, so most pairs end early.
     """
 
     @F.arrow_udf("double")
@@ -59,5 +83,88 @@ def _ratio(a: str | None, b: str | None, least: float) -> float | None:
     both = len(a) + len(b)
     if 2 * min(len(a), len(b)) < least * both or 2 * sum((Counter(a) & Counter(b)).values()) < least * both:
         return None
-    ratio = SequenceMatcher(None, a, b, autojunk=False).ratio()
+    if len(a) * len(b) > SMALL and not _subsequence_reaches(a, b, least * both / 2):
+        return None
+    ratio = 2.0 * _matched(a, b) / both
     return round(ratio, 6) if ratio >= least else None
+
+
+def _subsequence_reaches(a: str, b: str, wanted: float) -> bool:
+    """Whether the longest common subsequence, which no matching blocks exceed, has `wanted` characters; bit-parallel."""
+    places: dict[str, int] = {}
+    digits: dict[str, bytearray] = {}
+    for i, c in enumerate(a):
+        if c not in digits:
+            digits[c] = bytearray(len(a) // 8 + 1)
+        digits[c][i >> 3] |= 1 << (i & 7)
+    for c, d in digits.items():
+        places[c] = int.from_bytes(d, "little")
+    full = (1 << len(a)) - 1
+    open_ = full  # zeros are the ends of common subsequences
+    for n, c in enumerate(b, 1):
+        here = open_ & places.get(c, 0)
+        if here:
+            open_ = ((open_ + here) | (open_ - here)) & full
+        if n % 256 == 0 and len(a) - open_.bit_count() + len(b) - n < wanted:
+            return False
+    return len(a) - open_.bit_count() >= wanted
+
+
+def _matched(a: str, b: str) -> int:
+    """Characters in SequenceMatcher's matching blocks; long texts by automata, in nearly linear time a level."""
+    total, left = 0, [(a, b)]
+    while left:
+        a, b = left.pop()
+        if len(a) * len(b) <= SMALL:
+            total += sum(m.size for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
+            continue
+        i, j, size = _longest_match(a, b)
+        if size:
+            total += size
+            left += [(a[:i], b[:j]), (a[i + size :], b[j + size :])]
+    return total
+
+
+def _longest_match(a: str, b: str) -> tuple[int, int, int]:
+    """The longest common substring, the first in a and then the first in b, by a suffix automaton of b."""
+    steps: list[dict[str, int]] = [{}]
+    length, link, first = [0], [-1], [0]
+    last = 0
+    for n, c in enumerate(b, 1):
+        now = len(length)
+        steps.append({})
+        length.append(n)
+        first.append(n)
+        link.append(0)
+        p = last
+        while p >= 0 and c not in steps[p]:
+            steps[p][c] = now
+            p = link[p]
+        if p >= 0:
+            q = steps[p][c]
+            if length[q] == length[p] + 1:
+                link[now] = q
+            else:
+                copy = len(length)
+                steps.append(dict(steps[q]))
+                length.append(length[p] + 1)
+                first.append(first[q])
+                link.append(link[q])
+                while p >= 0 and steps[p].get(c) == q:
+                    steps[p][c] = copy
+                    p = link[p]
+                link[q] = link[now] = copy
+        last = now
+    best, state, size = (0, 0, 0), 0, 0
+    for n, c in enumerate(a, 1):
+        while state and c not in steps[state]:
+            state = link[state]
+            size = length[state]
+        if c in steps[state]:
+            state = steps[state][c]
+            size += 1
+        else:
+            size = 0
+        if size > best[2]:
+            best = (n - size, first[state] - size, size)
+    return best

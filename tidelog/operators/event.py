@@ -7,10 +7,11 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.functions.text import fold_text, seq_ratio
+from tidelog.functions.text import fold_text, letter_counts, seq_ratio, shared_letters
 from tidelog.functions.values import quoted, ratio, stable_key
 from tidelog.functions.windows import band_join, bucket, check_range, check_window, grid, within
 from tidelog.operators.components import components
+from tidelog.session import checkpointed
 
 CATEGORIES = ("support", "criticism", "neutral")
 
@@ -76,21 +77,41 @@ def stance(obs: DataFrame, lexicon: dict[str, list[str]]) -> DataFrame:
     return all_.join(counts, "category", "left").join(by_term, "category", "left").fillna(0, ["distinct_comments", "observations"])
 
 
-def templates(entities: DataFrame, seconds: int, least: float, min_chars: int = 4, max_chars: int | None = None) -> DataFrame:
-    """Pairs of comments of two videos, at most `seconds` apart, whose folded texts are similar; left is earlier."""
+def templates(entities: DataFrame, seconds: int, least: float, min_chars: int = 4) -> DataFrame:
+    """Pairs of comments of two videos, at most `seconds` apart, whose folded texts are similar; left is earlier.
+
+    Equal texts meet by their hash, so at `least` 1 no other pair is formed. Below 1, pairs are formed of
+    lengths and letter counts alone, which leave out none; texts are joined to those that both bounds allow.
+    """
     check_range("window_seconds", seconds, 60, 86_400)
     check_range("min_similarity", least, 0.5, 1.0)
-    folded = entities.withColumn("folded", fold_text(F.col("first_content"), "alnum")).withColumn("size", F.length("folded")).where(F.col("size") >= min_chars)
-    if max_chars:
-        folded = folded.where(F.col("size") <= max_chars)
-    side = lambda s: folded.select(F.col("rpid").alias(f"{s}_rpid"), F.col("bvid").alias(f"{s}_bvid"), F.col("folded").alias(f"{s}_text"), F.col("size").alias(f"{s}_size"), "first_seen_at")
+    folded = entities.select("rpid", "bvid", "first_seen_at", fold_text(F.col("first_content"), "alnum").alias("folded")).withColumn("size", F.length("folded")).where(F.col("size") >= min_chars)
+    folded = folded.withColumn("hash", F.sha2("folded", 256))
+    if least < 1:
+        folded = checkpointed(folded.withColumn("letters", letter_counts(F.col("folded"))))
+        keys = folded.drop("folded")
+    else:
+        keys = checkpointed(folded.drop("folded"))
+    side = lambda s, *more: keys.select(*(F.col(c).alias(f"{s}_{c}") for c in ("rpid", "bvid", "hash", *more)), "first_seen_at")
     order = F.struct("left_first_seen_at", "left_rpid") < F.struct("right_first_seen_at", "right_rpid")
-    size = 2 * F.least("left_size", "right_size") >= least * (F.col("left_size") + F.col("right_size"))
-    pairs = band_join(side("left"), side("right"), "first_seen_at", seconds, order & (F.col("left_bvid") != F.col("right_bvid")) & size)
-    scored = pairs.withColumn("similarity", seq_ratio(F.col("left_text"), F.col("right_text"), least)).where("similarity is not null")
+    both = order & (F.col("left_bvid") != F.col("right_bvid"))
+    same = F.col("left_hash") == F.col("right_hash")
     apart = F.floor((F.unix_micros("right_first_seen_at") - F.unix_micros("left_first_seen_at")) / 1_000_000)
-    algorithm = F.when(F.col("left_text") == F.col("right_text"), "normalized_exact_text_cross_video").otherwise("sequence_ratio_cross_video")
-    return scored.select("left_rpid", "right_rpid", "left_bvid", "right_bvid", "similarity", apart.alias("seconds_apart"), algorithm.alias("algorithm"))
+    out = lambda pairs, similarity, algorithm: pairs.select("left_rpid", "right_rpid", "left_bvid", "right_bvid", similarity.alias("similarity"), apart.alias("seconds_apart"), F.lit(algorithm).alias("algorithm"))
+    equal = out(band_join(side("left"), side("right"), "first_seen_at", seconds, both & same), F.lit(1.0), "normalized_exact_text_cross_video")
+    if least == 1:
+        return equal
+    total = F.col("left_size") + F.col("right_size")
+    size = 2 * F.least("left_size", "right_size") >= least * total
+    pairs = band_join(side("left", "size", "letters"), side("right", "size", "letters"), "first_seen_at", seconds, both & ~same & size)
+    pairs = pairs.where(2 * shared_letters(F.col("left_letters"), F.col("right_letters")) >= least * total).drop("left_letters", "right_letters", "left_size", "right_size")
+    # one comparison of each two texts, however often they meet
+    texts = folded.groupBy("hash").agg(F.first("folded").alias("folded"))
+    text = lambda s: texts.select(F.col("hash").alias(f"{s}_hash"), F.col("folded").alias(f"{s}_text"))
+    compared = pairs.select("left_hash", "right_hash").distinct().join(text("left"), "left_hash").join(text("right"), "right_hash")
+    parts = max(int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * entities.sparkSession.sparkContext.defaultParallelism)
+    ratios = compared.repartition(parts).select("left_hash", "right_hash", seq_ratio(F.col("left_text"), F.col("right_text"), least).alias("similarity")).where("similarity is not null")
+    return equal.unionByName(out(pairs.join(ratios, ["left_hash", "right_hash"]), F.col("similarity"), "sequence_ratio_cross_video"))
 
 
 def duplicate_display(on_page: DataFrame) -> DataFrame:

@@ -193,14 +193,14 @@ def same_author_pairs(spark, sf_dir):
 
 @query
 def template_candidates(spark, sf_dir):
-    """Exact ones among short texts; tests hold fuzzy ones against a plain loop."""
-    found = event.templates(b.comments(spark, sf_dir).where("n_chars <= 500"), DAY, 1.0)
+    """Exact ones; tests hold fuzzy ones against a plain loop."""
+    found = event.templates(b.comments(spark, sf_dir), DAY, 1.0)
     return found.drop("algorithm")
 
 
 @query
 def template_candidates_fuzzy(spark, sf_dir):
-    return event.templates(b.comments(spark, sf_dir), 3600, 0.85, max_chars=500)
+    return event.templates(b.comments(spark, sf_dir), 3600, 0.85)
 
 
 @query
@@ -320,7 +320,7 @@ def signature_clusters(spark, sf_dir):
 
 @query
 def template_clusters(spark, sf_dir):
-    found = event.templates(b.comments(spark, sf_dir).where("n_chars <= 500"), DAY, 1.0)
+    found = event.templates(b.comments(spark, sf_dir), DAY, 1.0)
     return event.template_clusters(found)
 
 
