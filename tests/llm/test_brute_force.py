@@ -209,6 +209,18 @@ def test_contexts_discover_more(spark):
     assert "email:12:24" in found.spans or found.spans == ""
 
 
+def test_contexts_discover_other_forms(spark):
+    """Planted identifiers that base cannot match, by the word before or after; failed candidates and numbers elsewhere stay."""
+    rows = [(n, f"write at u{n}@mail.example.com today {n} or call +1 (555) 555-12{n:02} now") for n in range(20)]
+    planted = {100: ("write at u77@intranet please", "u77@intranet", "email"), 101: ("then call (555) 987-6543 soon", "(555) 987-6543", "phone"), 102: ("or a@b today", "a@b", "email")}
+    rows += [(i, text) for i, (text, _, _) in planted.items()] + [(200, "call 4111 1111 1111 1112 soon"), (201, "room 12 on 4 May"), (202, "+1 (826) 555-4081 190.137.223.9")]
+    got = {r.doc_id: r.spans for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (text, word, kind) in planted.items():
+        assert got[i] == f"{kind}:{text.index(word)}:{text.index(word) + len(word)}"
+    assert got[200] == got[201] == ""
+    assert got[202] == "phone:0:17,ip:18:31"
+
+
 def test_reordered_passages_are_found(spark, documents):
     item = " ".join(f"t{n}" for n in range(40))
     pieces = [" ".join(f"T{n}," for n in range(k, k + 8)) for k in range(0, 40, 8)]

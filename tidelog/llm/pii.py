@@ -4,11 +4,12 @@ Base: four regular expressions, leftmost and non-overlapping by kind, then check
 digits). They are written with look-behinds and possessive parts, so that a long run of digits or
 letters costs linear time; the matches are those of the plain forms in BASE.
 
-Bootstrapping: every blank-separated token with a digit or an @ is an instance; a pattern is the word
-before it and its shape. Patterns and instances are a bipartite graph. A round scores patterns by
-the share of their distinct instances that are known to be of a kind (base finds at first), then
-instances by the mean score of their confident patterns; confident instances become known, and so
-the next round's patterns are better. Instances known in the end that no base find covers are added.
+Bootstrapping: instances are the blank-separated tokens with a digit or an @, and runs of numbers as
+one. Patterns are the word before or the word after with a coarse shape, and the form alone. A round scores patterns by the
+share of their distinct instances that are known to be of a kind (base finds at first; candidates that
+failed the checks stay unknown for good, so they lower it), then instances by what the confident ones
+among their patterns of one side say, over all patterns of that side. Confident instances become known,
+until no more do. Instances known in the end that no base find covers are added.
 """
 
 from __future__ import annotations
@@ -35,13 +36,14 @@ LINEAR = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 IP_PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+#: A number's group ends before a blank or the end, punctuation aside.
+GROUP = r"[0-9][0-9()/-]*+(?=[,.;:!?]*+(?![^\x20\x09-\x0D]))"
+TOKEN = rf"(?<![^\x20\x09-\x0D])(?:[+(]*+{GROUP}(?:\x20[(]?+{GROUP})++[,.;:!?]*+|[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+)"
 SPAN = "array<struct<start:bigint,rank:int,kind:string,stop:bigint>>"
 
 
 @dataclass(frozen=True)
 class Bootstrap:
-    rounds: int = 2
     least_known: int = 3
     pattern_score: float = 0.6
     instance_score: float = 0.6
@@ -95,41 +97,61 @@ def base_spans(text: Column) -> Column:
 
 
 def shape(token: Column) -> Column:
-    """Digits as 9, letters as a, and runs of them with their lengths up to 20."""
-    plain = F.regexp_replace(F.regexp_replace(token, "[0-9]", "9"), r"\p{L}+", "a")
-    return F.substring(plain, 1, 40)
+    """@ where there is one; else the runs of letters (a) and digits (9), with short for up to 6 digits alone."""
+    plain = F.regexp_replace(token, r"[^\p{L}0-9]++", "")
+    runs = F.regexp_replace(F.regexp_replace(plain, r"\p{L}++", "a"), "[0-9]++", "9")
+    return F.when(token.contains("@"), "@").when(F.length(plain) > 6, runs).otherwise(F.when(runs == "9", "short").otherwise(runs))
+
+
+def form(token: Column) -> Column:
+    """A token with each digit as 9 and runs of letters as a."""
+    return F.substring(F.regexp_replace(F.regexp_replace(token, "[0-9]", "9"), r"\p{L}+", "a"), 1, 40)
 
 
 def instances(text: Column) -> Column:
-    """Tokens with a digit or @: position, token without outer punctuation, word before and shape."""
+    """Tokens with a digit or @: position, token without outer punctuation, words before and after, shape, form, and
+    whether it holds a candidate of a base pattern (which failed, where no base find covers it)."""
 
     def made(begin: Column, stop: Column, match: Column, gap: Column) -> Column:
         lead = F.length(match) - F.length(F.regexp_replace(match, r"^[^\p{L}0-9+(]++", ""))
         core = F.regexp_replace(F.regexp_replace(match, r"^[^\p{L}0-9+(]++", ""), r"(?<![^\p{L}0-9])[^\p{L}0-9]++$", "")
         before = F.lower(F.substring_index(F.regexp_replace(F.rtrim(F.substring(gap, -120, 120)), r"[\x09-\x0D]", " "), " ", -1))
         first = begin + lead
-        return F.struct(first.cast("bigint").alias("start"), (first + F.length(core)).cast("bigint").alias("stop"), F.substring(core, 1, 120).alias("token"), before.alias("before"))
+        failed = core.rlike(LINEAR["ip"]) | core.rlike(LINEAR["card"]) | core.rlike(LINEAR["phone"]) & ~valid("phone", core)
+        return F.struct(first.cast("bigint").alias("start"), (first + F.length(core)).cast("bigint").alias("stop"), F.substring(core, 1, 120).alias("token"), before.alias("before"), shape(core).alias("shape"), form(core).alias("form"), failed.alias("failed"))
 
-    kind = "array<struct<start:bigint,stop:bigint,token:string,before:string>>"
-    return F.when(text.rlike("[0-9@]"), located(text, TOKEN, lambda m: F.length(m) >= 6, made, kind)).otherwise(F.array().cast(kind))
+    kind = "array<struct<start:bigint,stop:bigint,token:string,before:string,shape:string,form:string,failed:boolean>>"
+    whole = "array<struct<start:bigint,stop:bigint,token:string,before:string,shape:string,form:string,failed:boolean,after:string>>"
+    found = located(text, TOKEN, lambda m: F.lit(True), made, kind)
+    gaps = F.split(text, TOKEN, -1)
+    after = F.transform(F.slice(gaps, F.lit(2), F.greatest(F.size(gaps) - 1, F.lit(0))), lambda g: F.lower(F.regexp_extract(g, r"^[\x20\x09-\x0D]*+([^\x20\x09-\x0D]*+)", 1)))
+    both = F.zip_with(found, after, lambda f, a: f.withField("after", a))
+    return F.when(text.rlike("[0-9@]"), both).otherwise(F.array().cast(whole))
 
 
 def grown(found: DataFrame, boot: Bootstrap) -> DataFrame:
     """Instances (token, kind) that confident patterns discover.
 
-    found: token, pattern, kind (of the base find that covers it, else null).
+    found: token, side and pattern (null where there is no word), kind (of the base find that covers it,
+    else null), failed. Known ones only grow, so the rounds come to an end.
     """
-    graph = checkpointed(found.groupBy("token", "pattern").agg(F.max("kind").alias("kind")))
-    seeds = graph.groupBy("token").agg(F.max("kind").alias("kind")).where("kind is not null")
-    known = seeds
-    for _ in range(boot.rounds):
-        total = graph.groupBy("pattern").agg(F.count("*").alias("n"))
-        hits = graph.drop("kind").join(known, "token").groupBy("pattern", "kind").agg(F.count("*").alias("hits")).where(F.col("hits") >= boot.least_known)
-        scored = hits.join(total, "pattern").withColumn("score", F.col("hits") / F.col("n")).where(F.col("score") >= boot.pattern_score)
-        votes = graph.drop("kind").join(scored.select("pattern", "kind", "score"), "pattern").groupBy("token", "kind").agg(F.avg("score").alias("score"))
-        best = votes.where(F.col("score") >= boot.instance_score).groupBy("token").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
-        known = checkpointed(seeds.unionByName(best.join(seeds, "token", "left_anti")))
-    return known.join(seeds, "token", "left_anti")
+    graph = checkpointed(found.groupBy("token", "side", "pattern").agg(F.max("kind").alias("kind"), F.max("failed").alias("failed")))
+    each = graph.groupBy("token").agg(F.max("kind").alias("kind"), F.max("failed").alias("failed"))
+    seeds = each.where("kind is not null").select("token", "kind")
+    never = each.where("kind is null and failed").select("token")
+    edges = graph.where("pattern is not null").select("token", "side", "pattern")
+    total = checkpointed(edges.groupBy("side", "pattern").agg(F.count("*").alias("n")).where(F.col("n") >= boot.least_known))
+    sides = edges.groupBy("token", "side").agg(F.count("*").alias("n_patterns"))
+    known = checkpointed(seeds)
+    while True:
+        hits = edges.join(known, "token").groupBy("side", "pattern", "kind").agg(F.count("*").alias("hits")).where(F.col("hits") >= boot.least_known)
+        scored = hits.join(total, ["side", "pattern"]).withColumn("score", F.col("hits") / F.col("n")).where(F.col("score") >= boot.pattern_score)
+        votes = edges.join(known.select("token"), "token", "left_anti").join(never, "token", "left_anti").join(scored.select("side", "pattern", "kind", "score"), ["side", "pattern"]).groupBy("token", "side", "kind").agg(F.sum("score").alias("sum"))
+        best = votes.join(sides, ["token", "side"]).withColumn("score", F.col("sum") / F.col("n_patterns")).where(F.col("score") >= boot.instance_score)
+        more = checkpointed(best.groupBy("token").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind")))
+        if more.isEmpty():
+            return known.join(seeds, "token", "left_anti")
+        known = checkpointed(known.unionByName(more))
 
 
 def of_kind(kind: str):
@@ -147,10 +169,12 @@ def located_pii(documents: DataFrame, boot: Bootstrap = Bootstrap()) -> DataFram
     drawn = checkpointed(rows)
     each = drawn.select("doc_id", "text_hash", "base", F.explode("found").alias("f")).select("doc_id", "text_hash", "base", "f.*")
     over = F.filter("base", lambda s: (s["start"] < F.col("stop")) & (s["stop"] > F.col("start")))
-    each = each.select("doc_id", "text_hash", "start", "stop", "token", F.concat_ws(" ", "before", shape(F.col("token"))).alias("pattern"), F.get(over, F.lit(0))["kind"].alias("kind"))
-    new = grown(each.select("token", "pattern", "kind"), boot)
+    each = each.withColumn("kind", F.get(over, F.lit(0))["kind"])
+    beside = lambda side: F.struct(F.lit(side).alias("side"), F.when(F.col(side) != "", F.concat_ws(" ", side, "shape")).alias("pattern"))
+    edges = each.select("token", "kind", "failed", F.explode(F.array(beside("before"), beside("after"), F.struct(F.lit("form").alias("side"), F.col("form").alias("pattern")))).alias("p")).select("token", "kind", "failed", "p.*")
+    new = grown(edges, boot)
     rank = F.coalesce(*(F.when(F.col("kind") == k, n) for n, k in enumerate(BASE)))
-    added = each.where("kind is null").drop("kind").join(new, "token").select("doc_id", "text_hash", F.struct("start", rank.alias("rank"), "kind", "stop").alias("s"))
+    added = each.where("kind is null and stop > start").drop("kind").join(new, "token").select("doc_id", "text_hash", F.struct("start", rank.alias("rank"), "kind", "stop").alias("s"))
     added = added.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_set("s").alias("added"))
     both = drawn.join(added, (F.col("text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     return both.select("doc_id", "text_hash", "base", F.array_sort(F.concat("base", F.coalesce(F.col("added").cast(SPAN), F.array().cast(SPAN)))).alias("spans"))
