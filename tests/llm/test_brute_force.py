@@ -221,6 +221,14 @@ def test_contexts_discover_other_forms(spark):
     assert got[202] == "phone:0:17,ip:18:31"
 
 
+def test_long_tokens_with_one_prefix_stay_apart(spark):
+    rows = [(n, f"write at u{n}@mail.example.com today") for n in range(20)]
+    long = "k" * 130
+    rows += [(100, f"write at {long}@a please"), (101, f"room {long}@b on")]
+    got = {r.doc_id: r.spans for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[100], got[101]) == ("email:9:141", "")
+
+
 def test_reordered_passages_are_found(spark, documents):
     item = " ".join(f"t{n}" for n in range(40))
     pieces = [" ".join(f"T{n}," for n in range(k, k + 8)) for k in range(0, 40, 8)]

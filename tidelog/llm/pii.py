@@ -96,6 +96,11 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*each))
 
 
+def short(text: Column, most: int) -> Column:
+    """A key of the whole text: itself, or its digest where it is longer."""
+    return F.when(F.length(text) <= most, text).otherwise(F.sha2(text, 256))
+
+
 def shape(token: Column) -> Column:
     """@ where there is one; else the runs of letters (a) and digits (9), with short for up to 6 digits alone."""
     plain = F.regexp_replace(token, r"[^\p{L}0-9]++", "")
@@ -105,7 +110,7 @@ def shape(token: Column) -> Column:
 
 def form(token: Column) -> Column:
     """A token with each digit as 9 and runs of letters as a."""
-    return F.substring(F.regexp_replace(F.regexp_replace(token, "[0-9]", "9"), r"\p{L}+", "a"), 1, 40)
+    return short(F.regexp_replace(F.regexp_replace(token, "[0-9]", "9"), r"\p{L}+", "a"), 40)
 
 
 def instances(text: Column) -> Column:
@@ -115,10 +120,10 @@ def instances(text: Column) -> Column:
     def made(begin: Column, stop: Column, match: Column, gap: Column) -> Column:
         lead = F.length(match) - F.length(F.regexp_replace(match, r"^[^\p{L}0-9+(]++", ""))
         core = F.regexp_replace(F.regexp_replace(match, r"^[^\p{L}0-9+(]++", ""), r"(?<![^\p{L}0-9])[^\p{L}0-9]++$", "")
-        before = F.lower(F.substring_index(F.regexp_replace(F.rtrim(F.substring(gap, -120, 120)), r"[\x09-\x0D]", " "), " ", -1))
+        before = F.lower(F.substring_index(F.regexp_replace(F.rtrim(gap), r"[\x09-\x0D]", " "), " ", -1))
         first = begin + lead
         failed = core.rlike(LINEAR["ip"]) | core.rlike(LINEAR["card"]) | core.rlike(LINEAR["phone"]) & ~valid("phone", core)
-        return F.struct(first.cast("bigint").alias("start"), (first + F.length(core)).cast("bigint").alias("stop"), F.substring(core, 1, 120).alias("token"), before.alias("before"), shape(core).alias("shape"), form(core).alias("form"), failed.alias("failed"))
+        return F.struct(first.cast("bigint").alias("start"), (first + F.length(core)).cast("bigint").alias("stop"), short(core, 120).alias("token"), before.alias("before"), shape(core).alias("shape"), form(core).alias("form"), failed.alias("failed"))
 
     kind = "array<struct<start:bigint,stop:bigint,token:string,before:string,shape:string,form:string,failed:boolean>>"
     whole = "array<struct<start:bigint,stop:bigint,token:string,before:string,shape:string,form:string,failed:boolean,after:string>>"
