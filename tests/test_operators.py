@@ -142,8 +142,10 @@ def test_components_equal_union_find(spark):
         if a is not None and a != b:
             a, b = find(a), find(b)
             root[max(a, b)] = min(a, b)
-    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {x: find(x) for x in root}
+    table = spark.createDataFrame(edges + edges[:40], "a long, b long").repartition(3).cache()
+    for per_part in (100_000, 40, 7):  # one task, and stars over some and many
+        got = components(table, per_part=per_part).collect()
+        assert len(got) == len(root) and {r.node: r.component for r in got} == {x: find(x) for x in root}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 

@@ -231,7 +231,7 @@ def core_videos(videos: DataFrame, metrics: DataFrame, until: datetime) -> DataF
 
 def template_clusters(pairs: DataFrame) -> DataFrame:
     """Members of each group of linked comments; the group is named by its least member."""
-    return components(pairs, "left_rpid", "right_rpid").withColumnsRenamed({"node": "rpid", "component": "cluster"})
+    return components(checkpointed(pairs.select("left_rpid", "right_rpid")), "left_rpid", "right_rpid").withColumnsRenamed({"node": "rpid", "component": "cluster"})
 
 
 def evidence_index(**ids: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidelog.functions.values import hamming
 from tidelog.operators.components import components
+from tidelog.session import checkpointed
 
 
 def signature_edges(signatures: DataFrame, threshold: int = 5) -> DataFrame:
@@ -28,6 +29,7 @@ def signature_edges(signatures: DataFrame, threshold: int = 5) -> DataFrame:
 
 def signature_clusters(edges: DataFrame) -> DataFrame:
     """Members of components; distance to the least member, null (confidence 1) where no edge leads there."""
+    edges = checkpointed(edges)
     parts = components(edges)
     direct = edges.select(F.col("a").alias("component"), F.col("b").alias("node"), "distance", "confidence")
     return parts.join(direct, ["component", "node"], "left").select(F.col("component").alias("cluster"), F.col("node").alias("member"), "distance", F.coalesce("confidence", F.lit(1.0)).alias("confidence"))
