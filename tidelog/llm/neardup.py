@@ -27,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from tidelog.llm.common import WordHasher, checkpointed, gram_hashes, mixed, raw_text, words
 from tidelog.operators.components import components
@@ -151,15 +152,17 @@ def similar(a: Column, b: Column, params: Params) -> Column:
     return run(a, b)
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, params: Params) -> DataFrame:
-    """The pairs (a, b) of nodes whose signatures and then full sets are similar."""
-    sign = nodes.select("node", "signature", "row_id", "text_hash")
-    for end in "ab":
+def _confirmed(stars: DataFrame, nodes: DataFrame, texts: DataFrame, params: Params) -> DataFrame:
+    """The pairs (a, b) of nodes whose signatures and then full sets are similar; a is the centre of a star."""
+    sign = nodes.select("node", "signature", "first.row_id", "first.text_hash")
+    # dealt by b, of which no value is frequent; by a, a large partition can be split
+    pairs = stars.repartition("b").dropDuplicates(["a", "b"])
+    for end in "ba":
         pairs = pairs.join(sign.select(F.col("node").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in ("signature", "row_id", "text_hash"))), end)
     pairs = pairs.where(misses(F.col("signature_a"), F.col("signature_b"), params) <= params.most_misses).drop("signature_a", "signature_b")
     for end in "ba":
         pairs = pairs.join(texts.select(F.col("row_id").alias(f"row_id_{end}"), F.col("text_hash").alias(f"text_hash_{end}"), F.col("raw").alias(f"raw_{end}")), [f"row_id_{end}", f"text_hash_{end}"])
-    return pairs.where(similar(F.col("raw_a"), F.col("raw_b"), params)).select("a", "b").distinct()
+    return pairs.where(similar(F.col("raw_a"), F.col("raw_b"), params)).select("a", "b")
 
 
 def _dealt(members: DataFrame, group: str, block: int) -> DataFrame:
@@ -212,7 +215,7 @@ def _compared(dealt: DataFrame, group: str, linked) -> DataFrame:
         return _forest(linked(left, right) & apart, left["component"].to_numpy(), right["component"].to_numpy())
 
     n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(n, group, "i", "j").groupBy(group, "i", "j").applyInPandas(run, "a long, b long").distinct()
+    return dealt.repartition(n, group, "i", "j").groupBy(group, "i", "j").applyInPandas(run, "a long, b long")
 
 
 def _near_signatures(params: Params):
@@ -255,27 +258,28 @@ def _near_sets(params: Params, columns: int = 20_000):
     return linked
 
 
-def _rest(shared: DataFrame, parts: DataFrame, nodes: DataFrame, rows: DataFrame, params: Params) -> DataFrame | None:
-    """Links (a, b) between nodes or components of one bucket that stars have left apart; None where there are none.
+def _rest(shared: DataFrame, labels: DataFrame, texts: DataFrame, params: Params) -> DataFrame | None:
+    """Links (a, b) between components that share a bucket and that stars have left apart; None where there are none.
 
     Signatures first tell, in each unsettled bucket, which components may belong together; components
     that may form families. In a family every member outside its largest component is compared with
     all others on full sets, once, however many buckets they share.
     """
-    labelled = shared.where("n > 2").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    unsettled = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.when(F.col("node") == F.col("centre"), F.col("component"))).alias("of_centre")).where("low < high").select("key", "of_centre")
+    labelled = shared.where("n > 2").select("key", "node", "centre").join(labels.select("node", "component"), "node")
+    of_centre = F.max(F.when(F.col("node") == F.col("centre"), F.col("component")))
+    unsettled = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), of_centre.alias("of_centre")).where("low < high").select("key", "of_centre")
     members = labelled.join(unsettled, "key").select("key", "node", "component", (F.col("component") == F.col("of_centre")).alias("main"))
-    members = members.join(nodes.select("node", "signature"), "node")
-    may = checkpointed(_compared(_dealt(members, "key", params.block), "key", _near_signatures(params)))
+    dealt = _dealt(members, "key", params.block).join(labels.select("node", "signature"), "node")
+    may = checkpointed(_compared(dealt, "key", _near_signatures(params)))
     if may.isEmpty():
         return None
     families = components(may).select(F.col("node").alias("component"), F.col("component").alias("family"))
-    labels = nodes.select("node", "row_id", "text_hash").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    inside = labels.join(families, "component")
+    inside = labels.select("node", "component", "first.row_id", "first.text_hash").join(families, "component")
     largest = inside.groupBy("family", "component").agg(F.count("*").alias("n")).groupBy("family").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
     inside = inside.join(largest, "family").select("family", "node", "component", "row_id", "text_hash", (F.col("component") == F.col("largest")).alias("main"))
-    dealt = _dealt(inside, "family", params.block).join(rows.select("row_id", "text_hash", "raw"), ["row_id", "text_hash"])
-    return _compared(dealt.dropDuplicates(["family", "node", "i", "j"]), "family", _near_sets(params))
+    dealt = _dealt(inside, "family", params.block).join(texts, ["row_id", "text_hash"])
+    # a row that is repeated gives its text again
+    return checkpointed(_compared(dealt.dropDuplicates(["family", "node", "i", "j"]), "family", _near_sets(params)))
 
 
 def near_duplicates(documents: DataFrame, params: Params = Params()) -> DataFrame:  # noqa: B008
@@ -284,41 +288,57 @@ def near_duplicates(documents: DataFrame, params: Params = Params()) -> DataFram
     Documents without words (null, empty, blank) have 0 shingles, link with nothing and are kept.
     Rows of a null id take part and get their component's least id (null where all are null); such a
     row is kept only where its component has no id. Of rows that repeat an id, all that carry the
-    component's id are kept. Other columns are not read.
+    component's id are kept. Texts count whole, however long; an empty table gives no rows. Ids may be
+    of any type that has an order. Other columns are not read.
     """
-    return _found(documents, params).drop("row_id", "text_hash")
+    drawn, labels = _labelled(documents, params)
+    least = labels.groupBy("component").agg(F.min("first.doc_id").alias("component_id"))
+    of_node = labels.select("node", "component").join(least, "component").select("node", "component_id")
+    out = drawn.select("doc_id", F.coalesce("n_shingles", F.lit(0)).cast("long").alias("n_shingles"), F.col("set_low").alias("node")).join(of_node, "node", "left")
+    component_id = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", "n_shingles", component_id.alias("component_id"), F.col("doc_id").eqNullSafe(component_id).alias("kept"))
 
 
 def without_copies(documents: DataFrame, params: Params = Params()) -> DataFrame:  # noqa: B008
-    """The kept rows of documents, with all columns; of rows that repeat an id and a text, one."""
-    kept = _found(documents, params).where("kept").select(F.col("row_id").alias("_tidelog_row"), F.col("text_hash").alias("_tidelog_hash"))
-    keyed = documents.withColumn("_tidelog_hash", F.xxhash64("text")).withColumn("_tidelog_row", F.coalesce(F.col("doc_id").cast("long"), "_tidelog_hash"))
-    one = keyed.dropDuplicates(["_tidelog_row", "_tidelog_hash"])
-    return one.join(kept, ["_tidelog_row", "_tidelog_hash"], "left_semi").select(*documents.columns)
+    """documents with one row of each group, with all columns: that of the least id (null ids last, then the text).
+
+    Of documents without words, which are in no group, all stay, but of rows that repeat an id and a text one.
+    """
+    _, labels = _labelled(documents, params)
+    kept = labels.groupBy("component").agg(F.min("first").alias("f")).select(F.col("f.row_id").alias("_tidelog_row"), F.col("f.text_hash").alias("_tidelog_hash"), F.lit(True).alias("_tidelog_kept"))
+    row_id, text_hash = _row_key(documents)
+    one = documents.withColumns({"_tidelog_row": row_id, "_tidelog_hash": text_hash}).dropDuplicates(["_tidelog_row", "_tidelog_hash"])
+    has_words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    return one.join(kept, ["_tidelog_row", "_tidelog_hash"], "left").where(F.col("_tidelog_kept").isNotNull() | ~has_words).select(*documents.columns)
+
+
+def _row_key(documents: DataFrame) -> tuple[Column, Column]:
+    """Two longs that name a row: its id (hashed, if it is no number; its text's hash, if it is null), and its text's hash."""
+    own = F.col("doc_id").cast("long") if isinstance(documents.schema["doc_id"].dataType, IntegralType) else F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id"))
+    return F.coalesce(own, F.xxhash64("text")), F.xxhash64("text")
 
 
-def _found(documents: DataFrame, params: Params) -> DataFrame:
-    """near_duplicates(), with row_id (the id, or the text's hash for a null one) and text_hash."""
-    rows = documents.select("doc_id", raw_text().alias("raw"), F.xxhash64("text").alias("text_hash"))
-    rows = rows.withColumn("row_id", F.coalesce(F.col("doc_id").cast("long"), "text_hash"))
+def _labelled(documents: DataFrame, params: Params) -> tuple[DataFrame, DataFrame]:
+    """doc_id, n_shingles and set_low of each row; node, component and first (least row, null ids last) of each set."""
+    row_id, text_hash = _row_key(documents)
+    rows = documents.select("doc_id", raw_text().alias("raw"), row_id.alias("row_id"), text_hash.alias("text_hash"))
+    texts = rows.select("row_id", "text_hash", "raw")
     drawn = checkpointed(rows.select("doc_id", "row_id", "text_hash", sketch(F.col("raw"), params).alias("s")).select("doc_id", "row_id", "text_hash", "s.*"))
-    first = F.min(F.struct("row_id", "text_hash"))
-    nodes = drawn.where("n_shingles > 0").groupBy(F.col("set_low").alias("node"), "set_high").agg(first.alias("r"), F.min("doc_id").alias("least_id"), F.any_value("bands").alias("bands"), F.any_value("signature").alias("signature"))
-    nodes = checkpointed(nodes.select("node", "least_id", "r.row_id", "r.text_hash", "bands", "signature"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_id", "text_hash")).alias("first")
+    nodes = drawn.where("n_shingles > 0").groupBy(F.col("set_low").alias("node"), "set_high").agg(first, F.any_value("bands").alias("bands"), F.any_value("signature").alias("signature"))
+    nodes = checkpointed(nodes.drop("set_high"))
 
     banded = nodes.select("node", F.explode("bands").alias("key"))
     buckets = banded.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1")
+    # computed anew, the key is dealt anew, so that the join can split a bucket of very many members
+    buckets = buckets.withColumn("key", F.col("key").bitwiseXOR(F.lit(0)))
     shared = checkpointed(banded.join(buckets, "key"))
-    stars = shared.where("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    links = checkpointed(_confirmed(stars, nodes, rows, params))
-    parts = components(links)
-
-    if (more := _rest(shared, parts, nodes, rows, params)) is not None:
-        parts = components(links.unionByName(more))
-
-    least = parts.join(nodes, "node").groupBy("component").agg(F.min("least_id").alias("component_id"))
-    named = parts.join(least, "component").select("node", "component_id")
-    of_node = nodes.join(named, "node", "left").select("node", F.coalesce("component_id", "least_id").alias("component_id"))
-    out = drawn.select("doc_id", "row_id", "text_hash", F.coalesce("n_shingles", F.lit(0)).cast("long").alias("n_shingles"), F.col("set_low").alias("node")).join(of_node, "node", "left")
-    out = out.withColumn("component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "row_id", "text_hash")
+    stars = shared.where("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b"))
+    links = checkpointed(_confirmed(stars, nodes, texts, params))
+
+    labels = nodes.select("node", "first", "signature").join(components(links), "node", "left")
+    labels = checkpointed(labels.withColumn("component", F.coalesce("component", "node")))
+    if (more := _rest(shared, labels, texts, params)) is not None:
+        moved = components(more).select(F.col("node").alias("component"), F.col("component").alias("to"))
+        labels = labels.join(moved, "component", "left").withColumn("component", F.coalesce("to", "component"))
+    return drawn, labels
