@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidelog.session import checkpointed
 
 
-__all__ = ["WordHasher", "checkpointed", "gram_hashes", "mixed", "raw_text", "table", "words"]
+__all__ = ["Windows", "WordHasher", "checkpointed", "gram_hashes", "mixed", "raw_text", "table", "words"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,3 +59,29 @@ def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     for k in range(n):
         out = out * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + len(out)]
     return mixed(out + np.uint64(n))
+
+
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+class Windows:
+    """Hashes of all windows of a length, by one running sum."""
+
+    def __init__(self) -> None:
+        self.up, self.down = _powers(BASE, 1 << 12), _powers(INVERSE, 1 << 12)
+
+    def __call__(self, hashes: np.ndarray, length: int) -> np.ndarray:
+        n = len(hashes)
+        if n < length:
+            return np.empty(0, np.uint64)
+        while len(self.up) < n:
+            self.up, self.down = _powers(BASE, 2 * len(self.up)), _powers(INVERSE, 2 * len(self.down))
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * self.up[:n])))
+        return mixed((total[length:] - total[:-length]) * self.down[: n - length + 1])

@@ -50,7 +50,7 @@ def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    return substrings.remove_repeats(table(spark, sf_dir, "documents")).drop("kept", "spans")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
