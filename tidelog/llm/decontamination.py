@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import WordHasher, gram_hashes
+from tidelog.llm.common import Windows, WordHasher, gram_hashes
 
 WORD = re.compile(r"[^\W_]+")
 MATCH = "struct<coverage:double,matched:long,item_words:long,tiles:array<struct<doc_word:long,item_word:long,length:long>>>"
@@ -33,53 +33,79 @@ class Params:
     seed: int = 5
     least: int = 4
     coverage: float = 0.6
-    #: Seeds up to which the benchmark's are sent to all tasks (16 bytes each); beyond, seeds meet in a shuffled join.
-    most_sent: int = 2_000_000
+    #: Bytes of seeds (16 each) and item texts up to which the benchmark is sent to all tasks; beyond, both meet in shuffled joins.
+    most_sent: int = 32_000_000
 
 
 def tokens(text: str | None) -> list[bytes]:
     return [w.encode() for w in WORD.findall(text.lower())] if text else []
 
 
+def _open(free: np.ndarray, length: int) -> np.ndarray:
+    """Whether each window of a length is free."""
+    total = np.concatenate(([0], np.cumsum(free)))
+    return total[length:] - total[:-length] == length
+
+
+def _longest(free: np.ndarray) -> int:
+    """Length of the longest run of free places."""
+    ends = np.flatnonzero(np.diff(np.concatenate(([0], free.astype(np.int8), [0]))))
+    return int((ends[1::2] - ends[::2]).max(initial=0))
+
+
 def tile(doc: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """Tiles (place in doc, place in item, length) of two arrays of word hashes, longest first."""
+    """Tiles (place in doc, place in item, length) of two arrays of word hashes, longest first, then by place in doc.
+
+    The Karp-Rabin hashes of all windows of a length come from one running sum, so that the longest
+    length with a match in free places is found by bisection: the time is that of sorting, for each
+    length that tiles have (at most the root of twice the words) and each step of the bisection.
+    """
     if len(doc) < least or len(item) < least:
         return []
-    # only places in runs whose least-length hashes are the item's can be in a tile
+    # only places in runs whose least-length hashes are the item's can be in a tile; a closed place stands between runs
+    windows = Windows()
     inside = np.zeros(len(doc) + 1, np.int64)
-    starts = np.flatnonzero(np.isin(gram_hashes(doc, least), gram_hashes(item, least)))
+    starts = np.flatnonzero(np.isin(windows(doc, least), windows(item, least)))
     np.add.at(inside, starts, 1)
     np.add.at(inside, starts + least, -1)
     place = np.flatnonzero(np.cumsum(inside)[:-1] > 0)
     if not len(place):
         return []
-    runs = np.split(np.arange(len(place)), np.flatnonzero(np.diff(place) > 1) + 1)
-    free_doc, free_item = np.ones(len(doc), bool), np.ones(len(item), bool)
-    longest = min(len(item), max(len(r) for r in runs))
+    gaps = np.flatnonzero(np.diff(place) > 1) + 1
+    place = np.insert(place, gaps, -1)
+    free_doc, free_item = place >= 0, np.ones(len(item), bool)
+    text = doc[place]
+
+    def of_length(length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes and places of the free windows of both sides that have a match."""
+        p, q = np.flatnonzero(_open(free_doc, length)), np.flatnonzero(_open(free_item, length))
+        a, b = windows(text, length)[p], windows(item, length)[q]
+        in_b, in_a = np.isin(a, b), np.isin(b, a)
+        return a[in_b], p[in_b], b[in_a], q[in_a]
+
     out = []
-    for length in range(longest, least - 1, -1):
-        of_item = defaultdict(list)
-        open_item = np.convolve(free_item, np.ones(length, int), "valid") == length
-        hashes = gram_hashes(item, length)
-        for q in np.flatnonzero(open_item):
-            of_item[hashes[q]].append(int(q))
-        if not of_item:
-            continue
-        keys = np.array(list(of_item), np.uint64)
-        for run in runs:
-            if len(run) < length:
+    most = min(_longest(free_doc), _longest(free_item))
+    while most >= least:
+        low, high = least - 1, most
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if len(of_length(middle)[0]) else (low, middle - 1)
+        if low < least:
+            break
+        a, p, b, q = of_length(low)
+        waiting: dict[int, list[int]] = defaultdict(list)
+        for h, at in zip(b[::-1].tolist(), q[::-1].tolist(), strict=True):
+            waiting[h].append(at)
+        for h, at in zip(a.tolist(), p.tolist(), strict=True):
+            if not free_doc[at] or not free_doc[at : at + low].all():
                 continue
-            low = int(place[run[0]])
-            part = slice(low, int(place[run[-1]]) + 1)
-            hashes = gram_hashes(doc[part], length)
-            for p in np.flatnonzero(np.isin(hashes, keys)):
-                at = low + int(p)
-                for q in of_item[hashes[p]]:
-                    a, b = slice(at, at + length), slice(q, q + length)
-                    if free_doc[a].all() and free_item[b].all() and (doc[a] == item[b]).all():
-                        free_doc[a], free_item[b] = False, False
-                        out.append((at, q, length))
-                        break
+            found = waiting[h]
+            while found and not free_item[found[-1] : found[-1] + low].all():
+                found.pop()  # what is marked stays marked
+            if found and (text[at : at + low] == item[found[-1] : found[-1] + low]).all():
+                free_doc[at : at + low], free_item[found[-1] : found[-1] + low] = False, False
+                out.append((int(place[at]), found.pop(), low))
+        most = min(low - 1, _longest(free_doc), _longest(free_item))
     return out
 
 
@@ -140,7 +166,8 @@ def matches(documents: DataFrame, benchmark: DataFrame, params: Params = Params(
     items = benchmark.select("item_id", F.col("text").alias("item_text")).distinct()
     seeds = items.select("item_id", "item_text", F.explode(_seeds(F.col("item_text"), params)).alias("seed"))
     texts = documents.select("doc_id", "text")
-    if seeds.limit(params.most_sent + 1).count() <= params.most_sent:
+    size = seeds.agg(F.count("*") * 16).first()[0] + (items.agg(F.sum(F.octet_length("item_text"))).first()[0] or 0)
+    if size <= params.most_sent:
         # the benchmark is small: its seeds go to every task, and a document meets them where it is read
         named = items.withColumn("number", F.xxhash64("item_id", "item_text"))
         got = seeds.select("seed", F.xxhash64("item_id", "item_text").alias("number")).orderBy("seed", "number").toArrow()
@@ -149,8 +176,9 @@ def matches(documents: DataFrame, benchmark: DataFrame, params: Params = Params(
     else:
         keyed = texts.withColumn("row_key", F.xxhash64("doc_id", "text"))
         own = keyed.select("row_key", F.explode(_seeds(F.col("text"), params)).alias("seed"))
-        found = own.join(seeds, "seed").select("row_key", "item_id", "item_text").distinct()
-        pairs = keyed.join(found, "row_key")
+        named = items.withColumn("number", F.xxhash64("item_id", "item_text"))
+        found = own.join(seeds.select("seed", F.xxhash64("item_id", "item_text").alias("number")), "seed").select("row_key", "number").distinct()
+        pairs = keyed.join(found, "row_key").join(named, "number")
     scored = pairs.select("doc_id", "item_id", _match(F.col("text"), F.col("item_text"), params).alias("m")).select("doc_id", "item_id", "m.*")
     return scored.where(F.col("coverage") >= params.coverage)
 
