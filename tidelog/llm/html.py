@@ -31,7 +31,13 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 SCOPE = frozenset("ul ol dl table body html select article section div".split())
 KINDS = {t: k for k, tags in {"text": "p h1 h2 h3 h4 h5 h6 blockquote pre figcaption", "item": "li dt dd td th tr ul ol dl table tbody thead", "main": "article main", "edge": "nav header footer aside menu", "form": "form fieldset button select option label legend dialog", "page": "html body"}.items() for t in tags.split()}
 KIND_IDS = {k: n for n, k in enumerate(["other", "text", "item", "main", "edge", "form", "page"])}
-TAG = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
+#: A comment, a declaration, or a tag without quoted values; a tag with them begins like OPEN and ends where Tags says.
+TAG = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)([^>\"'<]*+)>", re.S)
+OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+MARK = re.compile(r"<(?=[!?/a-zA-Z])")
+STOP = re.compile(r"[>\"']")
+#: Elements deeper than this hang on the one at this depth of their branch.
+DEEPEST = 256
 NAMES = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""", re.I)
 PIECES = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
 KEPT = "data-kept"
@@ -49,10 +55,87 @@ class Page:
     linked: list[int]
 
 
+class Tags:
+    """The tags of a source in order, in linear time however many of them never end."""
+
+    def __init__(self, source: str):
+        self.source = source
+        self.open: set[int] = set()  # marks outside quotes from which no end is reached
+        self.without = {c: len(source) + 1 for c in "\"'"}  # from where on there is no such quote
+        self.no_stop = len(source) + 1
+
+    def next(self, at: int) -> tuple[int, int, str, str, str]:
+        """Begin, end, "/" of an end tag, lower-case name ("" for a comment) and attributes of the next tag; begin is the source's length where there is none."""
+        source = self.source
+        while m := MARK.search(source, at):
+            if tag := TAG.match(source, m.start()):
+                return tag.start(), tag.end(), tag[1] or "", (tag[2] or "").lower(), tag[3] or ""
+            name = OPEN.match(source, m.start())
+            if name and (end := self.end(name.end())):
+                return m.start(), end, name[1], name[2].lower(), source[name.end() : end - 1]
+            at = m.end()
+        return len(source), len(source), "", "", ""
+
+    def end(self, at: int) -> int:
+        """Where a tag whose attributes begin at `at` ends, quoted values passed over; 0 where it does not."""
+        passed = []
+        while at < self.no_stop:
+            stop = STOP.search(self.source, at)
+            if not stop:
+                self.no_stop = at
+                break
+            if stop[0] == ">":
+                return stop.end()
+            if stop.start() in self.open:
+                break
+            passed.append(stop.start())
+            close = self.source.find(stop[0], stop.end()) if stop.end() < self.without[stop[0]] else -1
+            if close < 0:
+                self.without[stop[0]] = min(self.without[stop[0]], stop.end())
+                break
+            at = close + 1
+        self.open.update(passed)
+        return 0
+
+
+class Branch:
+    """The open elements, with how deep those of each tag lie."""
+
+    def __init__(self) -> None:
+        self.nodes, self.tags = [0], ["html"]
+        self.depths: dict[str, list[int]] = {}
+        self.scopes: list[int] = [0]
+
+    def push(self, node: int, tag: str) -> None:
+        self.depths.setdefault(tag, []).append(len(self.tags))
+        if tag in SCOPE:
+            self.scopes.append(len(self.tags))
+        self.nodes.append(node)
+        self.tags.append(tag)
+
+    def cut(self, depth: int) -> None:
+        """Close the element at a depth and all inside it."""
+        while len(self.tags) > depth:
+            tag = self.tags.pop()
+            self.nodes.pop()
+            self.depths[tag].pop()
+            if tag in SCOPE:
+                self.scopes.pop()
+
+    def deepest(self, tag: str) -> int:
+        """The depth of the innermost open element of a tag; 0 where there is none."""
+        found = self.depths.get(tag)
+        return found[-1] if found else 0
+
+
 def parse(source: str | None) -> Page:
-    """The block elements of a page, however broken its markup is; node 0 is the page itself."""
+    """The block elements of a page, however broken its markup is; node 0 is the page itself.
+
+    The time is linear in the page's length. Elements deeper than DEEPEST hang on the one at that depth;
+    none is left out.
+    """
     page = Page([-1], ["html"], [frozenset()], [0], [], [0])
-    stack = [0]
+    branch = Branch()
     parts: list[str] = []
     links = 0
 
@@ -60,68 +143,65 @@ def parse(source: str | None) -> Page:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                page.texts.append((stack[-1], text))
+                page.texts.append((branch.nodes[-1], text))
             parts.clear()
 
     source, at = source or "", 0
+    tags, no_end = Tags(source), {}
     while at < len(source):
-        m = TAG.search(source, at)
-        text = source[at : m.start() if m else len(source)]
+        begin, end_at, slash, tag, attributes = tags.next(at)
+        text = source[at:begin]
         if text:
             parts.append(text)
             if links:
-                page.linked[stack[-1]] += len(text)
-        if not m:
+                page.linked[branch.nodes[-1]] += len(text)
+        if begin == len(source):
             break
-        at = m.end()
-        tag = (m[2] or "").lower()
+        at = end_at
         if not tag:
             continue
-        if not m[1] and tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(source, at) if not m[3].endswith("/") else None
-            at = end.end() if end else at if m[3].endswith("/") else len(source)
+        if not slash and tag in RAW:
+            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(source, at) if not attributes.endswith("/") else None
+            at = end.end() if end else at if attributes.endswith("/") else len(source)
             continue
         if tag in VOID:
-            if tag != "wbr" and not m[1]:
+            if tag != "wbr" and not slash:
                 parts.append(" ")
             continue
         if tag in INLINE:
             if tag == "a":
-                links = 0 if m[1] else 1
+                links = 0 if slash else 1
             continue
         flush()
         links = 0
         if tag in ("html", "body"):
             continue
-        if m[1]:
-            depth = next((n for n in range(len(stack) - 1, 0, -1) if page.tags[stack[n]] == tag), 0)
-            if depth:
-                del stack[depth:]
+        if slash:
+            if depth := branch.deepest(tag):
+                branch.cut(depth)
             continue
-        if page.tags[stack[-1]] == "p":
-            stack.pop()
-        for n in range(len(stack) - 1, 0, -1):
-            open_tag = page.tags[stack[n]]
-            if open_tag in ENDS.get(tag, ()):
-                del stack[n:]
-                break
-            if open_tag in SCOPE:
-                break
-        attributes = m[3]
+        if branch.tags[-1] == "p":
+            branch.cut(len(branch.tags) - 1)
+        depth = max((branch.deepest(t) for t in ENDS.get(tag, ())), default=0)
+        scope = max((d for d in branch.scopes[-1:] if branch.tags[d] not in ENDS.get(tag, ())), default=0)
+        if depth > scope:
+            branch.cut(depth)
         if tag == "head":
-            end = re.compile(r"</head\s*>|<body\b", re.I).search(source, at)
+            end = None if no_end.get(tag) else re.compile(r"</head\s*>|<body\b", re.I).search(source, at)
+            no_end[tag] = not end
             at = (end.end() if source[end.start() + 1] == "/" else end.start()) if end else at
             continue
         words: set[str] = set()
         if attributes.strip("/ "):
             for name, value in NAMES.findall(attributes):
                 words.update(p.lower() for p in PIECES.findall(value))
-        page.parent.append(stack[-1])
+        node = len(page.tags)
+        page.parent.append(branch.nodes[min(len(branch.nodes), DEEPEST) - 1])
         page.tags.append(tag)
         page.names.append(frozenset(words))
         page.labels.append(int(f'{KEPT}="1"' in attributes))
         page.linked.append(0)
-        stack.append(len(page.tags) - 1)
+        branch.push(node, tag)
     flush()
     return page
 
