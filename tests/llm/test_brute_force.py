@@ -309,37 +309,76 @@ def test_model_probabilities_are_normalised():
     assert total == pytest.approx(1, abs=1e-5)
 
 
-def test_neighbours(spark):
-    rng = np.random.default_rng(2)
-    x = rng.standard_normal((900, 24)) * rng.uniform(0.5, 2, (900, 1))
-    x[7] = x[8]
-    rows = [(n, v.astype(np.float32).tolist(), 0) for n, v in enumerate(x)] + [(900, None, 0), (901, [0.0] * 24, 0), (902, [float("nan")] + [1.0] * 23, 0), (903, [1.0] * 5, 0), (None, [1.0] * 24, 0)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int")
-    y = np.array([r[1] for r in rows[:900]], np.float32).astype(float)
-    got = ann.nearest(df, df.where("vec_id % 20 = 0"), 10, row_block=256, query_block=16).collect()
+def exact_recall(got, y, asked, k):
+    """Share of the true k nearest that were found; ranks, order, scores and counts are checked on the way."""
     found, hit, all_ = {}, 0, 0
     for r in got:
         found.setdefault(r.query_id, []).append(r)
         assert r.score == pytest.approx(float(y[r.query_id] @ y[r.vec_id]), abs=1e-9)
-    for q in range(0, 900, 20):
+    for q in asked:
         s = y @ y[q]
-        order = [i for i in np.lexsort((np.arange(900), -s)) if i != q][:10]
+        order = [i for i in np.lexsort((np.arange(len(y)), -s)) if i != q][:k]
         mine = sorted(found[q], key=lambda r: r.rank)
-        assert [r.rank for r in mine] == list(range(1, 11))
-        assert mine == sorted(mine, key=lambda r: (-r.score, r.vec_id))
+        assert [r.rank for r in mine] == list(range(1, len(order) + 1))
+        assert mine == sorted(mine, key=lambda r: (-r.score, r.vec_id)) and q not in {r.vec_id for r in mine}
         hit += len({r.vec_id for r in mine} & set(order))
-        all_ += 10
-    assert hit / all_ >= 0.9
+        all_ += len(order)
+    return hit / all_
+
+
+VECTORS = "vec_id long, embedding array<float>, rank int, score double"
+
+
+def test_neighbours(spark):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((900, 24)) * rng.uniform(0.5, 2, (900, 1))
+    x[7] = x[8]
+    rows = [(n, v.astype(np.float32).tolist(), 0, 0.0) for n, v in enumerate(x)] + [(900, None, 0, 0.0), (901, [0.0] * 24, 0, 0.0), (902, [float("nan")] + [1.0] * 23, 0, 0.0), (903, [1.0] * 5, 0, 0.0), (None, [1.0] * 24, 0, 0.0)]
+    df = spark.createDataFrame(rows, VECTORS)
+    y = np.array([r[1] for r in rows[:900]], np.float32).astype(float)
+    assert ann.fit(ann.usable(df)).found > 0.5  # without structure no bucket index is selective
+    got = ann.nearest(df, df.where("vec_id % 20 = 0"), 10, row_block=256, query_block=16).collect()
+    assert exact_recall(got, y, range(0, 900, 20), 10) >= 0.9
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
+    few = df.where("vec_id < 8 or vec_id = 900")
+    assert exact_recall(ann.nearest(few, few.where("vec_id % 4 = 0"), 10).collect(), y[:8], (0, 4), 10) == 1
+
+
+def test_neighbours_by_probes(spark):
+    """Vectors in tight groups: the fit finds the index selective, and probes in a join find what blocks find."""
+    rng = np.random.default_rng(4)
+    x = np.repeat(rng.standard_normal((60, 32)), 15, axis=0) + 0.02 * rng.standard_normal((900, 32))
+    x[899] = rng.standard_normal(32)  # on its own: it has too few codes within the radius
+    x[880] = x[881]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(n, v.astype(np.float32).tolist(), 0, 0.0) for n, v in enumerate(x)] + [(5, x[5].astype(np.float32).tolist(), 0, 0.0)], VECTORS)
+    y = np.array(x, np.float32).astype(float)
+    codes = ann.fit(ann.usable(df), neighbours=10)
+    print("share that probes find", codes.found)
+    assert codes.found <= 0.05
+    asked = df.where("vec_id % 20 = 0 or vec_id = 899")
+    got = ann.nearest(df.where("vec_id != 5"), asked, 10, codes=codes, selective=0.05).collect()
+    want = ann.nearest(df.where("vec_id != 5"), asked, 10, codes=codes, selective=0.0).collect()
+    key = lambda r: (r.query_id, r.rank, r.vec_id)
+    assert sorted(map(key, got)) == sorted(map(key, want))
+    twice = ann.nearest(df, df.where("vec_id = 0"), 14, codes=codes, selective=0.05).collect()
+    assert [r.vec_id for r in twice].count(5) == 2
+
+
+def test_recall_on_the_driver_tables(spark, sf):
+    df = spark.read.parquet(f"{sf.replace('0.001', '0.1')}/embeddings.parquet")
+    y = np.array([r.embedding for r in df.orderBy("vec_id").collect()], float)
+    share = exact_recall(ann.nearest(df, df.where("vec_id % 20 = 0")).collect(), y, range(0, len(y), 20), 20)
+    print("recall at sf0.1", share)
+    assert share >= 0.9
 
 
 def test_probes_find_every_code_within_the_radius():
     rng = np.random.default_rng(5)
-    codes = ann.Codes(np.eye(64), 20, 64)
-    rows, asked = rng.integers(0, 256, (700, 8), np.uint8), rng.integers(0, 256, (50, 8), np.uint8)
+    codes = ann.Codes(np.zeros((64, 1)), 20, 1)
+    rows, asked = rng.integers(0, 1 << 16, (700, 4), np.uint16), rng.integers(0, 1 << 16, (50, 4), np.uint16)
     near = ann.apart(asked, rows) <= 20
-    bits = np.unpackbits(ann.probed(asked, rows, codes.reach(8)), axis=1, count=700).astype(bool)
-    assert not (near & ~bits).any()
+    assert near.any() and not (near & ~ann.probed(asked, rows, codes.reach())).any()
 
 
 def test_toxicity(spark, sf):
