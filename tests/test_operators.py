@@ -4,7 +4,7 @@ import difflib
 import itertools
 import json
 import random
-from datetime import UTC, datetime, timedelta
+from datetime import UTC, datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,6 +15,7 @@ from tidelog.functions.text import fold_text, seq_ratio
 from tidelog.operators import assess, derive, event, flatten, graph, quality, video
 from tidelog.operators.components import components
 from tidelog.sources import sinks
+from tidelog.streaming import jobs
 
 T0 = datetime(2026, 7, 10, 10, tzinfo=UTC)
 
@@ -123,8 +124,8 @@ def test_signature_edges_lose_nothing(spark):
     got = {(r.a, r.b, r.distance) for r in graph.signature_edges(spark.createDataFrame(signed, "id long, signature long")).collect()}
     want = {(a, b, (x ^ y).bit_count()) for a, x in sig for b, y in sig if a < b and (x ^ y).bit_count() <= 5}
     assert got == want and want
-    small = graph.signature_clusters(graph.signature_edges(spark.createDataFrame([(1, 0), (2, 5), (3, 4095)], "id long, signature long"))).collect()
-    assert {(r.cluster, r.member) for r in small} == {(1, 1), (1, 2)}
+    small = graph.signature_clusters(spark.createDataFrame([(1, 0), (2, 5), (3, 4095), (4, 7), (5, -1), (6, -1)], "id long, signature long")).collect()
+    assert {(r.cluster, r.member, r.distance, r.confidence) for r in small} == {(1, 1, None, 1.0), (1, 2, 2, 1 - 2 / 64), (1, 4, 3, 1 - 3 / 64), (5, 5, None, 1.0), (5, 6, 0, 1.0)}
 
 
 def test_components_equal_union_find(spark):
@@ -158,7 +159,8 @@ def test_media_order_and_removal(spark):
 
 def test_watchlist_takes_the_highest_signal(spark):
     rows = [(1, "A", 5, T0, "x", 10, 1, "latest", 9), (2, "A", 5, minutes(5), "Error and purchase", 50, 9, "hot", 2)]
-    obs = spark.createDataFrame(rows, "id long, bvid string, rpid long, captured_at timestamp, content string, like_count long, reply_count long, sort_mode string, position int")
+    obs = spark.createDataFrame(rows, "id long, bvid string, rpid long, captured_at timestamp, content string, like_count long, reply_count long, sort_mode string, position int").withColumn("root_rpid", F.lit(0))
+    assert derive.watch_candidates(obs.withColumn("root_rpid", F.lit(4)), derive.WatchPolicy()).count() == 0  # replies are not watched
     out = derive.watchlist(derive.watch_candidates(obs, derive.WatchPolicy(keywords=("error", "purchase")))).collect()
     assert [(r.reason, r.priority, r.score, r.hot_position) for r in out] == [("hot_top", 98, 98 + 8 + 8 + 20, 2)]
     assert derive.watch_candidates(obs.where("id = 1"), derive.WatchPolicy()).count() == 0
@@ -188,6 +190,92 @@ def test_tiers_need_two_downgrades(spark):
     seq = [(n, t) for n, t in enumerate("sbbasc")]
     out = assess.tier_history(spark.createDataFrame([("A", n, t) for n, t in seq], "bvid string, at int, desired string"), p).first()
     assert (out.effective, out.candidate, out.downgrades) == ("s", "c", 1)
+    random.seed(6)
+    rows, want = [], {}
+    for key in range(40):
+        effective, candidate, n = "c", None, 0
+        for at in range(random.randint(1, 40)):
+            desired = rows[-1][2] if rows and random.random() < 0.6 else random.choice("sabc")
+            rows.append((str(key), at, desired))
+            if "sabc".index(desired) <= "sabc".index(effective):
+                effective, candidate, n = desired, None, 0
+            else:
+                n = n + 1 if candidate == desired else 1
+                effective, candidate, n = (desired, None, 0) if n >= p.confirmations else (effective, desired, n)
+        want[str(key)] = (effective, candidate, n)
+    got = assess.tier_history(spark.createDataFrame(rows, "bvid string, at int, desired string"), p).collect()
+    assert {r.bvid: (r.effective, r.candidate, r.downgrades) for r in got} == want
+
+
+def test_alerts_repeat_and_resolve(spark):
+    state = spark.createDataFrame([("a", True, 1, None), ("b", True, 1, 5000), ("c", True, 1, 100), ("d", True, 1, 100), ("scheduled_job_failure:x", True, 1, 100), ("e", False, 3, 100)], "alert_key string, active boolean, occurrences long, notified_at long")
+    drafts = spark.createDataFrame([("a", True), ("b", True), ("c", False), ("e", True), ("new", True), ("quiet", False)], "alert_key string, triggered boolean")
+    got = {r.alert_key: (r.action, r.active, r.occurrences, r.notified_at) for r in quality.alert_transitions(state, drafts, F.lit(6000).cast("long")).collect()}
+    assert got == {"a": ("repeated", True, 2, 6000), "b": ("none", True, 2, 5000), "c": ("resolved", False, 1, 100), "d": ("none", True, 1, 100), "scheduled_job_failure:x": ("resolved", False, 1, 100), "e": ("triggered", True, 4, 6000), "new": ("triggered", True, 1, 6000)}
+
+
+def test_first_writer_and_last_page_win(spark):
+    links = spark.createDataFrame([(1, 0, 9, 1), (1, 0, 4, 2), (1, 1, 5, 3)], "comment_observation_id long, position int, media_source_id long, arrived int")
+    assert {(r.position, r.media_source_id) for r in derive.first_links(links, "arrived").collect()} == {(0, 9), (1, 5)}
+    tied = spark.createDataFrame([("A", T0, 1), ("A", T0, 2)], "bvid string, captured_at timestamp, id long")
+    assert windows.as_of(tied, "bvid", "captured_at", minutes(1), "id").first().id == 2
+
+
+def test_times_do_not_depend_on_the_session_zone(spark, tmp_path):
+    df = spark.createDataFrame([(1, datetime(2024, 1, 31, 20, tzinfo=UTC)), (2, datetime(2024, 2, 1, 3, 31, tzinfo=UTC)), (3, datetime(2024, 2, 29, 17, tzinfo=UTC))], "id long, at timestamp")
+    far = timezone(timedelta(hours=8))
+    held = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "Asia/Shanghai", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            path = str(tmp_path / zone.replace("/", "-"))
+            sinks.write_by_month(df, "at", path)
+            assert {r.id: r.captured_month for r in sinks.with_month(df, "at").collect()} == {1: "2024-01", 2: "2024-02", 3: "2024-02"}
+            got = sinks.read_window(spark, path, "at", datetime(2024, 2, 1, tzinfo=far), datetime(2024, 3, 1, tzinfo=far)).collect()
+            assert {r.id for r in got} == {1, 2}
+            p = assess.Policy()
+            marks = df.select("id", assess.in_activity(F.col("at"), p).alias("busy"), assess.focus_slot(F.col("at"), p.zone, 9, 18, ("11:31",)).alias("focus"), assess.slot_key(F.lit("routine"), F.lit("v"), F.unix_seconds("at")).alias("key"), values.iso_time(F.col("at")).alias("iso"))
+            assert [tuple(r) for r in marks.orderBy("id").collect()] == [
+                (1, False, False, "routine:v:2024-01-31T20:00:00Z", "2024-01-31T20:00:00Z"), (2, True, True, "routine:v:2024-02-01T03:31:00Z", "2024-02-01T03:31:00Z"), (3, False, False, "routine:v:2024-02-29T17:00:00Z", "2024-02-29T17:00:00Z"),
+            ]
+            videos = spark.createDataFrame([("A", datetime(2024, 1, 31, 13, tzinfo=UTC)), ("B", datetime(2024, 1, 31, 15, tzinfo=UTC))], "bvid string, pubdate timestamp").withColumn("first_seen_at", F.col("pubdate")).withColumn("available", F.lit(True))
+            none = spark.createDataFrame([], "bvid string, date string")
+            listed = assess.terminal_list(videos, none, datetime(2024, 1, 31, 15, 30, tzinfo=UTC), p).collect()
+            assert [(r.bvid, r.date) for r in listed] == [("A", "2024-01-31")]
+            assert assess.terminal_list(videos, none, datetime(2024, 1, 31, 13, 30, tzinfo=UTC), p).count() == 0
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", held)
+
+
+def test_literal_filter_folds_the_keyword(spark):
+    df = spark.createDataFrame([(1, "x ERROR code y"), (2, "error  code"), (3, "50% off"), (4, None)], "id long, t string")
+    assert [r.id for r in event.literal_filter(df, "t", "  Error Code ").collect()] == [1]
+    assert [r.id for r in event.literal_filter(df, "t", "0% o").collect()] == [3]
+    with pytest.raises(ValueError):
+        event.literal_filter(df, "t", "  ")
+
+
+def test_streams_end_where_folds_end(spark, sf):
+    """Streaming tiers, closed counts and alert states against the batch forms."""
+    tiers = {r.bvid: (r.effective, r.assessments) for r in QUERIES["stream_tiers"](spark, sf).collect()}
+    assert {k: v[0] for k, v in tiers.items()} == {r.bvid: r.effective for r in QUERIES["tier_history"](spark, sf).collect()}
+    exact = {(r.keyword, r.bucket): r.distinct_comments for r in QUERIES["stream_trends"](spark, sf).collect()}
+    closed = {(r.keyword, r.bucket): r.n for r in QUERIES["stream_closed_counts"](spark, sf).collect()}
+    assert closed and all(exact[k] == n for k, n in closed.items()) and len(closed) >= len(exact) - 6
+    drafts = QUERIES["alert_drafts"](spark, sf)
+    on = {r.alert_key for r in drafts.where("triggered").collect()}
+    assert {(r.alert_key, r.action, r.active) for r in QUERIES["stream_alerts"](spark, sf).collect()} == {(k, "triggered", True) for k in on}
+
+
+def test_streaming_spikes(spark, tmp_path):
+    rows = [(k, minutes(0 if n < 2 else 60), n, "error") for n in range(7) for k in ("A",)] + [("A", minutes(60 * h), 100 + h, "error") for h in range(2, 9)]
+    path = str(tmp_path / "in")
+    spark.createDataFrame(rows, "bvid string, captured_at timestamp, rpid long, content string").coalesce(1).write.parquet(path)
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    counts = jobs.drained(jobs.closed_counts(stream, ["error"], 3600), str(tmp_path / "counts"))
+    again = spark.readStream.schema(counts.schema).parquet(str(tmp_path / "counts" / "out"))
+    out = jobs.drained(jobs.spikes(again, 3600, 2.0, 3), str(tmp_path / "out")).collect()
+    assert [(r.keyword, r.was, r.n) for r in out] == [("error", 2, 5)]
 
 
 def test_backoff_counts_since_success(spark):

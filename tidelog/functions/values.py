@@ -12,6 +12,25 @@ def safe_long(value: Column, zero_is_null: bool = False) -> Column:
     return F.nullif(number, F.lit(0)) if zero_is_null else number
 
 
+def local_seconds(time: Column, zone: str) -> Column:
+    """Seconds since 1970 on a zone's clocks at an instant, whatever the session's zone is."""
+    return F.floor(F.unix_micros(F.from_utc_timestamp(time, zone)) / 1_000_000)
+
+
+def iso_utc(seconds: Column) -> Column:
+    """yyyy-MM-ddTHH:mm:ssZ of epoch seconds, whatever the session's zone is."""
+    rest = F.pmod(seconds, F.lit(86_400)).cast("int")
+    clock = F.format_string("T%02d:%02d:%02dZ", F.floor(rest / 3600).cast("int"), F.floor(rest / 60).cast("int") % 60, rest % 60)
+    return F.concat(F.date_from_unix_date(F.floor(seconds / 86_400).cast("int")).cast("string"), clock)
+
+
+def iso_time(time: Column) -> Column:
+    """The same of an instant, with microseconds where it has any."""
+    micros = F.pmod(F.unix_micros(time), F.lit(1_000_000)).cast("int")
+    whole = iso_utc(F.floor(F.unix_micros(time) / 1_000_000))
+    return F.when(micros == 0, whole).otherwise(F.concat(F.substring(whole, 1, 19), F.format_string(".%06dZ", micros)))
+
+
 def blank_to_null(value: Column) -> Column:
     return F.when(F.trim(value) != "", value)
 

@@ -8,11 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: The most buckets of a grid; a fixed value of the archive's queries.
+MOST_BUCKETS = 10_000
+
+
 def check_window(since: datetime, until: datetime) -> None:
     if since.tzinfo is None or until.tzinfo is None:
         raise ValueError("since and until need a time zone")
     if until <= since:
-        raise ValueError("until must be after since")
+        raise ValueError("a window ends after it begins")
 
 
 def check_range(name: str, value: float, low: float, high: float) -> None:
@@ -42,28 +46,38 @@ def grid(df_or_session, since: datetime, until: datetime, seconds: int) -> DataF
     spark = getattr(df_or_session, "sparkSession", df_or_session)
     first = epoch(since) - epoch(since) % seconds
     last = -(-int(until.timestamp() * 1_000_000) // 1_000_000)
+    if -(-(last - first) // seconds) > MOST_BUCKETS:
+        raise ValueError(f"the window has more than {MOST_BUCKETS} buckets")
     return spark.range(first, last, seconds).select(F.col("id").alias("bucket"))
 
 
-def band_join(left: DataFrame, right: DataFrame, time: str, seconds: int, condition: Column) -> DataFrame:
+def band_join(left: DataFrame, right: DataFrame, time: str, seconds: int, condition: Column, *equal: str, forward: bool = False) -> DataFrame:
     """Pairs whose times are at most `seconds` apart (whole seconds, truncated), as an equi-join on buckets.
 
+    equal: columns that pairs agree in, left_<name> and right_<name>; they are keys of the join too.
     Columns must be distinct but for `time`, which becomes left_<time> and right_<time>. The left side goes
-    to its bucket and both neighbours, the right side to its own, so a pair meets once.
+    to its bucket and both neighbours, the right side to its own, so a pair meets once. forward: only pairs
+    of which the right time is not before the left one, for which two buckets do.
     """
     width = seconds + 1
     a, b = F.col(f"left_{time}"), F.col(f"right_{time}")
     own = lambda t: F.floor(F.unix_seconds(t) / width)
-    left = left.withColumnRenamed(time, f"left_{time}").withColumn("band", F.explode(F.array(*(own(a) + k for k in (-1, 0, 1)))))
+    left = left.withColumnRenamed(time, f"left_{time}").withColumn("band", F.explode(F.array(*(own(a) + k for k in ((0, 1) if forward else (-1, 0, 1))))))
     right = right.withColumnRenamed(time, f"right_{time}").withColumn("band", own(b))
-    apart = F.abs(F.floor(F.abs(F.unix_micros(b) - F.unix_micros(a)) / 1_000_000))
-    return left.join(right, "band").where((apart <= seconds) & condition).drop("band")
-
-
-def as_of(df: DataFrame, key: str, time: str, until: datetime, strict: bool = True) -> DataFrame:
-    """The last row of each key before (or at) a time."""
+    apart = F.floor(F.abs(F.unix_micros(b) - F.unix_micros(a)) / 1_000_000)
+    if forward:
+        condition = (a <= b) & condition
+    same = [F.col(f"left_{c}") == F.col(f"right_{c}") for c in equal]
+    band = F.col("left_band") == F.col("right_band")
+    for one in same:
+        band = band & one
+    return left.withColumnRenamed("band", "left_band").join(right.withColumnRenamed("band", "right_band"), band).where((apart <= seconds) & condition).drop("left_band", "right_band")
+
+
+def as_of(df: DataFrame, key: str, time: str, until: datetime, *ties: str, strict: bool = True) -> DataFrame:
+    """The last row of each key before (or at) a time; of equal times that of the greatest `ties`."""
     limit = F.col(time) < F.lit(until) if strict else F.col(time) <= F.lit(until)
-    last = df.where(limit).groupBy(key).agg(F.max_by(F.struct("*"), time).alias("r"))
+    last = df.where(limit).groupBy(key).agg(F.max_by(F.struct("*"), F.struct(time, *ties)).alias("r"))
     return last.select("r.*")
 
 

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from datetime import datetime
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelog.functions.values import iso_utc, local_seconds
+
 TIERS = ("s", "a", "b", "c")
 
 
@@ -57,6 +60,11 @@ def with_hysteresis(state: DataFrame, p: Policy) -> DataFrame:
 
 def tier_history(assessments: DataFrame, p: Policy, key: str = "bvid", time: str = "at") -> DataFrame:
     """The effective tier after a whole history of desired tiers, from c."""
+    # equal tiers in a row act as the first `confirmations` of them, so only those of each run are gathered
+    w = Window.partitionBy(key).orderBy(time)
+    run = Window.partitionBy(key, "_run").orderBy(time)
+    changes = assessments.withColumn("_new", F.when(F.col("desired").eqNullSafe(F.lag("desired").over(w)), 0).otherwise(1))
+    few = changes.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.row_number().over(run)).where(F.col("_n") <= p.confirmations)
     steps = F.transform(F.array_sort(F.collect_list(F.struct(time, "desired"))), lambda x: x["desired"])
     start = F.struct(F.lit("c").alias("effective"), F.lit(None).cast("string").alias("candidate"), F.lit(0).alias("downgrades"))
 
@@ -66,7 +74,7 @@ def tier_history(assessments: DataFrame, p: Policy, key: str = "bvid", time: str
         done = ~lower | (n >= p.confirmations)
         return F.struct(F.when(done, d).otherwise(s["effective"]).alias("effective"), F.when(done, F.lit(None).cast("string")).otherwise(d).alias("candidate"), F.when(done, F.lit(0)).otherwise(n).alias("downgrades"))
 
-    return assessments.groupBy(key).agg(F.aggregate(steps, start, step).alias("s")).select(key, "s.*")
+    return few.groupBy(key).agg(F.aggregate(steps, start, step).alias("s")).select(key, "s.*")
 
 
 def life_stage(p: Policy) -> Column:
@@ -81,8 +89,7 @@ def age_interval(age_seconds: Column, views_hour: Column) -> Column:
 
 def in_activity(now: Column, p: Policy) -> Column:
     """Whether an instant is in a local window, which may cross midnight."""
-    local = F.from_utc_timestamp(now, p.zone)
-    minute = F.hour(local) * 60 + F.minute(local)
+    minute = F.pmod(F.floor(local_seconds(now, p.zone) / 60), F.lit(1440))
     inside = [((minute >= a) & (minute < b)) if a < b else ((minute >= a) | (minute < b)) for a, b in p.windows]
     out = F.lit(False)
     for one in inside:
@@ -142,7 +149,7 @@ def slot_priority(kind: Column, tier: Column) -> Column:
 
 def slot_key(kind: Column, bvid: Column, slot: Column) -> Column:
     """kind:bvid:time of a slot in epoch seconds."""
-    return F.concat_ws(":", kind, bvid, F.date_format(F.timestamp_seconds(slot), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    return F.concat_ws(":", kind, bvid, iso_utc(slot))
 
 
 def hot_pages(tier: Column, kind: Column, routine: dict[str, int], checkpoint: dict[str, int], core: int = 1) -> Column:
@@ -202,15 +209,16 @@ def due_list(videos: DataFrame, now: int) -> DataFrame:
 
 def terminal_list(videos: DataFrame, listed: DataFrame, now: datetime, p: Policy, hour: int = 22) -> DataFrame:
     """After the local hour, available videos published and seen by then that the date's list doesn't have."""
-    local = F.from_utc_timestamp(F.lit(now), p.zone)
-    until = F.to_utc_timestamp(F.date_trunc("day", local) + F.expr(f"INTERVAL {hour} HOURS"), p.zone)
-    rows = videos.where((F.lit(now) >= until) & (F.col("pubdate") <= until) & (F.col("first_seen_at") <= until) & F.col("available")).withColumn("date", F.date_format(local, "yyyy-MM-dd"))
+    local = now.astimezone(ZoneInfo(p.zone))
+    until = F.lit(local.replace(hour=hour, minute=0, second=0, microsecond=0))
+    rows = videos.where((F.lit(now) >= until) & (F.col("pubdate") <= until) & (F.col("first_seen_at") <= until) & F.col("available")).withColumn("date", F.lit(f"{local:%Y-%m-%d}"))
     return rows.join(listed, ["bvid", "date"], "left_anti")
 
 
 def focus_slot(now: Column, zone: str, from_hour: int, to_hour: int, times: tuple[str, ...]) -> Column:
-    local = F.from_utc_timestamp(now, zone)
-    return F.hour(local).between(from_hour, to_hour - 1) & F.date_format(local, "HH:mm").isin(*times)
+    """Whether an instant is at one of the local times (HH:mm), within the hours."""
+    minute = F.pmod(F.floor(local_seconds(now, zone) / 60), F.lit(1440))
+    return F.floor(minute / 60).between(from_hour, to_hour - 1) & minute.isin(*(60 * int(t[:2]) + int(t[3:]) for t in times))
 
 
 def active_targets(targets: DataFrame, events: DataFrame, now: datetime) -> DataFrame:
@@ -226,7 +234,3 @@ def signals(videos: DataFrame, sources: DataFrame, event_videos: DataFrame, grow
     core = event_videos.where("active").select("bvid", F.lit(True).alias("event_core")).distinct()
     out = videos.join(official, "bvid", "left").join(core, "bvid", "left").join(growth, "bvid", "left")
     return out.fillna(False, ["official", "event_core"])
-
-
-def latest_window(key: str, *order: str):
-    return Window.partitionBy(key).orderBy(*(F.desc(c) for c in order))

@@ -102,12 +102,12 @@ def media_changes(links: DataFrame, observation_ids: DataFrame) -> DataFrame:
 def media_sources(links: DataFrame) -> DataFrame:
     """Sources keyed by platform and hash of URL. links: platform, url, captured_at, page_id."""
     key = F.sha2("url", 256)
-    return links.groupBy("platform", key.alias("url_hash")).agg(F.min("url").alias("source_url"), F.min("captured_at").alias("first_seen_at"), F.max("captured_at").alias("last_seen_at"), F.min_by("page_id", "captured_at").alias("first_page_id"), F.max_by("page_id", "captured_at").alias("last_page_id"))
+    return links.groupBy("platform", key.alias("url_hash")).agg(F.min("url").alias("source_url"), F.min("captured_at").alias("first_seen_at"), F.max("captured_at").alias("last_seen_at"), F.min_by("page_id", F.struct("captured_at", "page_id")).alias("first_page_id"), F.max_by("page_id", F.struct("captured_at", "page_id")).alias("last_page_id"))
 
 
-def first_links(links: DataFrame) -> DataFrame:
-    """One link for each observation and position: the least source."""
-    w = Window.partitionBy("comment_observation_id", "position").orderBy("media_source_id")
+def first_links(links: DataFrame, *arrival: str) -> DataFrame:
+    """One link for each observation and position: the first to arrive (by these columns), then the least source."""
+    w = Window.partitionBy("comment_observation_id", "position").orderBy(*arrival, "media_source_id")
     return links.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
@@ -126,7 +126,8 @@ class WatchPolicy:
 
 
 def watch_candidates(obs: DataFrame, policy: WatchPolicy) -> DataFrame:
-    """Scored observations that some signal marks; of equal priorities the signal named first gives the reason."""
+    """Scored observations of root comments that some signal marks; of equal priorities the signal named first gives the reason."""
+    obs = obs.where(F.col("root_rpid").isNull() | (F.col("root_rpid") == 0))
     w = Window.partitionBy("rpid").orderBy(*BY_TIME)
     p = obs.withColumn("was", F.lag(F.struct("reply_count", "like_count")).over(w)).withColumn("first_seen", F.row_number().over(w) == 1)
     p = p.withColumn("replies", F.col("reply_count") - F.col("was.reply_count")).withColumn("likes", F.col("like_count") - F.col("was.like_count"))
@@ -154,7 +155,7 @@ def watchlist(candidates: DataFrame) -> DataFrame:
     last = F.max_by(F.struct("reply_count", "like_count", "id", "captured_at"), F.struct("captured_at", "id"))
     hot = F.max_by(F.when(F.col("hot_position").isNotNull(), F.col("hot_position")), F.when(F.col("hot_position").isNotNull(), F.struct("captured_at", "id")))
     out = candidates.groupBy("bvid", "rpid").agg(best.alias("b"), last.alias("l"), hot.alias("hot_position"), F.min("captured_at").alias("first_seen_at"))
-    return out.select("bvid", "rpid", "b.*", "hot_position", F.col("l.reply_count").alias("reply_count"), F.col("l.like_count").alias("like_count"), F.col("l.id").alias("last_comment_observation_id"), "first_seen_at", F.col("l.captured_at").alias("last_seen_at"), (F.col("l.captured_at") + F.expr("INTERVAL 1 DAY")).alias("expires_at"))
+    return out.select("bvid", "rpid", F.col("rpid").alias("root_rpid"), F.lit(True).alias("active"), "b.*", "hot_position", F.col("l.reply_count").alias("reply_count"), F.col("l.like_count").alias("like_count"), F.col("l.id").alias("last_comment_observation_id"), "first_seen_at", F.col("l.captured_at").alias("last_seen_at"), (F.col("l.captured_at") + F.expr("INTERVAL 1 DAY")).alias("expires_at"))
 
 
 def known_videos(sightings: DataFrame) -> DataFrame:
@@ -163,10 +164,10 @@ def known_videos(sightings: DataFrame) -> DataFrame:
 
 
 def video_sources(links: DataFrame) -> DataFrame:
-    """Associations by (bvid, mid, pool): first row's fields stay, last seen advances."""
+    """Associations by (bvid, mid, pool): first row's fields stay, last seen and last page advance; equal times go by page_id."""
     key = ["bvid", "source_mid", "pool_type", "pool_id"]
     valid = links.where(" and ".join(f"trim({c}) != ''" for c in key))
-    return valid.groupBy(*key).agg(F.min_by(F.struct("official", "monitored"), "captured_at").alias("f"), F.min("captured_at").alias("first_seen_at"), F.max("captured_at").alias("last_seen_at")).select(*key, "f.*", "first_seen_at", "last_seen_at", F.lit(True).alias("active"))
+    return valid.groupBy(*key).agg(F.min_by(F.struct("official", "monitored"), F.struct("captured_at", "page_id")).alias("f"), F.min("captured_at").alias("first_seen_at"), F.max("captured_at").alias("last_seen_at"), F.max_by("page_id", F.struct("captured_at", "page_id")).alias("last_page_id")).select(*key, "f.*", "first_seen_at", "last_seen_at", "last_page_id", F.lit(True).alias("active"))
 
 
 def discovery_priority(videos: DataFrame, known: DataFrame, now: Column, late_seconds: int = 120) -> DataFrame:

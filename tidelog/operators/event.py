@@ -40,6 +40,16 @@ def matched(obs: DataFrame, terms: list[str], fold: str = "fold") -> DataFrame:
     return folded.withColumn("hits", F.filter(listed, lambda t: F.contains(F.col("_folded"), t))).drop("_folded").where(F.size("hits") > 0)
 
 
+def literal_filter(rows: DataFrame, column: str, keyword: str | None) -> DataFrame:
+    """Rows whose lower-case text holds the keyword (trimmed, one blank between words, folded) literally; all without one."""
+    if keyword is None:
+        return rows
+    wanted = " ".join(keyword.split()).casefold()
+    if not wanted:
+        raise ValueError("the keyword filter is empty")
+    return rows.where(F.contains(F.lower(column), F.lit(wanted)))
+
+
 def keyword_trends(obs: DataFrame, keywords: list[str], since: datetime, until: datetime, seconds: int, evidence: bool = False) -> DataFrame:
     """Distinct comments and observations of each keyword and bucket, zero-filled; with ids as evidence on request."""
     check_window(since, until)
@@ -98,12 +108,12 @@ def templates(entities: DataFrame, seconds: int, least: float, min_chars: int =
     same = F.col("left_hash") == F.col("right_hash")
     apart = F.floor((F.unix_micros("right_first_seen_at") - F.unix_micros("left_first_seen_at")) / 1_000_000)
     out = lambda pairs, similarity, algorithm: pairs.select("left_rpid", "right_rpid", "left_bvid", "right_bvid", similarity.alias("similarity"), apart.alias("seconds_apart"), F.lit(algorithm).alias("algorithm"))
-    equal = out(band_join(side("left"), side("right"), "first_seen_at", seconds, both & same), F.lit(1.0), "normalized_exact_text_cross_video")
+    equal = out(band_join(side("left"), side("right"), "first_seen_at", seconds, both, "hash", forward=True), F.lit(1.0), "normalized_exact_text_cross_video")
     if least == 1:
         return equal
     total = F.col("left_size") + F.col("right_size")
     size = 2 * F.least("left_size", "right_size") >= least * total
-    pairs = band_join(side("left", "size", "letters"), side("right", "size", "letters"), "first_seen_at", seconds, both & ~same & size)
+    pairs = band_join(side("left", "size", "letters"), side("right", "size", "letters"), "first_seen_at", seconds, both & ~same & size, forward=True)
     pairs = pairs.where(2 * shared_letters(F.col("left_letters"), F.col("right_letters")) >= least * total).drop("left_letters", "right_letters", "left_size", "right_size")
     # one comparison of each two texts, however often they meet
     texts = folded.groupBy("hash").agg(F.first("folded").alias("folded"))
@@ -111,7 +121,7 @@ def templates(entities: DataFrame, seconds: int, least: float, min_chars: int =
     compared = pairs.select("left_hash", "right_hash").distinct().join(text("left"), "left_hash").join(text("right"), "right_hash")
     parts = max(int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * entities.sparkSession.sparkContext.defaultParallelism)
     ratios = compared.repartition(parts).select("left_hash", "right_hash", seq_ratio(F.col("left_text"), F.col("right_text"), least).alias("similarity")).where("similarity is not null")
-    return equal.unionByName(out(pairs.join(ratios, ["left_hash", "right_hash"]), F.col("similarity"), "sequence_ratio_cross_video"))
+    return equal.unionByName(out(pairs.join(ratios, ["left_hash", "right_hash"]), F.col("similarity"), "similar_text_cross_video"))
 
 
 def duplicate_display(on_page: DataFrame) -> DataFrame:
@@ -126,6 +136,23 @@ def same_author_texts(entities: DataFrame) -> DataFrame:
     return a.join(b, ["author_mid", "h"]).where("subject_rpid < related_rpid").drop("h")
 
 
+def same_author_counts(entities: DataFrame) -> DataFrame:
+    """rpid, origins and amplified: in how many pairs of same_author_texts() a comment is the subject and the related one.
+
+    Counted by its place among the equal texts of its author, so that no pair is made.
+    """
+    f = entities.withColumn("folded", fold_text(F.col("first_content"), "alnum")).where("folded != '' and author_mid is not null").select("author_mid", F.sha2("folded", 256).alias("h"), "rpid")
+    n = f.groupBy("author_mid", "h").agg(F.count("*").alias("n")).where("n > 1")
+    place = F.row_number().over(Window.partitionBy("author_mid", "h").orderBy("rpid"))
+    return f.join(n, ["author_mid", "h"]).select("rpid", (F.col("n") - place).alias("origins"), (place - 1).cast("long").alias("amplified"))
+
+
+def flag_counts(flags: DataFrame) -> DataFrame:
+    """The same of flags (subject_rpid, related_rpid)."""
+    ends = flags.select(F.explode(F.array(F.struct(F.col("subject_rpid").alias("rpid"), F.lit(1).alias("origins")), F.struct(F.col("related_rpid").alias("rpid"), F.lit(0).alias("origins")))).alias("e")).select("e.*")
+    return ends.where("rpid is not null").groupBy("rpid").agg(F.sum("origins").alias("origins"), F.sum(1 - F.col("origins")).alias("amplified"))
+
+
 def keyed_flags(drafts: DataFrame, version: str = "1") -> DataFrame:
     """Drafts (event_id, flag_type, subject_rpid, related_rpid, evidence_scope) with their stable keys, one for each key."""
     text = lambda c: F.col(c).cast("string")
@@ -138,49 +165,95 @@ def new_flags(drafts: DataFrame, existing: DataFrame) -> DataFrame:
     return keyed_flags(drafts).join(existing.select("stable_key"), "stable_key", "left_anti")
 
 
-def propagation_nodes(entities: DataFrame, flags: DataFrame, targets: DataFrame) -> DataFrame:
-    """Role scores of authors, relative to the window's maxima; flags are template flags of the event."""
-    own = entities.where("author_mid is not null")
-    base = own.groupBy("author_mid").agg(F.count("*").alias("comments"), F.count_distinct("bvid").alias("videos"), F.count_if((F.col("root_rpid") != 0) & F.col("root_rpid").isNotNull()).alias("replies"))
-    who = own.select("rpid", "author_mid")
-    side = lambda c, n: flags.join(who.withColumnRenamed("rpid", c), c).groupBy("author_mid").agg(F.count("*").alias(n))
-    official = targets.where(F.col("active") & (F.col("target_type") == "uid") & (F.lower(F.get_json_object("extra", "$.role")) == "official")).select(F.col("normalized_value").try_cast("long").alias("author_mid"), F.lit(1.0).alias("official")).distinct()
-    p = base.join(side("subject_rpid", "origins"), "author_mid", "left").join(side("related_rpid", "amplified"), "author_mid", "left").join(F.broadcast(official), "author_mid", "left").fillna(0, ["origins", "amplified", "official"])
+def with_role(targets: DataFrame, role: str, name: str) -> DataFrame:
+    """Ids (as `name`) of an event's active uid targets in a role, with their target ids; a configuration list."""
+    same = fold_text(F.get_json_object("extra", "$.role"), "fold") == role
+    found = targets.where(F.col("active") & (F.col("target_type") == "uid") & same)
+    return found.groupBy(F.col("normalized_value").try_cast("long").alias(name)).agg(F.array_sort(F.collect_set("id")).alias("target_ids"))
+
+
+def propagation_nodes(entities: DataFrame, counts: DataFrame, targets: DataFrame, since: datetime | None = None, until: datetime | None = None) -> DataFrame:
+    """Role scores of authors of comments first seen in the window, relative to their maxima.
+
+    counts: rpid, origins and amplified, of template flags of the event (flag_counts()). author_name is the
+    first that is known. The comments, payloads and flags behind a score are rows of propagation_evidence().
+    """
+    own = within(entities, "first_seen_at", since, until).where("author_mid is not null")
+    order = F.struct("first_seen_at", "rpid")
+    name = F.min_by(F.when(F.col("author_name").isNotNull(), F.col("author_name")), F.when(F.col("author_name").isNotNull(), order))
+    base = own.join(counts, "rpid", "left").groupBy("author_mid").agg(
+        name.alias("author_name"), F.count("*").alias("comments"), F.count_distinct("bvid").alias("videos"), F.count_if((F.col("root_rpid") != 0) & F.col("root_rpid").isNotNull()).alias("replies"),
+        F.coalesce(F.sum("origins"), F.lit(0)).alias("origins"), F.coalesce(F.sum("amplified"), F.lit(0)).alias("amplified"),
+    )
+    official = with_role(targets, "official", "author_mid").select("author_mid", F.lit(1.0).alias("official"), F.col("target_ids").alias("official_target_ids"))
+    p = base.join(F.broadcast(official), "author_mid", "left").fillna(0, ["official"]).withColumn("official_target_ids", F.coalesce("official_target_ids", F.array().cast("array<bigint>")))
     top = p.agg(*(F.max(c).alias(f"max_{c}") for c in ("videos", "replies", "origins", "amplified")))
     p = p.crossJoin(F.broadcast(top))  # one row
     share = lambda c: F.coalesce(F.try_divide(F.col(c).cast("double"), F.col(f"max_{c}")), F.lit(0.0))
     scores = {"originator": share("origins"), "amplifier": share("amplified"), "bridge": F.when(F.col("max_videos") > 1, (F.col("videos") - 1) / (F.col("max_videos") - 1)).otherwise(0.0), "responder": share("replies"), "official": F.col("official").cast("double")}
-    return p.select("author_mid", "comments", "videos", "replies", "origins", "amplified", *(F.round(v, 6).alias(k) for k, v in scores.items()), F.round(F.greatest(*scores.values()), 6).alias("overall"))
+    return p.select("author_mid", "author_name", "comments", "videos", "replies", "origins", "amplified", "official_target_ids", *(F.round(v, 6).alias(k) for k, v in scores.items()), F.round(F.greatest(*scores.values()), 6).alias("overall"))
+
+
+def propagation_evidence(entities: DataFrame, flags: DataFrame, since: datetime | None = None, until: datetime | None = None) -> DataFrame:
+    """author_mid, kind (comment, raw_payload, template_flag) and id: a row for each that a node's scores rest on.
+
+    flags: id, subject_rpid and related_rpid.
+    """
+    own = within(entities, "first_seen_at", since, until).where("author_mid is not null")
+    who = own.select("rpid", "author_mid")
+    part = lambda df, kind, c: df.where(F.col(c).isNotNull()).select("author_mid", F.lit(kind).alias("kind"), F.col(c).cast("long").alias("id"))
+    out = part(own, "comment", "rpid").unionByName(part(own, "raw_payload", "first_raw_payload_id"))
+    for end in ("subject_rpid", "related_rpid"):
+        out = out.unionByName(part(flags.join(who.withColumnRenamed("rpid", end), end), "template_flag", "id"))
+    return out.distinct()
 
 
 def is_spike(was: Column, now: Column, multiplier: float, least: int) -> Column:
     return was.isNotNull() & (now >= least) & (now >= F.greatest(F.lit(float(least)), was * multiplier))
 
 
+def signals(rows: DataFrame, kind: str, scope_type: str, bucket: Column, scope: Column, magnitude: Column, previous: Column | None = None, current: Column | None = None) -> DataFrame:
+    """Rows as signals: signal_type, bucket (epoch seconds), scope_type, scope, magnitude, previous_count and current_count."""
+    count = lambda c: (F.lit(None) if c is None else c).cast("long")
+    return rows.select(F.lit(kind).alias("signal_type"), bucket.alias("bucket"), F.lit(scope_type).alias("scope_type"), scope.alias("scope"), magnitude.alias("magnitude"), count(previous).alias("previous_count"), count(current).alias("current_count"))
+
+
 def comment_spikes(entities: DataFrame, since: datetime, until: datetime, seconds: int, multiplier: float, least: int) -> DataFrame:
     """Buckets whose first-seen comments jump against the bucket before."""
     counts = within(entities, "first_seen_at", since, until).groupBy(bucket(F.col("first_seen_at"), seconds).alias("bucket")).agg(F.count("*").alias("n"))
     series = grid(entities, since, until, seconds).join(counts, "bucket", "left").fillna(0, ["n"])
-    w = Window.orderBy("bucket")  # a grid of at most 10 000 buckets
+    w = Window.orderBy("bucket")  # the grid has MOST_BUCKETS at most
     p = series.withColumn("was", F.lag("n").over(w))
-    return p.where(is_spike(F.col("was"), F.col("n"), multiplier, least)).select(F.lit("comment_spike").alias("signal_type"), "bucket", F.lit("event").alias("scope"), ratio(F.col("n"), F.greatest("was", F.lit(1))).alias("magnitude"))
+    return signals(p.where(is_spike(F.col("was"), F.col("n"), multiplier, least)), "comment_spike", "event", F.col("bucket"), F.lit("event"), ratio(F.col("n"), F.greatest("was", F.lit(1))), F.col("was"), F.col("n"))
 
 
 def keyword_spikes(obs: DataFrame, keywords: list[str], since: datetime, until: datetime, seconds: int, multiplier: float, least: int) -> DataFrame:
     """The same for the distinct comments of each keyword."""
     p = keyword_trends(obs, keywords, since, until, seconds).withColumn("was", F.lag("distinct_comments").over(Window.partitionBy("keyword").orderBy("bucket")))
-    return p.where(is_spike(F.col("was"), F.col("distinct_comments"), multiplier, least)).select(F.lit("keyword_spike").alias("signal_type"), "bucket", F.col("keyword").alias("scope"), ratio(F.col("distinct_comments"), F.greatest("was", F.lit(1))).alias("magnitude"))
+    n = F.col("distinct_comments")
+    return signals(p.where(is_spike(F.col("was"), n, multiplier, least)), "keyword_spike", "keyword", F.col("bucket"), F.col("keyword"), ratio(n, F.greatest("was", F.lit(1))), F.col("was"), n)
+
+
+def spike_evidence(spikes: DataFrame, hits: DataFrame) -> DataFrame:
+    """signal_type, scope, bucket, kind (comment, observation, raw_payload) and id: a row for each that is in a spike's bucket.
+
+    hits: scope, bucket and rpid, observation_id, raw_payload_id (null where a signal has none).
+    """
+    met = spikes.select("signal_type", "scope", "bucket").join(hits, ["scope", "bucket"])
+    kinds = {"comment": "rpid", "observation": "observation_id", "raw_payload": "raw_payload_id"}
+    ids = F.array(*(F.struct(F.lit(kind).alias("kind"), F.col(c).cast("long").alias("id")) for kind, c in kinds.items()))
+    return met.select("signal_type", "scope", "bucket", F.explode(ids).alias("e")).select("signal_type", "scope", "bucket", "e.*").where("id is not null").distinct()
 
 
 def turnover_signals(turnover: DataFrame, threshold: float) -> DataFrame:
-    return turnover.where(F.col("turnover_rate") >= threshold).select(F.lit("hot_turnover").alias("signal_type"), F.unix_seconds("captured_at").alias("bucket"), F.col("bvid").alias("scope"), F.round("turnover_rate", 6).alias("magnitude"))
+    return signals(turnover.where(F.col("turnover_rate") >= threshold), "hot_turnover", "video", F.unix_seconds("captured_at"), F.col("bvid"), F.round("turnover_rate", 6))
 
 
 def creator_signals(infos: DataFrame, targets: DataFrame, since: datetime, until: datetime) -> DataFrame:
     """First snapshot of each video by an owner in the role, where it is in the window."""
-    owners = targets.where(F.col("active") & (F.col("target_type") == "uid") & (F.lower(F.get_json_object("extra", "$.role")) == "major_creator")).select(F.col("normalized_value").try_cast("long").alias("owner_mid")).distinct()
+    owners = with_role(targets, "major_creator", "owner_mid").select("owner_mid")
     first = infos.join(F.broadcast(owners), "owner_mid", "left_semi").where(F.col("captured_at") < F.lit(until)).groupBy("bvid").agg(F.min("captured_at").alias("at"))
-    return first.where(F.col("at") >= F.lit(since)).select(F.lit("major_creator_involvement").alias("signal_type"), F.unix_seconds("at").alias("bucket"), F.col("bvid").alias("scope"), F.lit(1.0).alias("magnitude"))
+    return signals(first.where(F.col("at") >= F.lit(since)), "major_creator_involvement", "video", F.unix_seconds("at"), F.col("bvid"), F.lit(1.0))
 
 
 def reply_edges(entities: DataFrame) -> DataFrame:
@@ -200,13 +273,21 @@ def propagation_replay(videos: DataFrame, entities: DataFrame, flags: DataFrame,
     return one.unionByName(two).unionByName(three)
 
 
-def timeline(**sources: tuple[DataFrame, Column, Column]) -> DataFrame:
-    """Records of several sources: record_type, at, source_key."""
-    parts = [df.select(F.lit(kind).alias("record_type"), time.alias("at"), F.concat(F.lit(f"{kind}:"), key.cast("string")).alias("source_key")) for kind, (df, time, key) in sources.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+#: Record types of a timeline, and the tables that their keys name.
+TIMELINE = {"event_video_associated": "event_videos", "video_metric_snapshot": "video_metric_snapshots", "comment_state_event": "comment_state_events", "comment_visibility_event": "comment_visibility_events"}
+
+
+def timeline(since: datetime | None = None, until: datetime | None = None, bvid: str | None = None, **sources: tuple[DataFrame, Column, Column]) -> DataFrame:
+    """Records of an event's sources (by record type: rows with bvid, time, key): record_type, at, source_key and bvid.
+
+    The window is half-open, and either end may be open; rows of other videos than bvid are left out.
+    """
+    out = None
+    for kind, (df, time, key) in sources.items():
+        part = df.select(F.lit(kind).alias("record_type"), time.alias("at"), F.concat(F.lit(f"{TIMELINE[kind]}:"), key.cast("string")).alias("source_key"), "bvid")
+        out = part if out is None else out.unionByName(part)
+    out = within(out, "at", since, until)
+    return out if bvid is None else out.where(F.col("bvid") == bvid)
 
 
 def coverage_summary(rows: DataFrame, videos: DataFrame) -> DataFrame:
@@ -223,10 +304,18 @@ def coverage_summary(rows: DataFrame, videos: DataFrame) -> DataFrame:
     return n.crossJoin(s).withColumn("video_ratio", ratio(F.col("covered_videos"), F.col("active_videos"))).withColumn("page_ratio", ratio(F.col("pages_succeeded"), F.col("pages_requested")))  # one row each
 
 
-def core_videos(videos: DataFrame, metrics: DataFrame, until: datetime) -> DataFrame:
-    """Each video with its last snapshot before a time."""
-    last = metrics.where(F.col("captured_at") < F.lit(until)).groupBy("bvid").agg(F.max_by(F.struct("view_count", "like_count", "raw_payload_id", "captured_at"), F.struct("captured_at", "raw_payload_id")).alias("m"))
-    return videos.join(last, "bvid", "left").select("bvid", "active", "m.*")
+def core_videos(videos: DataFrame, infos: DataFrame, metrics: DataFrame, until: datetime) -> DataFrame:
+    """Each video with its association and its last snapshots of either kind before a time.
+
+    Those with metrics come first, then with a title, then by confidence, first seen and id.
+    """
+    order = F.struct("captured_at", "raw_payload_id")
+    last = lambda df, *names: df.where(F.col("captured_at") < F.lit(until)).groupBy("bvid").agg(F.max_by(F.struct(*names), order).alias("r"))
+    info = last(infos, "title", "owner_mid", "owner_name", F.col("raw_payload_id").alias("info_raw_payload_id")).select("bvid", "r.*")
+    metric = last(metrics, "captured_at", "view_count", "like_count", "coin_count", "raw_payload_id").select("bvid", "r.*")
+    both = videos.join(info, "bvid", "left").join(metric, "bvid", "left")
+    both = both.select("bvid", "active", "association_reason", "confidence", "first_seen_at", "title", "owner_mid", "owner_name", "info_raw_payload_id", "captured_at", "view_count", "like_count", "coin_count", "raw_payload_id")
+    return both.orderBy(F.col("captured_at").isNull(), F.col("title").isNull(), F.desc("confidence"), "first_seen_at", "bvid")
 
 
 def template_clusters(pairs: DataFrame) -> DataFrame:

@@ -28,24 +28,41 @@ def queue_depth(tasks: DataFrame, now: Column) -> DataFrame:
     return tasks.groupBy("status", "kind").agg(F.count("*").alias("tasks"), F.greatest(F.datediff(now, F.min("created_at")), F.lit(0)).alias("oldest_days"))
 
 
-def alert_drafts(pages: Column, errors: Column, pending: Column, oldest_seconds: Column, totals: DataFrame, min_pages: int = 20, rate: float = 0.25, backlog: int = 1000, age: int = 900) -> DataFrame:
-    """alert_key and triggered of the two rates; totals is one row."""
-    failing = (pages >= min_pages) & (F.try_divide(errors.cast("double"), pages.cast("double")) >= rate)
-    behind = (pending >= backlog) | (oldest_seconds >= age)
-    drafts = F.array(F.struct(F.lit("request_failure_rate").alias("alert_key"), F.coalesce(failing, F.lit(False)).alias("triggered")), F.struct(F.lit("task_backlog").alias("alert_key"), F.coalesce(behind, F.lit(False)).alias("triggered")))
-    return totals.select(F.explode(drafts).alias("d")).select("d.*")
+#: Keys of alerts of scheduled jobs begin like this.
+JOB_ALERT = "scheduled_job_failure:"
+
+
+def alert_drafts(totals: DataFrame, jobs: DataFrame, min_pages: int = 20, rate: float = 0.25, backlog: int = 1000, age: int = 900, failures: int = 3) -> DataFrame:
+    """alert_key, severity and triggered of the failure rate, the backlog, the workers' heartbeat and each enabled job.
+
+    totals: one row of pages, errors, pending, oldest_seconds and fresh_workers; jobs: job_key, enabled and
+    consecutive_failures. Jobs that are gone get no draft: alert_transitions() resolves their alerts.
+    """
+    c = F.col
+    failing = (c("pages") >= min_pages) & (F.try_divide(c("errors").cast("double"), c("pages").cast("double")) >= rate)
+    behind = (c("pending") >= backlog) | (c("oldest_seconds") >= age)
+    drafts = {"request_failure_rate": ("critical", failing), "task_backlog": ("warning", behind), "worker_heartbeat": ("critical", F.coalesce(c("fresh_workers"), F.lit(0)) == 0)}
+    each = F.array(*(F.struct(F.lit(key).alias("alert_key"), F.lit(severity).alias("severity"), F.coalesce(on, F.lit(False)).alias("triggered")) for key, (severity, on) in drafts.items()))
+    of_jobs = jobs.where("enabled").select(F.concat(F.lit(JOB_ALERT), "job_key").alias("alert_key"), F.lit("critical").alias("severity"), (c("consecutive_failures") >= failures).alias("triggered"))
+    return totals.select(F.explode(each).alias("d")).select("d.*").unionByName(of_jobs)
 
 
 def alert_transitions(state: DataFrame, drafts: DataFrame, now: Column, repeat_seconds: int = 3600) -> DataFrame:
     """triggered, repeated, resolved or none of each alert, with the next state.
 
-    state: alert_key, active, occurrences, notified_at (epoch seconds); keys without a draft are resolved.
+    state: alert_key, active, occurrences, notified_at (epoch seconds; null: never told, so a repeat is due).
+    Of keys without a draft, jobs' alerts are resolved and others stay as they are. A draft that isn't
+    triggered makes no state.
     """
-    j = state.join(drafts, "alert_key", "full_outer")
-    was, on = F.coalesce("active", F.lit(False)), F.coalesce("triggered", F.lit(False))
-    due = now - F.col("notified_at") >= repeat_seconds
-    action = F.when(on & ~was, "triggered").when(on & was & due, "repeated").when(~on & was, "resolved").otherwise("none")
-    return j.select("alert_key", action.alias("action"), on.alias("active"), (F.coalesce("occurrences", F.lit(0)) + F.when(on, 1).otherwise(0)).alias("occurrences"), F.when(action.isin("triggered", "repeated"), now).otherwise(F.col("notified_at")).alias("notified_at"))
+    j = state.withColumn("_known", F.lit(True)).join(drafts.select("alert_key", "triggered"), "alert_key", "full_outer")
+    was = F.coalesce("active", F.lit(False))
+    on = F.coalesce("triggered", was & ~F.col("alert_key").startswith(JOB_ALERT))
+    told = F.col("triggered").isNotNull()
+    j = j.where(F.col("_known") | on)
+    due = F.coalesce(now - F.col("notified_at") >= repeat_seconds, F.lit(True))
+    action = F.when(told & on & ~was, "triggered").when(told & on & was & due, "repeated").when(~on & was, "resolved").otherwise("none")
+    on_now = told & on
+    return j.select("alert_key", action.alias("action"), on.alias("active"), (F.coalesce("occurrences", F.lit(0)) + F.when(on_now, 1).otherwise(0)).alias("occurrences"), F.when(action.isin("triggered", "repeated"), now).otherwise(F.col("notified_at")).alias("notified_at"))
 
 
 def failure_streaks(log: DataFrame, key: str, base_seconds: int = 300, most_seconds: int = 3600) -> DataFrame:

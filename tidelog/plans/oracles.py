@@ -4,10 +4,10 @@ from __future__ import annotations
 
 OBS = """obs AS (SELECT event_id AS id, user_id AS rpid, 'v' || (user_id % 15) AS bvid, user_id % 40 AS author_mid, ts AS captured_at, epoch_us(ts) AS us, event_type || ' ' || props AS content, CAST(floor(value) AS BIGINT) AS like_count,
   CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS reply_count, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) % 20 + 1 AS position, CASE WHEN event_type IN ('view', 'click') THEN 'hot' ELSE 'latest' END AS sort_mode,
-  CASE WHEN event_type = 'error' THEN 'folded' ELSE 'visible' END AS visibility, event_id AS raw_payload_id, event_type FROM events)"""
+  CASE WHEN event_type = 'error' THEN 'folded' ELSE 'visible' END AS visibility, event_id AS raw_payload_id, event_type, CASE WHEN user_id % 4 = 0 THEN user_id - 1 END AS root_rpid FROM events)"""
 METRICS = """metrics AS (SELECT 'v' || (user_id % 15) AS bvid, ts AS captured_at, epoch_us(ts) AS us, CAST(floor(value * 100) AS BIGINT) AS view_count, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS like_count,
   CASE WHEN event_type <> 'error' THEN event_id % 7 END AS coin_count, user_id AS owner_mid, CASE WHEN event_type = 'error' THEN 'deleted' ELSE 'visible' END AS status, event_id AS raw_payload_id FROM events)"""
-VIDEOS = "videos AS (SELECT 'v' || n AS bvid, n % 5 <> 0 AS active FROM range(15) t(n))"
+VIDEOS = "videos AS (SELECT 'v' || n AS bvid, n % 5 <> 0 AS active, CASE WHEN n % 2 = 0 THEN 'seed' ELSE 'keyword' END AS association_reason, CAST(n % 4 / 4 AS DOUBLE) AS confidence, 1704067200000000 + n * 3600000000 AS first_seen_at FROM range(15) t(n))"
 SCOPED = f"{OBS}, {VIDEOS}, scoped AS (SELECT * FROM obs WHERE bvid IN (SELECT bvid FROM videos WHERE active) AND captured_at >= TIMESTAMP '2024-01-01' AND captured_at < TIMESTAMP '2024-02-01')"
 WORDS = "words AS (SELECT unnest(['click', 'error', 'purchase']) AS keyword)"
 HITS = f"{SCOPED}, {WORDS}, hits AS (SELECT keyword, rpid, id, raw_payload_id, us // 1000000 AS s FROM scoped, words WHERE contains(lower(content), keyword))"
@@ -23,13 +23,13 @@ TURNOVER = f"""{PAGES}, top AS (SELECT page_id, bvid, day, rpid, min(place) AS p
  pairs AS (SELECT *, lag(now) OVER w AS was, lag(page_id) OVER w AS previous_page_id FROM lists WINDOW w AS (PARTITION BY bvid ORDER BY day, page_id)),
  turnover AS (SELECT bvid, previous_page_id, page_id AS current_page_id, day * 86400000000 AS captured_at, len(list_intersect(was, now)) AS retained, list_sort(list_filter(now, lambda x: NOT list_contains(was, x))) AS entered, list_sort(list_filter(was, lambda x: NOT list_contains(now, x))) AS exited,
    1 - len(list_intersect(was, now)) / greatest(len(was), len(now), 1) AS rate FROM pairs WHERE was IS NOT NULL)"""
-DOCS = "docs AS (SELECT doc_id AS id, doc_id AS rpid, source AS bvid, doc_id % 5 AS author_mid, 1704067200 + 30 * doc_id AS s, text, n_chars, replace(lower(text), 'ß', 'ss') AS folded FROM documents)"
+DOCS = "docs AS (SELECT doc_id AS id, doc_id AS rpid, source AS bvid, doc_id % 5 AS author_mid, 1704067200 + 30 * doc_id AS s, text, replace(lower(text), 'ß', 'ss') AS folded FROM documents)"
 ALNUM = DOCS + ", f AS (SELECT *, regexp_replace(folded, '[^\\p{L}\\p{N}]', '', 'g') AS key FROM docs)"
 SAME = f"{ALNUM}, same AS (SELECT a.author_mid, a.rpid AS subject_rpid, b.rpid AS related_rpid FROM f a JOIN f b ON a.author_mid = b.author_mid AND a.key = b.key AND a.rpid < b.rpid WHERE a.key <> '')"
 TALK = "talk AS (SELECT conv_id * 1000 + turn AS rpid, 'v' || (conv_id % 15) AS bvid, CASE WHEN turn > 0 THEN conv_id * 1000 END AS root_rpid, 1704067200 + conv_id * 60 + turn AS s, conv_id, turn, role, text FROM conversations WHERE turn IS NOT NULL)"
 COVERAGE = """cover AS (SELECT l_suppkey AS target_id, CAST(o_orderdate AS DATE) AS started_at, CAST(l_shipdate AS DATE) AS finished_at, o_orderpriority AS task_kind, CASE l_returnflag WHEN 'N' THEN 'succeeded' WHEN 'R' THEN 'partial' ELSE 'failed' END AS status,
   CAST(floor(l_quantity) AS BIGINT) AS pages_requested, CAST(floor(l_quantity * (1 - l_discount)) AS BIGINT) AS pages_succeeded, CAST(l_linenumber AS BIGINT) AS request_errors, l_linestatus = 'O' AS truncated FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
-MEDIA = "media AS (SELECT l_orderkey AS id, CAST(l_linenumber AS BIGINT) AS position, l_partkey % 50 AS media_source_id, o_custkey AS rpid FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
+MEDIA = "media AS (SELECT l_orderkey AS id, CAST(l_linenumber AS BIGINT) AS position, l_partkey % 50 AS media_source_id, o_custkey AS rpid, CAST(l_shipdate AS DATE) AS arrived FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
 CHANGES = f"""{OBS}, p AS (SELECT *, sha256(trim(content)) AS h, CASE WHEN like_count IS NULL THEN 'unknown' WHEN like_count < 10 THEN '0-9' WHEN like_count < 100 THEN '10-99' WHEN like_count < 1000 THEN '100-999' WHEN like_count < 10000 THEN '1k-9999' WHEN like_count < 100000 THEN '10k-99999' ELSE '100k+' END AS likes FROM obs),
  q AS (SELECT *, lag(id) OVER w AS pid, lag(h) OVER w AS ph, lag(likes) OVER w AS pl, lag(reply_count) OVER w AS pr, lag(sort_mode) OVER w AS pm, lag(position) OVER w AS pp FROM p WINDOW w AS (PARTITION BY rpid ORDER BY us, id)),
  changes AS (SELECT rpid, bvid, pid AS previous_id, id AS current_id, 'first_seen' AS event_type, CAST(NULL AS VARCHAR) AS old_value, CAST(NULL AS VARCHAR) AS new_value, us AS created_at FROM q WHERE pid IS NULL
@@ -44,13 +44,22 @@ SEEN = f"""{OBS}, rows AS (SELECT *, event_type <> 'signup' AS seen FROM obs),
   UNION ALL SELECT rpid, bvid, last_id, id, 'reappeared', 'missing', visibility, us FROM r WHERE seen AND NOT coalesce(was_seen, true)
   UNION ALL SELECT rpid, bvid, last_id, id, 'folded', last_vis, visibility, us FROM r WHERE seen AND last_vis = 'visible' AND visibility = 'folded'
   UNION ALL SELECT rpid, bvid, last_id, id, 'unfolded', last_vis, visibility, us FROM r WHERE seen AND last_vis = 'folded' AND visibility = 'visible')"""
-C_SPIKE = f"""{OBS}, {grid(3600)}, n AS (SELECT us // 3600000000 * 3600 AS bucket, count(*) AS n FROM obs WHERE captured_at >= TIMESTAMP '2024-01-01' AND captured_at < TIMESTAMP '2024-02-01' GROUP BY ALL),
+
+
+def comment_spikes(filtered: str = "true") -> str:
+    """Spikes of comments first seen on active videos, of those whose first content passes."""
+    return f"""first_seen AS (SELECT * FROM obs QUALIFY row_number() OVER (PARTITION BY rpid ORDER BY us, id) = 1), own AS (SELECT * FROM first_seen WHERE bvid IN (SELECT bvid FROM videos WHERE active) AND {filtered}),
+ n AS (SELECT us // 3600000000 * 3600 AS bucket, count(*) AS n FROM own WHERE captured_at >= TIMESTAMP '2024-01-01' AND captured_at < TIMESTAMP '2024-02-01' GROUP BY ALL),
  s AS (SELECT bucket, coalesce(n, 0) AS n, lag(coalesce(n, 0)) OVER (ORDER BY bucket) AS was FROM grid LEFT JOIN n USING (bucket)),
- spikes AS (SELECT 'comment_spike' AS signal_type, bucket, 'event' AS scope, round(n / greatest(was, 1), 6) AS magnitude FROM s WHERE was IS NOT NULL AND n >= 5 AND n >= greatest(5, was * 1.2))"""
+ spikes AS (SELECT 'comment_spike' AS signal_type, bucket, 'event' AS scope_type, 'event' AS scope, round(n / greatest(was, 1), 6) AS magnitude, was AS previous_count, n AS current_count FROM s WHERE was IS NOT NULL AND n >= 1 AND n >= greatest(1, was * 1.2))"""
+
+
 K_SPIKE = f"""{HITS}, {grid(3600)}, kc AS (SELECT keyword, s // 3600 * 3600 AS bucket, count(DISTINCT rpid) AS n FROM hits GROUP BY ALL),
  ks AS (SELECT keyword, bucket, coalesce(n, 0) AS n, lag(coalesce(n, 0)) OVER (PARTITION BY keyword ORDER BY bucket) AS was FROM grid CROSS JOIN words LEFT JOIN kc USING (keyword, bucket)),
- kspikes AS (SELECT 'keyword_spike' AS signal_type, bucket, keyword AS scope, round(n / greatest(was, 1), 6) AS magnitude FROM ks WHERE was IS NOT NULL AND n >= 3 AND n >= greatest(3, was * 1.5))"""
-CREATOR = f"{METRICS}, {VIDEOS}, creators AS (SELECT 'major_creator_involvement' AS signal_type, min(us) // 1000000 AS bucket, bvid AS scope, 1.0::DOUBLE AS magnitude FROM metrics WHERE owner_mid = 3 AND bvid IN (SELECT bvid FROM videos WHERE active) AND captured_at < TIMESTAMP '2024-02-01' GROUP BY bvid HAVING min(captured_at) >= TIMESTAMP '2024-01-01')"
+ kspikes AS (SELECT 'keyword_spike' AS signal_type, bucket, 'keyword' AS scope_type, keyword AS scope, round(n / greatest(was, 1), 6) AS magnitude, was AS previous_count, n AS current_count FROM ks WHERE was IS NOT NULL AND n >= 3 AND n >= greatest(3, was * 1.5))"""
+C_SPIKE = f"{OBS}, {VIDEOS}, {grid(3600)}, {comment_spikes()}"
+T_SIGNAL = "'hot_turnover' AS signal_type, captured_at // 1000000 AS bucket, 'video' AS scope_type, bvid AS scope, round(rate, 6) AS magnitude, CAST(NULL AS BIGINT) AS previous_count, CAST(NULL AS BIGINT) AS current_count FROM turnover WHERE rate >= 0.9"
+CREATOR = f"{METRICS}, {VIDEOS}, creators AS (SELECT 'major_creator_involvement' AS signal_type, min(us) // 1000000 AS bucket, 'video' AS scope_type, bvid AS scope, 1.0::DOUBLE AS magnitude, CAST(NULL AS BIGINT) AS previous_count, CAST(NULL AS BIGINT) AS current_count FROM metrics WHERE owner_mid = 3 AND bvid IN (SELECT bvid FROM videos WHERE active) AND captured_at < TIMESTAMP '2024-02-01' GROUP BY bvid HAVING min(captured_at) >= TIMESTAMP '2024-01-01')"
 BIT = "CASE WHEN e[i + 1] >= 0 THEN (CASE WHEN i = 63 THEN -9223372036854775808 ELSE (1::HUGEINT << i) END) ELSE 0 END"
 SIGNS = f"""base AS (SELECT vec_id AS id, CAST(list_sum(list_transform(range(64), lambda i: CASE WHEN embedding[i + 1] >= 0 THEN (CASE WHEN i = 63 THEN -9223372036854775808::HUGEINT ELSE pow(2, i)::HUGEINT END) ELSE 0::HUGEINT END)) AS BIGINT) AS s FROM embeddings),
  sig AS (SELECT id, s FROM base UNION ALL SELECT id + 100000, xor(s, CAST(pow(2, id % 7) AS BIGINT) - 1) FROM base UNION ALL SELECT id + 200000, xor(s, CAST(pow(2, 2 * (id % 7)) AS BIGINT) - 1) FROM base),
@@ -73,7 +82,7 @@ RANK = "(CASE {0} WHEN 's' THEN 1 WHEN 'a' THEN 2 WHEN 'b' THEN 3 ELSE 4 END)"
 AGE_STEP = "CASE WHEN {age} < 1800 THEN 60 WHEN {age} < 21600 THEN 300 WHEN coalesce(v, 0) > 30000 THEN 300 WHEN coalesce(v, 0) > 6000 THEN 900 WHEN coalesce(v, 0) > 1200 THEN 1800 ELSE 7200 END"
 SLOTS = f"""{ASSESSED}, slots AS (SELECT bvid, {NOW} - n * 7200 AS anchor, {NOW} - n * 3600 AS discovered, CAST(h AS BIGINT) AS hours, {NOW} - n * 7200 + h * 3600 AS due FROM a CROSS JOIN (SELECT unnest([6, 12, 18, 24]) AS h)),
  states AS (SELECT *, CASE WHEN discovered > due + 3600 THEN 'not_applicable' WHEN {NOW} <= due + 3600 THEN 'planned' ELSE 'missed' END AS state FROM slots)"""
-EXACT = f"{ALNUM}, pairs AS (SELECT a.rpid AS left_rpid, b.rpid AS right_rpid, a.bvid AS left_bvid, b.bvid AS right_bvid, 1.0::DOUBLE AS similarity, b.s - a.s AS seconds_apart FROM f a JOIN f b ON a.key = b.key AND a.rpid < b.rpid AND a.bvid <> b.bvid AND b.s - a.s <= 86400 WHERE a.n_chars <= 500 AND b.n_chars <= 500 AND length(a.key) >= 4)"
+EXACT = f"{ALNUM}, pairs AS (SELECT a.rpid AS left_rpid, b.rpid AS right_rpid, a.bvid AS left_bvid, b.bvid AS right_bvid, 1.0::DOUBLE AS similarity, b.s - a.s AS seconds_apart, 'normalized_exact_text_cross_video' AS algorithm FROM f a JOIN f b ON a.key = b.key AND a.rpid < b.rpid AND a.bvid <> b.bvid AND b.s - a.s <= 86400 WHERE length(a.key) >= 4)"
 LEX = "lex AS (SELECT * FROM (VALUES ('support', 'the'), ('support', 'und'), ('support', 'que'), ('criticism', 'idiot'), ('criticism', 'trash'), ('neutral', 'for'), ('neutral', 'de la')) t(category, term))"
 
 SIGHT = "sight AS (SELECT 'v' || o_custkey AS bvid, o_orderkey AS k, epoch_us(CAST(o_orderdate AS TIMESTAMP)) AS us, o_orderpriority AS pool_type, o_orderstatus AS pool_id FROM orders)"
@@ -87,56 +96,72 @@ ORACLES = {
     "hot_replay": f"WITH {PAGES}, {MEDIA}, m AS (SELECT id, count(*) AS n FROM media GROUP BY id) SELECT page_id, CAST(place AS BIGINT) AS position, rpid, on_page.id AS comment_observation_id, coalesce(n, 0) AS n_media FROM on_page LEFT JOIN m ON m.id = on_page.id WHERE place <= 5",
     "metric_replay": f"WITH {METRICS}, p AS (SELECT *, lag(us) OVER w AS wu, lag(view_count) OVER w AS wv, lag(like_count) OVER w AS wl, lag(coin_count) OVER w AS wc FROM metrics WHERE captured_at < TIMESTAMP '2024-01-25' WINDOW w AS (PARTITION BY bvid ORDER BY us, raw_payload_id)) SELECT bvid, us AS captured_at, raw_payload_id, (us - wu) // 1000000 AS elapsed_seconds, view_count - wv AS view_count_delta, like_count - wl AS like_count_delta, coin_count - wc AS coin_count_delta FROM p WHERE captured_at >= TIMESTAMP '2024-01-05'",
     "view_growth": f"WITH {METRICS}, {GROWTH} SELECT * FROM growth",
-    "latest_metrics": f"WITH {METRICS} SELECT bvid, us AS captured_at, view_count, like_count FROM metrics WHERE us < {NOW}000000 QUALIFY row_number() OVER (PARTITION BY bvid ORDER BY us DESC) = 1",
+    "latest_metrics": f"WITH {METRICS} SELECT bvid, us AS captured_at, view_count, like_count FROM metrics WHERE us < {NOW}000000 QUALIFY row_number() OVER (PARTITION BY bvid ORDER BY us DESC, raw_payload_id DESC) = 1",
     "recent_topn": f"WITH {METRICS} SELECT bvid, us AS captured_at, view_count, raw_payload_id FROM metrics QUALIFY row_number() OVER (PARTITION BY bvid ORDER BY us DESC, raw_payload_id DESC) <= 5",
     "latest_availability": f"WITH {METRICS}, {VIDEOS}, l AS (SELECT bvid, arg_max(status, us) AS status FROM metrics GROUP BY bvid) SELECT bvid, coalesce(status, 'visible') = 'visible' AS available FROM videos LEFT JOIN l USING (bvid)",
     "state_changes": f"WITH {CHANGES} SELECT * FROM changes",
     "visibility_transitions": f"WITH {SEEN} SELECT * FROM vis",
     "visibility_replay": f"WITH {SEEN} SELECT vis.*, p.raw_payload_id AS previous_raw_payload_id, p.us AS previous_captured_at, c.raw_payload_id AS current_raw_payload_id, c.us AS current_captured_at FROM vis LEFT JOIN (SELECT * FROM obs WHERE event_type <> 'signup') p ON p.id = previous_id LEFT JOIN (SELECT * FROM obs WHERE event_type <> 'signup') c ON c.id = current_id",
     "comment_entities": f"WITH {OBS} SELECT rpid, bvid, content AS first_content, us AS first_seen_at, raw_payload_id AS first_raw_payload_id, author_mid FROM obs QUALIFY row_number() OVER (PARTITION BY rpid ORDER BY us, id) = 1",
-    "watchlist": f"""WITH {OBS}, p AS (SELECT *, reply_count - lag(reply_count) OVER w AS dr, like_count - lag(like_count) OVER w AS dl, row_number() OVER w = 1 AS first_seen, (CASE WHEN contains(lower(content), 'error') THEN 1 ELSE 0 END) + (CASE WHEN contains(lower(content), 'purchase') THEN 1 ELSE 0 END) AS hits FROM obs WINDOW w AS (PARTITION BY rpid ORDER BY us, id)),
+    "watchlist": f"""WITH {OBS}, p AS (SELECT *, reply_count - lag(reply_count) OVER w AS dr, like_count - lag(like_count) OVER w AS dl, row_number() OVER w = 1 AS first_seen, (CASE WHEN contains(lower(content), 'error') THEN 1 ELSE 0 END) + (CASE WHEN contains(lower(content), 'purchase') THEN 1 ELSE 0 END) AS hits FROM obs WHERE coalesce(root_rpid, 0) = 0 WINDOW w AS (PARTITION BY rpid ORDER BY us, id)),
  s AS (SELECT *, CASE WHEN sort_mode = 'hot' AND position BETWEEN 0 AND 3 THEN 100 - position END AS p0, CASE WHEN dr >= 5 THEN 80 + least(dr, 19) END AS p1, CASE WHEN dl >= 20 THEN 70 + least(dl // 5, 19) END AS p2, CASE WHEN hits > 0 THEN 75 + least(hits - 1, 4) END AS p3 FROM p),
  c AS (SELECT *, greatest(p0, p1, p2, p3) AS top, CASE WHEN first_seen THEN 2 ELSE 0 END AS bonus, coalesce(p0, 0) + CASE WHEN p1 IS NULL THEN 0 ELSE dr END + CASE WHEN p2 IS NULL THEN 0 ELSE dl / 5 END + CASE WHEN p3 IS NULL THEN 0 ELSE hits * 10 END AS raw FROM s WHERE coalesce(p0, p1, p2, p3) IS NOT NULL),
  d AS (SELECT *, CASE top WHEN p0 THEN 'hot_top' WHEN p1 THEN 'reply_growth' WHEN p2 THEN 'like_growth' ELSE 'controversy_keyword' END AS reason, least(top + bonus, 100) AS priority, raw + bonus AS score FROM c),
  r AS (SELECT *, row_number() OVER (PARTITION BY bvid, rpid ORDER BY priority DESC, us DESC, id DESC) AS best, row_number() OVER (PARTITION BY bvid, rpid ORDER BY us DESC, id DESC) AS latest, min(us) OVER (PARTITION BY bvid, rpid) AS first_us FROM d),
  h AS (SELECT bvid, rpid, position AS hot_position FROM d WHERE sort_mode = 'hot' QUALIFY row_number() OVER (PARTITION BY bvid, rpid ORDER BY us DESC, id DESC) = 1)
- SELECT b.bvid, b.rpid, b.reason, CAST(b.priority AS BIGINT) AS priority, round(CAST(b.score AS DOUBLE), 6) AS score, CAST(hot_position AS BIGINT) AS hot_position, l.reply_count, l.like_count, l.id AS last_comment_observation_id, b.first_us AS first_seen_at, l.us AS last_seen_at, l.us + 86400000000 AS expires_at FROM r b JOIN r l ON b.bvid = l.bvid AND b.rpid = l.rpid AND l.latest = 1 LEFT JOIN h ON h.bvid = b.bvid AND h.rpid = b.rpid WHERE b.best = 1""",
+ SELECT b.bvid, b.rpid, b.rpid AS root_rpid, true AS active, b.reason, CAST(b.priority AS BIGINT) AS priority, round(CAST(b.score AS DOUBLE), 6) AS score, CAST(hot_position AS BIGINT) AS hot_position, l.reply_count, l.like_count, l.id AS last_comment_observation_id, b.first_us AS first_seen_at, l.us AS last_seen_at, l.us + 86400000000 AS expires_at FROM r b JOIN r l ON b.bvid = l.bvid AND b.rpid = l.rpid AND l.latest = 1 LEFT JOIN h ON h.bvid = b.bvid AND h.rpid = b.rpid WHERE b.best = 1""",
     "media_changes": f"""WITH {MEDIA}, lists AS (SELECT id, rpid, list(media_source_id ORDER BY position, media_source_id) AS ids FROM media GROUP BY ALL), p AS (SELECT *, lag(id) OVER w AS pid, lag(ids) OVER w AS was FROM lists WINDOW w AS (PARTITION BY rpid ORDER BY id)), q AS (SELECT *, list_sort(list_distinct(ids)) <> list_sort(list_distinct(was)) AS changed FROM p WHERE was IS NOT NULL)
  SELECT rpid, pid AS previous_id, id AS current_id, 'media_changed' AS event_type, '' AS ids FROM q WHERE changed
  UNION ALL SELECT rpid, pid, id, 'media_added', array_to_string(list_sort(list_distinct(list_filter(ids, lambda x: NOT list_contains(was, x)))), ',') FROM q WHERE changed AND len(list_filter(ids, lambda x: NOT list_contains(was, x))) > 0
  UNION ALL SELECT rpid, pid, id, 'media_removed', array_to_string(list_sort(list_distinct(list_filter(was, lambda x: NOT list_contains(ids, x)))), ',') FROM q WHERE changed AND len(list_filter(was, lambda x: NOT list_contains(ids, x))) > 0
  UNION ALL SELECT rpid, pid, id, 'media_order_changed', '' FROM q WHERE NOT changed AND ids <> was""",
-    "media_links": f"WITH {MEDIA} SELECT id AS comment_observation_id, position, media_source_id, rpid FROM media QUALIFY row_number() OVER (PARTITION BY id, position ORDER BY media_source_id) = 1",
+    "media_links": f"WITH {MEDIA} SELECT id AS comment_observation_id, position, media_source_id, rpid FROM media QUALIFY row_number() OVER (PARTITION BY id, position ORDER BY arrived, media_source_id) = 1",
     "exact_dedup": "SELECT sha256(text) AS blob_sha256, min(doc_id) AS asset_id, count(*) AS sources FROM documents GROUP BY 1",
     "reuse_ranking": "SELECT sha256(text) AS asset, count(DISTINCT doc_id) AS comments, count(DISTINCT source) AS videos FROM documents GROUP BY 1",
     "duplicate_display": f"WITH {PAGES} SELECT page_id, rpid, count(*) AS shown, string_agg(id, ',' ORDER BY id) AS observation_ids FROM on_page GROUP BY ALL HAVING count(*) > 1",
     "same_author_pairs": f"WITH {SAME} SELECT * FROM same",
     "template_candidates": f"WITH {EXACT} SELECT * FROM pairs",
+    "template_candidates_keyword": f"WITH {EXACT.replace('FROM docs)', """FROM docs WHERE contains(lower(text), 'the'))""", 1)} SELECT * FROM pairs",
     "comment_flags": f"""WITH {PAGES}, {SAME.replace("docs AS", "docs AS", 1)}, shown AS (SELECT page_id, rpid FROM on_page GROUP BY ALL HAVING count(*) > 1), d AS (SELECT 'same_user_duplicate_submission' AS flag_type, subject_rpid, related_rpid, CAST(NULL AS VARCHAR) AS evidence_scope FROM same UNION ALL SELECT 'same_rpid_duplicate_display', rpid, NULL, page_id FROM shown)
  SELECT CAST(1 AS BIGINT) AS event_id, flag_type, subject_rpid, related_rpid, evidence_scope, sha256('{{"algorithm_version":"1","event_id":1,"evidence_scope":' || coalesce('"' || evidence_scope || '"', 'null') || ',"flag_type":"' || flag_type || '","related_rpid":' || coalesce(CAST(related_rpid AS VARCHAR), 'null') || ',"subject_rpid":' || subject_rpid || '}}') AS stable_key FROM d""",
-    "propagation_nodes": f"""WITH {SAME}, own AS (SELECT author_mid, count(*) AS comments, count(DISTINCT bvid) AS videos, count(*) FILTER (rpid % 3 = 0 AND rpid <> 1) AS replies FROM docs GROUP BY ALL), o AS (SELECT author_mid, count(*) AS origins FROM same GROUP BY ALL), p AS (SELECT own.*, coalesce(origins, 0) AS origins, coalesce(origins, 0) AS amplified, CASE WHEN author_mid = 4 THEN 1.0 ELSE 0.0 END AS official FROM own LEFT JOIN o USING (author_mid)),
- m AS (SELECT max(videos) AS mv, max(replies) AS mr, max(origins) AS mo FROM p), s AS (SELECT p.*, coalesce(origins / nullif(mo, 0), 0) AS originator, coalesce(amplified / nullif(mo, 0), 0) AS amplifier, CASE WHEN mv > 1 THEN (videos - 1) / (mv - 1) ELSE 0 END AS bridge, coalesce(replies / nullif(mr, 0), 0) AS responder FROM p, m)
- SELECT author_mid, comments, videos, replies, origins, amplified, round(originator::DOUBLE, 6) AS originator, round(amplifier::DOUBLE, 6) AS amplifier, round(bridge::DOUBLE, 6) AS bridge, round(responder::DOUBLE, 6) AS responder, official::DOUBLE AS official, round(greatest(originator, amplifier, bridge, responder, official)::DOUBLE, 6) AS overall FROM s""",
+    "propagation_nodes": f"""WITH {SAME}, win AS (SELECT * FROM docs WHERE s < 1706745600), own AS (SELECT author_mid, count(*) AS comments, count(DISTINCT bvid) AS videos, count(*) FILTER (rpid % 3 = 0 AND rpid <> 1) AS replies FROM win GROUP BY ALL),
+ o AS (SELECT author_mid, count(*) AS origins FROM same WHERE subject_rpid IN (SELECT rpid FROM win) GROUP BY ALL), am AS (SELECT author_mid, count(*) AS amplified FROM same WHERE related_rpid IN (SELECT rpid FROM win) GROUP BY ALL),
+ p AS (SELECT own.*, coalesce(origins, 0) AS origins, coalesce(amplified, 0) AS amplified, CASE WHEN author_mid = 4 THEN 1.0 ELSE 0.0 END AS official FROM own LEFT JOIN o USING (author_mid) LEFT JOIN am USING (author_mid)),
+ m AS (SELECT max(videos) AS mv, max(replies) AS mr, max(origins) AS mo, max(amplified) AS ma FROM p), s AS (SELECT p.*, coalesce(origins / nullif(mo, 0), 0) AS originator, coalesce(amplified / nullif(ma, 0), 0) AS amplifier, CASE WHEN mv > 1 THEN (videos - 1) / (mv - 1) ELSE 0 END AS bridge, coalesce(replies / nullif(mr, 0), 0) AS responder FROM p, m)
+ SELECT author_mid, CASE WHEN author_mid <> 2 THEN 'a' || author_mid END AS author_name, comments, videos, replies, origins, amplified, CASE WHEN author_mid = 4 THEN '2' ELSE '' END AS official_target_ids, round(originator::DOUBLE, 6) AS originator, round(amplifier::DOUBLE, 6) AS amplifier, round(bridge::DOUBLE, 6) AS bridge, round(responder::DOUBLE, 6) AS responder, official::DOUBLE AS official, round(greatest(originator, amplifier, bridge, responder, official)::DOUBLE, 6) AS overall FROM s""",
+    "propagation_evidence": f"""WITH {SAME}, win AS (SELECT * FROM docs WHERE s < 1706745600) SELECT author_mid, 'comment' AS kind, rpid AS id FROM win UNION ALL SELECT author_mid, 'raw_payload', rpid FROM win
+ UNION ALL SELECT DISTINCT author_mid, 'template_flag', subject_rpid * 1000000 + related_rpid FROM same WHERE subject_rpid IN (SELECT rpid FROM win) OR related_rpid IN (SELECT rpid FROM win)""",
+    "flagged_counts": f"WITH {SAME} SELECT rpid, CAST(sum(o) AS BIGINT) AS origins, CAST(sum(1 - o) AS BIGINT) AS amplified FROM (SELECT subject_rpid AS rpid, 1 AS o FROM same UNION ALL SELECT related_rpid, 0 FROM same) GROUP BY rpid",
     "propagation_replay": f"""WITH {TALK}, {VIDEOS} SELECT 'video_associated' AS kind, 1704070800000000 AS at, bvid, CAST(NULL AS BIGINT) AS from_rpid, CAST(NULL AS BIGINT) AS to_rpid FROM videos
  UNION ALL SELECT 'comment_reply', s * 1000000, bvid, root_rpid, rpid FROM talk WHERE s < 1706745600 AND root_rpid IN (SELECT rpid FROM talk) UNION ALL SELECT 'template_propagation', s * 1000000, bvid, root_rpid, rpid FROM talk WHERE s < 1706745600 AND root_rpid IN (SELECT rpid FROM talk)""",
     "reply_edges": f"WITH {TALK} SELECT root_rpid, rpid, bvid, s * 1000000 AS first_seen_at FROM talk WHERE root_rpid IN (SELECT rpid FROM talk)",
     "comment_spike": f"WITH {C_SPIKE} SELECT * FROM spikes",
+    "spike_evidence": f"""WITH {K_SPIKE}, {comment_spikes()}, e AS (SELECT signal_type, sp.scope, sp.bucket, rpid, CAST(NULL AS BIGINT) AS oid, raw_payload_id FROM spikes sp JOIN own ON own.us // 3600000000 * 3600 = sp.bucket
+  UNION ALL SELECT signal_type, k.scope, k.bucket, rpid, id, raw_payload_id FROM kspikes k JOIN hits h ON h.keyword = k.scope AND h.s // 3600 * 3600 = k.bucket)
+ SELECT DISTINCT signal_type, scope, bucket, 'comment' AS kind, rpid AS id FROM e UNION ALL SELECT DISTINCT signal_type, scope, bucket, 'observation', oid FROM e WHERE oid IS NOT NULL UNION ALL SELECT DISTINCT signal_type, scope, bucket, 'raw_payload', raw_payload_id FROM e""",
+    "filtered_spikes": f"""WITH {K_SPIKE}, {comment_spikes("contains(lower(content), 'error')")} SELECT * FROM spikes UNION ALL SELECT * FROM kspikes WHERE scope = 'error'""",
     "keyword_spike": f"WITH {K_SPIKE} SELECT * FROM kspikes",
-    "turnover_signal": f"WITH {TURNOVER} SELECT 'hot_turnover' AS signal_type, captured_at // 1000000 AS bucket, bvid AS scope, round(rate, 6) AS magnitude FROM turnover WHERE rate >= 0.9",
+    "turnover_signal": f"WITH {TURNOVER} SELECT {T_SIGNAL}",
     "creator_signal": f"WITH {CREATOR} SELECT * FROM creators",
-    "turning_points": f"SELECT * FROM (WITH {C_SPIKE} SELECT * FROM spikes) UNION ALL SELECT * FROM (WITH {K_SPIKE} SELECT * FROM kspikes) UNION ALL SELECT * FROM (WITH {TURNOVER} SELECT 'hot_turnover' AS signal_type, captured_at // 1000000 AS bucket, bvid AS scope, round(rate, 6) AS magnitude FROM turnover WHERE rate >= 0.9) UNION ALL SELECT * FROM (WITH {CREATOR} SELECT * FROM creators)",
-    "timeline": "SELECT 'observation' AS record_type, epoch_us(ts) AS at, 'observation:' || event_id AS source_key FROM events UNION ALL SELECT 'metric', epoch_us(ts), 'metric:' || event_id FROM events",
+    "turning_points": f"SELECT * FROM (WITH {C_SPIKE} SELECT * FROM spikes) UNION ALL SELECT * FROM (WITH {K_SPIKE} SELECT * FROM kspikes) UNION ALL SELECT * FROM (WITH {TURNOVER} SELECT {T_SIGNAL}) UNION ALL SELECT * FROM (WITH {CREATOR} SELECT * FROM creators)",
+    "timeline": f"""SELECT * FROM (
+ SELECT * FROM (WITH {VIDEOS} SELECT 'event_video_associated' AS record_type, first_seen_at AS at, 'event_videos:1:' || bvid AS source_key, bvid FROM videos)
+ UNION ALL SELECT * FROM (WITH {METRICS} SELECT 'video_metric_snapshot', us, 'video_metric_snapshots:' || bvid || ':' || strftime(captured_at, '%Y-%m-%dT%H:%M:%S') || CASE WHEN us % 1000000 = 0 THEN 'Z' ELSE '.' || lpad(CAST(us % 1000000 AS VARCHAR), 6, '0') || 'Z' END, bvid FROM metrics)
+ UNION ALL SELECT * FROM (WITH {CHANGES} SELECT 'comment_state_event', created_at, 'comment_state_events:' || rpid || ':' || current_id || ':' || event_type, bvid FROM changes)
+ UNION ALL SELECT * FROM (WITH {SEEN} SELECT 'comment_visibility_event', created_at, 'comment_visibility_events:' || concat_ws(':', rpid, coalesce(current_id, previous_id), event_type), bvid FROM vis))
+ WHERE bvid = 'v4' AND "at" >= 1704067200000000 AND "at" < epoch_us(TIMESTAMP '2024-01-25')""",
     "coverage": f"""WITH {COVERAGE}, v AS (SELECT s_suppkey AS target_id FROM supplier WHERE s_suppkey % 5 <> 0), c AS (SELECT * FROM cover WHERE target_id IN (SELECT target_id FROM v)),
  s AS (SELECT (SELECT count(*) FROM v) AS active_videos, count(DISTINCT target_id) AS covered_videos, count(*) AS coverage_rows, count(*) FILTER (status = 'succeeded') AS succeeded, count(*) FILTER (status = 'partial') AS partial, count(*) FILTER (status = 'failed') AS failed, CAST(coalesce(sum(pages_requested), 0) AS BIGINT) AS pages_requested, CAST(coalesce(sum(pages_succeeded), 0) AS BIGINT) AS pages_succeeded, CAST(coalesce(sum(request_errors), 0) AS BIGINT) AS request_errors, count(*) FILTER (truncated) AS truncated, CAST(min(started_at) - DATE '1970-01-01' AS BIGINT) AS first_day, CAST(max(finished_at) - DATE '1970-01-01' AS BIGINT) AS last_day FROM c)
  SELECT *, round(covered_videos / active_videos, 6) AS video_ratio, round(pages_succeeded / pages_requested, 6) AS page_ratio FROM s""",
     "coverage_by_kind": f"WITH {COVERAGE} SELECT task_kind, status, count(*) AS runs, CAST(sum(pages_requested) AS BIGINT) AS pages_requested, CAST(sum(pages_succeeded) AS BIGINT) AS pages_succeeded, count(*) FILTER (truncated) AS truncated FROM cover GROUP BY ALL",
     "failure_window": f"WITH {COVERAGE} SELECT count(*) AS runs, CAST(coalesce(sum(pages_requested), 0) AS BIGINT) AS pages_requested, CAST(coalesce(sum(pages_succeeded), 0) AS BIGINT) AS pages_succeeded, CAST(coalesce(sum(request_errors), 0) AS BIGINT) AS request_errors FROM cover WHERE finished_at BETWEEN DATE '1995-01-01' AND DATE '1995-12-31'",
     "queue_depth": "SELECT CASE o_orderstatus WHEN 'O' THEN 'pending' WHEN 'F' THEN 'succeeded' ELSE 'running' END AS status, o_orderpriority AS kind, count(*) AS tasks, CAST(greatest(DATE '1998-12-31' - CAST(min(o_orderdate) AS DATE), 0) AS BIGINT) AS oldest_days FROM orders GROUP BY ALL",
-    "core_videos": f"WITH {METRICS}, {VIDEOS}, l AS (SELECT * FROM metrics WHERE us < {NOW}000000 QUALIFY row_number() OVER (PARTITION BY bvid ORDER BY us DESC, raw_payload_id DESC) = 1) SELECT bvid, active, view_count, like_count, raw_payload_id, us AS captured_at FROM videos LEFT JOIN l USING (bvid)",
+    "core_videos": f"""WITH {METRICS}, {VIDEOS}, l AS (SELECT * FROM metrics WHERE us < {NOW}000000 QUALIFY row_number() OVER (PARTITION BY bvid ORDER BY us DESC, raw_payload_id DESC) = 1), i AS (SELECT * FROM metrics WHERE us < {NOW}000000 AND raw_payload_id % 3 = 0 QUALIFY row_number() OVER (PARTITION BY bvid ORDER BY us DESC, raw_payload_id DESC) = 1)
+ SELECT v.bvid, active, association_reason, confidence, first_seen_at, 't' || i.raw_payload_id AS title, i.owner_mid, 'o' || i.owner_mid AS owner_name, i.raw_payload_id AS info_raw_payload_id, l.us AS captured_at, l.view_count, l.like_count, l.coin_count, l.raw_payload_id FROM videos v LEFT JOIN l USING (bvid) LEFT JOIN i USING (bvid)""",
     "failure_streak": f"""WITH {OBS}, g AS (SELECT bvid, us, id, event_type <> 'view' AS failed, CASE WHEN reply_count < 20 THEN reply_count END AS retry, sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) OVER (PARTITION BY bvid ORDER BY us, id ROWS UNBOUNDED PRECEDING) AS island FROM obs), i AS (SELECT bvid, island, count(*) FILTER (failed) AS streak FROM g GROUP BY ALL), l AS (SELECT bvid, streak, island FROM i QUALIFY row_number() OVER (PARTITION BY bvid ORDER BY island DESC) = 1),
  r AS (SELECT g.bvid, retry FROM g JOIN l ON g.bvid = l.bvid AND g.island = l.island QUALIFY row_number() OVER (PARTITION BY g.bvid ORDER BY us DESC, id DESC) = 1) SELECT l.bvid, streak, CASE WHEN streak > 0 THEN CAST(least(coalesce(retry, 300) * pow(2, least(streak - 1, 5)), 3600) AS BIGINT) ELSE 0 END AS backoff_seconds FROM l LEFT JOIN r USING (bvid)""",
-    "alert_transitions": f"""WITH {COVERAGE}, d AS (SELECT task_kind AS alert_key, sum(request_errors) / sum(pages_requested) >= 0.155 AS t FROM cover GROUP BY ALL), s AS (SELECT DISTINCT o_orderpriority AS alert_key, CAST(substring(o_orderpriority, 1, 1) AS BIGINT) AS n FROM orders), j AS (SELECT alert_key, n % 2 = 1 AS was, n AS occ, 1000 * n AS told, coalesce(t, false) AS t FROM s LEFT JOIN d USING (alert_key)),
- x AS (SELECT *, CASE WHEN t AND NOT was THEN 'triggered' WHEN t AND was AND 6000 - told >= 3600 THEN 'repeated' WHEN NOT t AND was THEN 'resolved' ELSE 'none' END AS action FROM j) SELECT alert_key, action, t AS active, occ + CASE WHEN t THEN 1 ELSE 0 END AS occurrences, CASE WHEN action IN ('triggered', 'repeated') THEN 6000 ELSE told END AS notified_at FROM x""",
+    "alert_transitions": f"""WITH {COVERAGE}, d AS (SELECT task_kind AS alert_key, sum(request_errors) / sum(pages_requested) >= 0.155 AS t FROM cover GROUP BY ALL), s AS (SELECT DISTINCT o_orderpriority AS alert_key, CAST(substring(o_orderpriority, 1, 1) AS BIGINT) AS n FROM orders), j AS (SELECT alert_key, n % 2 = 1 AS was, n AS occ, CASE WHEN n <> 3 THEN 1000 * n END AS told, t FROM s LEFT JOIN d USING (alert_key)),
+ x AS (SELECT *, CASE WHEN t AND NOT was THEN 'triggered' WHEN t AND was AND (told IS NULL OR 6000 - told >= 3600) THEN 'repeated' WHEN NOT t AND was THEN 'resolved' ELSE 'none' END AS action FROM j) SELECT alert_key, action, coalesce(t, was) AS active, occ + CASE WHEN t THEN 1 ELSE 0 END AS occurrences, CASE WHEN action IN ('triggered', 'repeated') THEN 6000 ELSE told END AS notified_at FROM x""",
     "signature_edges": f"WITH {SIGNS} SELECT a, b, distance, greatest(1 - distance / 64, 0)::DOUBLE AS confidence FROM edges",
     "signature_clusters": f"WITH RECURSIVE {SIGNS}, {closure('edges', 'a', 'b')} SELECT cluster, node AS member, distance FROM parts LEFT JOIN edges ON a = cluster AND b = node",
     "template_clusters": f"WITH RECURSIVE {EXACT}, {closure('pairs', 'left_rpid', 'right_rpid')} SELECT node AS rpid, cluster FROM parts",
@@ -161,9 +186,9 @@ ORACLES = {
     "stream_state_changes": f"WITH {CHANGES} SELECT * FROM changes",
     "stream_trends": f"WITH {OBS}, {WORDS} SELECT keyword, us // 86400000000 * 86400 AS bucket, count(DISTINCT rpid) AS distinct_comments, count(*) AS observations FROM obs, words WHERE contains(lower(content), keyword) GROUP BY ALL",
     "hot_changes": f"WITH {TURNOVER}, e AS (SELECT page_id, string_agg(id, ',' ORDER BY id) AS ids FROM on_page GROUP BY page_id) SELECT current_page_id, p.ids AS previous_observation_ids, c.ids AS current_observation_ids FROM turnover LEFT JOIN e p ON p.page_id = previous_page_id LEFT JOIN e c ON c.page_id = current_page_id",
-    "media_sources": "SELECT 'p' AS platform, sha256('https://x.org/' || (l_partkey % 50)) AS url_hash, 'https://x.org/' || (l_partkey % 50) AS source_url, epoch_us(CAST(min(o_orderdate) AS TIMESTAMP)) AS first_seen_at, epoch_us(CAST(max(o_orderdate) AS TIMESTAMP)) AS last_seen_at FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL",
+    "media_sources": "SELECT 'p' AS platform, sha256('https://x.org/' || (l_partkey % 50)) AS url_hash, 'https://x.org/' || (l_partkey % 50) AS source_url, epoch_us(CAST(min(o_orderdate) AS TIMESTAMP)) AS first_seen_at, epoch_us(CAST(max(o_orderdate) AS TIMESTAMP)) AS last_seen_at, arg_min(l_orderkey, (o_orderdate, l_orderkey)) AS first_page_id, arg_max(l_orderkey, (o_orderdate, l_orderkey)) AS last_page_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL",
     "known_videos": f"WITH {SIGHT} SELECT bvid, lpad(CAST(k AS VARCHAR), 12, '0') AS source_mid, us AS pubdate, us AS first_seen_at FROM sight QUALIFY row_number() OVER (PARTITION BY bvid ORDER BY us, k) = 1",
-    "video_sources": f"WITH {SIGHT} SELECT bvid, pool_id AS source_mid, pool_type, pool_id, true AS official, true AS monitored, min(us) AS first_seen_at, max(us) AS last_seen_at, true AS active FROM sight GROUP BY bvid, pool_type, pool_id",
+    "video_sources": f"WITH {SIGHT} SELECT bvid, pool_id AS source_mid, pool_type, pool_id, arg_min(k, (us, k)) % 2 = 0 AS official, true AS monitored, min(us) AS first_seen_at, max(us) AS last_seen_at, arg_max(k, (us, k)) AS last_page_id, true AS active FROM sight GROUP BY bvid, pool_type, pool_id",
     "discovery_priority": f"WITH {SIGHT}, n AS (SELECT bvid, max(us) AS pubdate FROM sight GROUP BY bvid HAVING min(us) >= epoch_us(TIMESTAMP '1993-01-01')) SELECT bvid, pubdate, CASE WHEN epoch_us(TIMESTAMP '1998-01-01') - pubdate > 120000000 THEN 'delayed_discovery' ELSE 'fresh_discovery' END AS reason, CAST(CASE WHEN epoch_us(TIMESTAMP '1998-01-01') - pubdate > 120000000 THEN 90 ELSE 100 END AS BIGINT) AS priority FROM n",
     "event_video_log": f"WITH {SIGHT} SELECT CAST(1 AS BIGINT) AS event_id, bvid, min(us) AS first_seen_at, max(us) AS last_seen_at, true AS active FROM sight GROUP BY bvid",
     "active_event_videos": "SELECT CAST(n_nationkey AS BIGINT) AS source_target_id, CAST(c_custkey AS BIGINT) AS bvid, n_regionkey <> 2 AS active FROM customer JOIN nation ON c_nationkey = n_nationkey",
@@ -176,4 +201,22 @@ ORACLES = {
     "finalized_components": "SELECT CASE WHEN o_orderstatus = 'F' THEN 'complete' WHEN o_orderstatus = 'O' THEN CASE WHEN 1000000 > o_orderkey * 100 THEN 'missed_due_to_capacity' ELSE 'pending' END ELSE CASE WHEN 1000000 > o_orderkey * 100 THEN 'missed_due_to_service_gap' ELSE 'blocked' END END AS status, count(*) AS components FROM orders GROUP BY 1",
     "candidate_ranking": f"WITH {ASSESSED} SELECT bvid FROM (SELECT bvid FROM a ORDER BY n % 3 <> 0, CASE WHEN n % 3 <> 0 AND n % 2 = 0 THEN 1 ELSE 0 END, CASE WHEN n % 3 <> 0 AND n % 2 = 0 THEN anchor + n END, anchor, bvid LIMIT 10)",
     "focus_slots": f"WITH {OBS}, l AS (SELECT id, strftime(captured_at + INTERVAL 8 HOUR, '%H:%M') AS hm FROM obs) SELECT id FROM l WHERE hm IN ('10:00', '12:30', '15:15')",
+    "alert_drafts": f"""WITH {COVERAGE}, t AS (SELECT sum(pages_requested) AS pages, sum(request_errors) AS errors FROM cover), w AS (SELECT count(*) FILTER (o_orderstatus = 'O') AS pending FROM orders)
+ SELECT 'request_failure_rate' AS alert_key, 'critical' AS severity, pages >= 20 AND errors / pages >= 0.25 AS triggered FROM t UNION ALL SELECT 'task_backlog', 'warning', pending >= 1000 FROM w UNION ALL SELECT 'worker_heartbeat', 'critical', true
+ UNION ALL SELECT 'scheduled_job_failure:' || n_name, 'critical', n_nationkey % 5 >= 3 FROM nation WHERE n_regionkey <> 1""",
+    "coverage_statuses": "SELECT CASE WHEN l_linenumber = 7 THEN 'failed' WHEN l_orderkey % 97 = 0 THEN 'corrupted' WHEN l_linestatus = 'O' OR l_linenumber = 3 THEN 'partial' ELSE 'succeeded' END AS status, count(*) AS runs FROM lineitem GROUP BY 1",
+    "failed_attempts": "SELECT o_orderkey, epoch_us(CAST(o_orderdate AS TIMESTAMP)) AS started_at, epoch_us(CAST(o_orderdate AS TIMESTAMP)) + (o_orderkey % 7 - 1) * 60000000 AS finished_at, CASE o_orderstatus WHEN 'F' THEN 'failed' ELSE 'abandoned' END AS outcome, greatest((o_orderkey % 7 - 1) * 60000, 0) AS duration_ms FROM orders WHERE o_orderstatus IN ('F', 'P') AND o_orderdate >= DATE '1995-01-01'",
+    "comment_media": f"WITH {TALK}, l AS (SELECT rpid, 'https://x.org/' || conv_id AS base, '?q=' || turn AS q FROM talk) SELECT rpid, CAST(0 AS BIGINT) AS position, base || q AS url, base FROM l UNION ALL SELECT rpid, 1, base || q || '&b', base FROM l",
+    "user_videos": "SELECT o_custkey AS source_mid, 'v' || o_orderkey AS bvid, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey + 1700000000 ELSE o_orderkey + 1600000000 END * 1000000 AS pubdate FROM orders WHERE o_orderkey % 5 <> 0 AND (o_orderkey % 3 <> 0 OR o_orderkey % 2 = 0)",
+    "assessment_signals": f"WITH {SIGHT}, v AS (SELECT bvid, CAST(substring(bvid, 2) AS BIGINT) AS n, bool_or(pool_id <> 'P' AND k % 2 = 0) AS official FROM sight GROUP BY bvid) SELECT bvid, official, n % 4 = 0 AS event_core, CASE WHEN n % 3 = 0 THEN n * 10 END AS views_hour FROM v",
+    "hot_page_plan": "WITH t AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 5 - c_custkey % 4 ELSE greatest(3 - c_custkey % 4, 1) END AS total FROM customer) SELECT id, CAST(1 AS BIGINT) AS core_start, CAST(least(total, 1) AS BIGINT) AS core_pages, CAST(2 AS BIGINT) AS deep_start, CAST(greatest(total - 1, 0) AS BIGINT) AS deep_pages FROM t",
+    "active_targets": "SELECT c_custkey AS id, c_nationkey AS event_id FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey % 2 = 0 AND c_custkey % 5 <> 0 AND n_nationkey % 6 <> 5 AND (n_nationkey % 4 = 0 OR n_nationkey % 4 <= 2) AND (n_nationkey % 3 = 0 OR n_nationkey % 3 > 1)",
+    "month_window": "SELECT o_orderkey, epoch_us(CAST(o_orderdate AS TIMESTAMP)) AS at, strftime(o_orderdate, '%Y-%m') AS captured_month FROM orders WHERE o_orderdate >= TIMESTAMP '1995-03-15' AND o_orderdate < TIMESTAMP '1995-06-15'",
+    "json_records": f"""WITH {TURNOVER} SELECT '{{"algorithm":"hot_turnover-v1","bvid":"' || bvid || '","captured_at":"' || strftime(make_timestamp(captured_at), '%Y-%m-%dT%H:%M:%SZ') || '","current_page_id":"' || current_page_id || '","entered":[' || array_to_string(entered, ',') || '],"interpretation_limit":"descriptive_only","retained":' || retained || ',"schema_version":1}}' AS value FROM turnover""",
+    "event_report": f"""WITH {COVERAGE}, {VIDEOS}, k AS (SELECT task_kind, count(*) AS n FROM cover GROUP BY 1) SELECT '{{"coverage":[' || (SELECT string_agg('{{"runs":' || n || ',"task_kind":"' || task_kind || '"}}', ',' ORDER BY task_kind) FROM k) || '],"videos":[' || (SELECT string_agg('{{"active":' || active || ',"bvid":"' || bvid || '"}}', ',' ORDER BY CAST(substring(bvid, 2) AS BIGINT)) FROM videos) || ']}}' AS document""",
+    "stream_pages": f"WITH {TALK} SELECT rpid, 'c' || conv_id AS bvid, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position, turn % 2 AS author_mid FROM talk",
+    "stream_visibility": f"WITH {SEEN} SELECT * FROM vis",
+    "stream_intake": "SELECT event_id AS id, user_id AS rpid FROM events",
 }
+#: A stream that ends where a batch job ends is held against the batch job's SQL.
+ORACLES["stream_watchlist"] = ORACLES["watchlist"]

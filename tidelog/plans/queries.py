@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from datetime import UTC, datetime, timedelta
 
@@ -10,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.functions.text import fold_text
-from tidelog.functions.windows import as_of, newest
+from tidelog.functions.values import iso_time, url_base
+from tidelog.functions.windows import as_of, bucket, newest
 from tidelog.operators import assess, derive, event, flatten, graph, quality, video
 from tidelog.sources import bindings as b
+from tidelog.session import checkpoint_folder
 from tidelog.sources import sinks
 from tidelog.streaming import jobs
 
@@ -113,7 +114,7 @@ def view_growth(spark, sf_dir):
 
 @query
 def latest_metrics(spark, sf_dir):
-    return as_of(b.metrics(spark, sf_dir), "bvid", "captured_at", NOW).select("bvid", "captured_at", "view_count", "like_count")
+    return as_of(b.metrics(spark, sf_dir), "bvid", "captured_at", NOW, "raw_payload_id").select("bvid", "captured_at", "view_count", "like_count")
 
 
 @query
@@ -166,7 +167,7 @@ def media_changes(spark, sf_dir):
 
 @query
 def media_links(spark, sf_dir):
-    return derive.first_links(b.media_links(spark, sf_dir))
+    return derive.first_links(b.media_links(spark, sf_dir), "arrived").drop("arrived")
 
 
 @query
@@ -194,8 +195,13 @@ def same_author_pairs(spark, sf_dir):
 @query
 def template_candidates(spark, sf_dir):
     """Exact ones; tests hold fuzzy ones against a plain loop."""
-    found = event.templates(b.comments(spark, sf_dir), DAY, 1.0)
-    return found.drop("algorithm")
+    return event.templates(b.comments(spark, sf_dir), DAY, 1.0)
+
+
+@query
+def template_candidates_keyword(spark, sf_dir):
+    """Exact ones among comments that hold a keyword."""
+    return event.templates(event.literal_filter(b.comments(spark, sf_dir), "first_content", " The  "), DAY, 1.0)
 
 
 @query
@@ -213,7 +219,20 @@ def comment_flags(spark, sf_dir):
 
 @query
 def propagation_nodes(spark, sf_dir):
-    return event.propagation_nodes(b.comments(spark, sf_dir).withColumn("root_rpid", F.when(F.col("rpid") % 3 == 0, F.col("rpid") - 1)), exact_flags(spark, sf_dir), b.event_targets(spark))
+    own = b.comments(spark, sf_dir).withColumn("root_rpid", F.when(F.col("rpid") % 3 == 0, F.col("rpid") - 1))
+    return event.propagation_nodes(own, event.same_author_counts(own), b.event_targets(spark), b.SINCE, b.UNTIL)
+
+
+@query
+def propagation_evidence(spark, sf_dir):
+    flags = exact_flags(spark, sf_dir).withColumn("id", F.col("subject_rpid") * 1_000_000 + F.col("related_rpid"))
+    return event.propagation_evidence(b.comments(spark, sf_dir), flags, b.SINCE, b.UNTIL)
+
+
+@query
+def flagged_counts(spark, sf_dir):
+    """Flags of each comment, counted from pairs; same_author_counts() gives the same without them."""
+    return event.flag_counts(exact_flags(spark, sf_dir))
 
 
 @query
@@ -229,12 +248,12 @@ def reply_edges(spark, sf_dir):
 
 
 def first_seen(spark, sf_dir):
-    return derive.entities(b.observations(spark, sf_dir), later=())
+    return event.in_scope(derive.entities(b.observations(spark, sf_dir), later=()), b.event_videos(spark))
 
 
 @query
 def comment_spike(spark, sf_dir):
-    return event.comment_spikes(b.observations(spark, sf_dir).withColumnRenamed("captured_at", "first_seen_at"), b.SINCE, b.UNTIL, 3600, 1.2, 5)
+    return event.comment_spikes(first_seen(spark, sf_dir), b.SINCE, b.UNTIL, 3600, 1.2, 1)
 
 
 @query
@@ -242,6 +261,23 @@ def keyword_spike(spark, sf_dir):
     return event.keyword_spikes(scoped(spark, sf_dir), list(b.KEYWORDS), b.SINCE, b.UNTIL, 3600, 1.5, 3)
 
 
+@query
+def spike_evidence(spark, sf_dir):
+    """What the spikes of first comments and of keywords rest on."""
+    entities = first_seen(spark, sf_dir).select(F.lit("event").alias("scope"), bucket(F.col("first_seen_at"), 3600).alias("bucket"), "rpid", F.lit(None).cast("long").alias("observation_id"), F.col("first_raw_payload_id").alias("raw_payload_id"))
+    hits = event.matched(scoped(spark, sf_dir), list(b.KEYWORDS)).select(F.explode("hits").alias("scope"), bucket(F.col("captured_at"), 3600).alias("bucket"), "rpid", F.col("id").alias("observation_id"), "raw_payload_id")
+    spikes = comment_spike(spark, sf_dir).unionByName(keyword_spike(spark, sf_dir))
+    return event.spike_evidence(spikes, entities.unionByName(hits))
+
+
+@query
+def filtered_spikes(spark, sf_dir):
+    """Spikes among comments that hold one keyword."""
+    first = event.literal_filter(first_seen(spark, sf_dir), "first_content", "Error")
+    rows = event.literal_filter(scoped(spark, sf_dir), "content", "Error")
+    return event.comment_spikes(first, b.SINCE, b.UNTIL, 3600, 1.2, 1).unionByName(event.keyword_spikes(rows, ["error"], b.SINCE, b.UNTIL, 3600, 1.5, 3))
+
+
 @query
 def turnover_signal(spark, sf_dir):
     return event.turnover_signals(turnover(spark, sf_dir), 0.9)
@@ -262,8 +298,16 @@ def turning_points(spark, sf_dir):
 
 @query
 def timeline(spark, sf_dir):
-    obs, metrics = b.observations(spark, sf_dir), b.metrics(spark, sf_dir)
-    return event.timeline(observation=(obs, F.col("captured_at"), F.col("id")), metric=(metrics, F.col("captured_at"), F.col("raw_payload_id")))
+    """Records of all four sources, of one video in a window."""
+    at, created = F.col("captured_at"), F.col("created_at")
+    of_change = F.concat_ws(":", "rpid", F.coalesce("current_id", "previous_id"), "event_type")
+    return event.timeline(
+        b.SINCE, datetime(2024, 1, 25, tzinfo=UTC), "v4",
+        event_video_associated=(b.event_videos(spark), F.col("first_seen_at"), F.concat_ws(":", "event_id", "bvid")),
+        video_metric_snapshot=(b.metrics(spark, sf_dir), at, F.concat_ws(":", "bvid", iso_time(at))),
+        comment_state_event=(derive.state_changes(b.observations(spark, sf_dir)), created, of_change),
+        comment_visibility_event=(derive.visibility_events(*split_marks(spark, sf_dir)), created, of_change),
+    )
 
 
 @query
@@ -289,7 +333,7 @@ def queue_depth(spark, sf_dir):
 
 @query
 def core_videos(spark, sf_dir):
-    return event.core_videos(b.event_videos(spark), b.metrics(spark, sf_dir), NOW)
+    return event.core_videos(b.event_videos(spark), b.infos(spark, sf_dir), b.metrics(spark, sf_dir), NOW)
 
 
 @query
@@ -304,7 +348,7 @@ def alert_transitions(spark, sf_dir):
     drafts = b.coverage(spark, sf_dir).groupBy(F.col("task_kind").alias("alert_key")).agg((F.sum("request_errors") / F.sum("pages_requested") >= 0.155).alias("triggered"))
     kinds = b.read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("alert_key")).distinct()
     n = F.substring("alert_key", 1, 1).cast("long")
-    state = kinds.select("alert_key", (n % 2 == 1).alias("active"), n.alias("occurrences"), (F.lit(1000) * n).alias("notified_at"))
+    state = kinds.select("alert_key", (n % 2 == 1).alias("active"), n.alias("occurrences"), F.when(n != 3, F.lit(1000) * n).alias("notified_at"))
     return quality.alert_transitions(state, drafts, F.lit(6000).cast("long"))
 
 
@@ -315,7 +359,7 @@ def signature_edges(spark, sf_dir):
 
 @query
 def signature_clusters(spark, sf_dir):
-    return graph.signature_clusters(graph.signature_edges(b.signatures(spark, sf_dir), 5)).select("cluster", "member", "distance")
+    return graph.signature_clusters(b.signatures(spark, sf_dir), 5).select("cluster", "member", "distance")
 
 
 @query
@@ -449,10 +493,8 @@ def folded_texts(spark, sf_dir):
 
 def drained(spark, sf_dir, job, mode):
     """The job's result over events.parquet as a stream."""
-    folder = f"{spark.sparkContext.getConf().get('spark.checkpoint.dir') or tempfile.mkdtemp(prefix='tidelog-')}/stream-{uuid.uuid4().hex}"
     obs = b.observations(spark, sf_dir, jobs.stream_of(spark, sf_dir, "events"))
-    jobs.drain(job(obs), f"{folder}/out", f"{folder}/state", mode)
-    return spark.read.parquet(f"{folder}/out")
+    return jobs.drained(job(obs), shared_folder(spark, "stream"), mode)
 
 
 @query
@@ -476,7 +518,7 @@ def media_sources(spark, sf_dir):
     links = b.read(spark, sf_dir, "lineitem").join(b.read(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     at = b.utc(F.col("o_orderdate").cast("timestamp_ntz"))
     own = links.select(F.lit("p").alias("platform"), F.concat(F.lit("https://x.org/"), F.col("l_partkey") % 50).alias("url"), at.alias("captured_at"), F.col("l_orderkey").alias("page_id"))
-    return derive.media_sources(own).drop("first_page_id", "last_page_id")
+    return derive.media_sources(own)
 
 
 def sightings(spark, sf_dir):
@@ -492,7 +534,7 @@ def known_videos(spark, sf_dir):
 
 @query
 def video_sources(spark, sf_dir):
-    own = sightings(spark, sf_dir).withColumn("source_mid", F.col("pool_id")).withColumn("official", F.lit(True))
+    own = sightings(spark, sf_dir).withColumn("page_id", F.col("source_mid").cast("long")).withColumn("source_mid", F.col("pool_id"))
     return derive.video_sources(own)
 
 
@@ -582,3 +624,167 @@ def candidate_ranking(spark, sf_dir):
 def focus_slots(spark, sf_dir):
     o = b.observations(spark, sf_dir)
     return o.where(assess.focus_slot(F.col("captured_at"), P.zone, 9, 18, ("10:00", "12:30", "15:15"))).select("id")
+
+
+@query
+def alert_drafts(spark, sf_dir):
+    """Drafts over the runs and tasks; nations are the jobs, with their number as failures."""
+    runs = b.coverage(spark, sf_dir).agg(F.sum("pages_requested").alias("pages"), F.sum("request_errors").alias("errors"))
+    waiting = b.tasks(spark, sf_dir).where("status = 'pending'").agg(F.count("*").alias("pending"), F.lit(0).alias("oldest_seconds"))
+    workers = b.read(spark, sf_dir, "supplier").agg(F.count_if(F.col("s_suppkey") < 0).alias("fresh_workers"))
+    jobs = b.read(spark, sf_dir, "nation").select(F.col("n_name").alias("job_key"), (F.col("n_regionkey") != 1).alias("enabled"), (F.col("n_nationkey") % 5).alias("consecutive_failures"))
+    return quality.alert_drafts(runs.crossJoin(waiting).crossJoin(workers), jobs)  # one row each
+
+
+@query
+def coverage_statuses(spark, sf_dir):
+    """Status of each run from its marks."""
+    runs = b.read(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 97 == 0).alias("corrupted"), (F.col("l_linestatus") == "O").alias("truncated"), F.when(F.col("l_linenumber") == 3, "time_budget").when(F.col("l_linenumber") == 5, "done").alias("reason"), (F.col("l_linenumber") == 7).alias("failed"))
+    return runs.groupBy(quality.coverage_status(F.col("failed")).alias("status")).agg(F.count("*").alias("runs"))
+
+
+@query
+def failed_attempts(spark, sf_dir):
+    """Orders as attempts; times in days."""
+    at = lambda n: b.utc((F.col("o_orderdate").cast("timestamp_ntz")) + F.make_dt_interval(mins=n))
+    outcome = F.when(F.col("o_orderstatus") == "F", "failed").when(F.col("o_orderstatus") == "P", "abandoned").otherwise("succeeded")
+    attempts = b.read(spark, sf_dir, "orders").select("o_orderkey", at(F.lit(0)).alias("started_at"), at((F.col("o_orderkey") % 7 - 1).cast("int")).alias("finished_at"), outcome.alias("outcome"))
+    return quality.failed_attempts(attempts, F.lit(datetime(1995, 1, 1, tzinfo=UTC)))
+
+
+@query
+def comment_media(spark, sf_dir):
+    """Pictures of a page's comments, as texts and objects in both lists."""
+    c = b.read(spark, sf_dir, "conversations").where("turn is not null")
+    link = F.concat(F.lit("https://x.org/"), F.col("conv_id"), F.lit("?q="), F.col("turn"))
+    item = F.to_json(F.struct(F.struct(F.array(link, F.lit(" ")).alias("pictures"), F.array(F.struct(F.concat(link, F.lit("&b")).alias("url"))).alias("picture")).alias("content")))
+    found = flatten.comment_media(c.select(F.col("conv_id").alias("raw_payload_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("rpid"), item.alias("item")))
+    return found.select("rpid", "position", "url", url_base(F.col("url")).alias("base"))
+
+
+@query
+def user_videos(spark, sf_dir):
+    """Lists of videos of each customer: those without id or time are left out."""
+    o = b.read(spark, sf_dir, "orders")
+    video = F.struct(F.when(F.col("o_orderkey") % 5 != 0, F.concat(F.lit("v"), F.col("o_orderkey"))).alias("bvid"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderkey") + 1_700_000_000).alias("created"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderkey") + 1_600_000_000).alias("pubdate"))
+    body = F.to_json(F.struct(F.struct(F.struct(F.collect_list(video).alias("vlist")).alias("list")).alias("data")))
+    pages = o.groupBy(F.col("o_custkey").alias("source_mid")).agg(body.alias("body")).withColumn("captured_at", F.timestamp_seconds(F.lit(NOW_S)))
+    return flatten.user_videos(pages).drop("captured_at")
+
+
+@query
+def assessment_signals(spark, sf_dir):
+    """Marks of each customer's videos, and their growth."""
+    s = sightings(spark, sf_dir)
+    videos = s.select("bvid").distinct()
+    n = F.substring("bvid", 2, 12).cast("long")
+    return assess.signals(videos, s.withColumn("active", F.col("pool_id") != "P"), videos.select("bvid", (n % 4 == 0).alias("active")), videos.where(n % 3 == 0).select("bvid", (n * 10).alias("views_hour")))
+
+
+@query
+def hot_page_plan(spark, sf_dir):
+    """Core and deep pages of each customer's slot."""
+    c = b.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+    tier = F.element_at(F.array(*(F.lit(t) for t in assess.TIERS)), (F.col("id") % 4 + 1).cast("int"))
+    pages = assess.hot_pages(tier, F.when(F.col("id") % 3 == 0, "checkpoint").otherwise("routine"), {"s": 3, "a": 2, "b": 1, "c": 1}, {"s": 5, "a": 4, "b": 3, "c": 2})
+    return c.select("id", pages.alias("p")).select("id", "p.*")
+
+
+@query
+def active_targets(spark, sf_dir):
+    """Customers as targets of nations' events, which are open, running, over or to come."""
+    n = F.col("n_nationkey")
+    time = lambda days: F.lit(NOW) + F.make_dt_interval(days=days.cast("int"))
+    events = b.read(spark, sf_dir, "nation").select(n.alias("id"), F.when(n % 6 != 5, "active").otherwise("closed").alias("status"), F.when(n % 4 != 0, time(n % 4 - 2)).alias("start_at"), F.when(n % 3 != 0, time(n % 3 - 1)).alias("end_at"))
+    targets = b.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("event_id"), F.when(F.col("c_custkey") % 2 == 0, "uid").otherwise("seed_bvid").alias("target_type"), (F.col("c_custkey") % 5 != 0).alias("active"))
+    return assess.active_targets(targets, events, NOW).select("id", "event_id")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share."""
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def month_window(spark, sf_dir):
+    """Orders written by month, and a window of them read again."""
+    o = b.read(spark, sf_dir, "orders").select("o_orderkey", b.utc(F.col("o_orderdate").cast("timestamp_ntz")).alias("at"))
+    path = shared_folder(spark, "months")
+    sinks.write_by_month(o, "at", path)
+    return sinks.read_window(spark, path, "at", datetime(1995, 3, 15, tzinfo=UTC), datetime(1995, 6, 15, tzinfo=UTC))
+
+
+@query
+def json_records(spark, sf_dir):
+    """Turnover points as exported: JSON lines, written and read again."""
+    out = turnover(spark, sf_dir).select("bvid", "current_page_id", "retained", iso_time(F.col("captured_at")).alias("captured_at"), "entered")
+    path = shared_folder(spark, "lines")
+    sinks.write_json_lines(sinks.contract(out, "hot_turnover-v1", "descriptive_only"), path)
+    return spark.read.text(path)
+
+
+@query
+def event_report(spark, sf_dir):
+    """One document of an event's bounded sections."""
+    return sinks.report(coverage=coverage_by_kind(spark, sf_dir).groupBy("task_kind").agg(F.sum("runs").alias("runs")).coalesce(1).sortWithinPartitions("task_kind"), videos=b.event_videos(spark).select("bvid", "active").coalesce(1))
+
+
+@query
+def stream_pages(spark, sf_dir):
+    """Conversations as captured pages that arrive as a stream."""
+    path = shared_folder(spark, "pages")
+    b.reply_pages(spark, sf_dir).write.parquet(path)
+    pages = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    return jobs.drained(jobs.flat_pages(pages), shared_folder(spark, "stream")).select("rpid", "bvid", "position", "author_mid")
+
+
+@query
+def stream_visibility(spark, sf_dir):
+    obs = b.observations(spark, sf_dir, jobs.stream_of(spark, sf_dir, "events"))
+    return jobs.drained(jobs.visibility_events(obs.withColumn("seen", F.col("event_type") != "signup")), shared_folder(spark, "stream"))
+
+
+@query
+def stream_intake(spark, sf_dir):
+    """Each observation once, of a stream that brings all twice."""
+    obs = b.observations(spark, sf_dir, jobs.stream_of(spark, sf_dir, "events"))
+    return jobs.drained(jobs.intake(obs.unionByName(obs), "60 days"), shared_folder(spark, "stream")).select("id", "rpid")
+
+
+@query
+def stream_closed_counts(spark, sf_dir):
+    """Exact counts of the windows that the watermark has closed."""
+    obs = b.observations(spark, sf_dir, jobs.stream_of(spark, sf_dir, "events"))
+    return jobs.drained(jobs.closed_counts(obs, list(b.KEYWORDS), DAY), shared_folder(spark, "stream"))
+
+
+@query
+def stream_tiers(spark, sf_dir):
+    """The last effective tier of each video, of a stream of assessments."""
+    o = b.observations(spark, sf_dir, jobs.stream_of(spark, sf_dir, "events"))
+    desired = F.element_at(F.array(*(F.lit(t) for t in assess.TIERS)), (F.col("reply_count") % 4 + 1).cast("int"))
+    out = jobs.drained(jobs.tiers(o.select("bvid", F.col("captured_at").alias("at"), "id", desired.alias("desired")), P), shared_folder(spark, "stream"))
+    return out.groupBy("bvid").agg(F.max_by("effective", F.struct("at", "id")).alias("effective"), F.count("*").alias("assessments"))
+
+
+@query
+def stream_watchlist(spark, sf_dir):
+    """The watch list, kept up batch by batch."""
+    obs = b.observations(spark, sf_dir)
+    candidates = derive.watch_candidates(obs, derive.WatchPolicy(keywords=("error", "purchase")))
+    path = shared_folder(spark, "watch")
+    candidates.repartition(2, "rpid").write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(spark.read.parquet(f"{path}/in").schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    stream.writeStream.foreachBatch(jobs.watchlist_upkeep(f"{path}/out")).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return jobs.read_watchlist(spark, f"{path}/out").withColumn("score", F.round("score", 6))
+
+
+@query
+def stream_alerts(spark, sf_dir):
+    """Alert states after all batches of drafts."""
+    path = shared_folder(spark, "alerts")
+    alert_drafts(spark, sf_dir).coalesce(1).write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(spark.read.parquet(f"{path}/in").schema).parquet(f"{path}/in")
+    fold = jobs.alert_upkeep(f"{path}/out", "alert_key string, active boolean, occurrences long, notified_at long", F.lit(6000).cast("long"))
+    stream.writeStream.foreachBatch(fold).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/out/batch=0")

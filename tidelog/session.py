@@ -24,9 +24,20 @@ def session(master: str | None = None, app: str = "tidelog", **conf: str) -> Spa
     return builder.getOrCreate()
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder in spark.checkpoint.dir; where it is unset, a temporary one on a single machine, else an error."""
+    sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if found:
+        return found
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="tidelog-")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut; the folder is spark.checkpoint.dir, and a temporary one only where that is unset."""
+    """df with its lineage cut, in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidelog-"))
+        sc.setCheckpointDir(checkpoint_folder(df.sparkSession))
     return df.checkpoint()

@@ -27,7 +27,7 @@ def observations(spark: SparkSession, sf_dir: str, events: DataFrame | None = No
         F.col("event_id").alias("id"), F.col("user_id").alias("rpid"), F.concat(F.lit("v"), F.col("user_id") % 15).alias("bvid"), (F.col("user_id") % 40).alias("author_mid"),
         utc(F.col("ts")).alias("captured_at"), F.concat_ws(" ", "event_type", "props").alias("content"), F.floor("value").cast("long").alias("like_count"), k.alias("reply_count"),
         (k % 20 + 1).cast("int").alias("position"), F.when(F.col("event_type").isin("view", "click"), "hot").otherwise("latest").alias("sort_mode"),
-        F.when(F.col("event_type") == "error", "folded").otherwise("visible").alias("visibility"), F.col("event_id").alias("raw_payload_id"), "event_type",
+        F.when(F.col("event_type") == "error", "folded").otherwise("visible").alias("visibility"), F.col("event_id").alias("raw_payload_id"), "event_type", F.when(F.col("user_id") % 4 == 0, F.col("user_id") - 1).alias("root_rpid"),
     )
 
 
@@ -53,7 +53,15 @@ def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_videos(spark: SparkSession) -> DataFrame:
     n = F.col("id")
-    return spark.range(15).select(F.lit(1).cast("long").alias("event_id"), F.concat(F.lit("v"), n).alias("bvid"), (n % 5 != 0).alias("active"))
+    first = F.timestamp_seconds(F.lit(int(SINCE.timestamp())) + 3600 * n)
+    reason = F.when(n % 2 == 0, "seed").otherwise("keyword")
+    return spark.range(15).select(F.lit(1).cast("long").alias("event_id"), F.concat(F.lit("v"), n).alias("bvid"), (n % 5 != 0).alias("active"), reason.alias("association_reason"), ((n % 4) / 4).alias("confidence"), first.alias("first_seen_at"))
+
+
+def infos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Video information: a third of the events."""
+    e = read(spark, sf_dir, "events").where("event_id % 3 = 0")
+    return e.select(F.concat(F.lit("v"), F.col("user_id") % 15).alias("bvid"), utc(F.col("ts")).alias("captured_at"), F.concat(F.lit("t"), "event_id").alias("title"), F.col("user_id").alias("owner_mid"), F.concat(F.lit("o"), "user_id").alias("owner_name"), F.col("event_id").alias("raw_payload_id"))
 
 
 def event_keywords(spark: SparkSession) -> DataFrame:
@@ -68,7 +76,7 @@ def event_targets(spark: SparkSession) -> DataFrame:
 def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as comment entities; first seen half a minute apart."""
     d = read(spark, sf_dir, "documents")
-    return d.select(F.col("doc_id").alias("rpid"), F.col("source").alias("bvid"), (F.col("doc_id") % 5).alias("author_mid"), F.timestamp_seconds(F.lit(1704067200) + 30 * F.col("doc_id")).alias("first_seen_at"), F.col("text").alias("first_content"), "n_chars")
+    return d.select(F.col("doc_id").alias("rpid"), F.col("source").alias("bvid"), (F.col("doc_id") % 5).alias("author_mid"), F.timestamp_seconds(F.lit(1704067200) + 30 * F.col("doc_id")).alias("first_seen_at"), F.col("text").alias("first_content"), "n_chars", F.when(F.col("doc_id") % 5 != 2, F.concat(F.lit("a"), F.col("doc_id") % 5)).alias("author_name"), F.col("doc_id").alias("first_raw_payload_id"))
 
 
 def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +95,7 @@ def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def media_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return j.select(F.col("l_orderkey").alias("comment_observation_id"), F.col("l_linenumber").cast("int").alias("position"), (F.col("l_partkey") % 50).alias("media_source_id"), F.col("o_custkey").alias("rpid"))
+    return j.select(F.col("l_orderkey").alias("comment_observation_id"), F.col("l_linenumber").cast("int").alias("position"), (F.col("l_partkey") % 50).alias("media_source_id"), F.col("o_custkey").alias("rpid"), F.to_date("l_shipdate").alias("arrived"))
 
 
 def signatures(spark: SparkSession, sf_dir: str) -> DataFrame:

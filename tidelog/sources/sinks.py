@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import UTC
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.functions.values import iso_utc
+
 
 def contract(df: DataFrame, algorithm: str, limit: str, version: int = 1) -> DataFrame:
     """df with the constants that every exported record carries."""
@@ -17,12 +21,13 @@ def json_lines(df: DataFrame) -> DataFrame:
 
 
 def write_json_lines(df: DataFrame, path: str) -> None:
+    """A folder of files of JSON lines. Spark commits it when all tasks have ended, so no half of it is ever seen as whole (_SUCCESS)."""
     json_lines(df).write.mode("overwrite").text(path)
 
 
 def with_month(df: DataFrame, time: str) -> DataFrame:
-    """captured_month: the UTC month (yyyy-MM) of a time; months are half-open."""
-    return df.withColumn("captured_month", F.date_format(F.date_trunc("month", F.col(time)), "yyyy-MM"))
+    """captured_month: the UTC month (yyyy-MM) of a time, whatever the session's zone is; months are half-open."""
+    return df.withColumn("captured_month", F.substring(iso_utc(F.unix_seconds(time)), 1, 7))
 
 
 def write_by_month(df: DataFrame, time: str, path: str) -> None:
@@ -30,8 +35,9 @@ def write_by_month(df: DataFrame, time: str, path: str) -> None:
 
 
 def read_window(spark, path: str, time: str, since, until) -> DataFrame:
-    """Rows of a window; the months' partitions are pruned."""
-    months = (F.col("captured_month") >= F.lit(f"{since:%Y-%m}")) & (F.col("captured_month") <= F.lit(f"{until:%Y-%m}"))
+    """Rows of a window, whose ends may be in any zone; the months' partitions are pruned."""
+    first, last = (f"{t.astimezone(UTC):%Y-%m}" for t in (since, until))
+    months = (F.col("captured_month") >= F.lit(first)) & (F.col("captured_month") <= F.lit(last))
     return spark.read.parquet(path).where(months & (F.col(time) >= F.lit(since)) & (F.col(time) < F.lit(until)))
 
 
@@ -42,10 +48,16 @@ def guarded(df: DataFrame, most: int | None) -> DataFrame:
     return df
 
 
-def report(**sections: DataFrame) -> DataFrame:
-    """One row, one JSON document of bounded sections."""
+def report(most: int = 5000, **sections: DataFrame) -> DataFrame:
+    """One row, one JSON document of sections, none of more than `most` rows: a longer one is an error, and write_report the way."""
     out = None
     for name, df in sections.items():
-        part = df.agg(F.collect_list(F.struct(*sorted(df.columns))).alias(name))
+        part = guarded(df, most).agg(F.collect_list(F.struct(*sorted(df.columns))).alias(name))
         out = part if out is None else out.crossJoin(part)  # one row each
     return out.select(F.to_json(F.struct(*sections)).alias("document"))
+
+
+def write_report(path: str, **sections: DataFrame) -> None:
+    """JSON lines of each section, however long, in a folder of its own."""
+    for name, df in sections.items():
+        write_json_lines(df, f"{path}/{name}")

@@ -59,20 +59,60 @@ def state_changes(stream: DataFrame) -> DataFrame:
     return rows.groupBy("rpid").applyInPandasWithState(fold, CHANGE, held, "append", GroupStateTimeout.NoTimeout)
 
 
+def visibility_events(stream: DataFrame) -> DataFrame:
+    """folded, unfolded, disappeared and reappeared, with the last sighting of each comment as state. seen: false for marks of missing comments."""
+    rows = stream.select("rpid", "bvid", "id", "captured_at", "visibility", "seen")
+
+    def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        r = pd.concat(list(parts)).sort_values(["captured_at", "id"]).reset_index(drop=True)
+        held = state.get if state.exists else (None, None, None)
+        seen = r["seen"].astype(bool)
+        was_seen = seen.shift().astype(object)
+        was_seen.iloc[0] = held[0]
+        # the last sighting before each row, from the state where the batch has none
+        last_id = r["id"].where(seen).shift().ffill().astype(object)
+        last = r["visibility"].where(seen).shift().ffill().astype(object)
+        last_id, last = last_id.where(last_id.notna(), held[1]), last.where(last.notna(), held[2])
+        gone = was_seen.isin([False])
+        now = r["visibility"]
+        kinds = [
+            ("disappeared", ~seen & ~gone, last.where(last.notna(), "visible"), pd.Series("missing", r.index)),
+            ("reappeared", seen & gone, pd.Series("missing", r.index), now),
+            ("folded", seen & (last == "visible") & (now == "folded"), last, now),
+            ("unfolded", seen & (last == "folded") & (now == "visible"), last, now),
+        ]
+        frames = [pd.DataFrame({"rpid": r["rpid"], "bvid": r["bvid"], "previous_id": pd.array(last_id, "Int64"), "current_id": pd.array(r["id"].where(seen), "Int64"), "event_type": kind, "old_visibility": old, "new_visibility": new, "created_at": r["captured_at"]})[on] for kind, on, old, new in kinds]
+        state.update((bool(seen.iloc[-1]), *(None if pd.isna(x) else x for x in (int(r["id"][seen].iloc[-1]) if seen.any() else held[1], r["visibility"][seen].iloc[-1] if seen.any() else held[2]))))
+        yield pd.concat(frames)
+
+    kind = "rpid long, bvid string, previous_id long, current_id long, event_type string, old_visibility string, new_visibility string, created_at timestamp"
+    return rows.groupBy("rpid").applyInPandasWithState(fold, kind, "seen boolean, id long, visibility string", "append", GroupStateTimeout.NoTimeout)
+
+
 def keyword_counts(stream: DataFrame, keywords: list[str], seconds: int) -> DataFrame:
-    """Distinct comments and observations of keywords in tumbling buckets (complete or update mode)."""
+    """Distinct comments and observations of keywords in tumbling buckets (complete or update mode).
+
+    The state keeps each bucket's comments for as long as the stream runs; closed_counts() is the bounded form.
+    """
     hits = matched(stream, keywords).select("rpid", bucket(F.col("captured_at"), seconds).alias("bucket"), F.explode("hits").alias("keyword"))
     return hits.groupBy("keyword", "bucket").agg(F.size(F.collect_set("rpid")).cast("long").alias("distinct_comments"), F.count("*").alias("observations"))
 
 
 def closed_counts(stream: DataFrame, keywords: list[str], seconds: int, delay: str = "1 hour") -> DataFrame:
-    """Counts of windows that the watermark has closed, each comment once a keyword and window (append mode)."""
-    hits = matched(stream.withWatermark("captured_at", delay), keywords).select("rpid", "captured_at", F.explode("hits").alias("keyword"))
-    return hits.groupBy("keyword", F.window("captured_at", f"{seconds} seconds").alias("w")).agg(F.approx_count_distinct("rpid").alias("n")).select("keyword", F.unix_seconds("w.start").alias("bucket"), "n")
+    """Exact counts of windows that the watermark has closed, each comment once a keyword and window (append mode).
+
+    Rows that come later than the delay are left out. Time advances by the rows with a keyword.
+    """
+    hits = matched(stream.withWatermark("captured_at", delay), keywords).select("rpid", F.window("captured_at", f"{seconds} seconds").alias("w"), F.explode("hits").alias("keyword"))
+    once = hits.dropDuplicates(["keyword", "w", "rpid"])
+    return once.groupBy("keyword", "w").agg(F.count("*").alias("n")).select("keyword", F.unix_seconds("w.start").alias("bucket"), "n")
 
 
 def spikes(counts: DataFrame, seconds: int, multiplier: float, least: int) -> DataFrame:
-    """Jumps of closed windows against the window before, a missing one counting 0."""
+    """Jumps of closed windows against the window before, a missing one counting 0.
+
+    counts: a stream of the table that closed_counts() writes; Spark keeps no such state behind an aggregation.
+    """
 
     def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get if state.exists else None
@@ -91,37 +131,68 @@ def spikes(counts: DataFrame, seconds: int, multiplier: float, least: int) -> Da
 
 
 def tiers(stream: DataFrame, policy: assess.Policy) -> DataFrame:
-    """Effective tiers after each assessment (bvid, at, desired), with hysteresis as state."""
+    """Effective tiers after each assessment (bvid, at, id, desired), with hysteresis as state."""
     rank = {t: n for n, t in enumerate(assess.TIERS)}
 
     def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         effective, candidate, n = state.get if state.exists else ("c", None, 0)
         out = []
-        for r in pd.concat(list(parts)).sort_values("at").itertuples():
+        for r in pd.concat(list(parts)).sort_values(["at", "id"]).itertuples():
             if rank[r.desired] <= rank[effective]:
                 effective, candidate, n = r.desired, None, 0
             else:
                 n = n + 1 if candidate == r.desired else 1
                 effective, candidate, n = (r.desired, None, 0) if n >= policy.confirmations else (effective, r.desired, n)
-            out.append((key[0], r.at, effective))
+            out.append((key[0], r.at, int(r.id), effective))
         state.update((effective, candidate, n))
-        yield pd.DataFrame(out, columns=["bvid", "at", "effective"])
+        yield pd.DataFrame(out, columns=["bvid", "at", "id", "effective"])
 
-    return stream.groupBy("bvid").applyInPandasWithState(fold, "bvid string, at timestamp, effective string", "effective string, candidate string, n int", "append", GroupStateTimeout.NoTimeout)
+    return stream.groupBy("bvid").applyInPandasWithState(fold, "bvid string, at timestamp, id long, effective string", "effective string, candidate string, n int", "append", GroupStateTimeout.NoTimeout)
 
 
-def watchlist_upkeep(path: str):
-    """A foreachBatch function that folds candidates into the table at path; a batch that runs again changes nothing."""
+def watchlist_upkeep(path: str, parts: int = 16):
+    """A foreachBatch function that folds candidates into the table at path; a batch that runs again changes nothing.
+
+    Of each comment only the candidates that its row rests on are kept (the best, the last, the last hot and
+    the first one), in parts by comment. A batch rewrites the parts that it touches, as a new version.
+    """
 
     def fold(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        part = f"{path}/candidates/batch={number}"
-        batch.write.mode("overwrite").parquet(part)
-        derive.watchlist(spark.read.parquet(f"{path}/candidates").drop("batch")).write.mode("overwrite").parquet(f"{path}/table")
+        new = batch.withColumn("part", F.pmod(F.xxhash64("bvid", "rpid"), F.lit(parts)).cast("int"))
+        touched = [r.part for r in new.select("part").distinct().collect()]  # at most `parts`
+        before = [f"{path}/part={k}/batch={n}" for k, n in versions(spark, path, number).items() if k in touched]
+        held = spark.read.option("basePath", path).parquet(*before).drop("batch") if before else new.limit(0)
+        at = F.struct("captured_at", "id")
+        key = ["part", "bvid", "rpid"]
+        row = F.struct(*(c for c in batch.columns if c not in key))
+        best = F.max_by(row, F.struct("priority", "captured_at", "id"))
+        hot = F.max_by(row, F.when(F.col("hot_position").isNotNull(), at))
+        kept = new.unionByName(held).groupBy(*key).agg(F.array_distinct(F.array(best, F.max_by(row, at), F.min_by(row, at), hot)).alias("kept"))
+        rows = kept.select(*key, F.explode("kept").alias("k")).where("k is not null").select(*key, "k.*")
+        rows.repartition(parts, "part").withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part", "batch").parquet(path)
 
     return fold
 
 
+def versions(spark: SparkSession, path: str, before: int | None = None) -> dict[int, int]:
+    """The last batch (before one, if given) that wrote each part of a table of watchlist_upkeep()."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    found: dict[int, int] = {}
+    for status in files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/part=*/batch=*")) or []:
+        part, batch = (int(x.split("=")[1]) for x in status.getPath().toString().rstrip("/").split("/")[-2:])
+        if before is None or batch < before:
+            found[part] = max(batch, found.get(part, -1))
+    return found
+
+
+def read_watchlist(spark: SparkSession, path: str) -> DataFrame:
+    """The watch list that a table of watchlist_upkeep() amounts to."""
+    last = [f"{path}/part={k}/batch={n}" for k, n in versions(spark, path).items()]
+    return derive.watchlist(spark.read.option("basePath", path).parquet(*last).drop("part", "batch"))
+
+
 def alert_upkeep(path: str, schema: str, now):
     """A foreachBatch function that moves the alert state at path on; states are kept by batch number."""
 
@@ -143,6 +214,12 @@ def drain(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") ->
     writer.start().awaitTermination()
 
 
+def drained(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """What a stream gives over all that is there, as a table in a folder."""
+    drain(stream, f"{folder}/out", f"{folder}/state", mode)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
 def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table's file as a stream."""
     path = f"{sf_dir}/{name}.parquet"
