@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,8 +22,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.llm.common import checkpointed
+
 WORD = re.compile(r"[^\W\d_]+")
 GRADES = 4
+#: Numbers of first letters that are features.
+STEMS = (4, 5)
 
 
 def text_words(text: str | None) -> set[str]:
@@ -32,7 +36,7 @@ def text_words(text: str | None) -> set[str]:
 
 
 def features(word: str) -> list[str]:
-    return [word, *(f"{word[:n]}*" for n in (4, 5) if len(word) > n)]
+    return [word, *(f"{word[:n]}*" for n in STEMS if len(word) > n)]
 
 
 @dataclass(frozen=True)
@@ -50,45 +54,14 @@ class Ordinal:
         return 1 / (1 + np.exp(-np.clip(score[:, None] - np.array(self.thresholds), -60, 60)))
 
 
-def _feature_rows(sets: Iterable[Iterable[str]]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """Names of all features, and (row, feature, count) of those that each set has, as compact arrays."""
-    numbers: dict[str, int] = {}
-    lists = [np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int32) for words in sets]
-    names: dict[str, int] = {}
-    of_word = np.full((len(numbers), 3), -1, np.int32)
-    for word, n in numbers.items():
-        for k, f in enumerate(features(word)):
-            of_word[n, k] = names.setdefault(f, len(names))
-    del numbers
-    rows, cols, counts = [np.empty(0, np.int32)], [np.empty(0, np.int32)], [np.empty(0, np.int32)]
-    for n, words in enumerate(lists):
-        found = of_word[words].ravel()
-        col, count = np.unique(found[found >= 0], return_counts=True)
-        rows.append(np.full(len(col), n, np.int32))
-        cols.append(col)
-        counts.append(count.astype(np.int32))
-    return list(names), np.concatenate(rows), np.concatenate(cols), np.concatenate(counts)
-
-
-def train(sets: Iterable[Iterable[str]], toxic: list[int], most_features: int = 4000, least: int = 3, l1: float = 2e-4, rounds: int = 300) -> Ordinal:
-    """The model of the given word sets and 0/1 labels; without both labels, one that rejects nothing."""
-    y = np.array(toxic)
-    if not len(y) or y.min() == y.max():
-        return Ordinal({}, tuple(10.0 + k for k in range(GRADES - 1)))
-    names, row, col, value = _feature_rows(sets)
+def train(toxic: np.ndarray, row: np.ndarray, col: np.ndarray, count: np.ndarray, names: list[str], lift: np.ndarray, l1: float = 2e-4, rounds: int = 300) -> Ordinal:
+    """The model of 0/1 labels and of the number of words (count) that a document (row) has with a feature (col).
+
+    lift: how much more frequent each feature is under the toxic label; above 8 it is a marker.
+    """
+    y, value = toxic, np.log1p(count.astype(float))
     n = np.bincount(y, minlength=2)
-    has = np.stack([np.bincount(col, y[row] == k, len(names)) for k in (0, 1)])
-    found = np.flatnonzero(has.sum(0) >= least)
-    rate = ((has[:, found] + 0.5) / (n[:, None] + 1)).T
-    lift = np.log(rate[:, 1] / rate[:, 0]) * np.sqrt(np.minimum(n[1] * rate.max(1), n[0] * rate.max(1)))
-    chosen = np.argsort(-np.abs(lift), kind="stable")[:most_features]
-    chosen = chosen[np.abs(lift[chosen]) > 4]
-    place = np.full(len(names), -1, np.int64)
-    place[found[chosen]] = np.arange(len(chosen))
-    names = [names[i] for i in found[chosen]]
-    kept = place[col] >= 0
-    row, col, value = row[kept], place[col[kept]], np.log1p(value[kept].astype(float))
-    amount = np.bincount(row, lift[chosen][col] > 8, len(y))
+    amount = np.bincount(row, lift[col] > 8, len(y))
     steps = np.quantile(amount[y == 1], np.arange(1, GRADES - 1) / (GRADES - 1))
     grade = np.where(y == 1, 1 + (amount[:, None] > steps).sum(1), 0)
 
@@ -109,10 +82,33 @@ def train(sets: Iterable[Iterable[str]], toxic: list[int], most_features: int =
     return Ordinal({names[i]: float(w[i]) for i in np.flatnonzero(w)}, tuple(theta.tolist()))
 
 
-def fit(documents: DataFrame, labels: DataFrame, sample: int = 8000) -> Ordinal:
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """name, p and q: how many toxic and clean documents of a part have each feature. A feature may come again."""
+    counts: tuple[Counter[str], Counter[str]] = Counter(), Counter()
+
+    def out() -> pa.RecordBatch:
+        names = list(counts[0] | counts[1])
+        found = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([counts[k][n] for n in names], pa.int64()) for k in (1, 0))], names=["name", "p", "q"])
+        for c in counts:
+            c.clear()
+        return found
+
+    for batch in batches:
+        for toxic, words in zip(batch.column("toxic").to_pylist(), map(pa.ListScalar.as_py, batch.column("words")), strict=True):
+            counts[toxic].update({f for w in words for f in features(w)})
+            if len(counts[0]) + len(counts[1]) > 100_000:
+                yield out()
+    yield out()
+
+
+def fit(documents: DataFrame, labels: DataFrame, sample: int = 8000, most_features: int = 4000, least: int = 3) -> Ordinal:
     """The model of at most `sample` labelled documents: those whose ids have the smallest hash.
 
-    Labels other than 0 and 1 and null ids are left out; of several labels of an id the larger holds.
+    Labels other than 0 and 1 and null ids are left out; of several labels of an id the larger holds, and
+    of several texts the least. Without both labels (an empty table has none) the model rejects nothing.
+
+    Features that `least` documents have are counted and ranked in Spark; the driver gets the counts of
+    the `most_features` strongest alone, however long the texts are.
     """
     kept = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
     chosen = kept.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -122,10 +118,32 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = 8000) -> Ordinal:
     @F.arrow_udf("array<string>")
     def own_words(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([sorted(text_words(t)) for t in batch.to_pylist()], pa.list_(pa.string()))
+            kind = pa.list_(pa.string())
+            yield pa.concat_arrays([pa.array([sorted(text_words(t)) for t in batch[at : at + 64].to_pylist()], kind) for at in range(0, len(batch), 64)] or [pa.array([], kind)])
+
+    rows = checkpointed(texts.withColumn("words", own_words("text")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("words").alias("words")))
+    n = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    if len(n) < 2:
+        return Ordinal({}, tuple(10.0 + k for k in range(GRADES - 1)))
+    has = rows.select("toxic", "words").mapInArrow(_counted, "name string, p long, q long").groupBy("name").agg(F.sum("p").alias("p"), F.sum("q").alias("q")).where(F.col("p") + F.col("q") >= least)
+    p, q = (F.col("p") + 0.5) / (n[1] + 1), (F.col("q") + 0.5) / (n[0] + 1)
+    lift = F.log(p / q) * F.sqrt(F.greatest(p, q) * min(n.values()))
+    strongest = has.select("name", lift.alias("lift")).where(F.abs("lift") > 4).orderBy(F.desc(F.abs("lift")), "name").limit(most_features).collect()
+    place = {r.name: k for k, r in enumerate(strongest)}
+
+    @F.arrow_udf("struct<col:array<int>,count:array<int>>")
+    def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            found = []
+            for words in map(pa.ListScalar.as_py, batch):
+                seen = Counter(place[f] for w in words for f in features(w) if f in place)
+                found.append({"col": list(seen), "count": list(seen.values())})
+            yield pa.array(found, pa.struct([("col", pa.list_(pa.int32())), ("count", pa.list_(pa.int32()))]))
 
-    rows = texts.withColumn("words", own_words("text")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("words").alias("words")).orderBy("doc_id").select("words", "toxic").toArrow()
-    return train((w.as_py() for w in rows.column("words")), rows.column("toxic").to_pylist())
+    got = rows.select("doc_id", "toxic", counted("words").alias("c")).select("doc_id", "toxic", "c.col", "c.count").orderBy("doc_id").toArrow()
+    col, count = (got.column(c).combine_chunks() for c in ("col", "count"))
+    row = np.repeat(np.arange(len(col), dtype=np.int32), np.diff(col.offsets.to_numpy()))
+    return train(got.column("toxic").to_numpy(), row, col.flatten().to_numpy(), count.flatten().to_numpy(), list(place), np.array([r.lift for r in strongest]))
 
 
 def word_score(text: Column, model: Ordinal) -> Column:
@@ -157,8 +175,8 @@ def grade(documents: DataFrame, model: Ordinal, threshold: float = 0.5) -> DataF
     """documents with toxicity (expected severity), toxicity_grade and toxic.
 
     toxicity is in [0, GRADES-1]; toxicity_grade is the number of k with P(y > k) >= 0.5; toxic is
-    P(y > 0) >= threshold. Null and empty texts have no features. Columns of these names are
-    replaced; every row stays, repeated ones too.
+    P(y > 0) >= threshold. Null and empty texts have no features; texts count whole, however long. Columns
+    of these names are replaced; every row stays, repeated ones too; an empty table gives no rows.
     """
     score = F.col("_tidelog_score")
     above = [1 / (1 + F.exp(F.lit(k) - score)) for k in model.thresholds]
