@@ -161,7 +161,8 @@ def matches(documents: DataFrame, benchmark: DataFrame, params: Params = Params(
 
     A row for each pair of a row and an item with coverage >= params.coverage; null, empty and short
     texts match nothing, repeated rows match each, null ids are carried along, and an item row that is
-    repeated counts once. Other columns are not read.
+    repeated counts once. Texts count whole, however long; an empty table on either side gives no rows.
+    Only the ids and texts are read, so other columns may have any name, those of the result too.
     """
     items = benchmark.select("item_id", F.col("text").alias("item_text")).distinct()
     seeds = items.select("item_id", "item_text", F.explode(_seeds(F.col("item_text"), params)).alias("seed"))
@@ -172,7 +173,9 @@ def matches(documents: DataFrame, benchmark: DataFrame, params: Params = Params(
         named = items.withColumn("number", F.xxhash64("item_id", "item_text"))
         got = seeds.select("seed", F.xxhash64("item_id", "item_text").alias("number")).orderBy("seed", "number").toArrow()
         found = _sharing(F.col("text"), got.column("seed").to_numpy(), got.column("number").to_numpy(), params)
-        pairs = texts.withColumn("number", F.explode(found)).join(F.broadcast(named), "number")
+        # dealt anew, so that a part of the table with many hits, or copies of one, is no single task's tiling
+        parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        pairs = texts.withColumn("number", F.explode(found)).repartition(parts).join(F.broadcast(named), "number")
     else:
         keyed = texts.withColumn("row_key", F.xxhash64("doc_id", "text"))
         own = keyed.select("row_key", F.explode(_seeds(F.col("text"), params)).alias("seed"))
