@@ -286,29 +286,77 @@ def test_messages_give_exact_marginals():
 
 
 def test_language_model(documents, empty):
-    got = lm.score(documents, lm.Params(head=40, classes=8, sent=50)).collect()
+    params = lm.Params(head_rate=0, least_head=40, endings=8, sent=50)
+    model = lm.fit(documents, params)
+    got = lm.score(documents, params, model=model).collect()
     lists = [(i, lower(t).encode().split() + [b""]) for i, t, *_ in ROWS]
     out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
     c = Counter(w for i, ws in lists if not out(i) for w in ws)
     total, v = sum(c.values()), len(c)
     want = Counter((i, out(i), len(ws), sum(c[w] > 0 for w in ws), total, round(sum(math.log10((c[w] + 0.5) / (total + 0.5 * (v + 1))) for w in ws), 4)) for i, ws in lists)
     assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got) == want
-    assert all(r.score < 0 and math.isfinite(r.score) for r in got)
     assert lm.score(empty).count() == 0
 
+    # the model's own probability, token by token from its parameters
+    units, net = model.units, model.network
+    assert len(units.head) == 40 and units.head[b""] >= 0 and 1 < len(net.starts) <= 7
+    unit = lambda w: units.head.get(w, units.endings.get(w[-2:], units.other))
+    group = {}
+    for w, n in c.items():
+        if w not in units.head:
+            a, b = group.get(unit(w), (0, 0))
+            group[unit(w)] = (a + n, b + 1)
+
+    def log10_of(ws):
+        sum_, before = 0.0, [units.head[b""]] * params.context
+        for w in ws:
+            u, h = unit(w), sum(net.r[x].astype(float) * net.c[k] for k, x in enumerate(reversed(before[-params.context :])))
+            k = net.of_class[u]
+            classes, inner = net.p @ h + net.a, (net.q @ h + net.b)[net.starts[k] : net.ends[k]]
+            sum_ += (classes[k] - np.logaddexp.reduce(classes) + inner[u - net.starts[k]] - np.logaddexp.reduce(inner)) / math.log(10)
+            if w not in units.head:
+                n, m = group.get(u, (0, 0))
+                sum_ += math.log10((c[w] + 0.5) / (n + 0.5 * (m + 1)))
+            before.append(u)
+        return sum_
+
+    texts = [(i, len(ws), log10_of(ws)) for i, ws in lists]
+    assert sorted((r.doc_id or -1, r.n_tokens, r.score) for r in got) == [pytest.approx(x, rel=1e-4, abs=1e-3) for x in sorted((i or -1, n, s) for i, n, s in texts)]
+
+
+def test_model_beats_the_base_on_held_out_documents(spark, sf):
+    docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")
+    r = lm.score(docs).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.sum("n_tokens").alias("n")).first()
+    print("log10 a held-out token:", r.s / r.n, "base:", r.b / r.n)
+    assert r.s > r.b
+
 
 def test_model_probabilities_are_normalised():
     params = lm.Params(size=4, context=2)
-    net = lm.Network(np.full(6, 1 / 6), params)
+    frequency = np.array([0.4, 0.2, 0.1, 0.1, 0.1, 0.05, 0.05])
+    net = lm.Network(frequency, np.array([0, 1, 3]), params)
+    rng = np.random.default_rng(0)
+    net.values[:] = rng.standard_normal(len(net.values))
     sequence = np.array([0, 0, 3, 1, 4, 0], np.int32)
     total = 0
-    for u in range(6):
+    for u in range(7):
         s = sequence.copy()
         s[3] = u
-        total += np.exp(net.scores(s, np.array([3]))[0])
+        total += np.exp(net.scores(s, np.array([2, 3]))[1])
     assert total == pytest.approx(1, abs=1e-5)
 
 
+def test_training_raises_the_likelihood():
+    rng = np.random.default_rng(1)
+    sequence = np.concatenate([[0, 0], np.tile([0, 1, 2, 3, 4, 5, 6], 600)]).astype(np.int32)
+    net = lm.Network(np.full(7, 1 / 7), np.array([0, 1, 4]), lm.Params(size=8, context=2))
+    at = np.arange(2, len(sequence))
+    before = net.scores(sequence, at).mean()
+    for _ in range(20):
+        net.learn(sequence, at, rng, 256)
+    assert net.scores(sequence, at).mean() > before / 4
+
+
 def exact_recall(got, y, asked, k):
     """Share of the true k nearest that were found; ranks, order, scores and counts are checked on the way."""
     found, hit, all_ = {}, 0, 0

@@ -32,7 +32,7 @@ def words(text: bytes | None) -> list[bytes]:
 class WordHasher:
     """64-bit hashes of words, with those of words seen before kept in a bounded map."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 150_000):
         self.most, self.known = most, {}
 
     def __call__(self, found: list[bytes]) -> np.ndarray:

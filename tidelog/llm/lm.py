@@ -1,15 +1,18 @@
 """Scores of a log-bilinear language model trained with noise-contrastive estimation.
 
-Tokens are words and an end. Outputs of the network (units) are the `head` most frequent tokens and
-classes of the others by their last two bytes, so their number is fixed; a word's probability is its
-unit's, times its share (with add-half smoothing) in its class. The context vector is the sum over the
-last `context` units of their vectors times weights of the position; a unit's score is its product with
-the unit's output vector, plus a bias.
+Tokens are words and an end. Outputs of the network (units) are the most frequent tokens, whose number
+grows with the root of the training tokens, and groups of the others by their last two bytes; a word's
+probability is its unit's, times its share (with add-half smoothing) in its group. The context vector is
+the sum over the last `context` units of their vectors times weights of the position.
+
+A unit's probability has two levels: that of its class, and its own in the class. Classes are runs of
+units in the order of frequency, as many as the root of their number and about equally frequent, so that
+a token costs twice that root of products. On both levels a score is the context vector's product with an
+output vector, plus a bias, and scoring normalises over all classes and over all units of the class.
 
 Training: a short start on the driver over a bounded sample, then every task goes once over all its
-training documents from there, and the tasks' parameters are averaged, weighted by tokens. Noise
-comes from the units' frequencies and is shared by a batch, so that a step is a few matrix products.
-Scoring normalises over all units with batched products.
+training documents from there, and the tasks' parameters are averaged, weighted by tokens. Noise comes
+from the frequencies of classes, and of units in their class; it is shared by a batch.
 
 Counts are of all training tokens. The `sent` most frequent words' go to every task; the rest of a
 document's words meet theirs in a shuffled join.
@@ -19,10 +22,11 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from itertools import chain, repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,41 +34,64 @@ from pyspark.sql import functions as F
 from tidelog.llm.common import checkpointed, raw_text, words
 
 END = b""
+#: Parameters in a row of a task's result.
+BLOCK = 16_384
 
 
 @dataclass(frozen=True)
 class Params:
-    head: int = 240
-    classes: int = 48
+    #: Units that are words: head_rate times the root of the training tokens, within the two bounds.
+    head_rate: float = 0.5
+    least_head: int = 240
+    most_head: int = 200_000
+    endings: int = 48
     context: int = 4
     size: int = 16
     noise: int = 32
+    inner_noise: int = 8
     batch: int = 8192
     start_batch: int = 512
     rate: float = 0.15
     start_documents: int = 1500
+    start_bytes: int = 8_000_000
     start_rounds: int = 3
+    #: Tasks that train, each with parameters of its own.
+    most_tasks: int = 2048
     sent: int = 200_000
 
 
 @dataclass
 class Units:
-    """Numbers of head words and of classes by ending; the last class takes all other endings."""
+    """Numbers of head words, of groups by ending and of the group of all other endings, by falling frequency; first unit of each class."""
 
     head: dict[bytes, int]
     endings: dict[bytes, int]
-    frequency: np.ndarray = field(default_factory=lambda: np.ones(1))
+    other: int
+    frequency: np.ndarray
+    starts: np.ndarray
+
+    @classmethod
+    def of_counts(cls, head: dict[bytes, int], endings: dict[bytes, int], other: int) -> Units:
+        counted = [*((c, 0, w) for w, c in head.items()), *((c, 1, e) for e, c in endings.items()), (other, 2, b"")]
+        counted.sort(key=lambda x: (-x[0], x[1:]))
+        frequency = np.array([c for c, _, _ in counted], float) + 1
+        frequency /= frequency.sum()
+        names: list[dict[bytes, int]] = [{}, {}, {}]
+        for n, (_, kind, key) in enumerate(counted):
+            names[kind][key] = n
+        classes = int(np.ceil(np.sqrt(len(counted))))
+        starts = np.unique(np.searchsorted(np.cumsum(frequency), np.arange(classes) / classes, side="right"))
+        return cls(names[0], names[1], names[2][b""], frequency, starts)
 
     def of(self, found: list[bytes]) -> np.ndarray:
         unit = np.fromiter(map(self.head.get, found, repeat(-1)), np.int32, len(found))
         rest = np.flatnonzero(unit < 0)
-        other = len(self.head) + len(self.endings)
-        unit[rest] = np.fromiter((self.endings.get(found[i][-2:], other) for i in rest), np.int32, len(rest))
+        unit[rest] = np.fromiter((self.endings.get(found[i][-2:], self.other) for i in rest), np.int32, len(rest))
         return unit
 
     @property
     def count(self) -> int:
-        return len(self.head) + len(self.endings) + 1
+        return len(self.frequency)
 
 
 def padded(lists: list[list[bytes]], units: Units, context: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,21 +104,39 @@ def padded(lists: list[list[bytes]], units: Units, context: int) -> tuple[np.nda
     return out, np.sort(np.concatenate([tokens, row + context + lengths]))
 
 
-class Network:
-    """Vectors of units in contexts (r) and as outputs (q), position weights (c) and biases (b)."""
+def log_sum(score: np.ndarray) -> np.ndarray:
+    """Logarithms of the rows' sums of exponentials; score is overwritten."""
+    most = score.max(axis=1)
+    score -= most[:, None]
+    return most + np.log(np.exp(score, out=score).sum(axis=1))
+
+
+def nce(true: np.ndarray, false: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradients of the mean loss by the scores of data (n) and of noise (n rows), both less their log expected noise."""
+    n = np.float32(len(true))
+    return -1 / (1 + np.exp(np.clip(true, -40, 40))) / n, 1 / (1 + np.exp(-np.clip(false, -40, 40))) / n
 
-    def __init__(self, frequency: np.ndarray, params: Params, values: np.ndarray | None = None):
-        units = len(frequency)
-        self.params, self.units = params, units
-        shapes = [(units, params.size), (units, params.size), (params.context, params.size), (units,)]
-        sizes = [int(np.prod(s)) for s in shapes]
+
+class Network:
+    """Vectors of units in contexts (r) and as outputs (q), of classes (p), position weights (c), biases of units (b) and classes (a)."""
+
+    def __init__(self, frequency: np.ndarray, starts: np.ndarray, params: Params, values: np.ndarray | None = None):
+        units, classes = len(frequency), len(starts)
+        self.params, self.units, self.starts = params, units, starts
+        self.ends = np.append(starts[1:], units)
+        self.of_class = np.repeat(np.arange(classes), self.ends - starts)
+        self.total = np.cumsum(frequency)
+        self.in_class = np.add.reduceat(frequency, starts)
+        self.own_share = frequency / self.in_class[self.of_class]
+        shapes = [(units, params.size), (units, params.size), (classes, params.size), (params.context, params.size), (units,), (classes,)]
+        cuts = np.cumsum([int(np.prod(s)) for s in shapes])
         if values is None:
             rng = np.random.default_rng(11)
-            values = np.concatenate([rng.normal(0, 0.1, sizes[0] + sizes[1]), np.full(sizes[2], 0.5), np.log(frequency)])
+            values = np.concatenate([rng.normal(0, 0.1, cuts[2]), np.full(cuts[3] - cuts[2], 0.5), np.log(self.own_share), np.log(self.in_class)])
         self.values = np.array(values, np.float32)
-        self.r, self.q, self.c, self.b = (x.reshape(s) for x, s in zip(np.split(self.values, np.cumsum(sizes)[:-1]), shapes, strict=True))
+        self.r, self.q, self.p, self.c, self.b, self.a = (x.reshape(s) for x, s in zip(np.split(self.values, cuts[:-1]), shapes, strict=True))
         self.seen = np.full_like(self.values, 1e-3)
-        self.s = [x.reshape(s) for x, s in zip(np.split(self.seen, np.cumsum(sizes)[:-1]), shapes, strict=True)]
+        self.seen_of = [x.reshape(s) for x, s in zip(np.split(self.seen, cuts[:-1]), shapes, strict=True)]
 
     def hidden(self, sequence: np.ndarray, low: int, high: int) -> np.ndarray:
         """Context vectors of the places low to high: each unit's vector is looked up once, and shifted."""
@@ -102,49 +147,77 @@ class Network:
     def scores(self, sequence: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Normalised natural log-probabilities of the units at these places (rising, behind the first context)."""
         out = np.empty(len(at), np.float64)
-        # the bias as one more component; float32 sums of a few hundred terms are good to six digits
-        weights = np.vstack([self.q.T, self.b[None, :]]).astype(np.float32)
-        ones = np.ones(self.units, np.float32)
-        longest = float(np.linalg.norm(self.q, axis=1).max())
         for k in range(0, len(at), self.params.batch):
             here = at[k : k + self.params.batch]
             low, high = int(here[0]), int(here[-1]) + 1
-            hidden = self.hidden(sequence, low, high)[here - low]
-            score = np.hstack([hidden, np.ones((len(here), 1), np.float32)]) @ weights
-            if longest * float(np.linalg.norm(hidden, axis=1).max()) > 60:  # far from where training ends
-                score -= score.max(axis=1, keepdims=True)
-            own = score[np.arange(len(here)), sequence[here]].astype(np.float64)
-            out[k : k + len(here)] = own - np.log((np.exp(score, out=score) @ ones).astype(np.float64))
+            unit = sequence[here]
+            order = np.argsort(self.of_class[unit], kind="stable")
+            unit, hidden = unit[order], self.hidden(sequence, low, high)[here[order] - low]
+            of = self.of_class[unit]
+            score = hidden @ self.p.T + self.a
+            each = score[np.arange(len(of)), of].astype(np.float64)
+            each -= log_sum(score)
+            bounds = np.searchsorted(of, np.arange(len(self.starts) + 1))
+            for c in np.unique(of).tolist():
+                i, j, first, last = bounds[c], bounds[c + 1], self.starts[c], self.ends[c]
+                if last - first > 1:
+                    score = hidden[i:j] @ self.q[first:last].T + self.b[first:last]
+                    each[i:j] += score[np.arange(j - i), unit[i:j] - first]
+                    each[i:j] -= log_sum(score)
+            out[k + order] = each
         return out
 
-    def _scatter(self, to: int, rows: np.ndarray, gradient: np.ndarray) -> None:
-        """One adaptive step on rows of a table; rows may repeat."""
-        table, seen = (self.r, self.q)[to], self.s[to]
-        total = np.stack([np.bincount(rows, gradient[:, d], self.units) for d in range(gradient.shape[1])], axis=1)
-        seen += total * total
-        table -= self.params.rate * total / np.sqrt(seen)
-
-    def learn(self, sequence: np.ndarray, at: np.ndarray, frequency: np.ndarray, rng: np.random.Generator, batch: int) -> None:
+    def _step(self, table: np.ndarray, seen: np.ndarray, gradient: np.ndarray, rows: np.ndarray | None = None) -> None:
+        """One adaptive step on a table, or on rows of it, which may repeat."""
+        if rows is None:
+            seen += gradient * gradient
+            table -= self.params.rate * gradient / np.sqrt(seen)
+            return
+        own, place = np.unique(rows, return_inverse=True)
+        flat = gradient if gradient.ndim > 1 else gradient[:, None]
+        total = np.stack([np.bincount(place, flat[:, d], len(own)) for d in range(flat.shape[1])], axis=1).astype(np.float32).reshape(len(own), *gradient.shape[1:])
+        seen[own] += total * total
+        table[own] -= self.params.rate * total / np.sqrt(seen[own])
+
+    def learn(self, sequence: np.ndarray, at: np.ndarray, rng: np.random.Generator, batch: int) -> None:
         """Noise-contrastive steps over the tokens at these places (rising, behind the first context)."""
         p = self.params
-        log_noise = np.log(p.noise * frequency).astype(np.float32)
-        drawn = np.cumsum(frequency)
+        r_seen, q_seen, p_seen, c_seen, b_seen, a_seen = self.seen_of
+        class_noise = np.log(p.noise * self.in_class).astype(np.float32)
+        unit_noise = np.log(p.inner_noise * self.own_share).astype(np.float32)
+        drawn = np.cumsum(self.in_class)
         for k in rng.permutation(np.arange(0, len(at), batch)):
             here = at[k : k + batch]
             low, high = int(here[0]), int(here[-1]) + 1
-            noise = np.minimum(np.searchsorted(drawn, rng.random(p.noise)), self.units - 1)
+            here = here[np.argsort(self.of_class[sequence[here]], kind="stable")]
             target = sequence[here]
+            of = self.of_class[target]
             hidden = self.hidden(sequence, low, high)[here - low]
-            own = self.q[target]
-            true = np.einsum("ij,ij->i", hidden, own) + self.b[target] - log_noise[target]
-            false = hidden @ self.q[noise].T + self.b[noise] - log_noise[noise]
-            miss = -1 / (1 + np.exp(np.clip(true, -40, 40))) / np.float32(len(here))
-            hit = 1 / (1 + np.exp(-np.clip(false, -40, 40))) / np.float32(len(here))
-            back = np.zeros((high - low + p.context, p.size), np.float32)
-            back[here - low + p.context] = hit @ self.q[noise] + miss[:, None] * own
-            out_rows, out_gradient = np.concatenate([target, noise]), np.concatenate([miss[:, None] * hidden, hit.T @ hidden])
-            bias = np.bincount(out_rows, np.concatenate([miss, hit.sum(axis=0)]), self.units)
+
+            # the classes
+            noise = np.minimum(np.searchsorted(drawn, rng.random(p.noise) * drawn[-1]), len(drawn) - 1)
+            true = np.einsum("ij,ij->i", hidden, self.p[of]) + self.a[of] - class_noise[of]
+            miss, hit = nce(true, hidden @ self.p[noise].T + self.a[noise] - class_noise[noise])
+            given = hit @ self.p[noise] + miss[:, None] * self.p[of]
+            class_rows, class_gradient, class_bias = np.concatenate([of, noise]), np.concatenate([miss[:, None] * hidden, hit.T @ hidden]), np.concatenate([miss, hit.sum(axis=0)])
+
+            # the units in them: for each class some of its own as noise
+            present, first, place = np.unique(of, return_index=True, return_inverse=True)
+            begin = self.total[self.starts[present]] - self.in_class[present] * self.own_share[self.starts[present]]
+            noise = np.searchsorted(self.total, begin[:, None] + rng.random((len(present), p.inner_noise)) * self.in_class[present][:, None], side="right")
+            noise = np.clip(noise, self.starts[present][:, None], self.ends[present][:, None] - 1)
+            vectors = self.q[noise][place]
+            true = np.einsum("ij,ij->i", hidden, self.q[target]) + self.b[target] - unit_noise[target]
+            miss, hit = nce(true, np.matmul(vectors, hidden[:, :, None])[:, :, 0] + (self.b[noise] - unit_noise[noise])[place])
+            given += np.matmul(hit[:, None, :], vectors)[:, 0] + miss[:, None] * self.q[target]
+            noise_gradient = np.add.reduceat(hit[:, :, None] * hidden[:, None, :], first)
+            rows = np.concatenate([target, noise.ravel()])
+            gradient = np.concatenate([miss[:, None] * hidden, noise_gradient.reshape(-1, p.size)])
+            bias = np.concatenate([miss, np.add.reduceat(hit, first).ravel()])
+
             # each place's part in the contexts behind it, gathered before one pass over the units
+            back = np.zeros((high - low + p.context, p.size), np.float32)
+            back[here - low + p.context] = given
             window = sequence[low - p.context : high]
             vectors = self.r[window]
             given = np.zeros_like(back)
@@ -153,15 +226,16 @@ class Network:
                 later = back[i:]
                 c_gradient[i - 1] = np.einsum("ij,ij->j", vectors[: len(later)], later)
                 given[: len(later)] += later * self.c[i - 1]
-            self._scatter(1, out_rows, out_gradient)
-            self._scatter(0, window, given)
-            for table, seen, g in ((self.c, self.s[2], c_gradient), (self.b, self.s[3], bias)):
-                seen += g * g
-                table -= p.rate * g / np.sqrt(seen)
+            self._step(self.p, p_seen, class_gradient, class_rows)
+            self._step(self.a, a_seen, class_bias, class_rows)
+            self._step(self.q, q_seen, gradient, rows)
+            self._step(self.b, b_seen, bias, rows)
+            self._step(self.r, r_seen, given, window)
+            self._step(self.c, c_seen, c_gradient)
 
 
-def lowered(batch: pa.Array) -> list[list[bytes]]:
-    return [words(t.lower() if t else t) for t in batch.to_pylist()]
+def lowered(texts: list[bytes | None]) -> list[list[bytes]]:
+    return [words(t.lower() if t else t) for t in texts]
 
 
 def count_words(texts: DataFrame) -> DataFrame:
@@ -177,7 +251,7 @@ def count_words(texts: DataFrame) -> DataFrame:
 
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                for found in lowered(batch.column("raw").slice(at, 256)):
+                for found in lowered(batch.column("raw").slice(at, 256).to_pylist()):
                     counts.update(found)
                     counts[END] += 1
                 if len(counts) > 500_000:
@@ -199,72 +273,106 @@ def most_frequent(counts: DataFrame, most: int) -> DataFrame:
     return counts.where(F.lit(False) if least is None else F.col("c") >= least)
 
 
-def make_units(counts: DataFrame, params: Params) -> Units:
-    """Units from the counts; a bounded number of rows comes to the driver."""
-    head = counts.orderBy(F.desc(F.col("word") == F.lit(END)), F.desc("c"), "word").limit(params.head).collect()
-    names = {bytes(r.word): n for n, r in enumerate(head)} or {END: 0}
-    rest = counts.where(~F.col("word").isin([F.lit(w) for w in names]))
-    by_ending = rest.groupBy(F.substring("word", -2, 2).alias("ending")).agg(F.sum("c").alias("c"))
-    top = by_ending.orderBy(F.desc("c"), "ending").limit(params.classes).collect()
-    endings = {bytes(r.ending): len(names) + n for n, r in enumerate(top)}
-    units = Units(names, endings)
-    other = (by_ending.agg(F.sum("c")).first()[0] or 0) - sum(r.c for r in top)
-    frequency = np.array([*(r.c for r in head), *(r.c for r in top), other][-units.count :] or [1.0], float)
-    frequency = np.pad(frequency, (units.count - len(frequency), 0)) + 1
-    units.frequency = frequency / frequency.sum()
-    return units
+def make_units(counts: DataFrame, total: int, params: Params) -> tuple[Units, dict[int, tuple[int, int]]]:
+    """Units from the counts of `total` tokens, and (sum, number) of each group's words; a bounded number of rows comes to the driver."""
+    most = int(min(max(params.head_rate * np.sqrt(total), params.least_head), params.most_head))
+    head = {bytes(r.word): r.c for r in counts.orderBy(F.desc(F.col("word") == F.lit(END)), F.desc("c"), "word").limit(most).collect()} or {END: 0}
+    least = min((c for w, c in head.items() if w != END), default=0)
+    # words as frequent as the last one are on either side; those are told by name
+    tied = [F.lit(w) for w, c in head.items() if c == least or w == END]
+    rest = counts.where((F.col("c") <= least) & ~F.col("word").isin(tied))
+    by_ending = checkpointed(rest.groupBy(F.substring("word", -2, 2).alias("ending")).agg(F.sum("c").alias("c"), F.count("*").alias("v")))
+    top = by_ending.orderBy(F.desc("c"), "ending").limit(params.endings).collect()
+    all_c, all_v = by_ending.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    units = Units.of_counts(head, {bytes(r.ending): r.c for r in top}, all_c - sum(r.c for r in top))
+    groups = {units.endings[bytes(r.ending)]: (r.c, r.v) for r in top} | {units.other: (all_c - sum(r.c for r in top), all_v - sum(r.v for r in top))}
+    return units, groups
 
 
 def train(texts: DataFrame, units: Units, params: Params) -> Network:
     """The network, over all texts (columns row, raw): a start from a sample, then averaged passes of all tasks."""
-    start = Network(units.frequency, params)
+    start = Network(units.frequency, units.starts, params)
     rng = np.random.default_rng(5)
-    sample = texts.orderBy(F.xxhash64("row"), "row").limit(params.start_documents).select("raw").toArrow().column("raw").combine_chunks()
+    # the sample is bounded in documents and in bytes: whole texts, in the order of a hash, while they fit
+    listed = texts.select("row", F.octet_length("raw").alias("size")).orderBy(F.xxhash64("row"), "row").limit(params.start_documents).collect()
+    sizes = np.cumsum([r.size or 0 for r in listed])
+    chosen = sorted({r.row for r, size in zip(listed, sizes, strict=True) if size <= params.start_bytes})
+    few = texts.where(F.col("row").isin(chosen)).dropDuplicates(["row"]).orderBy("row").select("raw").toArrow().column("raw").to_pylist() if chosen else []
     for _ in range(params.start_rounds):
-        for at in range(0, len(sample), 250):
-            sequence, tokens = padded(lowered(sample[at : at + 250]), units, params.context)
-            start.learn(sequence, tokens, units.frequency, rng, params.start_batch)
+        for at in range(0, len(few), 250):
+            sequence, tokens = padded(lowered(few[at : at + 250]), units, params.context)
+            start.learn(sequence, tokens, rng, params.start_batch)
     begun, seen = start.values, start.seen
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Network(units.frequency, params, begun)
+        own = Network(units.frequency, units.starts, params, begun)
         own.seen[:] = seen
         rng, total = np.random.default_rng(3), 0
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                sequence, tokens = padded(lowered(batch.column("raw").slice(at, 256)), units, params.context)
-                own.learn(sequence, tokens, units.frequency, rng, params.batch)
+                sequence, tokens = padded(lowered(batch.column("raw").slice(at, 256).to_pylist()), units, params.context)
+                own.learn(sequence, tokens, rng, params.batch)
                 total += len(tokens)
         if total:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(own.values))), pa.array(own.values.astype(float) * total), pa.array(np.full(len(own.values), total))], names=["place", "value", "n"])
+            parts = [own.values[k : k + BLOCK].tobytes() for k in range(0, len(own.values), BLOCK)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts))), pa.array(parts, pa.binary()), pa.array([total] * len(parts))], names=["part", "part_values", "n"])
+
+    def mean(rows: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(v, np.float32) * float(n) for v, n in zip(rows["part_values"], rows["n"], strict=True))
+        return pd.DataFrame({"part": rows["part"].iloc[:1], "part_values": [(total / rows["n"].sum()).astype(np.float32).tobytes()]})
 
-    mean = texts.select("raw").mapInArrow(run, "place long, value double, n long").groupBy("place").agg((F.sum("value") / F.sum("n")).alias("value")).orderBy("place").toArrow()
-    return Network(units.frequency, params, mean.column("value").to_numpy()) if mean.num_rows else start
+    parts = texts.select("raw").coalesce(params.most_tasks).mapInArrow(run, "part long, part_values binary, n long")
+    got = parts.groupBy("part").applyInPandas(mean, "part long, part_values binary").orderBy("part").toArrow().column("part_values").to_pylist()
+    return Network(units.frequency, units.starts, params, np.frombuffer(b"".join(got), np.float32)) if got else start
 
 
-def score(documents: DataFrame, params: Params = Params(), fold: int = 1, folds: int = 5) -> DataFrame:  # noqa: B008
+@dataclass
+class Model:
+    """What training leaves: units and network, counts of all training words, their sum and number, and (sum, number) of each group's."""
+
+    units: Units
+    network: Network
+    counts: DataFrame
+    total: int
+    distinct: int
+    groups: dict[int, tuple[int, int]]
+
+    def bottoms(self) -> np.ndarray:
+        """For each unit what a count + 0.5 is divided by for the word's share in its group; 0 for words of their own."""
+        out = np.zeros(self.units.count)
+        for unit, (n, v) in self.groups.items():
+            out[unit] = n + 0.5 * (v + 1)
+        return out
+
+
+def keyed(documents: DataFrame, fold: int, folds: int) -> DataFrame:
+    """doc_id, held_out, row and raw of each row."""
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == fold, F.lit(False))
+    return documents.select("doc_id", held_out.alias("held_out"), F.xxhash64("doc_id", "text").alias("row"), raw_text().alias("raw"))
+
+
+def fit(documents: DataFrame, params: Params = Params(), fold: int = 1, folds: int = 5) -> Model:  # noqa: B008
+    """The model of the documents that are not held out."""
+    texts = keyed(documents, fold, folds).where(~F.col("held_out"))
+    counts = checkpointed(count_words(texts))
+    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    units, groups = make_units(counts, total, params)
+    return Model(units, train(texts, units, params), counts, total, distinct, groups)
+
+
+def score(documents: DataFrame, params: Params = Params(), fold: int = 1, folds: int = 5, model: Model | None = None) -> DataFrame:  # noqa: B008
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row.
 
     held_out: crc32 of the id as text leaves `fold` over `folds`; null ids are not held out. Null and
-    empty texts are one end. Scores are log10 probabilities of whole texts. Every row gives a row,
-    repeated ones too; without training documents all counts are 0. Other columns are not read.
+    empty texts are one end; texts count whole, however long. Scores are log10 probabilities of whole
+    texts. Every row gives a row, repeated ones too; an empty table gives none; without training documents
+    all counts are 0. Other columns are not read.
     """
-    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == fold, F.lit(False))
-    rows = documents.select("doc_id", held_out.alias("held_out"), F.xxhash64("doc_id", "text").alias("row"), raw_text().alias("raw"))
-    counts = checkpointed(count_words(rows.where(~F.col("held_out"))))
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    units = make_units(counts, params)
-    network = train(rows.where(~F.col("held_out")), units, params)
-
-    # words in each class, to share the class's probability among them
-    ending = F.substring("word", -2, 2)
-    rest = counts.where(~F.col("word").isin([F.lit(w) for w in units.head]))
-    own = {bytes(r.ending): (r.n, r.v) for r in rest.where(ending.isin([F.lit(e) for e in units.endings] or [F.lit(b"-")])).groupBy(ending.alias("ending")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
-    all_n, all_v = rest.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    other = (all_n - sum(n for n, _ in own.values()), all_v - sum(v for _, v in own.values()))
-    n_classes = [*(own.get(e, (0, 0)) for e in units.endings), other]
-    bottom = np.array([n + 0.5 * (v + 1) for n, v in n_classes])
-    base_bottom = total + 0.5 * (distinct + 1)
+    model = model or fit(documents, params, fold, folds)
+    units, network, counts, total = model.units, model.network, model.counts, model.total
+    rows = keyed(documents, fold, folds)
+    bottom = model.bottoms()
+    base_bottom = total + 0.5 * (model.distinct + 1)
 
     top = most_frequent(counts, params.sent).toArrow()
     sent = documents.sparkSession.sparkContext.broadcast((top.column("word").to_pylist(), top.column("c").to_numpy()))
@@ -272,14 +380,13 @@ def score(documents: DataFrame, params: Params = Params(), fold: int = 1, folds:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, c = sent.value
         place = dict(zip(names, range(len(names)), strict=True))
-        unit = units.of(names)
         base_log = np.append(np.log10((c + 0.5) / base_bottom), 0.0)
-        inner = np.where(unit >= len(units.head), np.log10((c + 0.5) / bottom[np.maximum(0, unit - len(units.head))]), 0.0) if len(names) else np.empty(0)
-        inner = np.append(inner, 0.0)
+        under = bottom[units.of(names)]
+        inner = np.append(np.where(under > 0, np.log10((c + 0.5) / np.where(under > 0, under, 1)), 0.0), 0.0)
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
-                lists = lowered(part.column("raw"))
+                lists = lowered(part.column("raw").to_pylist())
                 sequence, tokens = padded(lists, units, params.context)
                 each = network.scores(sequence, tokens) / np.log(10)
                 ends = np.cumsum([len(x) + 1 for x in lists])
@@ -294,22 +401,21 @@ def score(documents: DataFrame, params: Params = Params(), fold: int = 1, folds:
                 owner = np.searchsorted(ends, rare_at, side="right").tolist()
                 tails = Counter(zip(owner, [flat[i] for i in rare_at.tolist()], strict=True))
                 keys = sorted(tails)
-                classes = units.of([w for _, w in keys]) - len(units.head)
+                under = bottom[units.of([w for _, w in keys])]
                 offsets = np.concatenate(([0], np.cumsum(np.bincount([d for d, _ in keys], minlength=len(lists)))))
-                held = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array([w for _, w in keys], pa.binary()), pa.array([tails[k] for k in keys], pa.int64()), pa.array(classes, pa.int64())], ["word", "tf", "class"]))
+                held = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array([w for _, w in keys], pa.binary()), pa.array([tails[k] for k in keys], pa.int64()), pa.array(under, pa.float64())], ["word", "tf", "under"]))
                 columns = [part.column("doc_id"), part.column("held_out"), pa.array([len(x) + 1 for x in lists], pa.int64()), pa.array(known), pa.array(base), pa.array(sums), held]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "known", "base", "sum", "rare"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    partly = rows.select("doc_id", "held_out", "raw").mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, sum double, rare array<struct<word:binary,tf:long,class:long>>")
+    partly = rows.select("doc_id", "held_out", "raw").mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, sum double, rare array<struct<word:binary,tf:long,under:double>>")
     partly = checkpointed(partly.withColumn("row", F.monotonically_increasing_id()))
     rare = partly.select("row", F.explode("rare").alias("r")).select("row", "r.*").join(counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    share = F.element_at(F.array(*(F.lit(float(b)) for b in bottom)), (F.greatest(F.col("class"), F.lit(0)) + 1).cast("int"))
-    in_class = F.when(F.col("class") >= 0, F.log10((F.col("c") + 0.5) / share)).otherwise(0.0)
+    in_group = F.when(F.col("under") > 0, F.log10((F.col("c") + 0.5) / F.col("under"))).otherwise(0.0)
     more = rare.groupBy("row").agg(
         F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("more_known"),
         F.sum(F.col("tf") * F.log10((F.col("c") + 0.5) / F.lit(float(base_bottom)))).alias("more_base"),
-        F.sum(F.col("tf") * in_class).alias("more_sum"),
+        F.sum(F.col("tf") * in_group).alias("more_sum"),
     )
     zero = F.lit(0.0)
     return partly.drop("rare").join(more, "row", "left").select(
