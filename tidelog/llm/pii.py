@@ -190,7 +190,7 @@ def find_pii(documents: DataFrame, boot: Bootstrap = Bootstrap()) -> DataFrame:
 
     Counts and the digest are of base spans; spans lists all as kind:start:end, by start and kind.
     Null and empty texts have none (the digest is that of ''). Repeated rows and null ids give a row
-    each; other columns are not read.
+    each; texts count whole, however long; an empty table gives no rows. Other columns are not read.
     """
     found = located_pii(documents, boot)
     counts = [F.size(F.filter("base", of_kind(k))).cast("long").alias(f"n_{k}") for k in BASE]
