@@ -91,6 +91,12 @@ class Encoder:
         stops[piece[breaks]] = before[breaks]
         self._add(ragged(flat, (np.cumsum(lengths) - lengths)[unit], size), sizes, stops)
 
+    def _sentences(self, text: str) -> list[np.ndarray]:
+        """The library's ids of a whole text, cut where sentences end."""
+        found = self.tokenizer.encode(text, add_special_tokens=False)
+        ends = [n for n, (_, b) in enumerate(found.offsets, 1) if b and text[b - 1] in SENTENCE_ENDS and (b == len(text) or text[b].isspace())]
+        return [part for part in np.split(np.array(found.ids, np.uint32), ends) if len(part)]
+
     def encode(self, texts: list[str | None], alone: frozenset[int] = frozenset()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids, with an id 0 after each text; the texts' ends; and the ends of sentences among them.
 
@@ -99,12 +105,13 @@ class Encoder:
         if self.slots > CACHED:
             self._reset()
         keys: list[str] = []
-        whole: dict[str, str] = {}
+        whole: dict[str, np.ndarray] = {}
         for n, text in enumerate(texts):
             cut = pieces(text or "")
             if cut is None or n in alone or any(s in text for s in self.merger.special if text):
-                whole[key := f" {n} "] = text
-                keys += (key, END)
+                own_keys = {f" {n} {k} ": ids for k, ids in enumerate(self._sentences(text))}
+                whole |= own_keys
+                keys += (*own_keys, END)
             else:
                 cut[0] += " "
                 keys += cut
@@ -128,9 +135,9 @@ class Encoder:
             self._add_pieces(plain, list(chain.from_iterable(units)), np.repeat(np.arange(len(plain)), [len(u) for u in units]))
         self.known.update(own)
         if whole:
-            found = [self.tokenizer.encode(t, add_special_tokens=False).ids for t in whole.values()]
+            sizes = np.array([len(ids) for ids in whole.values()], np.int64)
             own.update(zip(whole, range(self.slots, self.slots + len(whole)), strict=True))
-            self._add(np.array(list(chain.from_iterable(found)), np.uint32), np.array([len(f) for f in found], np.int64), np.zeros(len(found), np.int64))
+            self._add(np.concatenate(list(whole.values())), sizes, sizes)
         slots[open_] = [own[keys[i]] for i in open_]
         size = self.size[slots]
         after = np.cumsum(size)
