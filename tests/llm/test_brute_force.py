@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -322,6 +323,70 @@ def test_reordered_passages_are_found(spark, documents):
     assert decontamination.matches(docs, bench.limit(0)).count() == 0
 
 
+def plain_tiles(doc, item, least):
+    """Greedy string tiling by the definition: the longest free match, first in doc and then in item, again and again."""
+    free_doc, free_item, out = [True] * len(doc), [True] * len(item), []
+    for n in range(min(len(doc), len(item)), least - 1, -1):
+        for p in range(len(doc) - n + 1):
+            for q in range(len(item) - n + 1) if all(free_doc[p : p + n]) else ():
+                if all(free_item[q : q + n]) and doc[p : p + n] == item[q : q + n]:
+                    free_doc[p : p + n], free_item[q : q + n] = [False] * n, [False] * n
+                    out.append((p, q, n))
+                    break
+    return out
+
+
+def plain_matches(docs, bench, params=decontamination.Params()):  # noqa: B008
+    """(doc_id, item_id, coverage, tiles) of rows (id, text) and items, in loops."""
+    found = []
+    items = {(i, t): re.findall(r"[^\W_]+", (t or "").lower()) for i, t in bench}
+    for d, text in docs:
+        ws = re.findall(r"[^\W_]+", (text or "").lower())
+        for (i, _), item in items.items():
+            seeds = {tuple(item[k : k + params.seed]) for k in range(len(item) - params.seed + 1)}
+            if seeds & {tuple(ws[k : k + params.seed]) for k in range(len(ws) - params.seed + 1)}:
+                tiles = plain_tiles(ws, item, params.least)
+                if (share := sum(n for *_, n in tiles) / len(item)) >= params.coverage:
+                    found.append((d, i, round(share, 9), tuple(sorted(tiles))))
+    return Counter(found)
+
+
+def test_matches_equal_plain_tiling(spark):
+    random.seed(21)
+    item = lambda n: [random.choice(VOCABULARY[:40]) for _ in range(n)]
+    bench = [(k, " ".join(item(random.randint(3, 30)))) for k in range(15)] + [(99, None), (98, ""), (97, "w1 w2"), (3, "other text of the same id w1 w2 w3")]
+    bench.append(bench[0])
+    docs = []
+    for n in range(60):
+        text = item(random.randint(0, 25))
+        for _ in range(random.randint(0, 3)):
+            taken = random.choice(bench[:15])[1].split()
+            low = random.randrange(len(taken))
+            at = random.randrange(len(text) + 1)
+            text[at:at] = taken[low : low + random.randint(4, 30)]
+        docs.append((n, ", ".join(text).upper() if n % 2 else " ".join(text)))
+    docs += [(60, None), (61, ""), (62, "w1 " * 3000), (None, bench[1][1]), docs[5], docs[5], (63, bench[2][1] + " filler" * 5000)]
+    df = spark.createDataFrame([(*d, "x", 1.0) for d in docs], "doc_id long, text string, item_text string, coverage double").repartition(3)
+    items = spark.createDataFrame([(*b, 5) for b in bench], "item_id long, text string, number long")
+    want = plain_matches(docs, bench)
+    assert len(want) > 10 and (None, 1, 1.0) in {k[:3] for k in want}
+    for params in (decontamination.Params(), decontamination.Params(most_sent=1)):
+        got = decontamination.matches(df, items, params).collect()
+        assert Counter((r.doc_id, r.item_id, round(r.coverage, 9), tuple(sorted((t.doc_word, t.item_word, t.length) for t in r.tiles))) for r in got) == want
+    hit = {text for d, text in docs if any(k[0] == d for k in want)}
+    kept = decontamination.without_matches(df, items)
+    assert kept.columns == df.columns and Counter(r.text for r in kept.collect()) == Counter(t for _, t in docs if t not in hit)
+    assert decontamination.without_matches(df.limit(0), items).count() == 0
+
+
+def test_tiling_takes_near_linear_time():
+    rng = np.random.default_rng(1)
+    for text in (rng.integers(1, 1 << 60, 20_000, np.uint64), np.ones(20_000, np.uint64), np.tile(np.arange(1, 8, dtype=np.uint64), 3000)):
+        began = time.process_time()
+        assert decontamination.tile(text, text, 4) == [(0, 0, len(text))]
+        assert time.process_time() - began < 2
+
+
 def test_tiles_are_greedy_and_do_not_overlap():
     a, b = np.array([1, 2, 3, 4, 5, 9, 3, 4, 5, 6], np.uint64), np.array([3, 4, 5, 6, 1, 2, 3], np.uint64)
     assert sorted(decontamination.tile(a, b, 3)) == [(0, 4, 3), (6, 0, 4)]
@@ -337,6 +402,40 @@ def test_page_text(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+def test_text_of_held_out_layouts(spark):
+    """Words of content that are found, and words found that are content, on pages that the model has not seen."""
+    layouts = html.Layouts(1234)
+    pages = [layouts.page() for _ in range(150)]
+    want = []
+    for source in pages:
+        page = html.parse(source)
+        want.append(" ".join(t for node, t in page.texts if page.labels[node]))
+    bare = [re.sub(r' data-kept="[01]"', "", p) for p in pages]
+    rows = [(n, f"u{n}", p, "t", 1) for n, p in enumerate(bare)] + [(7, "u7", bare[7], "t", 1), (None, None, bare[8], "t", 1), (900, "u", None, "t", 1)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars long").repartition(2)
+    got = html.extract(df)
+    assert got.columns == ["page_id", "url", "text", "n_chars"]
+    found = got.collect()
+    assert len(found) == len(rows) and all(r.n_chars == len(r.text) for r in found)
+    text = {r.page_id: r.text for r in found}
+    assert sum(r.page_id == 7 and r.text == text[7] for r in found) == 2 and text[None] == text[8]
+    shared = sum((Counter(text[n].split()) & Counter(w.split())).total() for n, w in enumerate(want))
+    wanted, all_ = (sum(len(x.split()) for x in xs) for xs in (want, [text[n] for n in range(150)]))
+    print("recall and precision of words:", shared / wanted, shared / all_)
+    assert shared / wanted > 0.97 and shared / all_ > 0.97
+
+
+def test_broken_pages_take_linear_time():
+    model = html.default_model(60)
+    for source in ("<a " * 350_000, "<form></section>" * 62_500, '<a "" ' * 160_000 + '">"', "<form>" * 50_000 + "<li></li>" * 60_000, "<head>" * 160_000, "<div>" * 200_000):
+        began = time.process_time()
+        page = html.parse(source)
+        model.texts([page])
+        assert time.process_time() - began < 15  # seconds for a megabyte, on a busy machine; quadratic would be minutes
+    deep = html.parse("<div>" * 2000 + "<p>in the depth</p>")
+    assert [t for _, t in deep.texts] == ["in the depth"] and len(deep.parent) == 2002
+
+
 def test_messages_give_exact_marginals():
     layouts = html.Layouts(3)
     model = html.default_model(60)
@@ -508,6 +607,31 @@ def test_probes_find_every_code_within_the_radius():
     assert near.any() and not (near & ~ann.probed(asked, rows, codes.reach())).any()
 
 
+def test_grades_equal_plain_sums(spark):
+    """Grades from the model's weights in loops, on awkward rows; the fit is blind to rows without a label."""
+    random.seed(30)
+    texts = [(n, " ".join(random.choices(VOCABULARY[:60], k=30)) + (" foul fouled vile" if n % 4 == 0 else "")) for n in range(200)]
+    docs = spark.createDataFrame([(*t, "x", True) for t in texts] + [(4, "foul again", "x", True)], "doc_id long, text string, words string, toxic boolean")
+    labels = spark.createDataFrame([(n, 1, int(n % 4 == 0)) for n in range(200)] + [(None, 1, 1), (5, 1, None), (6, 0, 7)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert model.weights["foul"] > 0 and list(model.thresholds) == sorted(model.thresholds)
+    rows = [*texts, (300, None), (301, ""), (302, "Foul, FOUL! vile1 x" + " w1" * 20000), texts[4], texts[4], (None, "so foul vile fouled")]
+    df = spark.createDataFrame([(*r, 9, 9.0, "s", 1) for r in rows], "doc_id long, text string, toxicity_grade int, toxicity double, toxic string, _tidelog long").repartition(3)
+    got = Counter((r.doc_id, round(r.toxicity, 6), r.toxicity_grade, r.toxic, r._tidelog) for r in toxicity.grade(df, model).collect())
+    want = Counter()
+    for i, t in rows:
+        counts = Counter(f for w in set(re.findall(r"[^\W\d_]+", (t or "").lower())) for f in [w, *(w[:k] + "*" for k in (4, 5) if len(w) > k)])
+        score = sum(model.weights.get(f, 0.0) * math.log1p(c) for f, c in counts.items())
+        above = [1 / (1 + math.exp(k - score)) for k in model.thresholds]
+        want[i, round(sum(above), 6), sum(p >= 0.5 for p in above), above[0] >= 0.5, 1] += 1
+    assert got == want
+    assert toxicity.grade(df.limit(0), model).count() == 0
+    kept = toxicity.without_toxic(df, model)
+    assert kept.columns == df.columns and kept.count() == sum(n for k, n in want.items() if not k[3])
+    nobody = toxicity.fit(docs.limit(0), labels)
+    assert not nobody.weights and toxicity.without_toxic(df, nobody).count() == len(rows)
+
+
 def test_toxicity(spark, sf):
     texts, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     big = sf.replace("0.001", "0.1")
@@ -523,6 +647,81 @@ def test_toxicity(spark, sf):
     assert toxicity.grade(texts, nothing).where("toxic").count() == 0
 
 
+CLASHING = "toxicity string, kept string, component_id string, number string, spans string, row_key string, words string, code string"
+
+
+def test_pipeline_stages_on_awkward_rows(spark, sf):
+    """Each stage against a plain version, on null, empty, long and repeated rows, null ids and columns of the operators' own names."""
+    import corpus_pipeline as pipeline
+
+    stage = dict(pipeline.STAGES)
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").where("text is not null").orderBy("item_id").first().text
+    rows = [*[r[:2] for r in ROWS], (1000, item), (1001, f"before. {item} after"), (1002, "long " * 20000 + "end"), (1002, "long " * 20000 + "end"), (None, "of no id"), (1003, "call bob.x@mail.example.com")]
+    extra = tuple("x" * (CLASHING.count(",") + 1))
+    docs = spark.createDataFrame([(*r, "en", "s", len(r[1] or ""), *extra) for r in rows], f"doc_id long, text string, lang string, source string, n_chars long, {CLASHING}").repartition(3).cache()
+
+    kept = stage["toxicity"](spark, docs, sf)
+    assert kept.columns == docs.columns and kept.count() == len(rows)  # none is labelled, so none is rejected
+
+    kept = stage["near duplicates"](spark, docs, sf)
+    sets = []
+    for _, t in rows:
+        w = words(lower(t))
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    groups = {}
+    for part, (i, t), s in zip(components_of(sets), rows, sets, strict=True):
+        groups.setdefault(("group", part) if s else ("row", i, t), []).append((i is None, i or 0, t or ""))
+    want = Counter(min(g)[:2] for g in groups.values())
+    assert kept.columns == docs.columns and Counter((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == want
+
+    kept = stage["decontamination"](spark, docs, sf)
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    leaks = {i for i, *_ in plain_matches([r for r in rows if len(r[1] or "") < 5000], bench)}
+    assert {1000, 1001} <= leaks
+    assert kept.columns == docs.columns and Counter(r.doc_id for r in kept.collect()) == Counter(i for i, _ in rows if i not in leaks)
+
+    kept = stage["personal data"](spark, docs, sf)
+    assert kept.columns == docs.columns
+    want = Counter()
+    for (i, t), spans in zip(rows, plain_bootstrap(rows, pii.Bootstrap()), strict=True):
+        clean, end = "", 0
+        for kind, a, b in (s.split(":") for s in spans.split(",") if s):
+            if int(a) >= end:
+                clean, end = clean + t[end : int(a)] + f"[{kind.upper()}]", int(b)
+        clean = t if t is None else clean + t[end:]
+        want[i, clean, len(clean or "")] += 1
+    assert Counter((r.doc_id, r.text, r.n_chars) for r in kept.collect()) == want
+
+    pieces = stage["packing"](spark, docs, sf).collect()
+    assert Counter(r.doc_id for r in pieces if r.start == 0) == Counter(i for i, _ in rows)
+    assert sum(r.length for r in pieces) == sum(r.doc_tokens for r in pieces if r.start == 0)
+
+    none = docs.limit(0)
+    for name, run in pipeline.STAGES:
+        out = run(spark, none, sf)
+        assert out.count() == 0 and (name == "packing" or out.columns == docs.columns), name
+
+
+def test_rows_that_repeat_take_linear_time(spark):
+    """op5 on one long row, repeated: all of its words go, and twice the rows take about twice the time."""
+    text = " ".join(f"word{n}" for n in range(400))
+    seconds = []
+    for n in (500, 2000, 4000):
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string").crossJoin(spark.range(n)).select("doc_id", "text").repartition(4)
+        began = time.time()
+        got = substrings.remove_repeats(df).groupBy("n_words", "n_removed", F.size("spans").alias("spans")).count().collect()
+        seconds.append(time.time() - began)
+        assert [tuple(r) for r in got] == [(400, 400, 1, n)]
+    print("seconds for 500, 2000 and 4000 rows:", seconds)
+    assert seconds[2] < 2 * seconds[1] + 5
+
+
+def test_maximal_spans_end_at_branches():
+    first, count, through = np.array([30, 0, 10, 22]), np.array([5, 10, 12, 8]), np.array([True, True, False, True])
+    a, n = substrings.compacted(first, count, through)
+    assert (a.tolist(), n.tolist()) == ([0, 22], [22, 13])
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
