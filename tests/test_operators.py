@@ -112,6 +112,18 @@ def test_templates_of_long_texts(spark, tmp_path):
     assert {r.rpid for r in QUERIES["template_clusters"](spark, str(tmp_path)).collect()} == {x for k in equal for x in k}
 
 
+def test_template_links_connect_what_pairs_connect(spark):
+    random.seed(17)
+    rows = [(n, random.choice("AABC") if n % 30 else None, T0 + timedelta(seconds=random.randint(0, 900)), random.choice(["same text", "Same-Text!", "other words", "ab"]), n) for n in range(150)]
+    own = spark.createDataFrame(rows, "rpid long, bvid string, first_seen_at timestamp, first_content string, x int").repartition(3)
+    for seconds in (60, 300):
+        links = event.template_links(own, seconds)
+        pairs = event.templates(own, seconds, 1.0)
+        assert links.count() <= 2 * len(rows)
+        groups = [{(r.rpid, r.cluster) for r in event.template_clusters(x).collect()} for x in (links, pairs)]
+        assert groups[0] == groups[1] and groups[0]
+
+
 def test_signature_edges_lose_nothing(spark):
     random.seed(4)
     sig = []

@@ -124,6 +124,29 @@ def templates(entities: DataFrame, seconds: int, least: float, min_chars: int =
     return equal.unionByName(out(pairs.join(ratios, ["left_hash", "right_hash"]), F.col("similarity"), "similar_text_cross_video"))
 
 
+def template_links(entities: DataFrame, seconds: int, min_chars: int = 4) -> DataFrame:
+    """left_rpid and right_rpid: at most two links a comment, which connect what the pairs of templates() at similarity 1 connect.
+
+    Of the comments of one folded text in the order of time, each is linked to the last one before it and
+    the first one after it on another video, where they are in the window; a group of copies so costs no
+    more than its own size. Two comments of a pair are connected by these: what stands between them on
+    other videos is nearer to both.
+    """
+    check_range("window_seconds", seconds, 60, 86_400)
+    folded = entities.where("bvid is not null and first_seen_at is not null").select("rpid", "bvid", "first_seen_at", fold_text(F.col("first_content"), "alnum").alias("folded"))
+    keyed = folded.where(F.length("folded") >= min_chars).select("rpid", "bvid", "first_seen_at", F.sha2("folded", 256).alias("hash"))
+    before = Window.partitionBy("hash").orderBy("first_seen_at", "rpid")
+    after = Window.partitionBy("hash").orderBy(F.desc("first_seen_at"), F.desc("rpid"))
+    # at the first comment of a run on one video the neighbour is on another; the others of the run have the same one
+    marked = keyed
+    for name, w in (("before", before), ("after", after)):
+        step = F.when(F.lag("bvid").over(w) != F.col("bvid"), F.lag(F.struct("rpid", "first_seen_at")).over(w))
+        marked = marked.withColumn("_step", step).withColumn(name, F.last("_step", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_step")
+    ends = marked.select("rpid", "first_seen_at", F.explode(F.array("before", "after")).alias("o")).where("o is not null")
+    apart = F.floor(F.abs(F.unix_micros("o.first_seen_at") - F.unix_micros("first_seen_at")) / 1_000_000)
+    return ends.where(apart <= seconds).select(F.least("rpid", "o.rpid").alias("left_rpid"), F.greatest("rpid", "o.rpid").alias("right_rpid")).distinct()
+
+
 def duplicate_display(on_page: DataFrame) -> DataFrame:
     """Comments shown more than once on one page."""
     return on_page.groupBy("page_id", "rpid").agg(F.count("*").alias("shown"), F.array_sort(F.collect_list("comment_observation_id")).alias("observation_ids")).where("shown > 1")

@@ -364,8 +364,7 @@ def signature_clusters(spark, sf_dir):
 
 @query
 def template_clusters(spark, sf_dir):
-    found = event.templates(b.comments(spark, sf_dir), DAY, 1.0)
-    return event.template_clusters(found)
+    return event.template_clusters(event.template_links(b.comments(spark, sf_dir), DAY))
 
 
 @query
