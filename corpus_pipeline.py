@@ -2,43 +2,49 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet in the
 shared folder and read again as the next stage's docs. All but the last return the columns of
-documents. Null, empty and blank texts, null ids and repeated rows pass as each operator's docstring says.
+documents. Texts count whole, however long; an empty table gives an empty result; further columns may have any name.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tidelog.llm import decontamination, neardup, packing, pii, toxicity
 from tidelog.llm.common import table
+from tidelog.session import checkpoint_folder
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without those that the toxicity model rejects. It is fitted on the labelled rows among docs."""
+    """docs without those that the toxicity model rejects. It is fitted on the labelled rows among docs.
+
+    Null, empty and blank texts have no features and stay, as do all where no toxic and clean rows are labelled.
+    """
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.without_toxic(docs, model)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs of which near copies (five-word shingles, similarity 0.8) are gone but for the least id's."""
+    """docs of which near copies (five-word shingles, similarity 0.8) are gone but for the least id's.
+
+    Null ids come last. Documents without words are no copies; of rows that repeat an id and a text one stays.
+    """
     return neardup.without_copies(docs, neardup.Params(shingle=5))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without those that cover a benchmark item."""
+    """docs without those that cover a benchmark item. Null and empty texts cover none and stay; repeated rows go or stay together."""
     return decontamination.without_matches(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs with personal data in text replaced by the names of its kinds."""
+    """docs with personal data in text replaced by the names of its kinds. Null texts stay null, and no row goes."""
     return pii.redact(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of docs in sequences of at most 1024 tokens."""
+    """The pieces of docs in sequences of at most 1024 tokens. A null or empty text is a piece of its end alone; repeated rows are packed each."""
     return packing.pack(docs)
 
 
@@ -55,11 +61,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidelog-")
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents. A stage's table goes when the next one's is written; the last one stays."""
+    shared, docs, before = checkpoint_folder(spark), table(spark, sf_dir, "documents"), None
     for n, (_, stage) in enumerate(STAGES):
         path = f"{shared}/corpus-{uuid.uuid4().hex}-{n}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(before)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        before = path
     return docs
