@@ -82,13 +82,17 @@ def test_token_counts_of_random_texts(library):
 
 def test_packing_round_trip(documents, empty, library):
     rows = packing.pack(documents).collect()
-    ids = {i: [*library.encode(t or "", add_special_tokens=False).ids, 0] for i, t, *_ in ROWS if i is not None}
-    at = {}
-    for r in sorted((r for r in rows if r.doc_id is not None and r.doc_id != 20), key=lambda r: (r.doc_id, r.start)):
-        assert r.start == at.get(r.doc_id, 0) and r.doc_tokens == len(ids[r.doc_id])
-        at[r.doc_id] = r.start + r.length
-        assert zlib.crc32(np.array(ids[r.doc_id][r.start : at[r.doc_id]], np.uint32).tobytes()) == r.ids_crc32
-    assert at == {i: len(x) for i, x in ids.items() if i != 20}
+    encoded = lambda t: (*library.encode(t or "", add_special_tokens=False).ids, 0)
+    copies = Counter((i, encoded(t)) for i, t, *_ in ROWS)  # rows that repeat, and null ids, are packed each
+    pieces = {}
+    for r in rows:
+        pieces.setdefault((r.doc_id, r.doc_tokens), []).append(r)
+    assert set(pieces) == {(i, len(x)) for i, x in copies}
+    for (i, ids), n in copies.items():
+        own = pieces[i, len(ids)]
+        assert all(zlib.crc32(np.array(ids[r.start : r.start + r.length], np.uint32).tobytes()) == r.ids_crc32 for r in own)
+        # each copy's pieces follow one another from 0 to its end
+        assert Counter(r.start for r in own) + Counter({len(ids): n}) == Counter(r.start + r.length for r in own) + Counter({0: n})
     ends = {}
     for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
         assert r.offset == ends.get(r.sequence_id, 0)
