@@ -106,11 +106,13 @@ def usable(vectors: DataFrame, key: str = "vec_id", column: str = "embedding") -
 
 
 def fit(rows: DataFrame, rotations: int = 4, sample: int = 4000, neighbours: int = 20, coverage: float = 0.97) -> Codes | None:
-    """Codes learned from the `sample` rows of smallest hash; None without rows.
+    """Codes learned from the `sample` ids of smallest hash; None without rows.
 
-    The dimension is that of most sampled vectors.
+    The dimension is that of most sampled vectors. Of rows that repeat an id one is taken.
     """
-    got = rows.orderBy(F.xxhash64("key"), "key").limit(sample).toPandas()
+    # the ids are ranked without their vectors, of which every task would send as many
+    chosen = rows.select("key").distinct().orderBy(F.xxhash64("key"), "key").limit(sample)
+    got = rows.join(F.broadcast(chosen), "key").dropDuplicates(["key"]).orderBy("key").toPandas()
     if not len(got):
         return None
     size = got["vector"].map(len)
