@@ -223,7 +223,9 @@ def remove_repeats(documents: DataFrame, length: int = 35, core: int = 12) -> Da
     found = drawn.where("not branches").select("row_key", "span", "right").unionByName(twice).unionByName(single)
     edges = drawn.where("not branches").select("path", "left", "right").distinct().select("left", "right").unionByName(repeated.select("left", "right"))
     ends = edges.select(F.explode(F.array(F.struct(F.col("right").alias("node"), F.lit(1).alias("ways_in")), F.struct(F.col("left").alias("node"), F.lit(0).alias("ways_in")))).alias("e")).select("e.*")
-    on = ends.groupBy(F.col("node").alias("right")).agg(F.sum("ways_in").alias("ways_in"), F.count("*").alias("ways")).where("ways_in = 1 and ways = 2").select("right", F.lit(True).alias("through"))
+    on = ends.groupBy(F.col("node").alias("right")).agg(F.sum("ways_in").alias("ways_in"), F.count("*").alias("ways")).where("ways_in = 1 and ways = 2")
+    # computed anew, the node is dealt anew, so that the join can split one that very many paths end at
+    on = on.select(F.col("right").bitwiseXOR(F.lit(0)).alias("right"), F.lit(True).alias("through"))
     spans = found.join(on, "right", "left").select("row_key", F.struct("span", F.coalesce("through", F.lit(False)).alias("through")).alias("s"))
     # rows that are repeated have the same spans, of which one each stays
     marks = checkpointed(spans.groupBy("row_key").agg(F.collect_set("s").alias("spans")))
