@@ -259,6 +259,16 @@ def test_times_do_not_depend_on_the_session_zone(spark, tmp_path):
         spark.conf.set("spark.sql.session.timeZone", held)
 
 
+def test_events_and_targets_by_their_names(spark):
+    events = spark.createDataFrame([(1, "big-patch-2"), (2, "other")], "id long, slug string")
+    assert [event.resolved(events, x).first().id for x in (2, "1", " Big  Patch 2 ")] == [2, 1, 1]
+    with pytest.raises(LookupError):
+        event.resolved(events, "no_slug!")
+    rows = [("uid", " 007 "), ("uid", "0"), ("uid", "x1"), ("seed_bvid", " BV1xx411c7mD "), ("seed_bvid", "BV1"), ("keyword", "  Big   PATCH "), ("game", "  "), ("other", "x")]
+    df = spark.createDataFrame(rows, "kind string, value string").select(values.target_value(F.col("kind"), F.col("value")))
+    assert [r[0] for r in df.collect()] == ["7", None, None, "BV1xx411c7mD", None, "big patch", None, None]
+
+
 def test_literal_filter_folds_the_keyword(spark):
     df = spark.createDataFrame([(1, "x ERROR code y"), (2, "error  code"), (3, "50% off"), (4, None)], "id long, t string")
     assert [r.id for r in event.literal_filter(df, "t", "  Error Code ").collect()] == [1]

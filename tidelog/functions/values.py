@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidelog.functions.text import fold_text
+
 
 def safe_long(value: Column, zero_is_null: bool = False) -> Column:
     """A long from text that is one, else null."""
@@ -84,8 +86,23 @@ def ratio(part: Column, whole: Column, digits: int = 6) -> Column:
     return F.round(F.try_divide(part.cast("double"), whole.cast("double")), digits)
 
 
+#: Fixed forms of an event's slug and of a video's id.
+SLUG = "^[a-z0-9]+(?:-[a-z0-9]+)*$"
+BVID = "^BV[0-9A-Za-z]{10}$"
+
+
 def slug(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(text)), r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
+    """A slug in lower case with hyphens for blanks; null where that is none."""
+    bare = F.regexp_replace(F.lower(F.trim(text)), r"\s+", "-")
+    return F.when(bare.rlike(SLUG), bare)
+
+
+def target_value(kind: Column, value: Column) -> Column:
+    """An event target's value as it is compared: a positive number of a uid, a video's id, else folded text; null where it is none."""
+    bare = F.trim(value)
+    number = F.when(bare.rlike("^[0-9]+$"), F.regexp_replace(bare, "^0+", ""))
+    text = fold_text(value, "trimmed")
+    return F.when(kind == "uid", F.nullif(number, F.lit(""))).when(kind == "seed_bvid", F.when(bare.rlike(BVID), bare)).when(kind.isin("keyword", "game"), F.nullif(text, F.lit("")))
 
 
 def error_class(status: Column, body: Column) -> Column:

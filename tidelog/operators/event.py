@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.functions.text import fold_text, letter_counts, seq_ratio, shared_letters
-from tidelog.functions.values import quoted, ratio, stable_key
+from tidelog.functions.values import quoted, ratio, slug, stable_key
 from tidelog.functions.windows import band_join, bucket, check_range, check_window, grid, within
 from tidelog.operators.components import components
 from tidelog.session import checkpointed
@@ -16,6 +16,15 @@ from tidelog.session import checkpointed
 CATEGORIES = ("support", "criticism", "neutral")
 
 
+def resolved(events: DataFrame, reference: int | str) -> DataFrame:
+    """The event of an id or a slug (one row of id, slug and more); an error where there is none."""
+    by_id = isinstance(reference, int) or reference.strip().isdecimal()
+    found = events.where(F.col("id") == int(reference) if by_id else F.col("slug") == slug(F.lit(reference)))
+    if found.isEmpty():
+        raise LookupError(f"no event {reference}")
+    return found
+
+
 def in_scope(rows: DataFrame, videos: DataFrame, bvid: str | None = None, active: bool = True) -> DataFrame:
     """Rows of an event's videos (active ones only, unless told otherwise), or of one of them."""
     chosen = videos.where("active") if active else videos

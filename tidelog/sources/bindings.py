@@ -65,7 +65,9 @@ def infos(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_keywords(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(n, 1, k, k, 1, True) for n, k in enumerate(KEYWORDS)], "id long, event_id long, keyword string, normalized_keyword string, version int, active boolean")
+    """The latest version of each keyword is active; an older one and one that is given up come with them."""
+    rows = [(n, 1, k, k, 2, True) for n, k in enumerate(KEYWORDS)] + [(10 + n, 1, k.upper(), k, 1, True) for n, k in enumerate(KEYWORDS)] + [(20, 1, "view", "view", 3, False)]
+    return spark.createDataFrame(rows, "id long, event_id long, keyword string, normalized_keyword string, version int, active boolean")
 
 
 def event_targets(spark: SparkSession) -> DataFrame:
