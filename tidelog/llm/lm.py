@@ -49,7 +49,8 @@ class Params:
     size: int = 16
     noise: int = 32
     inner_noise: int = 8
-    batch: int = 8192
+    batch: int = 16384
+    score_batch: int = 32768
     start_batch: int = 512
     rate: float = 0.15
     start_documents: int = 1500
@@ -94,21 +95,27 @@ class Units:
         return len(self.frequency)
 
 
-def padded(lists: list[list[bytes]], units: Units, context: int) -> tuple[np.ndarray, np.ndarray]:
-    """Units of the texts with `context` ends before and one behind each, and the places of the tokens."""
-    lengths = np.array([len(x) for x in lists], np.int64)
-    row = np.cumsum(lengths + context + 1) - (lengths + context + 1)
-    out = np.full(int((lengths + context + 1).sum()), units.head[END], np.int32)
-    tokens = np.repeat(row + context - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
-    out[tokens] = units.of(list(chain.from_iterable(lists)))
-    return out, np.sort(np.concatenate([tokens, row + context + lengths]))
+def ended(lists: list[list[bytes]]) -> tuple[list[bytes], np.ndarray]:
+    """The words of all texts with an end behind each, and each text's number of tokens."""
+    return list(chain.from_iterable([*x, END] for x in lists)), np.array([len(x) + 1 for x in lists], np.int64)
 
 
-def log_sum(score: np.ndarray) -> np.ndarray:
-    """Logarithms of the rows' sums of exponentials; score is overwritten."""
-    most = score.max(axis=1)
-    score -= most[:, None]
-    return most + np.log(np.exp(score, out=score).sum(axis=1))
+def padded(unit: np.ndarray, lengths: np.ndarray, end: int, context: int) -> tuple[np.ndarray, np.ndarray]:
+    """Units of texts' tokens (in a row, as many as lengths say) with `context` ends before each text, and the tokens' places."""
+    shift = np.repeat(np.arange(1, len(lengths) + 1) * context, lengths)
+    tokens = np.arange(len(unit)) + shift
+    out = np.full(len(unit) + len(lengths) * context, end, np.int32)
+    out[tokens] = unit
+    return out, tokens
+
+
+def log_sum(score: np.ndarray, far: bool) -> np.ndarray:
+    """Logarithms of the rows' sums of exponentials; score is overwritten. far: scores may be too large for them."""
+    most = score.max(axis=1, keepdims=True) if far else np.float32(0)
+    if far:
+        score -= most
+    total = np.exp(score, out=score) @ np.ones(score.shape[1], np.float32)
+    return np.log(total, dtype=np.float64) + (most[:, 0] if far else 0.0)
 
 
 def nce(true: np.ndarray, false: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,6 +132,7 @@ class Network:
         self.params, self.units, self.starts = params, units, starts
         self.ends = np.append(starts[1:], units)
         self.of_class = np.repeat(np.arange(classes), self.ends - starts)
+        self.alone = self.ends - starts == 1
         self.total = np.cumsum(frequency)
         self.in_class = np.add.reduceat(frequency, starts)
         self.own_share = frequency / self.in_class[self.of_class]
@@ -147,23 +155,26 @@ class Network:
     def scores(self, sequence: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Normalised natural log-probabilities of the units at these places (rising, behind the first context)."""
         out = np.empty(len(at), np.float64)
-        for k in range(0, len(at), self.params.batch):
-            here = at[k : k + self.params.batch]
+        # the bias as one more component
+        classes, units = np.column_stack([self.p, self.a]), np.column_stack([self.q, self.b])
+        longest = max(float(np.linalg.norm(x, axis=1).max()) for x in (classes, units))
+        for k in range(0, len(at), self.params.score_batch):
+            here = at[k : k + self.params.score_batch]
             low, high = int(here[0]), int(here[-1]) + 1
             unit = sequence[here]
             order = np.argsort(self.of_class[unit], kind="stable")
-            unit, hidden = unit[order], self.hidden(sequence, low, high)[here[order] - low]
+            unit = unit[order]
             of = self.of_class[unit]
-            score = hidden @ self.p.T + self.a
-            each = score[np.arange(len(of)), of].astype(np.float64)
-            each -= log_sum(score)
-            bounds = np.searchsorted(of, np.arange(len(self.starts) + 1))
+            hidden = np.ones((len(here), self.params.size + 1), np.float32)
+            hidden[:, :-1] = self.hidden(sequence, low, high)[here[order] - low]
+            far = longest * float(np.linalg.norm(hidden, axis=1).max()) > 60
+            each = np.einsum("ij,ij->i", hidden, classes[of]).astype(np.float64) - log_sum(hidden @ classes.T, far)
+            each += np.where(self.alone[of], 0.0, np.einsum("ij,ij->i", hidden, units[unit]))
+            bounds = np.searchsorted(of, np.arange(len(self.starts) + 1)).tolist()
             for c in np.unique(of).tolist():
-                i, j, first, last = bounds[c], bounds[c + 1], self.starts[c], self.ends[c]
-                if last - first > 1:
-                    score = hidden[i:j] @ self.q[first:last].T + self.b[first:last]
-                    each[i:j] += score[np.arange(j - i), unit[i:j] - first]
-                    each[i:j] -= log_sum(score)
+                if not self.alone[c]:
+                    i, j = bounds[c], bounds[c + 1]
+                    each[i:j] -= log_sum(hidden[i:j] @ units[self.starts[c] : self.ends[c]].T, far)
             out[k + order] = each
         return out
 
@@ -202,15 +213,23 @@ class Network:
             class_rows, class_gradient, class_bias = np.concatenate([of, noise]), np.concatenate([miss[:, None] * hidden, hit.T @ hidden]), np.concatenate([miss, hit.sum(axis=0)])
 
             # the units in them: for each class some of its own as noise
-            present, first, place = np.unique(of, return_index=True, return_inverse=True)
+            present, first = np.unique(of, return_index=True)
             begin = self.total[self.starts[present]] - self.in_class[present] * self.own_share[self.starts[present]]
             noise = np.searchsorted(self.total, begin[:, None] + rng.random((len(present), p.inner_noise)) * self.in_class[present][:, None], side="right")
             noise = np.clip(noise, self.starts[present][:, None], self.ends[present][:, None] - 1)
-            vectors = self.q[noise][place]
+            vectors, last = self.q[noise], np.append(first[1:], len(of))
+            runs = list(zip(range(len(present)), first.tolist(), last.tolist(), strict=True))
+            false = np.empty((len(of), p.inner_noise), np.float32)
+            for n, i, j in runs:
+                np.matmul(hidden[i:j], vectors[n].T, out=false[i:j])
+            false += np.repeat(self.b[noise] - unit_noise[noise], last - first, axis=0)
             true = np.einsum("ij,ij->i", hidden, self.q[target]) + self.b[target] - unit_noise[target]
-            miss, hit = nce(true, np.matmul(vectors, hidden[:, :, None])[:, :, 0] + (self.b[noise] - unit_noise[noise])[place])
-            given += np.matmul(hit[:, None, :], vectors)[:, 0] + miss[:, None] * self.q[target]
-            noise_gradient = np.add.reduceat(hit[:, :, None] * hidden[:, None, :], first)
+            miss, hit = nce(true, false)
+            noise_gradient = np.empty((len(present), p.inner_noise, p.size), np.float32)
+            for n, i, j in runs:
+                given[i:j] += hit[i:j] @ vectors[n]
+                noise_gradient[n] = hit[i:j].T @ hidden[i:j]
+            given += miss[:, None] * self.q[target]
             rows = np.concatenate([target, noise.ravel()])
             gradient = np.concatenate([miss[:, None] * hidden, noise_gradient.reshape(-1, p.size)])
             bias = np.concatenate([miss, np.add.reduceat(hit, first).ravel()])
@@ -300,7 +319,8 @@ def train(texts: DataFrame, units: Units, params: Params) -> Network:
     few = texts.where(F.col("row").isin(chosen)).dropDuplicates(["row"]).orderBy("row").select("raw").toArrow().column("raw").to_pylist() if chosen else []
     for _ in range(params.start_rounds):
         for at in range(0, len(few), 250):
-            sequence, tokens = padded(lowered(few[at : at + 250]), units, params.context)
+            flat, lengths = ended(lowered(few[at : at + 250]))
+            sequence, tokens = padded(units.of(flat), lengths, units.head[END], params.context)
             start.learn(sequence, tokens, rng, params.start_batch)
     begun, seen = start.values, start.seen
 
@@ -310,7 +330,8 @@ def train(texts: DataFrame, units: Units, params: Params) -> Network:
         rng, total = np.random.default_rng(3), 0
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                sequence, tokens = padded(lowered(batch.column("raw").slice(at, 256).to_pylist()), units, params.context)
+                flat, lengths = ended(lowered(batch.column("raw").slice(at, 256).to_pylist()))
+                sequence, tokens = padded(units.of(flat), lengths, units.head[END], params.context)
                 own.learn(sequence, tokens, rng, params.batch)
                 total += len(tokens)
         if total:
@@ -381,30 +402,33 @@ def score(documents: DataFrame, params: Params = Params(), fold: int = 1, folds:
         names, c = sent.value
         place = dict(zip(names, range(len(names)), strict=True))
         base_log = np.append(np.log10((c + 0.5) / base_bottom), 0.0)
-        under = bottom[units.of(names)]
+        unit_of = np.append(units.of(names), -1).astype(np.int32)
+        under = bottom[unit_of[:-1]]
         inner = np.append(np.where(under > 0, np.log10((c + 0.5) / np.where(under > 0, under, 1)), 0.0), 0.0)
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
                 lists = lowered(part.column("raw").to_pylist())
-                sequence, tokens = padded(lists, units, params.context)
-                each = network.scores(sequence, tokens) / np.log(10)
-                ends = np.cumsum([len(x) + 1 for x in lists])
-                sums = np.diff(np.concatenate(([0.0], np.cumsum(each)))[np.concatenate(([0], ends))])
-                flat = list(chain.from_iterable([*x, END] for x in lists))
+                flat, lengths = ended(lists)
                 found = np.fromiter(map(place.get, flat, repeat(-1)), np.int64, len(flat))
+                rare_at = np.flatnonzero(found < 0)
+                unit = unit_of[found]
+                unit[rare_at] = units.of([flat[i] for i in rare_at.tolist()])
+                sequence, tokens = padded(unit, lengths, units.head[END], params.context)
+                each = network.scores(sequence, tokens) / np.log(10)
+                ends = np.cumsum(lengths)
                 cut = np.concatenate(([0], ends))
+                sums = np.diff(np.concatenate(([0.0], np.cumsum(each)))[cut])
                 sums += np.diff(np.concatenate(([0.0], np.cumsum(inner[found])))[cut])
                 base = np.diff(np.concatenate(([0.0], np.cumsum(base_log[found])))[cut])
                 known = np.diff(np.concatenate(([0], np.cumsum(found >= 0)))[cut])
-                rare_at = np.flatnonzero(found < 0)
                 owner = np.searchsorted(ends, rare_at, side="right").tolist()
                 tails = Counter(zip(owner, [flat[i] for i in rare_at.tolist()], strict=True))
                 keys = sorted(tails)
                 under = bottom[units.of([w for _, w in keys])]
                 offsets = np.concatenate(([0], np.cumsum(np.bincount([d for d, _ in keys], minlength=len(lists)))))
                 held = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array([w for _, w in keys], pa.binary()), pa.array([tails[k] for k in keys], pa.int64()), pa.array(under, pa.float64())], ["word", "tf", "under"]))
-                columns = [part.column("doc_id"), part.column("held_out"), pa.array([len(x) + 1 for x in lists], pa.int64()), pa.array(known), pa.array(base), pa.array(sums), held]
+                columns = [part.column("doc_id"), part.column("held_out"), pa.array(lengths), pa.array(known), pa.array(base), pa.array(sums), held]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "known", "base", "sum", "rare"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
