@@ -85,3 +85,10 @@ class Windows:
             self.up, self.down = _powers(BASE, 2 * len(self.up)), _powers(INVERSE, 2 * len(self.down))
         total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * self.up[:n])))
         return mixed((total[length:] - total[:-length]) * self.down[: n - length + 1])
+
+    def between(self, symbols: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """Hashes of the stretches of small numbers from each start to before its stop."""
+        while len(self.up) < len(symbols):
+            self.up, self.down = _powers(BASE, 2 * len(self.up)), _powers(INVERSE, 2 * len(self.down))
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((symbols + np.uint64(1)) * self.up[: len(symbols)])))
+        return mixed((total[stops] - total[starts]) * self.down[starts] + (stops - starts).astype(np.uint64))

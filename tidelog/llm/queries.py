@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import ann, decontamination, html, lm, neardup, packing, pii, substrings, tokens, toxicity
+from tidelog.llm import ann, decontamination, html, lm, neardup, packing, phrases, pii, substrings, tokens, toxicity
 from tidelog.llm.common import table
 
 
@@ -53,6 +53,10 @@ def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents")).drop("kept", "spans")
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_token_counts": op2_token_counts,
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scores": op8_lm_scores,
     "op9_minhash": op9_minhash,
     "op10_pii": op10_pii,
+    "op12_phrases": op12_phrases,
 }
 
 _WORDS = r"list_filter(regexp_split_to_array({0}, '[\x09-\x0D\x20]+'), lambda x: x <> '')"
