@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import ann, decontamination, html, lm, neardup, packing, phrases, pii, substrings, tokens, toxicity
+from tidelog.llm import ann, decontamination, html, lm, neardup, packing, phrases, pii, ranking, substrings, tokens, toxicity
 from tidelog.llm.common import table
 
 
@@ -53,6 +53,10 @@ def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents")).drop("kept", "spans")
 
 
+def op11_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -68,13 +72,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scores": op8_lm_scores,
     "op9_minhash": op9_minhash,
     "op10_pii": op10_pii,
+    "op11_ranking": op11_ranking,
     "op12_phrases": op12_phrases,
 }
 
 _WORDS = r"list_filter(regexp_split_to_array({0}, '[\x09-\x0D\x20]+'), lambda x: x <> '')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_TERMS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
 ORACLES: dict[str, str] = {
+    "op11_ranking": f"""WITH d AS (SELECT doc_id, {_TERMS} AS ts FROM documents), total AS (SELECT count(*) AS n, CAST(sum(len(ts)) AS BIGINT) AS l FROM d WHERE len(ts) > 0),
+ asked AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark), each AS (SELECT doc_id, len(ts) AS n, unnest(ts) AS term FROM d),
+ tf AS (SELECT doc_id, n, term, count(*) AS tf FROM each WHERE term IN (SELECT term FROM asked) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+ w AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * total.n + 2) / (2 * df + 1))) AS BIGINT) AS w FROM df, total),
+ s AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * tf.n * total.n) // total.l)))) AS BIGINT) AS score FROM asked JOIN tf USING (term) JOIN w USING (term), total GROUP BY item_id, doc_id)
+ SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 50""",
     "op5_repeats": f"""WITH w AS (SELECT doc_id, row_number() OVER () AS k, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
  windows AS (SELECT k, s, md5(array_to_string(ws[s:s + 34], ' ')) AS h FROM (SELECT k, ws, unnest(range(1, len(ws) - 33)) AS s FROM w)),
  again AS (SELECT h FROM windows GROUP BY h HAVING count(*) > 1),
