@@ -58,15 +58,16 @@ class Phrases:
     def more(self, data: bytes, at: int) -> list[int]:
         """Where the phrases of data end, data being at position `at` of the text; goes on from what was parsed."""
         known, ends = self.known, []
-        for low in range(0, len(data), self.STEP):
-            if len(known) > self.most:
+        # steps begin at the same places of the text, wherever data begins
+        for low in [0, *range(self.STEP - at % self.STEP, len(data), self.STEP)] if data else []:
+            if len(known) > self.most and (at + low) % self.STEP == 0:
                 if self.node:
                     ends.append(at + low)
                 self.clear()
                 self.resets += 1
             # a node is its number times 256, so that node and byte are one key
             get, node, free = known.get, self.node, len(known) + 1
-            for n, byte in enumerate(data[low : low + self.STEP], at + low + 1):
+            for n, byte in enumerate(data[low : low + self.STEP - (at + low) % self.STEP], at + low + 1):
                 key = node | byte
                 node = get(key)
                 if node is None:
