@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -237,3 +238,40 @@ def test_negatives_of_large_numbers_and_none(spark):
     got = negatives.mined(table, F.col("id") == 0).first()
     a, p, n = ([int(256 * v) for v in r[1]] for r in scaled)
     assert (got["positive_score"], got["negative_score"]) == (a[0] * p[0] + a[1] * p[1], a[0] * n[0] + a[1] * n[1])
+
+
+def test_many_finds_in_one_text_cost_their_number(spark):
+    from tidelog.llm import pii
+
+    seconds = {}
+    for n in (500, 16_000, 64_000):
+        rows = spark.createDataFrame([(1, "a@b.co x1y " * n, 11 * n)], "doc_id long, text string, n_chars long")
+        began = time.time()
+        found = pii.find_pii(rows).first()
+        seconds[n] = time.time() - began
+        assert found["n_email"] == n and found["spans"].endswith(f"email:{11 * (n - 1)}:{11 * (n - 1) + 6}")
+    out = pii.redact(rows).first()
+    assert out["text"] == "[EMAIL] x1y " * n and out["n_chars"] == 12 * n
+    # quadratic work would cost sixteen times as much
+    assert seconds[64_000] < 8 * seconds[16_000] + 10
+
+
+def test_redacted_texts_of_many_blocks(spark):
+    from tidelog.llm import pii
+
+    text = "é😀" * 5000 + " a@b.co " + "z" * 4090 + " 1.2.3.4" + "ü" * 9000 + "\nq@r.st"
+    out = pii.redact(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["text"]
+    assert out == text.replace("a@b.co", "[EMAIL]").replace("1.2.3.4", "[IP]").replace("q@r.st", "[EMAIL]")
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    from tidelog.llm import decontamination, neardup, pii, toxicity
+
+    names = "doc_id long, text string, _score double, _score_ string, _hash string, _key string, _row string, _kept string, _id string, _spans string, _blocks string, _size string"
+    rows = [(n, f"mail a{n}@b.co " + " ".join(random.choices(WORDS, k=30)), 0.5, *"abcdefghi") for n in range(20)]
+    docs = spark.createDataFrame(rows, names)
+    labels = spark.createDataFrame([(n, n % 2) for n in range(20)], "doc_id long, toxic int")
+    items = spark.createDataFrame([(1, rows[3][1])], "item_id long, text string")
+    model = toxicity.fit(docs, labels)
+    for out in (toxicity.without_toxic(docs, model), neardup.without_copies(docs), decontamination.without_matches(docs, items), pii.redact(docs)):
+        assert out.columns == docs.columns and out.select(*docs.columns[2:]).distinct().collect() == [(0.5, *"abcdefghi")]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidelog.session import checkpointed
 
 
-__all__ = ["Windows", "WordHasher", "checkpointed", "gram_hashes", "mixed", "raw_text", "table", "words"]
+__all__ = ["Windows", "WordHasher", "checkpointed", "fresh", "gram_hashes", "mixed", "raw_text", "table", "words"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,16 @@ def words(text: bytes | None) -> list[bytes]:
     return text.split() if text else []
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, made longer until df has no such columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while f"_{name}" in taken:
+            name += "_"
+        out.append(f"_{name}")
+    return out
+
+
 class WordHasher:
     """64-bit hashes of words, with those of words seen before kept in a bounded map."""
 

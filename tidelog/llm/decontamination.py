@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import Windows, WordHasher, gram_hashes
+from tidelog.llm.common import Windows, WordHasher, fresh, gram_hashes
 
 WORD = re.compile(r"[^\W_]+")
 MATCH = "struct<coverage:double,matched:long,item_words:long,tiles:array<struct<doc_word:long,item_word:long,length:long>>>"
@@ -188,5 +188,6 @@ def matches(documents: DataFrame, benchmark: DataFrame, params: Params = Params(
 
 def without_matches(documents: DataFrame, benchmark: DataFrame, params: Params = Params()) -> DataFrame:  # noqa: B008
     """The rows of documents whose text matches no item; all of their columns."""
-    found = matches(documents.select(F.xxhash64("text").alias("doc_id"), "text"), benchmark, params).select(F.col("doc_id").alias("_tidelog_key")).distinct()
-    return documents.withColumn("_tidelog_hash", F.xxhash64("text")).join(found, F.col("_tidelog_hash") == F.col("_tidelog_key"), "left_anti").drop("_tidelog_hash")
+    own, key = fresh(documents, "hash", "key")
+    found = matches(documents.select(F.xxhash64("text").alias("doc_id"), "text"), benchmark, params).select(F.col("doc_id").alias(key)).distinct()
+    return documents.withColumn(own, F.xxhash64("text")).join(found, F.col(own) == F.col(key), "left_anti").drop(own)

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from tidelog.llm.common import WordHasher, checkpointed, gram_hashes, mixed, raw_text, words
+from tidelog.llm.common import WordHasher, checkpointed, fresh, gram_hashes, mixed, raw_text, words
 from tidelog.operators.components import components
 
 SKETCH = "struct<n_shingles:long,set_low:long,set_high:long,bands:array<long>,signature:array<long>>"
@@ -305,11 +305,12 @@ def without_copies(documents: DataFrame, params: Params = Params()) -> DataFrame
     Of documents without words, which are in no group, all stay, but of rows that repeat an id and a text one.
     """
     _, labels = _labelled(documents, params)
-    kept = labels.groupBy("component").agg(F.min("first").alias("f")).select(F.col("f.row_id").alias("_tidelog_row"), F.col("f.text_hash").alias("_tidelog_hash"), F.lit(True).alias("_tidelog_kept"))
+    row, key, mark = fresh(documents, "row", "hash", "kept")
+    kept = labels.groupBy("component").agg(F.min("first").alias("f")).select(F.col("f.row_id").alias(row), F.col("f.text_hash").alias(key), F.lit(True).alias(mark))
     row_id, text_hash = _row_key(documents)
-    one = documents.withColumns({"_tidelog_row": row_id, "_tidelog_hash": text_hash}).dropDuplicates(["_tidelog_row", "_tidelog_hash"])
+    one = documents.withColumns({row: row_id, key: text_hash}).dropDuplicates([row, key])
     has_words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    return one.join(kept, ["_tidelog_row", "_tidelog_hash"], "left").where(F.col("_tidelog_kept").isNotNull() | ~has_words).select(*documents.columns)
+    return one.join(kept, [row, key], "left").where(F.col(mark).isNotNull() | ~has_words).select(*documents.columns)
 
 
 def _row_key(documents: DataFrame) -> tuple[Column, Column]:

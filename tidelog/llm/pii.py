@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import checkpointed
+from tidelog.llm.common import checkpointed, fresh
 
 #: Kinds in their fixed order, with the plain patterns.
 BASE = {
@@ -39,6 +39,8 @@ IP_PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 #: A number's group ends before a blank or the end, punctuation aside.
 GROUP = r"[0-9][0-9()/-]*+(?=[,.;:!?]*+(?![^\x20\x09-\x0D]))"
 TOKEN = rf"(?<![^\x20\x09-\x0D])(?:[+(]*+{GROUP}(?:\x20[(]?+{GROUP})++[,.;:!?]*+|[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+)"
+#: Code points of the blocks that redacted texts are cut from.
+BLOCK = 4096
 SPAN = "array<struct<start:bigint,rank:int,kind:string,stop:bigint>>"
 
 
@@ -65,21 +67,74 @@ def valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def located(text: Column, pattern: str, keep, made, kind: str) -> Column:
+#: Elements that folded() appends one by one.
+CHUNK = 128
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with value worked out once however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def folded(items: Column, state: Column, step, held: str, kind: str) -> Column:
+    """array<kind> of what step(state, item) puts out, as it goes through items. step gives (next state, output).
+
+    An array that grows by one element is copied each time. So items are gone through in chunks, first for the
+    states (of type held) that the chunks begin with, then for what each chunk puts out.
+    """
+    last = lambda all_: F.floor(F.greatest(F.size(all_) - 1, F.lit(0)) / CHUNK).cast("int")
+    cut = lambda all_: F.transform(F.sequence(F.lit(0), last(all_)), lambda n: F.slice(all_, n * CHUNK + 1, F.lit(CHUNK)))
+
+    def one(acc: Column, item: Column) -> Column:
+        after, out = step(acc["s"], item)
+        return F.struct(after.alias("s"), F.concat(acc["out"], F.array(out)).alias("out"))
+
+    def chunk(acc: Column, own: Column) -> Column:
+        return F.struct(F.aggregate(own, acc["s"], lambda s, item: step(s, item)[0]).alias("s"), F.concat(acc["all"], F.array(acc["s"])).alias("all"))
+
+    def outputs(own: Column, s: Column) -> Column:
+        return F.aggregate(own, F.struct(s.alias("s"), F.array().cast(f"array<{kind}>").alias("out")), one, lambda acc: acc["out"])
+
+    def run(chunks: Column) -> Column:
+        starts = F.aggregate(chunks, F.struct(state.alias("s"), F.array().cast(f"array<{held}>").alias("all")), chunk, lambda acc: acc["all"])
+        return F.flatten(F.zip_with(chunks, starts, outputs))
+
+    return let(let(items, cut), run)
+
+
+def located(text: Column, pattern: str, keep, made) -> Column:
     """made(start, stop, match, gap before) of the matches that keep(match) holds for, in order.
 
     Positions are code points; they come from the lengths of the parts between matches.
     """
-    parts = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("g"))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(kind).alias("out"))
+    m, g = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    sizes = F.transform(F.arrays_zip(m.alias("m"), g.alias("g")), lambda p: F.struct(F.length(p["g"]).alias("g"), F.coalesce(F.length(p["m"]), F.lit(0)).alias("m")))
+    begins = folded(sizes, F.lit(0).cast("bigint"), lambda at, p: (at + p["g"] + p["m"], at + p["g"]), "bigint", "bigint")
+    found = F.filter(F.arrays_zip(m.alias("m"), g.alias("g"), begins.alias("at")), lambda p: p["m"].isNotNull() & keep(p["m"]))
+    return F.transform(found, lambda p: made(p["at"], p["at"] + F.length(p["m"]), p["m"], p["g"]))
+
+
+def covered(found: Column, base: Column) -> Column:
+    """The kind of the first base span that overlaps each of found, or null; both are in order of start.
+
+    One pass forward over both holds the spans that are still open (of each kind one at most), one backward the next span.
+    """
+    spans = F.transform(base, lambda s: F.struct(s["start"].alias("start"), F.lit(0).alias("side"), s["rank"].alias("order"), s["stop"].alias("stop"), s["kind"].alias("kind")))
+    asked = F.transform(found, lambda f, n: F.struct(f["start"].alias("start"), F.lit(1).alias("side"), n.alias("order"), f["stop"].alias("stop"), F.lit(None).cast("string").alias("kind")))
+    event = "struct<start:bigint,side:int,order:int,stop:bigint,kind:string>"
+    events = F.array_sort(F.concat(spans, asked).cast(f"array<{event}>"))
+
+    def forward(open_: Column, e: Column) -> tuple[Column, Column]:
+        still = F.filter(open_, lambda s: s["stop"] > e["start"])
+        return F.when(e["side"] == 0, F.concat(still, F.array(e))).otherwise(still), e.withField("kind", F.when(e["side"] == 0, e["kind"]).otherwise(F.get(still, F.lit(0))["kind"]))
 
-    def step(state: Column, part: Column) -> Column:
-        begin = state["at"] + F.length(part["g"])
-        stop = begin + F.coalesce(F.length(part["m"]), F.lit(0))
-        wanted = part["m"].isNotNull() & keep(part["m"])
-        return F.struct(stop.cast("bigint").alias("at"), F.when(wanted, F.concat(state["out"], F.array(made(begin, stop, part["m"], part["g"])))).otherwise(state["out"]).alias("out"))
+    def backward(next_: Column, e: Column) -> tuple[Column, Column]:
+        ahead = F.when(next_["start"] < e["stop"], next_["kind"])
+        return F.when(e["side"] == 0, e).otherwise(next_), F.struct(e["side"].alias("side"), F.coalesce(e["kind"], ahead).alias("kind"))
 
-    return F.aggregate(parts, start, step, lambda state: state["out"])
+    passed = F.reverse(folded(events, F.array().cast(f"array<{event}>"), forward, f"array<{event}>", event))
+    both = F.reverse(folded(passed, F.lit(None).cast(event), backward, event, "struct<side:int,kind:string>"))
+    return F.transform(F.filter(both, lambda e: e["side"] == 1), lambda e: e["kind"])
 
 
 def base_spans(text: Column) -> Column:
@@ -91,7 +146,7 @@ def base_spans(text: Column) -> Column:
         def made(begin: Column, stop: Column, match: Column, gap: Column, rank: int = rank, kind: str = kind) -> Column:
             return F.struct(begin.cast("bigint").alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), stop.cast("bigint").alias("stop"))
 
-        found = located(text, LINEAR[kind], lambda m, kind=kind: valid(kind, m), made, SPAN)
+        found = located(text, LINEAR[kind], lambda m, kind=kind: valid(kind, m), made)
         each.append(F.when(seen, found).otherwise(F.array().cast(SPAN)))
     return F.array_sort(F.concat(*each))
 
@@ -125,9 +180,8 @@ def instances(text: Column) -> Column:
         failed = core.rlike(LINEAR["ip"]) | core.rlike(LINEAR["card"]) | core.rlike(LINEAR["phone"]) & ~valid("phone", core)
         return F.struct(first.cast("bigint").alias("start"), (first + F.length(core)).cast("bigint").alias("stop"), short(core, 120).alias("token"), before.alias("before"), shape(core).alias("shape"), form(core).alias("form"), failed.alias("failed"))
 
-    kind = "array<struct<start:bigint,stop:bigint,token:string,before:string,shape:string,form:string,failed:boolean>>"
     whole = "array<struct<start:bigint,stop:bigint,token:string,before:string,shape:string,form:string,failed:boolean,after:string>>"
-    found = located(text, TOKEN, lambda m: F.lit(True), made, kind)
+    found = located(text, TOKEN, lambda m: F.lit(True), made)
     gaps = F.split(text, TOKEN, -1)
     after = F.transform(F.slice(gaps, F.lit(2), F.greatest(F.size(gaps) - 1, F.lit(0))), lambda g: F.lower(F.regexp_extract(g, r"^[\x20\x09-\x0D]*+([^\x20\x09-\x0D]*+)", 1)))
     both = F.zip_with(found, after, lambda f, a: f.withField("after", a))
@@ -170,11 +224,9 @@ def listed(spans: Column) -> Column:
 def located_pii(documents: DataFrame, boot: Bootstrap = Bootstrap()) -> DataFrame:  # noqa: B008
     """doc_id, text_hash, base and spans (both SPAN) of each row."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = documents.select("doc_id", F.xxhash64(text).alias("text_hash"), base_spans(text).alias("base"), instances(text).alias("found"))
-    drawn = checkpointed(rows)
-    each = drawn.select("doc_id", "text_hash", "base", F.explode("found").alias("f")).select("doc_id", "text_hash", "base", "f.*")
-    over = F.filter("base", lambda s: (s["start"] < F.col("stop")) & (s["stop"] > F.col("start")))
-    each = each.withColumn("kind", F.get(over, F.lit(0))["kind"])
+    drawn = checkpointed(documents.select("doc_id", F.xxhash64(text).alias("text_hash"), base_spans(text).alias("base"), instances(text).alias("found")))
+    told = F.zip_with("found", covered(F.col("found"), F.col("base")), lambda f, kind: f.withField("kind", kind))
+    each = checkpointed(drawn.where(F.size("found") > 0).select("doc_id", "text_hash", F.explode(told).alias("f")).select("doc_id", "text_hash", "f.*"))
     beside = lambda side: F.struct(F.lit(side).alias("side"), F.when(F.col(side) != "", F.concat_ws(" ", side, "shape")).alias("pattern"))
     edges = each.select("token", "kind", "failed", F.explode(F.array(beside("before"), beside("after"), F.struct(F.lit("form").alias("side"), F.col("form").alias("pattern")))).alias("p")).select("token", "kind", "failed", "p.*")
     new = grown(edges, boot)
@@ -203,18 +255,32 @@ def redact(documents: DataFrame, boot: Bootstrap = Bootstrap()) -> DataFrame:  #
     n_chars, where there is one, is set anew. Null texts stay null; rows and other columns stay.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    found = located_pii(documents, boot).where(F.size("spans") > 0).select(F.col("doc_id").alias("_tidelog_id"), F.col("text_hash").alias("_tidelog_key"), "spans").dropDuplicates(["_tidelog_id", "_tidelog_key"]).withColumnRenamed("spans", "_tidelog_spans")
-    keyed = documents.withColumn("_tidelog_hash", F.xxhash64(text))
-    both = keyed.join(found, (F.col("_tidelog_hash") == F.col("_tidelog_key")) & F.col("doc_id").eqNullSafe(F.col("_tidelog_id")), "left")
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(state: Column, s: Column) -> Column:
-        piece = F.concat(F.substring(text, (state["at"] + 1).cast("int"), (s["start"] - state["at"]).cast("int")), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.when(s["start"] >= state["at"], F.struct(s["stop"].alias("at"), F.concat(state["out"], F.array(piece)).alias("out"))).otherwise(state)
-
-    done = F.aggregate("_tidelog_spans", start, step)
-    whole = F.concat(F.array_join(done["out"], ""), F.substring(text, (done["at"] + 1).cast("int"), F.length(text)))
-    out = both.withColumn("text", F.when(F.col("_tidelog_spans").isNotNull(), whole).otherwise(F.col("text")))
+    own_id, own_key, spans, hash_ = fresh(documents, "id", "key", "spans", "hash")
+    found = located_pii(documents, boot).where(F.size("spans") > 0).select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_key), F.col("spans").alias(spans)).dropDuplicates([own_id, own_key])
+    keyed = documents.withColumn(hash_, F.xxhash64(text))
+    both = keyed.join(found, (F.col(hash_) == F.col(own_key)) & F.col("doc_id").eqNullSafe(F.col(own_id)), "left")
+    # parts of a text are cut from its blocks, so that a part does not cost the text before it
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+    def cut(start: Column, stop: Column) -> Column:
+        first, last = F.floor(start / BLOCK), F.floor(stop / BLOCK)
+        head, tail = (start - first * BLOCK + 1).cast("int"), (stop - last * BLOCK).cast("int")
+        block = lambda n: F.coalesce(F.get(blocks_, n.cast("int")), F.lit(""))
+        whole = F.array_join(F.slice(blocks_, (first + 2).cast("int"), F.greatest(last - first - 1, F.lit(0)).cast("int")), "")
+        return F.when(first == last, F.substring(block(first), head, (stop - start).cast("int"))).otherwise(F.concat(F.substring(block(first), head, F.lit(BLOCK)), whole, F.substring(block(last), F.lit(1), tail)))
+
+    cuts, size = fresh(documents, "blocks", "size")
+    both = both.withColumn(cuts, F.when(F.col(spans).isNotNull(), blocks)).withColumn(size, F.length(text).cast("bigint"))
+    blocks_ = F.col(cuts)
+
+    def step(at: Column, s: Column) -> tuple[Column, Column]:
+        free = s["start"] >= at
+        return F.when(free, s["stop"]).otherwise(at), F.when(free, F.struct(at.alias("start"), s["start"].alias("stop"), s["kind"].alias("kind")))
+
+    end = F.struct(F.col(size).alias("start"), F.lit(len(BASE)).alias("rank"), F.lit(None).cast("string").alias("kind"), F.col(size).alias("stop"))
+    parts = F.filter(folded(F.concat(F.col(spans), F.array(end).cast(SPAN)), F.lit(0).cast("bigint"), step, "bigint", "struct<start:bigint,stop:bigint,kind:string>"), lambda p: p.isNotNull())
+    whole = F.array_join(F.transform(parts, lambda p: F.concat(cut(p["start"], p["stop"]), F.when(p["kind"].isNull(), "").otherwise(F.concat(F.lit("["), F.upper(p["kind"]), F.lit("]"))))), "")
+    out = both.withColumn("text", F.when(F.col(spans).isNotNull(), whole).otherwise(F.col("text")))
     if "n_chars" in documents.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_tidelog_spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(spans).isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*documents.columns)

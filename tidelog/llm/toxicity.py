@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import checkpointed
+from tidelog.llm.common import checkpointed, fresh
 
 WORD = re.compile(r"[^\W\d_]+")
 GRADES = 4
@@ -178,18 +178,20 @@ def grade(documents: DataFrame, model: Ordinal, threshold: float = 0.5) -> DataF
     P(y > 0) >= threshold. Null and empty texts have no features; texts count whole, however long. Columns
     of these names are replaced; every row stays, repeated ones too; an empty table gives no rows.
     """
-    score = F.col("_tidelog_score")
+    (name,) = fresh(documents, "score")
+    score = F.col(name)
     above = [1 / (1 + F.exp(F.lit(k) - score)) for k in model.thresholds]
     return (
-        documents.withColumn("_tidelog_score", word_score(F.col("text"), model))
+        documents.withColumn(name, word_score(F.col("text"), model))
         .withColumn("toxicity", sum(above[1:], above[0]))
         .withColumn("toxicity_grade", sum((F.when(p >= 0.5, 1).otherwise(0) for p in above[1:]), F.when(above[0] >= 0.5, 1).otherwise(0)))
         .withColumn("toxic", above[0] >= threshold)
-        .drop("_tidelog_score")
+        .drop(name)
     )
 
 
 def without_toxic(documents: DataFrame, model: Ordinal, threshold: float = 0.5) -> DataFrame:
     """The rows of documents that grade() would not mark as toxic, with all of their columns as they are."""
-    above = 1 / (1 + F.exp(F.lit(model.thresholds[0]) - F.col("_tidelog_score")))
-    return documents.withColumn("_tidelog_score", word_score(F.col("text"), model)).where(above < threshold).drop("_tidelog_score")
+    (name,) = fresh(documents, "score")
+    above = 1 / (1 + F.exp(F.lit(model.thresholds[0]) - F.col(name)))
+    return documents.withColumn(name, word_score(F.col("text"), model)).where(above < threshold).drop(name)
