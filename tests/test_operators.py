@@ -15,7 +15,7 @@ from tidelog.functions.text import fold_text, seq_ratio
 from tidelog.operators import assess, derive, event, flatten, graph, quality, video
 from tidelog.operators.components import components
 from tidelog.sources import sinks
-from tidelog.streaming import jobs
+from tidelog.streaming import jobs, ordered
 
 T0 = datetime(2026, 7, 10, 10, tzinfo=UTC)
 
@@ -281,9 +281,6 @@ def test_streams_end_where_folds_end(spark, sf):
     """Streaming tiers, closed counts and alert states against the batch forms."""
     tiers = {r.bvid: (r.effective, r.assessments) for r in QUERIES["stream_tiers"](spark, sf).collect()}
     assert {k: v[0] for k, v in tiers.items()} == {r.bvid: r.effective for r in QUERIES["tier_history"](spark, sf).collect()}
-    exact = {(r.keyword, r.bucket): r.distinct_comments for r in QUERIES["stream_trends"](spark, sf).collect()}
-    closed = {(r.keyword, r.bucket): r.n for r in QUERIES["stream_closed_counts"](spark, sf).collect()}
-    assert closed and all(exact[k] == n for k, n in closed.items()) and len(closed) >= len(exact) - 6
     drafts = QUERIES["alert_drafts"](spark, sf)
     on = {r.alert_key for r in drafts.where("triggered").collect()}
     assert {(r.alert_key, r.action, r.active) for r in QUERIES["stream_alerts"](spark, sf).collect()} == {(k, "triggered", True) for k in on}
@@ -296,8 +293,8 @@ def test_streaming_spikes(spark, tmp_path):
     stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
     counts = jobs.drained(jobs.closed_counts(stream, ["error"], 3600), str(tmp_path / "counts"))
     again = spark.readStream.schema(counts.schema).parquet(str(tmp_path / "counts" / "out"))
-    out = jobs.drained(jobs.spikes(again, 3600, 2.0, 3), str(tmp_path / "out")).collect()
-    assert [(r.keyword, r.was, r.n) for r in out] == [("error", 2, 5)]
+    out = jobs.drained(ordered.spikes(again, 3600, 2.0, 3), str(tmp_path / "out")).collect()
+    assert [(r.keyword, r.was, r.n, r.kind) for r in out] == [("error", 2, 5, "folded")]
 
 
 def test_backoff_counts_since_success(spark):

@@ -58,23 +58,51 @@ def with_hysteresis(state: DataFrame, p: Policy) -> DataFrame:
     return state.withColumns({"effective": F.when(done, F.col("desired")).otherwise(F.col("effective")), "candidate": F.when(done, F.lit(None).cast("string")).otherwise(F.col("desired")), "downgrades": F.when(done, 0).otherwise(n)})
 
 
-def tier_history(assessments: DataFrame, p: Policy, key: str = "bvid", time: str = "at") -> DataFrame:
-    """The effective tier after a whole history of desired tiers, from c."""
-    # equal tiers in a row act as the first `confirmations` of them, so only those of each run are gathered
-    w = Window.partitionBy(key).orderBy(time)
-    run = Window.partitionBy(key, "_run").orderBy(time)
-    changes = assessments.withColumn("_new", F.when(F.col("desired").eqNullSafe(F.lag("desired").over(w)), 0).otherwise(1))
-    few = changes.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.row_number().over(run)).where(F.col("_n") <= p.confirmations)
-    steps = F.transform(F.array_sort(F.collect_list(F.struct(time, "desired"))), lambda x: x["desired"])
-    start = F.struct(F.lit("c").alias("effective"), F.lit(None).cast("string").alias("candidate"), F.lit(0).alias("downgrades"))
-
-    def step(s: Column, d: Column) -> Column:
-        lower = rank(d) > rank(s["effective"])
-        n = F.when(s["candidate"] == d, s["downgrades"] + 1).otherwise(F.lit(1))
-        done = ~lower | (n >= p.confirmations)
-        return F.struct(F.when(done, d).otherwise(s["effective"]).alias("effective"), F.when(done, F.lit(None).cast("string")).otherwise(d).alias("candidate"), F.when(done, F.lit(0)).otherwise(n).alias("downgrades"))
-
-    return few.groupBy(key).agg(F.aggregate(steps, start, step).alias("s")).select(key, "s.*")
+def hysteresis_states(p: Policy) -> list[tuple[int, int | None, int]]:
+    """All states of the fold: effective tier, candidate below it (by place in TIERS) and confirmations so far."""
+    n = len(TIERS)
+    return [(e, None, 0) for e in range(n)] + [(e, d, k) for e in range(n) for d in range(e + 1, n) for k in range(1, p.confirmations)]
+
+
+def hysteresis_steps(p: Policy) -> list[list[int]]:
+    """For each desired tier, the number of the state that follows each state."""
+    states = hysteresis_states(p)
+    place = {s: n for n, s in enumerate(states)}
+
+    def after(state: tuple[int, int | None, int], desired: int) -> tuple[int, int | None, int]:
+        effective, candidate, n = state
+        n = n + 1 if candidate == desired else 1
+        return (desired, None, 0) if desired <= effective or n >= p.confirmations else (effective, desired, n)
+
+    return [[place[after(s, d)] for s in states] for d in range(len(TIERS))]
+
+
+def tier_history(assessments: DataFrame, p: Policy, key: str = "bvid", time: str = "at", block: Column | None = None, fan: int = 64) -> DataFrame:
+    """The effective tier after a whole history of desired tiers, from c.
+
+    Each block of a key's time (a day of `time`, unless given) becomes a map from the state before it to the state
+    after it. Maps compose in any grouping that keeps their order, so `fan` neighbouring blocks become one, until
+    there is one a key: no list is longer than a block or `fan`, however long a history is.
+    """
+    states, steps = hysteresis_states(p), hysteresis_steps(p)
+    table = F.array(*(F.array(*(F.lit(s) for s in row)) for row in steps))
+    same = F.array(*(F.lit(n) for n in range(len(states))))
+    day = F.floor(F.unix_seconds(time) / 86_400) if block is None else block
+    ordered_ = lambda *c: F.array_sort(F.collect_list(F.struct(*c)))
+    rows = assessments.where(F.col("desired").isin(*TIERS)).select(key, day.cast("long").alias("block"), F.col(time).alias("at"), (rank(F.col("desired")) - 1).alias("d"))
+    # equal tiers in a row act as the first `confirmations` of them
+    w = Window.partitionBy(key, "block").orderBy("at")
+    back = F.array(*(F.lag("d", k).over(w) for k in range(1, p.confirmations + 1)))
+    few = rows.withColumn("_back", back).where(~F.forall("_back", lambda x: F.coalesce(x == F.col("d"), F.lit(False)))).drop("_back")
+    maps = few.groupBy(key, "block").agg(ordered_("at", "d").alias("l")).select(key, "block", F.aggregate("l", same, lambda m, x: F.transform(m, lambda s: F.get(F.get(table, x["d"]), s))).alias("map"))
+    low, high = maps.agg(F.min("block"), F.max("block")).first()
+    blocks = 1 if low is None else high - low + 1
+    maps = maps.withColumn("block", F.col("block") - F.lit(low or 0))
+    while blocks > 1:
+        maps = maps.groupBy(key, F.floor(F.col("block") / fan).alias("block")).agg(ordered_(F.col("block").alias("b"), "map").alias("l")).select(key, "block", F.aggregate("l", same, lambda m, x: F.transform(m, lambda s: F.get(x["map"], s))).alias("map"))
+        blocks = -(-blocks // fan)
+    named = F.array(*(F.struct(F.lit(TIERS[e]).alias("effective"), F.lit(None if c is None else TIERS[c]).cast("string").alias("candidate"), F.lit(n).alias("downgrades")) for e, c, n in states))
+    return maps.select(key, F.get(named, F.get("map", F.lit(len(TIERS) - 1))).alias("s")).select(key, "s.*")
 
 
 def life_stage(p: Policy) -> Column:

@@ -87,6 +87,12 @@ LEX = "lex AS (SELECT * FROM (VALUES ('support', 'the'), ('support', 'und'), ('s
 
 SIGHT = "sight AS (SELECT 'v' || o_custkey AS bvid, o_orderkey AS k, epoch_us(CAST(o_orderdate AS TIMESTAMP)) AS us, o_orderpriority AS pool_type, o_orderstatus AS pool_id FROM orders)"
 
+TIERED = f"""RECURSIVE {OBS}, a AS (SELECT bvid, row_number() OVER (PARTITION BY bvid ORDER BY captured_at, id) AS k, reply_count % 4 AS d FROM obs),
+  h(bvid, k, e, c, n) AS (SELECT DISTINCT bvid, 0::BIGINT, 3::BIGINT, NULL::BIGINT, 0::BIGINT FROM a UNION ALL
+    SELECT bvid, k, CASE WHEN d <= e OR m >= 2 THEN d ELSE e END, CASE WHEN d <= e OR m >= 2 THEN NULL ELSE d END, CASE WHEN d <= e OR m >= 2 THEN 0 ELSE m END
+    FROM (SELECT a.bvid, a.k, d, e, CASE WHEN c = d THEN n + 1 ELSE 1 END AS m FROM h JOIN a ON a.bvid = h.bvid AND a.k = h.k + 1)),
+  tiered AS (SELECT bvid, k, ['s', 'a', 'b', 'c'][e + 1] AS effective, ['s', 'a', 'b', 'c'][c + 1] AS candidate, n AS downgrades FROM h QUALIFY row_number() OVER (PARTITION BY bvid ORDER BY k DESC) = 1)"""
+CLOSED = f"{OBS}, {WORDS}, closed AS (SELECT keyword, us // 86400000000 * 86400 AS bucket, count(DISTINCT rpid) AS n FROM obs, words WHERE contains(lower(content), keyword) GROUP BY ALL)"
 ORACLES = {
     "keyword_trends": f"WITH {TREND} SELECT bucket, keyword, coalesce(d, 0) AS distinct_comments, coalesce(n, 0) AS observations FROM grid CROSS JOIN words LEFT JOIN counts USING (keyword, bucket)",
     "keyword_trends_evidence": f"WITH {TREND} SELECT bucket, keyword, coalesce(d, 0) AS distinct_comments, coalesce(n, 0) AS observations, coalesce(ids, '') AS raw_payload_ids, coalesce(ids, '') AS observation_ids FROM grid CROSS JOIN words LEFT JOIN counts USING (keyword, bucket)",
@@ -183,8 +189,13 @@ ORACLES = {
     "raw_integrity": "SELECT CASE WHEN doc_id % 7 = 0 THEN 'size_mismatch' WHEN doc_id % 10 = 0 THEN 'hash_mismatch' ELSE 'ok' END AS outcome, count(*) AS payloads, CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes FROM documents GROUP BY 1",
     "month_layout": "SELECT strftime(o_orderdate, '%Y-%m') AS captured_month, count(*) AS rows FROM orders GROUP BY 1",
     "folded_texts": "SELECT doc_id, sha256(replace(lower(text), 'ß', 'ss')) AS folded_sha256 FROM documents",
-    "stream_state_changes": f"WITH {CHANGES} SELECT * FROM changes",
     "stream_trends": f"WITH {OBS}, {WORDS} SELECT keyword, us // 86400000000 * 86400 AS bucket, count(DISTINCT rpid) AS distinct_comments, count(*) AS observations FROM obs, words WHERE contains(lower(content), keyword) GROUP BY ALL",
+    "tier_history": f"WITH {TIERED} SELECT bvid, effective, candidate, downgrades FROM tiered",
+    "stream_tiers": f"WITH {TIERED} SELECT bvid, effective, k AS assessments FROM tiered",
+    "stream_closed_counts": f"WITH {CLOSED} SELECT * FROM closed",
+    "stream_spikes": f"""WITH {CLOSED}, s AS (SELECT keyword, bucket, n, lag(bucket) OVER w AS b, CASE WHEN lag(bucket) OVER w = bucket - 86400 THEN lag(n) OVER w ELSE 0 END AS was FROM closed WINDOW w AS (PARTITION BY keyword ORDER BY bucket))
+ SELECT keyword, bucket, was, n, 'folded' AS kind FROM s WHERE b IS NOT NULL AND n >= greatest(3, was * 1.1::DOUBLE)""",
+    "stream_state_changes": f"WITH {CHANGES} SELECT * FROM changes",
     "hot_changes": f"WITH {TURNOVER}, e AS (SELECT page_id, string_agg(id, ',' ORDER BY id) AS ids FROM on_page GROUP BY page_id) SELECT current_page_id, p.ids AS previous_observation_ids, c.ids AS current_observation_ids FROM turnover LEFT JOIN e p ON p.page_id = previous_page_id LEFT JOIN e c ON c.page_id = current_page_id",
     "media_sources": "SELECT 'p' AS platform, sha256('https://x.org/' || (l_partkey % 50)) AS url_hash, 'https://x.org/' || (l_partkey % 50) AS source_url, epoch_us(CAST(min(o_orderdate) AS TIMESTAMP)) AS first_seen_at, epoch_us(CAST(max(o_orderdate) AS TIMESTAMP)) AS last_seen_at, arg_min(l_orderkey, (o_orderdate, l_orderkey)) AS first_page_id, arg_max(l_orderkey, (o_orderdate, l_orderkey)) AS last_page_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL",
     "known_videos": f"WITH {SIGHT} SELECT bvid, lpad(CAST(k AS VARCHAR), 12, '0') AS source_mid, us AS pubdate, us AS first_seen_at FROM sight QUALIFY row_number() OVER (PARTITION BY bvid ORDER BY us, k) = 1",

@@ -15,7 +15,7 @@ from tidelog.operators import assess, derive, event, flatten, graph, quality, vi
 from tidelog.sources import bindings as b
 from tidelog.session import checkpoint_folder
 from tidelog.sources import sinks
-from tidelog.streaming import jobs
+from tidelog.streaming import jobs, ordered
 
 DAY = 86_400
 NOW = datetime(2024, 1, 20, 12, tzinfo=UTC)
@@ -412,7 +412,7 @@ def tier_assessment(spark, sf_dir):
 def tier_history(spark, sf_dir):
     o = b.observations(spark, sf_dir)
     desired = F.element_at(F.array(F.lit("s"), F.lit("a"), F.lit("b"), F.lit("c")), (F.col("reply_count") % 4 + 1).cast("int"))
-    return assess.tier_history(o.select("bvid", F.struct("captured_at", "id").alias("at"), desired.alias("desired")), P)
+    return assess.tier_history(o.select("bvid", F.struct("captured_at", "id").alias("at"), desired.alias("desired")), P, block=F.floor(F.unix_seconds("at.captured_at") / 3600))
 
 
 @query
@@ -490,20 +490,22 @@ def folded_texts(spark, sf_dir):
     return d.select("doc_id", F.sha2(fold_text(F.col("text"), "fold"), 256).alias("folded_sha256"))
 
 
-def drained(spark, sf_dir, job, mode):
-    """The job's result over events.parquet as a stream."""
-    obs = b.observations(spark, sf_dir, jobs.stream_of(spark, sf_dir, "events"))
-    return jobs.drained(job(obs), shared_folder(spark, "stream"), mode)
+def in_triggers(spark, rows, time, **end):
+    """rows as a stream of several triggers, whose watermark passes all of them."""
+    return ordered.in_triggers(rows, shared_folder(spark, "in"), time, end=end)
 
 
 @query
 def stream_state_changes(spark, sf_dir):
-    return drained(spark, sf_dir, jobs.state_changes, "append")
+    """The folds of a stream that comes in several triggers, out of order."""
+    obs = b.observations(spark, sf_dir).select("id", "rpid", "bvid", "captured_at", "content", "like_count", "reply_count", "sort_mode", "position")
+    return jobs.drained(jobs.state_changes(in_triggers(spark, obs, "captured_at"), "400 days"), shared_folder(spark, "stream"))
 
 
 @query
 def stream_trends(spark, sf_dir):
-    return drained(spark, sf_dir, lambda obs: jobs.keyword_counts(obs, list(b.KEYWORDS), DAY), "complete")
+    obs = b.observations(spark, sf_dir).select("id", "rpid", "captured_at", "content")
+    return jobs.drained(jobs.keyword_counts(in_triggers(spark, obs, "captured_at", content=b.KEYWORDS[0]), list(b.KEYWORDS), DAY, "400 days"), shared_folder(spark, "stream"))
 
 
 @query
@@ -750,19 +752,33 @@ def stream_intake(spark, sf_dir):
     return jobs.drained(jobs.intake(obs.unionByName(obs), "60 days"), shared_folder(spark, "stream")).select("id", "rpid")
 
 
+def closed_counts(spark, sf_dir):
+    obs = b.observations(spark, sf_dir).select("id", "rpid", "captured_at", "content")
+    return jobs.drained(jobs.closed_counts(in_triggers(spark, obs, "captured_at", content=b.KEYWORDS[0]), list(b.KEYWORDS), DAY, "400 days"), shared_folder(spark, "stream"))
+
+
 @query
 def stream_closed_counts(spark, sf_dir):
     """Exact counts of the windows that the watermark has closed."""
-    obs = b.observations(spark, sf_dir, jobs.stream_of(spark, sf_dir, "events"))
-    return jobs.drained(jobs.closed_counts(obs, list(b.KEYWORDS), DAY), shared_folder(spark, "stream"))
+    return closed_counts(spark, sf_dir)
+
+
+@query
+def stream_spikes(spark, sf_dir):
+    """Jumps of the closed windows, from a stream of their table."""
+    counts = closed_counts(spark, sf_dir).withColumn("starts_at", F.timestamp_seconds("bucket"))
+    path = shared_folder(spark, "in")
+    stream = ordered.in_triggers(counts, path, "starts_at", by="bucket").withColumn("bucket", F.unix_seconds("starts_at"))
+    return jobs.drained(ordered.spikes(stream, DAY, 1.1, 3, "400 days"), shared_folder(spark, "stream"))
 
 
 @query
 def stream_tiers(spark, sf_dir):
     """The last effective tier of each video, of a stream of assessments."""
-    o = b.observations(spark, sf_dir, jobs.stream_of(spark, sf_dir, "events"))
+    o = b.observations(spark, sf_dir)
     desired = F.element_at(F.array(*(F.lit(t) for t in assess.TIERS)), (F.col("reply_count") % 4 + 1).cast("int"))
-    out = jobs.drained(jobs.tiers(o.select("bvid", F.col("captured_at").alias("at"), "id", desired.alias("desired")), P), shared_folder(spark, "stream"))
+    rows = o.select("bvid", F.col("captured_at").alias("at"), "id", desired.alias("desired"))
+    out = jobs.drained(jobs.tiers(in_triggers(spark, rows, "at"), P, "400 days"), shared_folder(spark, "stream"))
     return out.groupBy("bvid").agg(F.max_by("effective", F.struct("at", "id")).alias("effective"), F.count("*").alias("assessments"))
 
 
@@ -786,4 +802,4 @@ def stream_alerts(spark, sf_dir):
     stream = spark.readStream.schema(spark.read.parquet(f"{path}/in").schema).parquet(f"{path}/in")
     fold = jobs.alert_upkeep(f"{path}/out", "alert_key string, active boolean, occurrences long, notified_at long", F.lit(6000).cast("long"))
     stream.writeStream.foreachBatch(fold).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{path}/out/batch=0")
+    return spark.read.parquet(f"{path}/out/batch={jobs.last_batch(spark, f'{path}/out')}")

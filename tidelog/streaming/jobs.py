@@ -1,7 +1,7 @@
 """Structured Streaming forms of the folds: pages land, keyed state advances.
 
-"Previous" is event-time order within a trigger and arrival order across triggers; a row that comes
-after a later one of its key was folded is emitted against that later one.
+Folds in event-time order are in ordered.py. For visibility, "previous" is event-time order within a trigger
+and arrival order across triggers; a row that comes after a later one of its key is emitted against that one.
 """
 
 from __future__ import annotations
@@ -14,11 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidelog.functions.values import like_bucket
-from tidelog.functions.windows import bucket
 from tidelog.operators import assess, derive, flatten, quality
 from tidelog.operators.event import matched
-
-CHANGE = "rpid long, bvid string, previous_id long, current_id long, event_type string, old_value string, new_value string, created_at timestamp"
+from tidelog.streaming import ordered
 
 
 def intake(stream: DataFrame, delay: str = "1 day") -> DataFrame:
@@ -31,32 +29,10 @@ def flat_pages(stream: DataFrame, kind: str = "reply") -> DataFrame:
     return flatten.comment_rows(flatten.parsed_pages(stream, kind))
 
 
-def state_changes(stream: DataFrame) -> DataFrame:
-    """Change events with the last observation of each comment as state."""
-    rows = stream.select("rpid", "bvid", "id", "captured_at", F.sha2(F.trim("content"), 256).alias("hash"), like_bucket(F.col("like_count")).alias("likes"), F.col("reply_count").cast("string").alias("replies"), "sort_mode", F.col("position").cast("string").alias("position"))
-
-    def text(value) -> str | None:
-        return None if pd.isna(value) else str(value)
-
-    def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        names = ("hash", "likes", "replies", "sort_mode", "position")
-        was = state.get if state.exists else None
-        out = []
-        for r in pd.concat(list(parts)).sort_values(["captured_at", "id"]).itertuples():
-            now = (int(r.id), *(text(getattr(r, n)) for n in names))
-            emit = lambda kind, old, new, r=r, was=was: out.append((int(r.rpid), r.bvid, was[0] if was else None, int(r.id), kind, old, new, r.captured_at))
-            if was is None:
-                emit("first_seen", None, None)
-            else:
-                for kind, n in (("content_hash_changed", 1), ("like_bucket_changed", 2), ("reply_count_changed", 3), ("hot_position_changed", 5)):
-                    if was[n] != now[n] and (n != 5 or was[4] == now[4] == "hot"):
-                        emit(kind, was[n], now[n])
-            was = now
-        state.update(was)
-        yield pd.DataFrame(out, columns=["rpid", "bvid", "previous_id", "current_id", "event_type", "old_value", "new_value", "created_at"]).astype({"previous_id": "Int64"})
-
-    held = "id long, hash string, likes string, replies string, sort_mode string, position string"
-    return rows.groupBy("rpid").applyInPandasWithState(fold, CHANGE, held, "append", GroupStateTimeout.NoTimeout)
+def state_changes(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """Change events with the last observation of each comment as state, in event-time order (ordered.state_changes())."""
+    values = {"hash": F.sha2(F.trim("content"), 256), "likes": like_bucket(F.col("like_count")), "replies": F.col("reply_count"), "sort_mode": F.col("sort_mode"), "position": F.col("position")}
+    return ordered.state_changes(stream, values, delay)
 
 
 def visibility_events(stream: DataFrame) -> DataFrame:
@@ -89,65 +65,29 @@ def visibility_events(stream: DataFrame) -> DataFrame:
     return rows.groupBy("rpid").applyInPandasWithState(fold, kind, "seen boolean, id long, visibility string", "append", GroupStateTimeout.NoTimeout)
 
 
-def keyword_counts(stream: DataFrame, keywords: list[str], seconds: int) -> DataFrame:
-    """Distinct comments and observations of keywords in tumbling buckets (complete or update mode).
+def keyword_counts(stream: DataFrame, keywords: list[str], seconds: int, delay: str = "1 hour") -> DataFrame:
+    """Distinct comments and observations of keywords in the tumbling buckets that the watermark has closed (append mode).
 
-    The state keeps each bucket's comments for as long as the stream runs; closed_counts() is the bounded form.
+    Observations are summed by comment first, so no state holds a list, and a closed bucket's state goes.
     """
-    hits = matched(stream, keywords).select("rpid", bucket(F.col("captured_at"), seconds).alias("bucket"), F.explode("hits").alias("keyword"))
-    return hits.groupBy("keyword", "bucket").agg(F.size(F.collect_set("rpid")).cast("long").alias("distinct_comments"), F.count("*").alias("observations"))
+    hits = matched(stream.withWatermark("captured_at", delay), keywords).select("rpid", F.window("captured_at", f"{seconds} seconds").alias("w"), F.explode("hits").alias("keyword"))
+    each = hits.groupBy("keyword", "w", "rpid").agg(F.count("*").alias("n"))
+    return each.groupBy("keyword", "w").agg(F.count("*").alias("distinct_comments"), F.sum("n").alias("observations")).select("keyword", F.unix_seconds("w.start").alias("bucket"), "distinct_comments", "observations")
 
 
 def closed_counts(stream: DataFrame, keywords: list[str], seconds: int, delay: str = "1 hour") -> DataFrame:
     """Exact counts of windows that the watermark has closed, each comment once a keyword and window (append mode).
 
-    Rows that come later than the delay are left out. Time advances by the rows with a keyword.
+    Rows that come later than the delay are left out. Time advances by the rows with a keyword; a closed window's state goes.
     """
     hits = matched(stream.withWatermark("captured_at", delay), keywords).select("rpid", F.window("captured_at", f"{seconds} seconds").alias("w"), F.explode("hits").alias("keyword"))
     once = hits.dropDuplicates(["keyword", "w", "rpid"])
     return once.groupBy("keyword", "w").agg(F.count("*").alias("n")).select("keyword", F.unix_seconds("w.start").alias("bucket"), "n")
 
 
-def spikes(counts: DataFrame, seconds: int, multiplier: float, least: int) -> DataFrame:
-    """Jumps of closed windows against the window before, a missing one counting 0.
-
-    counts: a stream of the table that closed_counts() writes; Spark keeps no such state behind an aggregation.
-    """
-
-    def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get if state.exists else None
-        out = []
-        for r in pd.concat(list(parts)).sort_values("bucket").itertuples():
-            if last is not None:
-                was = last[1] if last[0] == r.bucket - seconds else 0
-                if r.n >= max(least, was * multiplier):
-                    out.append((r.keyword, int(r.bucket), int(was), int(r.n)))
-            last = (int(r.bucket), int(r.n))
-        if last is not None:
-            state.update(last)
-        yield pd.DataFrame(out, columns=["keyword", "bucket", "was", "n"])
-
-    return counts.groupBy("keyword").applyInPandasWithState(fold, "keyword string, bucket long, was long, n long", "bucket long, n long", "append", GroupStateTimeout.NoTimeout)
-
-
-def tiers(stream: DataFrame, policy: assess.Policy) -> DataFrame:
-    """Effective tiers after each assessment (bvid, at, id, desired), with hysteresis as state."""
-    rank = {t: n for n, t in enumerate(assess.TIERS)}
-
-    def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        effective, candidate, n = state.get if state.exists else ("c", None, 0)
-        out = []
-        for r in pd.concat(list(parts)).sort_values(["at", "id"]).itertuples():
-            if rank[r.desired] <= rank[effective]:
-                effective, candidate, n = r.desired, None, 0
-            else:
-                n = n + 1 if candidate == r.desired else 1
-                effective, candidate, n = (r.desired, None, 0) if n >= policy.confirmations else (effective, r.desired, n)
-            out.append((key[0], r.at, int(r.id), effective))
-        state.update((effective, candidate, n))
-        yield pd.DataFrame(out, columns=["bvid", "at", "id", "effective"])
-
-    return stream.groupBy("bvid").applyInPandasWithState(fold, "bvid string, at timestamp, id long, effective string", "effective string, candidate string, n int", "append", GroupStateTimeout.NoTimeout)
+def tiers(stream: DataFrame, policy: assess.Policy, delay: str = "1 hour") -> DataFrame:
+    """Effective tiers after each assessment (bvid, at, id, desired), in event-time order (ordered.tiers())."""
+    return ordered.tiers(stream, assess.TIERS, policy.confirmations, delay)
 
 
 def watchlist_upkeep(path: str, parts: int = 16):
@@ -204,6 +144,13 @@ def alert_upkeep(path: str, schema: str, now):
     return fold
 
 
+def last_batch(spark: SparkSession, path: str) -> int:
+    """The number of the last batch that alert_upkeep() wrote at path."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = folder.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch=*"))
+    return max(int(s.getPath().getName().split("=")[1]) for s in found)
+
+
 def drain(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> None:
     """Run over all that is there, then stop. complete results overwrite the folder."""
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
