@@ -30,9 +30,23 @@ FOLDS = {
 }
 
 
+#: What Python takes for blanks, of ASCII.
+BLANKS = r"[\x09-\x0D\x1C-\x20]+"
+
+
+def _ascii_fold(text: Column, mode: str) -> Column:
+    """The same of texts of ASCII alone, by built-in functions."""
+    low = F.lower(text)
+    if mode == "alnum":
+        return F.regexp_replace(low, "[^a-z0-9]+", "")
+    return low if mode == "fold" else F.trim(F.regexp_replace(low, BLANKS, " "))
+
+
 def fold_text(text: Column, mode: str) -> Column:
     """Unicode folding (null stays null). Modes: alnum (NFKC, casefold, letters and digits only), phrase
-    (NFKC, casefold, single blanks), trimmed (casefold, single blanks), fold (casefold)."""
+    (NFKC, casefold, single blanks), trimmed (casefold, single blanks), fold (casefold).
+
+    Texts of ASCII alone don't leave the JVM."""
     fold = FOLDS[mode]
 
     @F.arrow_udf("string")
@@ -40,9 +54,35 @@ def fold_text(text: Column, mode: str) -> Column:
         for batch in batches:
             yield pa.array([None if t is None else fold(t) for t in batch.to_pylist()], pa.string())
 
+    plain = text.rlike(r"\A[\x00-\x7F]*\z")
+    return F.coalesce(F.when(plain, _ascii_fold(text, mode)), run(F.when(~plain, text)))
+
+
+def gram_counts(text: Column, classes: int = 64) -> Column:
+    """How many of a text's pairs of neighbouring characters fall in each of `classes` hash classes."""
+
+    @F.arrow_udf("array<int>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            out = []
+            for t in batch.to_pylist():
+                points = np.frombuffer((t or "").encode("utf-32-le"), np.uint32)
+                # the upper bits of a product mix both characters
+                out.append(None if t is None else np.bincount((points[:-1] * np.uint32(2_654_435_761) + points[1:] * np.uint32(2_246_822_519)) >> np.uint32(16) & np.uint32(classes - 1), minlength=classes).tolist())
+            yield pa.array(out, pa.list_(pa.int32()))
+
     return run(text)
 
 
+def least_shared_grams(total: Column, least: float) -> Column:
+    """Pairs of neighbouring characters that two texts of `total` characters share at least, if their ratio is `least` or more.
+
+    Matching blocks of M characters in all leave u = total - 2M unmatched, and one of these at least stands between
+    two blocks, so there are at most u + 1 blocks; each has one pair of neighbours less than characters.
+    """
+    return total * least / 2 - (total * (1 - least) + 1) - 1e-6
+
+
 def letter_counts(text: Column) -> Column:
     """How many of a text's characters fall in each of LETTERS classes of code points."""
 
@@ -55,8 +95,8 @@ def letter_counts(text: Column) -> Column:
     return run(text)
 
 
-def shared_letters(left: Column, right: Column) -> Column:
-    """An upper bound of the characters that two texts can have in common, from their letter_counts."""
+def shared_counts(left: Column, right: Column) -> Column:
+    """An upper bound of the characters (or grams) that two texts can have in common, from their counts by class."""
     return F.aggregate(F.zip_with(left, right, lambda x, y: F.least(x, y)), F.lit(0), lambda a, x: a + x)
 
 

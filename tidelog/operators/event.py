@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.functions.text import fold_text, letter_counts, seq_ratio, shared_letters
+from tidelog.functions.text import fold_text, gram_counts, least_shared_grams, letter_counts, seq_ratio, shared_counts
 from tidelog.functions.values import quoted, ratio, slug, stable_key
-from tidelog.functions.windows import band_join, bucket, check_range, check_window, grid, within
+from tidelog.functions.windows import band_join, bucket, check_range, check_window, grid, numbered, within
 from tidelog.operators.components import components
 from tidelog.session import checkpointed
 
@@ -96,34 +97,51 @@ def stance(obs: DataFrame, lexicon: dict[str, list[str]]) -> DataFrame:
     return all_.join(counts, "category", "left").join(by_term, "category", "left").fillna(0, ["distinct_comments", "observations"])
 
 
+def similar_candidates(keys: DataFrame, seconds: int, least: float, condition: Column) -> DataFrame:
+    """Pairs that templates() compares below similarity 1: of columns left_ and right_ rpid, bvid, hash and first_seen_at.
+
+    keys: rpid, bvid, hash, first_seen_at, size, letters, grams. All bounds hold for every pair of the ratio `least`,
+    so none is lost. Lengths differ by at most the factor (2 - least) / least, so texts meet in the bands of time
+    that classes of length cut up; then the letters that both have, and the pairs of neighbouring letters, must
+    suffice for the ratio.
+    """
+    factor = math.log((2 - least) / least) * 1.0001
+    length = F.floor(F.log("size") / factor).cast("int")
+    side = lambda s: keys.select(*(F.col(c).alias(f"{s}_{c}") for c in ("rpid", "bvid", "hash", "size", "letters", "grams")), "first_seen_at", length.alias(f"{s}_length"))
+    left = side("left").withColumn("left_length", F.explode(F.array(*(F.col("left_length") + k for k in (-1, 0, 1)))))
+    total = F.col("left_size") + F.col("right_size")
+    differ = F.col("left_hash") != F.col("right_hash")
+    size = 2 * F.least("left_size", "right_size") >= least * total
+    pairs = band_join(left, side("right"), "first_seen_at", seconds, condition & differ & size, "length", forward=True)
+    enough = 2 * shared_counts(F.col("left_letters"), F.col("right_letters")) >= least * total
+    grams = shared_counts(F.col("left_grams"), F.col("right_grams")) >= least_shared_grams(total, least)
+    return pairs.where(enough & grams).drop(*(f"{s}_{c}" for s in ("left", "right") for c in ("size", "letters", "grams", "length")))
+
+
 def templates(entities: DataFrame, seconds: int, least: float, min_chars: int = 4) -> DataFrame:
     """Pairs of comments of two videos, at most `seconds` apart, whose folded texts are similar; left is earlier.
 
     Equal texts meet by their hash, so at `least` 1 no other pair is formed. Below 1, pairs are formed of
-    lengths and letter counts alone, which leave out none; texts are joined to those that both bounds allow.
+    lengths and counts alone (similar_candidates()), and texts are joined to those that these bounds allow.
     """
     check_range("window_seconds", seconds, 60, 86_400)
     check_range("min_similarity", least, 0.5, 1.0)
     folded = entities.select("rpid", "bvid", "first_seen_at", fold_text(F.col("first_content"), "alnum").alias("folded")).withColumn("size", F.length("folded")).where(F.col("size") >= min_chars)
     folded = folded.withColumn("hash", F.sha2("folded", 256))
     if least < 1:
-        folded = checkpointed(folded.withColumn("letters", letter_counts(F.col("folded"))))
+        folded = checkpointed(folded.withColumns({"letters": letter_counts(F.col("folded")), "grams": gram_counts(F.col("folded"))}))
         keys = folded.drop("folded")
     else:
         keys = checkpointed(folded.drop("folded"))
-    side = lambda s, *more: keys.select(*(F.col(c).alias(f"{s}_{c}") for c in ("rpid", "bvid", "hash", *more)), "first_seen_at")
+    side = lambda s: keys.select(*(F.col(c).alias(f"{s}_{c}") for c in ("rpid", "bvid", "hash")), "first_seen_at")
     order = F.struct("left_first_seen_at", "left_rpid") < F.struct("right_first_seen_at", "right_rpid")
     both = order & (F.col("left_bvid") != F.col("right_bvid"))
-    same = F.col("left_hash") == F.col("right_hash")
     apart = F.floor((F.unix_micros("right_first_seen_at") - F.unix_micros("left_first_seen_at")) / 1_000_000)
     out = lambda pairs, similarity, algorithm: pairs.select("left_rpid", "right_rpid", "left_bvid", "right_bvid", similarity.alias("similarity"), apart.alias("seconds_apart"), F.lit(algorithm).alias("algorithm"))
     equal = out(band_join(side("left"), side("right"), "first_seen_at", seconds, both, "hash", forward=True), F.lit(1.0), "normalized_exact_text_cross_video")
     if least == 1:
         return equal
-    total = F.col("left_size") + F.col("right_size")
-    size = 2 * F.least("left_size", "right_size") >= least * total
-    pairs = band_join(side("left", "size", "letters"), side("right", "size", "letters"), "first_seen_at", seconds, both & ~same & size, forward=True)
-    pairs = pairs.where(2 * shared_letters(F.col("left_letters"), F.col("right_letters")) >= least * total).drop("left_letters", "right_letters", "left_size", "right_size")
+    pairs = similar_candidates(keys, seconds, least, both)
     # one comparison of each two texts, however often they meet
     texts = folded.groupBy("hash").agg(F.first("folded").alias("folded"))
     text = lambda s: texts.select(F.col("hash").alias(f"{s}_hash"), F.col("folded").alias(f"{s}_text"))
@@ -133,6 +151,17 @@ def templates(entities: DataFrame, seconds: int, least: float, min_chars: int =
     return equal.unionByName(out(pairs.join(ratios, ["left_hash", "right_hash"]), F.col("similarity"), "similar_text_cross_video"))
 
 
+def with_members(candidates: DataFrame, entities: DataFrame, event_id: int, slug_: str, seconds: int, least: float) -> DataFrame:
+    """Candidates with the fields that a reader sees: both comments (author, name, content, time, payload), the event, and how they were found.
+
+    entities: rpid, author_mid, author_name, first_content, first_seen_at, first_raw_payload_id.
+    """
+    fields = {"author_mid": "author_mid", "author_name": "author_name", "content": "first_content", "first_seen_at": "first_seen_at", "raw_payload_id": "first_raw_payload_id"}
+    side = lambda s: entities.select(F.col("rpid").alias(f"{s}_rpid"), *(F.col(c).alias(f"{s}_{name}") for name, c in fields.items()))
+    out = candidates.join(side("left"), "left_rpid").join(side("right"), "right_rpid")
+    return out.withColumns({"event_id": F.lit(event_id).cast("long"), "event_slug": F.lit(slug_), "window_seconds": F.lit(seconds).cast("long"), "min_similarity": F.lit(float(least)), "candidate_only": F.lit(True)})
+
+
 def template_links(entities: DataFrame, seconds: int, min_chars: int = 4) -> DataFrame:
     """left_rpid and right_rpid: at most two links a comment, which connect what the pairs of templates() at similarity 1 connect.
 
@@ -355,6 +384,37 @@ def template_clusters(pairs: DataFrame) -> DataFrame:
     return components(checkpointed(pairs.select("left_rpid", "right_rpid")), "left_rpid", "right_rpid").withColumnsRenamed({"node": "rpid", "component": "cluster"})
 
 
+def cluster_edges(candidates: DataFrame, entities: DataFrame) -> DataFrame:
+    """cluster_id and each candidate of it. Clusters are numbered by their first candidate in the order of the archive.
+
+    candidates: as templates() gives them; entities: rpid, first_seen_at. Candidates are ordered by the left comment's
+    time and id, then the right one's.
+    """
+    pairs = checkpointed(candidates)
+    time = lambda s: entities.select(F.col("rpid").alias(f"{s}_rpid"), F.col("first_seen_at").alias(f"{s}_at"))
+    parts = template_clusters(pairs).select(F.col("rpid").alias("left_rpid"), "cluster")
+    edges = checkpointed(pairs.join(time("left"), "left_rpid").join(time("right"), "right_rpid").join(parts, "left_rpid"))
+    order = ("left_at", "left_rpid", "right_at", "right_rpid")
+    first = edges.groupBy("cluster").agg(F.min(F.struct(*order)).alias("f")).select("cluster", "f.*")
+    return edges.drop("left_at", "right_at").join(numbered(first, "cluster_id", *order).select("cluster", "cluster_id"), "cluster").drop("cluster")
+
+
+def cluster_members(edges: DataFrame, entities: DataFrame) -> DataFrame:
+    """cluster_id and each member with what a reader sees of it; its raw_payload_id is evidence of the cluster.
+
+    entities: rpid, bvid, author_mid, author_name, first_content, first_seen_at, first_raw_payload_id.
+    """
+    ids = edges.select("cluster_id", F.explode(F.array("left_rpid", "right_rpid")).alias("rpid")).distinct()
+    return ids.join(entities.select("rpid", "bvid", "author_mid", "author_name", F.coalesce("first_content", F.lit("")).alias("content"), "first_seen_at", F.col("first_raw_payload_id").alias("raw_payload_id")), "rpid")
+
+
+def cluster_summaries(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """cluster_id, members, candidates and distinct raw payloads of each cluster, and what it may be taken for."""
+    of_edges = edges.groupBy("cluster_id").agg(F.count("*").alias("candidates"), F.min("similarity").alias("least_similarity"))
+    of_members = members.groupBy("cluster_id").agg(F.count("*").alias("members"), F.count_distinct("bvid").alias("videos"), F.count_distinct("raw_payload_id").alias("raw_payloads"))
+    return of_edges.join(of_members, "cluster_id").withColumns({"candidate_only": F.lit(True), "interpretation_limit": F.lit("candidate_only_not_proof_of_coordination")})
+
+
 def evidence_index(**ids: DataFrame) -> DataFrame:
     """Distinct (kind, id) of one-column frames of ids; prefixes previous_, current_ and info_ are dropped."""
     out = None

@@ -87,6 +87,10 @@ LEX = "lex AS (SELECT * FROM (VALUES ('support', 'the'), ('support', 'und'), ('s
 
 SIGHT = "sight AS (SELECT 'v' || o_custkey AS bvid, o_orderkey AS k, epoch_us(CAST(o_orderdate AS TIMESTAMP)) AS us, o_orderpriority AS pool_type, o_orderstatus AS pool_id FROM orders)"
 
+RECORDS = "records AS (SELECT doc_id AS rpid, source AS bvid, doc_id % 5 AS author_mid, 'n' || (doc_id % 5) AS author_name, coalesce(text, '') AS content, (1704067200 + 30 * doc_id) * 1000000 AS first_seen_at, CASE WHEN doc_id % 4 <> 3 THEN doc_id // 3 END AS raw_payload_id FROM documents)"
+CLUSTERED = f"""{EXACT}, {RECORDS}, {closure('pairs', 'left_rpid', 'right_rpid')}, firsts AS (SELECT cluster, row_number() OVER (ORDER BY min(left_rpid * 10000000 + right_rpid)) AS cluster_id FROM pairs JOIN parts ON node = left_rpid GROUP BY cluster),
+  edges AS (SELECT cluster_id, pairs.* FROM pairs JOIN parts ON node = left_rpid JOIN firsts USING (cluster)), members AS (SELECT cluster_id, left_rpid AS rpid FROM edges UNION SELECT cluster_id, right_rpid FROM edges)"""
+
 TIERED = f"""RECURSIVE {OBS}, a AS (SELECT bvid, row_number() OVER (PARTITION BY bvid ORDER BY captured_at, id) AS k, reply_count % 4 AS d FROM obs),
   h(bvid, k, e, c, n) AS (SELECT DISTINCT bvid, 0::BIGINT, 3::BIGINT, NULL::BIGINT, 0::BIGINT FROM a UNION ALL
     SELECT bvid, k, CASE WHEN d <= e OR m >= 2 THEN d ELSE e END, CASE WHEN d <= e OR m >= 2 THEN NULL ELSE d END, CASE WHEN d <= e OR m >= 2 THEN 0 ELSE m END
@@ -190,6 +194,15 @@ ORACLES = {
     "month_layout": "SELECT strftime(o_orderdate, '%Y-%m') AS captured_month, count(*) AS rows FROM orders GROUP BY 1",
     "folded_texts": "SELECT doc_id, sha256(replace(lower(text), 'ß', 'ss')) AS folded_sha256 FROM documents",
     "stream_trends": f"WITH {OBS}, {WORDS} SELECT keyword, us // 86400000000 * 86400 AS bucket, count(DISTINCT rpid) AS distinct_comments, count(*) AS observations FROM obs, words WHERE contains(lower(content), keyword) GROUP BY ALL",
+    "template_cluster_edges": f"WITH RECURSIVE {CLUSTERED} SELECT cluster_id, left_rpid, right_rpid, similarity, seconds_apart FROM edges",
+    "template_cluster_members": f"WITH RECURSIVE {CLUSTERED} SELECT cluster_id, rpid, bvid, author_mid, author_name, sha256(content) AS content, first_seen_at, raw_payload_id FROM members JOIN records USING (rpid)",
+    "template_cluster_summaries": f"""WITH RECURSIVE {CLUSTERED}, e AS (SELECT cluster_id, count(*) AS candidates, min(similarity) AS least_similarity FROM edges GROUP BY cluster_id),
+ m AS (SELECT cluster_id, count(*) AS members, count(DISTINCT bvid) AS videos, count(DISTINCT raw_payload_id) AS raw_payloads FROM members JOIN records USING (rpid) GROUP BY cluster_id)
+ SELECT *, true AS candidate_only, 'candidate_only_not_proof_of_coordination' AS interpretation_limit FROM e JOIN m USING (cluster_id)""",
+    "template_candidate_records": f"""WITH {EXACT}, {RECORDS} SELECT p.*, 7::BIGINT AS event_id, 'e-7' AS event_slug, 86400::BIGINT AS window_seconds, 1.0::DOUBLE AS min_similarity, true AS candidate_only,
+ l.author_mid AS left_author_mid, l.author_name AS left_author_name, sha256(l.content) AS left_content, l.first_seen_at AS left_first_seen_at, l.raw_payload_id AS left_raw_payload_id,
+ r.author_mid AS right_author_mid, r.author_name AS right_author_name, sha256(r.content) AS right_content, r.first_seen_at AS right_first_seen_at, r.raw_payload_id AS right_raw_payload_id
+ FROM pairs p JOIN records l ON l.rpid = p.left_rpid JOIN records r ON r.rpid = p.right_rpid""",
     "tier_history": f"WITH {TIERED} SELECT bvid, effective, candidate, downgrades FROM tiered",
     "stream_tiers": f"WITH {TIERED} SELECT bvid, effective, k AS assessments FROM tiered",
     "stream_closed_counts": f"WITH {CLOSED} SELECT * FROM closed",

@@ -384,6 +384,42 @@ def page_facts(spark, sf_dir):
     return flatten.page_rows(flatten.parsed_pages(b.reply_pages(spark, sf_dir), "reply")).select("raw_payload_id", "bvid", "item_count", "is_end", "status")
 
 
+def comment_records(spark, sf_dir):
+    """Documents as comments with all the fields of candidates."""
+    c = b.comments(spark, sf_dir)
+    return c.select("rpid", "bvid", "author_mid", F.concat(F.lit("n"), F.col("author_mid")).alias("author_name"), "first_content", "first_seen_at", F.when(F.col("rpid") % 4 != 3, F.floor(F.col("rpid") / 3)).cast("long").alias("first_raw_payload_id"))
+
+
+def edges_of_clusters(spark, sf_dir):
+    return event.cluster_edges(event.templates(b.comments(spark, sf_dir), DAY, 1.0), b.comments(spark, sf_dir))
+
+
+@query
+def template_cluster_edges(spark, sf_dir):
+    """Candidates by the cluster that they make."""
+    return edges_of_clusters(spark, sf_dir).select("cluster_id", "left_rpid", "right_rpid", "similarity", "seconds_apart")
+
+
+@query
+def template_cluster_members(spark, sf_dir):
+    """Members of clusters with author, text and raw payload."""
+    found = event.cluster_members(edges_of_clusters(spark, sf_dir), comment_records(spark, sf_dir))
+    return found.withColumn("content", F.sha2("content", 256))
+
+
+@query
+def template_cluster_summaries(spark, sf_dir):
+    edges = edges_of_clusters(spark, sf_dir)
+    return event.cluster_summaries(edges, event.cluster_members(edges, comment_records(spark, sf_dir)))
+
+
+@query
+def template_candidate_records(spark, sf_dir):
+    """Candidates of one event with both comments' authors, texts and payloads."""
+    found = event.with_members(event.templates(b.comments(spark, sf_dir), DAY, 1.0), comment_records(spark, sf_dir), 7, "e-7", DAY, 1.0)
+    return found.withColumns({c: F.sha2(c, 256) for c in ("left_content", "right_content")})
+
+
 @query
 def page_chain_audit(spark, sf_dir):
     c = b.read(spark, sf_dir, "conversations").where("turn is not null")
