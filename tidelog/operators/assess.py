@@ -9,7 +9,7 @@ from zoneinfo import ZoneInfo
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.functions.values import iso_utc, local_seconds
+from tidelog.functions.values import local_seconds
 
 TIERS = ("s", "a", "b", "c")
 
@@ -175,11 +175,6 @@ def slot_priority(kind: Column, tier: Column) -> Column:
     return F.when(kind == "checkpoint", PRIORITIES["checkpoint"]).when(kind == "recovery", PRIORITIES["recovery"]).otherwise(routine)
 
 
-def slot_key(kind: Column, bvid: Column, slot: Column) -> Column:
-    """kind:bvid:time of a slot in epoch seconds."""
-    return F.concat_ws(":", kind, bvid, iso_utc(slot))
-
-
 def hot_pages(tier: Column, kind: Column, routine: dict[str, int], checkpoint: dict[str, int], core: int = 1) -> Column:
     """Core and deep page ranges of a slot."""
     total = F.lit(core)

@@ -203,6 +203,22 @@ ORACLES = {
  l.author_mid AS left_author_mid, l.author_name AS left_author_name, sha256(l.content) AS left_content, l.first_seen_at AS left_first_seen_at, l.raw_payload_id AS left_raw_payload_id,
  r.author_mid AS right_author_mid, r.author_name AS right_author_name, sha256(r.content) AS right_content, r.first_seen_at AS right_first_seen_at, r.raw_payload_id AS right_raw_payload_id
  FROM pairs p JOIN records l ON l.rpid = p.left_rpid JOIN records r ON r.rpid = p.right_rpid""",
+    "cohort_plans": f"""WITH v AS (SELECT c_custkey AS c, 'v' || c_custkey AS bvid, ['s', 'a', 'b', 'c'][c_custkey % 4 + 1] AS tier, ['active', 'dormant', 'archived'][c_custkey % 3 + 1] AS stage, [3, 2, 1, 1][c_custkey % 4 + 1] AS core, [5, 4, 3, 1][c_custkey % 4 + 1] AS total FROM customer),
+ due AS (SELECT *, ['planned', 'missed', 'not_applicable', 'not_applicable', 'missed'][(c + hours // 6) % 5 + 1] AS state FROM (SELECT *, unnest([6, 12, 18, 24]) AS hours FROM v)),
+ defaults AS (SELECT bvid, hours, state, c, 'video_metrics' AS kind, NULL::BIGINT AS lo, NULL::BIGINT AS hi FROM due UNION ALL SELECT bvid, hours, state, c, 'latest_reconciliation', NULL, NULL FROM due UNION ALL SELECT bvid, hours, state, c, 'hot_core', 1, core FROM due UNION ALL SELECT bvid, hours, state, c, 'hot_deep', core + 1, total FROM due WHERE total > core),
+ tried AS (SELECT 'v' || o_custkey AS bvid, [6, 12, 18, 24][l_linenumber % 4 + 1] AS hours, ['video_metrics', 'hot_core', 'hot_deep', 'latest_reconciliation'][l_orderkey % 4 + 1] AS kind, l_returnflag AS flag, CASE WHEN l_suppkey % 2 = 0 THEN l_partkey % 3 + 1 END AS lo, CASE WHEN l_suppkey % 2 = 0 THEN l_partkey % 3 + 1 + l_linenumber END AS hi
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey QUALIFY row_number() OVER (PARTITION BY o_custkey, l_linenumber % 4, l_orderkey % 4 ORDER BY l_orderkey * 10 + l_linenumber DESC, l_partkey DESC, l_suppkey DESC, l_returnflag DESC) = 1),
+ lacking AS (SELECT * FROM defaults WHERE state = 'missed' AND (bvid, hours) NOT IN (SELECT bvid, hours FROM tried) UNION ALL
+  SELECT d.bvid, d.hours, d.state, d.c, d.kind, CASE WHEN t.lo IS NOT NULL AND d.lo IS NOT NULL THEN t.lo ELSE d.lo END, CASE WHEN t.lo IS NOT NULL AND d.lo IS NOT NULL THEN t.hi ELSE d.hi END FROM defaults d JOIN tried t ON t.bvid = d.bvid AND t.hours = d.hours AND t.kind = d.kind WHERE state = 'missed' AND flag <> 'R'),
+ late AS (SELECT bvid, max(hours) AS hours FROM due WHERE state = 'missed' GROUP BY bvid),
+ recovery AS (SELECT bvid, late.hours, kind, lo, hi FROM lacking JOIN late USING (bvid) QUALIFY row_number() OVER (PARTITION BY bvid, kind ORDER BY coalesce(hi, 0) DESC, coalesce(hi - lo, 0) DESC, lacking.hours) = 1),
+ free AS (SELECT * FROM v WHERE c % 7 <> 0 AND bvid NOT IN (SELECT bvid FROM recovery) AND bvid NOT IN (SELECT bvid FROM due WHERE state = 'planned' AND c % 3 = 0)),
+ routine AS (SELECT *, 'video_metrics' AS kind, NULL::BIGINT AS lo, NULL::BIGINT AS hi FROM free UNION ALL SELECT *, 'hot_core', 1, CASE WHEN stage = 'dormant' THEN 1 ELSE core END FROM free WHERE stage <> 'archived'
+  UNION ALL SELECT *, 'hot_deep', core + 1, total FROM free WHERE stage = 'active' AND c % 5 < 2 AND total > core UNION ALL SELECT *, 'latest_current_head', NULL, NULL FROM free WHERE stage = 'active' OR (stage = 'dormant' AND c % 2 = 0)),
+ every AS (SELECT 'snapshot:' || bvid || ':age:' || hours || 'h' AS cohort_key, bvid, 'age_checkpoint' AS reason, kind, 120 AS base, lo, hi FROM defaults WHERE state = 'planned' UNION ALL
+  SELECT 'snapshot:' || bvid || ':recovery:through:' || hours || 'h', bvid, 'recovery', kind, 115, lo, hi FROM recovery UNION ALL
+  SELECT 'snapshot:' || bvid || ':' || strftime(make_timestamp({NOW} * 1000000::BIGINT), '%Y-%m-%dT%H:%M:%SZ') || ':routine', bvid, 'routine', kind, CASE tier WHEN 's' THEN 100 WHEN 'a' THEN 90 WHEN 'b' THEN 80 ELSE 70 END, lo, hi FROM routine)
+ SELECT cohort_key, cohort_key || ':' || kind AS component_key, bvid, reason, kind AS component_kind, CAST(base + CASE kind WHEN 'video_metrics' THEN 2 WHEN 'hot_core' THEN 1 ELSE 0 END AS BIGINT) AS priority, lo AS start_page, hi AS end_page FROM every""",
     "tier_history": f"WITH {TIERED} SELECT bvid, effective, candidate, downgrades FROM tiered",
     "stream_tiers": f"WITH {TIERED} SELECT bvid, effective, k AS assessments FROM tiered",
     "stream_closed_counts": f"WITH {CLOSED} SELECT * FROM closed",
@@ -221,7 +237,7 @@ ORACLES = {
     "availability_flatten": f"WITH {METRICS} SELECT raw_payload_id, status, CAST(CASE WHEN status = 'deleted' THEN -404 ELSE 0 END AS BIGINT) AS code FROM metrics",
     "request_errors": "SELECT CASE substring(o_orderpriority, 1, 1) WHEN '1' THEN 'forbidden' WHEN '2' THEN 'rate_limited' WHEN '3' THEN 'captcha' WHEN '4' THEN 'server_error' END AS kind, count(*) AS requests FROM orders GROUP BY 1",
     "run_summary": "SELECT CAST(o_orderkey % 10 AS BIGINT) AS run_id, count(*) AS started, count(*) FILTER (o_orderstatus = 'F') AS succeeded, count(*) FILTER (o_orderstatus NOT IN ('O', 'F')) AS failed FROM orders GROUP BY 1",
-    "slot_plan": f"WITH {ASSESSED}, x AS (SELECT *, CASE WHEN {NOW} < anchor THEN anchor ELSE anchor + (({NOW} - anchor) // 600 + 1) * 600 END AS slot FROM tiered) SELECT bvid, 'routine:' || bvid || ':' || strftime(make_timestamp(slot * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS slot_key, CAST(CASE desired WHEN 's' THEN 100 WHEN 'a' THEN 90 WHEN 'b' THEN 80 ELSE 70 END AS BIGINT) AS priority, CAST(CASE WHEN n % 3 = 0 THEN 1 WHEN n % 3 = 2 OR n % 2 = 0 THEN 3 ELSE 2 END AS BIGINT) AS components FROM x",
+    "slot_plan": f"WITH {ASSESSED}, x AS (SELECT *, CASE WHEN {NOW} < anchor THEN anchor ELSE anchor + (({NOW} - anchor) // 600 + 1) * 600 END AS slot FROM tiered) SELECT bvid, 'snapshot:' || bvid || ':' || strftime(make_timestamp(slot * 1000000), '%Y-%m-%dT%H:%M:%SZ') || ':routine' AS slot_key, CAST(CASE desired WHEN 's' THEN 100 WHEN 'a' THEN 90 WHEN 'b' THEN 80 ELSE 70 END AS BIGINT) AS priority, CAST(CASE WHEN n % 3 = 0 THEN 1 WHEN n % 3 = 2 OR n % 2 = 0 THEN 3 ELSE 2 END AS BIGINT) AS components FROM x",
     "finalized_components": "SELECT CASE WHEN o_orderstatus = 'F' THEN 'complete' WHEN o_orderstatus = 'O' THEN CASE WHEN 1000000 > o_orderkey * 100 THEN 'missed_due_to_capacity' ELSE 'pending' END ELSE CASE WHEN 1000000 > o_orderkey * 100 THEN 'missed_due_to_service_gap' ELSE 'blocked' END END AS status, count(*) AS components FROM orders GROUP BY 1",
     "candidate_ranking": f"WITH {ASSESSED} SELECT bvid FROM (SELECT bvid FROM a ORDER BY n % 3 <> 0, CASE WHEN n % 3 <> 0 AND n % 2 = 0 THEN 1 ELSE 0 END, CASE WHEN n % 3 <> 0 AND n % 2 = 0 THEN anchor + n END, anchor, bvid LIMIT 10)",
     "focus_slots": f"WITH {OBS}, l AS (SELECT id, strftime(captured_at + INTERVAL 8 HOUR, '%H:%M') AS hm FROM obs) SELECT id FROM l WHERE hm IN ('10:00', '12:30', '15:15')",

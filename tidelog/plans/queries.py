@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidelog.functions.text import fold_text
 from tidelog.functions.values import iso_time, url_base
 from tidelog.functions.windows import as_of, bucket, newest
-from tidelog.operators import assess, derive, event, flatten, graph, quality, video
+from tidelog.operators import assess, cohorts, derive, event, flatten, graph, quality, video
 from tidelog.sources import bindings as b
 from tidelog.session import checkpoint_folder
 from tidelog.sources import sinks
@@ -640,7 +640,23 @@ def slot_plan(spark, sf_dir):
     a = assessed(spark, sf_dir).withColumn("tier", assess.desired_tier(P))
     slot = assess.next_slot(F.col("anchor"), F.lit(NOW_S), F.lit(600))
     stage = F.when(F.col("n") % 3 == 0, "archived").when(F.col("n") % 3 == 1, "dormant").otherwise("active")
-    return a.select("bvid", assess.slot_key(F.lit("routine"), F.col("bvid"), slot).alias("slot_key"), assess.slot_priority(F.lit("routine"), F.col("tier")).alias("priority"), F.size(assess.component_kinds(stage, F.col("n") % 2 == 0)).alias("components"))
+    return a.select("bvid", cohorts.routine_key(F.col("bvid"), slot).alias("slot_key"), assess.slot_priority(F.lit("routine"), F.col("tier")).alias("priority"), F.size(assess.component_kinds(stage, F.col("n") % 2 == 0)).alias("components"))
+
+
+@query
+def cohort_plans(spark, sf_dir):
+    """Customers as videos, line items as components of their checkpoints that were tried."""
+    c, hours = F.col("c_custkey"), F.array(*(F.lit(h) for h in P.checkpoint_hours))
+    pick = lambda names, n: F.element_at(F.array(*(F.lit(x) for x in names)), (n + 1).cast("int"))
+    people = b.read(spark, sf_dir, "customer").select(c, F.concat(F.lit("v"), c).alias("bvid"))
+    videos = people.select("bvid", pick(assess.TIERS, c % 4).alias("tier"), pick(("active", "dormant", "archived"), c % 3).alias("stage"), (c % 2 == 0).alias("frontier_complete"), (c % 5 < 2).alias("first_active"), (c % 7 != 0).alias("routine_due"))
+    due = people.select("bvid", c, F.explode(hours).alias("hours")).select("bvid", "hours", pick(("planned", "missed", "not_applicable", "not_applicable", "missed"), (c + F.col("hours") / 6) % 5).alias("state"), (c % 3 == 0).alias("in_bucket"))
+    items = b.read(spark, sf_dir, "lineitem").join(b.read(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    kind, first = pick(("video_metrics", "hot_core", "hot_deep", "latest_reconciliation"), F.col("l_orderkey") % 4), F.col("l_partkey") % 3 + 1
+    status = F.when(F.col("l_returnflag") == "N", "pending").when(F.col("l_returnflag") == "R", "complete").otherwise("failed")
+    tried = items.select(F.concat(F.lit("v"), F.col("o_custkey")).alias("bvid"), F.element_at(hours, (F.col("l_linenumber") % 4 + 1).cast("int")).alias("hours"), kind.alias("component_kind"), F.struct(F.col("l_orderkey") * 10 + F.col("l_linenumber"), "l_partkey", "l_suppkey", "l_returnflag", status.alias("status"), F.when(F.col("l_suppkey") % 2 == 0, first).alias("start_page"), F.when(F.col("l_suppkey") % 2 == 0, first + F.col("l_linenumber")).alias("end_page")).alias("r"))
+    attempts = tried.groupBy("bvid", "hours", "component_kind").agg(F.max("r").alias("r")).select("bvid", "hours", "component_kind", "r.status", "r.start_page", "r.end_page")
+    return cohorts.cohort_plans(videos, due, attempts, NOW_S, {"s": 3, "a": 2, "b": 1, "c": 1}, {"s": 5, "a": 4, "b": 3, "c": 1})
 
 
 @query
