@@ -219,6 +219,15 @@ ORACLES = {
   SELECT 'snapshot:' || bvid || ':recovery:through:' || hours || 'h', bvid, 'recovery', kind, 115, lo, hi FROM recovery UNION ALL
   SELECT 'snapshot:' || bvid || ':' || strftime(make_timestamp({NOW} * 1000000::BIGINT), '%Y-%m-%dT%H:%M:%SZ') || ':routine', bvid, 'routine', kind, CASE tier WHEN 's' THEN 100 WHEN 'a' THEN 90 WHEN 'b' THEN 80 ELSE 70 END, lo, hi FROM routine)
  SELECT cohort_key, cohort_key || ':' || kind AS component_key, bvid, reason, kind AS component_kind, CAST(base + CASE kind WHEN 'video_metrics' THEN 2 WHEN 'hot_core' THEN 1 ELSE 0 END AS BIGINT) AS priority, lo AS start_page, hi AS end_page FROM every""",
+    "cursor_chain_audit": """WITH RECURSIVE k AS (SELECT user_id % 97 AS crawl, event_id AS n, user_id, row_number() OVER w AS k, lag(event_id) OVER w AS prior, lead(event_id) OVER w AS after FROM events WINDOW w AS (PARTITION BY user_id % 97 ORDER BY ts, event_id)),
+ p AS (SELECT crawl, n AS page, 'c' || CASE WHEN n % 53 = 0 THEN coalesce(prior, n) ELSE n END AS cursor, CASE WHEN n % 211 = 0 THEN 'nowhere' WHEN n % 389 = 0 AND k > 3 THEN 'c' || prior ELSE 'c' || after END AS onward, crawl % 4 = 0 AND user_id = crawl + 97 AS hit, after IS NULL AS is_end FROM k),
+ heads AS (SELECT crawl, cursor, min(page) AS next, count(*) AS sharing FROM p GROUP BY crawl, cursor), links AS (SELECT p.*, next FROM p LEFT JOIN heads h ON h.crawl = p.crawl AND h.cursor = p.onward),
+ walk(page, last, steps) AS (SELECT page, page, 0::BIGINT FROM links WHERE next IS NULL UNION ALL SELECT l.page, last, steps + 1 FROM walk JOIN links l ON l.next = walk.page),
+ led AS (SELECT next AS page, count(*) AS led FROM links WHERE next IS NOT NULL GROUP BY next), each AS (SELECT links.*, last, steps, led FROM links LEFT JOIN walk USING (page) LEFT JOIN led USING (page)),
+ anchored AS (SELECT last, max(steps) AS anchor_steps FROM each WHERE hit AND steps IS NOT NULL GROUP BY last)
+ SELECT crawl, count(*) AS pages, coalesce(max(steps) + 1, 0) AS longest, count(*) FILTER (led IS NULL) AS roots, count(*) FILTER (next IS NULL) AS ends, count(*) FILTER (led > 1) AS merges, count(*) FILTER (onward IS NOT NULL AND next IS NULL AND NOT is_end) AS broken,
+  count(*) FILTER (steps IS NULL) AS looping, bool_or(hit) AS anchor_reached, count(*) FILTER (steps < anchor_steps) AS beyond_anchor, bool_or(is_end) AS ended, coalesce(any_value(f.forks), 0) AS forks, bool_or(is_end) AND NOT bool_or(hit) AS missing
+ FROM each LEFT JOIN anchored USING (last) LEFT JOIN (SELECT crawl, count(*) AS forks FROM heads WHERE sharing > 1 GROUP BY crawl) f USING (crawl) GROUP BY crawl""",
     "tier_history": f"WITH {TIERED} SELECT bvid, effective, candidate, downgrades FROM tiered",
     "stream_tiers": f"WITH {TIERED} SELECT bvid, effective, k AS assessments FROM tiered",
     "stream_closed_counts": f"WITH {CLOSED} SELECT * FROM closed",

@@ -5,13 +5,13 @@ from __future__ import annotations
 import uuid
 from datetime import UTC, datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelog.functions.text import fold_text
 from tidelog.functions.values import iso_time, url_base
 from tidelog.functions.windows import as_of, bucket, newest
-from tidelog.operators import assess, cohorts, derive, event, flatten, graph, quality, video
+from tidelog.operators import assess, chains, cohorts, derive, event, flatten, graph, quality, video
 from tidelog.sources import bindings as b
 from tidelog.session import checkpoint_folder
 from tidelog.sources import sinks
@@ -659,6 +659,18 @@ def cohort_plans(spark, sf_dir):
     return cohorts.cohort_plans(videos, due, attempts, NOW_S, {"s": 3, "a": 2, "b": 1, "c": 1}, {"s": 5, "a": 4, "b": 3, "c": 1})
 
 
+@query
+def cursor_chain_audit(spark, sf_dir):
+    """Events as pages of crawls, whose cursors make the order; some lead back, some share a cursor, some lead nowhere."""
+    e, n = b.read(spark, sf_dir, "events"), F.col("event_id")
+    w = Window.partitionBy("crawl").orderBy("ts", "event_id")
+    pages = e.select((F.col("user_id") % 97).alias("crawl"), "ts", "event_id", "user_id").withColumns({"k": F.row_number().over(w), "prior": F.lag("event_id").over(w), "after": F.lead("event_id").over(w)})
+    cursor = F.concat(F.lit("c"), F.when(n % 53 == 0, F.coalesce("prior", n)).otherwise(n).cast("string"))
+    onward = F.when(n % 211 == 0, "nowhere").when((n % 389 == 0) & (F.col("k") > 3), F.concat(F.lit("c"), F.col("prior").cast("string"))).otherwise(F.concat(F.lit("c"), F.col("after").cast("string")))
+    own = pages.select("crawl", F.col("event_id").alias("page_id"), cursor.alias("cursor"), onward.alias("next_cursor"), F.array("user_id").alias("rpids"), F.when(F.col("crawl") % 4 == 0, F.array(F.col("crawl") + 97)).otherwise(F.array(F.lit(-1).cast("long"))).alias("anchors"), F.col("after").isNull().alias("is_end"))
+    return chains.chain_audit(own)
+
+
 @query
 def finalized_components(spark, sf_dir):
     t = b.tasks(spark, sf_dir).select("id", F.when(F.col("status") == "succeeded", "complete").when(F.col("status") == "running", "blocked").otherwise(F.col("status")).alias("status"), (F.col("id") * 100).alias("deadline"))
