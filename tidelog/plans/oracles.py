@@ -228,6 +228,9 @@ ORACLES = {
  SELECT crawl, count(*) AS pages, coalesce(max(steps) + 1, 0) AS longest, count(*) FILTER (led IS NULL) AS roots, count(*) FILTER (next IS NULL) AS ends, count(*) FILTER (led > 1) AS merges, count(*) FILTER (onward IS NOT NULL AND next IS NULL AND NOT is_end) AS broken,
   count(*) FILTER (steps IS NULL) AS looping, bool_or(hit) AS anchor_reached, count(*) FILTER (steps < anchor_steps) AS beyond_anchor, bool_or(is_end) AS ended, coalesce(any_value(f.forks), 0) AS forks, bool_or(is_end) AND NOT bool_or(hit) AS missing
  FROM each LEFT JOIN anchored USING (last) LEFT JOIN (SELECT crawl, count(*) AS forks FROM heads WHERE sharing > 1 GROUP BY crawl) f USING (crawl) GROUP BY crawl""",
+    "raw_archive": """WITH a AS (SELECT DISTINCT page_id % 10 AS d, page_id % 3 AS r, sha256(html) AS h, octet_length(encode(html)) AS n FROM pages WHERE html IS NOT NULL)
+ SELECT strftime(DATE '2024-01-01' + CAST(d AS INT), '%Y-%m-%d') AS date, 'run' || r AS run, count(*) AS payloads, CAST(sum(n) AS BIGINT) AS bytes, count(*) AS intact FROM a GROUP BY d, r""",
+    "raw_archive_day": "SELECT DISTINCT 'run' || (page_id % 3) AS run, sha256(html) AS payload_hash, '.html' AS suffix, octet_length(encode(html)) AS bytes, true AS intact FROM pages WHERE html IS NOT NULL AND page_id % 10 = 3",
     "tier_history": f"WITH {TIERED} SELECT bvid, effective, candidate, downgrades FROM tiered",
     "stream_tiers": f"WITH {TIERED} SELECT bvid, effective, k AS assessments FROM tiered",
     "stream_closed_counts": f"WITH {CLOSED} SELECT * FROM closed",

@@ -14,7 +14,7 @@ from tidelog.functions.windows import as_of, bucket, newest
 from tidelog.operators import assess, chains, cohorts, derive, event, flatten, graph, quality, video
 from tidelog.sources import bindings as b
 from tidelog.session import checkpoint_folder
-from tidelog.sources import sinks
+from tidelog.sources import files, sinks
 from tidelog.streaming import jobs, ordered
 
 DAY = 86_400
@@ -671,6 +671,29 @@ def cursor_chain_audit(spark, sf_dir):
     return chains.chain_audit(own)
 
 
+def page_archive(spark, sf_dir):
+    """Pages as captured bodies in an archive of the shared folder, and the archive's rows."""
+    path = shared_folder(files.register(spark), "raw")
+    n = F.col("page_id")
+    pages = b.read(spark, sf_dir, "pages").where("html is not null")
+    bodies = pages.select(F.timestamp_seconds(F.lit(1704067200) + n % 10 * DAY + 3600).alias("captured_at"), F.concat(F.lit("run"), n % 3).alias("run"), F.lit(".html").alias("suffix"), F.encode("html", "utf-8").alias("body"))
+    bodies.write.format("tidelog_archive").mode("append").save(path)
+    return spark.read.format("tidelog_archive").load(path)
+
+
+@query
+def raw_archive(spark, sf_dir):
+    """All days of an archive, by day and run."""
+    return page_archive(spark, sf_dir).groupBy(F.col("date").cast("string").alias("date"), "run").agg(F.count("*").alias("payloads"), F.sum(F.octet_length("body")).alias("bytes"), F.count_if("intact").alias("intact"))
+
+
+@query
+def raw_archive_day(spark, sf_dir):
+    """One day of an archive; no other is listed."""
+    day = page_archive(spark, sf_dir).where(F.col("date") == F.lit("2024-01-04").cast("date"))
+    return day.select("run", "payload_hash", "suffix", F.octet_length("body").alias("bytes"), "intact")
+
+
 @query
 def finalized_components(spark, sf_dir):
     t = b.tasks(spark, sf_dir).select("id", F.when(F.col("status") == "succeeded", "complete").when(F.col("status") == "running", "blocked").otherwise(F.col("status")).alias("status"), (F.col("id") * 100).alias("deadline"))
