@@ -275,3 +275,21 @@ def test_stages_keep_columns_of_any_name(spark):
     model = toxicity.fit(docs, labels)
     for out in (toxicity.without_toxic(docs, model), neardup.without_copies(docs), decontamination.without_matches(docs, items), pii.redact(docs)):
         assert out.columns == docs.columns and out.select(*docs.columns[2:]).distinct().collect() == [(0.5, *"abcdefghi")]
+
+
+def test_a_common_line_brings_no_item_to_tiling(spark):
+    from tidelog.llm import decontamination
+
+    rng = random.Random(12)
+    vocabulary, params = [f"w{n}" for n in range(3000)], decontamination.Params()
+    text = lambda: " ".join(rng.choices(vocabulary, k=60) + "this line is in every text".split() + rng.choices(vocabulary, k=60))
+    rows, tests = [(n, text()) for n in range(200)], [(n, text()) for n in range(50)]
+    # an item whose sentences come in another order, and one of which too little is there
+    parts = tests[7][1].split()
+    rows += [(500, "x " + " ".join(parts[80:] + parts[40:80] + parts[:40])), (501, " ".join(parts[:50]))]
+    docs, items = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(tests, "item_id long, text string")
+    known = decontamination._known(items.select(F.col("item_id").alias("number"), F.col("text").alias("item_text")), params)
+    found = docs.select("doc_id", F.explode(decontamination._sharing(F.col("text"), known, params)).alias("n")).collect()
+    assert [(r.doc_id, r.n) for r in found] == [(500, 7)]
+    for p in (params, decontamination.Params(most_sent=1)):
+        assert [(r.doc_id, r.item_id) for r in decontamination.matches(docs, items, p).collect()] == [(500, 7)]

@@ -33,7 +33,7 @@ class Params:
     seed: int = 5
     least: int = 4
     coverage: float = 0.6
-    #: Bytes of seeds (16 each) and item texts up to which the benchmark is sent to all tasks; beyond, both meet in shuffled joins.
+    #: Bytes of seeds and runs (40 each) and item texts up to which the benchmark is sent to all tasks; beyond, both meet in shuffled joins.
     most_sent: int = 32_000_000
 
 
@@ -138,8 +138,44 @@ def _seeds(text: Column, params: Params) -> Column:
     return run(text)
 
 
-def _sharing(text: Column, seeds: np.ndarray, numbers: np.ndarray, params: Params) -> Column:
-    """Numbers of the items that share a seed with a text. seeds: sorted, each with the number of its item."""
+def _runs(text: Column, params: Params) -> Column:
+    """Hashes of the runs of `least` words of a text, by place."""
+
+    @F.arrow_udf("array<long>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        hasher = WordHasher()
+        for batch in batches:
+            yield pa.array([gram_hashes(hasher(tokens(t.as_py())), params.least).view(np.int64) for t in batch], pa.list_(pa.int64()))
+
+    return run(text)
+
+
+@dataclass(frozen=True)
+class Items:
+    """What every task knows of a small benchmark: seeds (sorted) and runs (sorted) with the places of their items in
+    numbers, places of runs, and each item's number and words."""
+
+    seeds: np.ndarray
+    seed_item: np.ndarray
+    runs: np.ndarray
+    run_item: np.ndarray
+    run_place: np.ndarray
+    numbers: np.ndarray
+    words: np.ndarray
+
+
+def _ranges(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """All places from each low to before its high."""
+    size = high - low
+    return np.repeat(high - np.cumsum(size), size) + np.arange(size.sum())
+
+
+def _sharing(text: Column, items: Items, params: Params) -> Column:
+    """Numbers of the items that share a seed with a text and that it may cover.
+
+    Every tile lies in runs of `least` words that both have, so the item's words in such runs bound its coverage; a
+    line that all texts have does not bring all items in.
+    """
 
     @F.arrow_udf("array<long>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -147,15 +183,34 @@ def _sharing(text: Column, seeds: np.ndarray, numbers: np.ndarray, params: Param
         for batch in batches:
             out = []
             for text in batch:
-                own = np.unique(gram_hashes(hasher(tokens(text.as_py())), params.seed)).view(np.int64)
-                low, high = np.searchsorted(seeds, own, "left"), np.searchsorted(seeds, own, "right")
-                hit = np.flatnonzero(low < high)
-                out.append(np.unique(np.concatenate([numbers[low[h] : high[h]] for h in hit])) if len(hit) else numbers[:0])
+                hashes = hasher(tokens(text.as_py()))
+                own = np.unique(gram_hashes(hashes, params.seed)).view(np.int64)
+                found = np.unique(items.seed_item[_ranges(np.searchsorted(items.seeds, own, "left"), np.searchsorted(items.seeds, own, "right"))])
+                if len(found):
+                    own = np.unique(gram_hashes(hashes, params.least)).view(np.int64)
+                    at = _ranges(np.searchsorted(items.runs, own, "left"), np.searchsorted(items.runs, own, "right"))
+                    place = np.unique((items.run_item[at] << 32)[:, None] + items.run_place[at][:, None] + np.arange(params.least))
+                    covered = np.bincount(place >> 32, minlength=len(items.words))
+                    found = found[covered[found] >= params.coverage * items.words[found] - 1e-9]
+                out.append(items.numbers[found])
             yield pa.array(out, pa.list_(pa.int64()))
 
     return run(text)
 
 
+def _known(items: DataFrame, params: Params) -> Items:
+    """items (item_text, number) of a benchmark of bounded size, as arrays."""
+    got = items.select("number", _seeds(F.col("item_text"), params).alias("seeds"), _runs(F.col("item_text"), params).alias("runs")).where(F.size("seeds") > 0).orderBy("number").toArrow()
+    seeds, runs = (got.column(c).combine_chunks() for c in ("seeds", "runs"))
+    each = np.arange(got.num_rows, dtype=np.int64)
+    sizes = runs.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    seed, seed_item = seeds.flatten().to_numpy(), np.repeat(each, seeds.value_lengths().to_numpy(zero_copy_only=False))
+    run, run_item = runs.flatten().to_numpy(), np.repeat(each, sizes)
+    place = np.arange(len(run)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    by_seed, by_run = np.argsort(seed, kind="stable"), np.argsort(run, kind="stable")
+    return Items(seed[by_seed], seed_item[by_seed], run[by_run], run_item[by_run], place[by_run], got.column("number").to_numpy(), sizes + params.least - 1)
+
+
 def matches(documents: DataFrame, benchmark: DataFrame, params: Params = Params()) -> DataFrame:  # noqa: B008
     """doc_id, item_id, coverage, matched, item_words and tiles of each document and item that it covers.
 
@@ -167,12 +222,11 @@ def matches(documents: DataFrame, benchmark: DataFrame, params: Params = Params(
     items = benchmark.select("item_id", F.col("text").alias("item_text")).distinct()
     seeds = items.select("item_id", "item_text", F.explode(_seeds(F.col("item_text"), params)).alias("seed"))
     texts = documents.select("doc_id", "text")
-    size = seeds.agg(F.count("*") * 16).first()[0] + (items.agg(F.sum(F.octet_length("item_text"))).first()[0] or 0)
+    size = seeds.agg(F.count("*") * 40).first()[0] + (items.agg(F.sum(F.octet_length("item_text"))).first()[0] or 0)
     if size <= params.most_sent:
         # the benchmark is small: its seeds go to every task, and a document meets them where it is read
         named = items.withColumn("number", F.xxhash64("item_id", "item_text"))
-        got = seeds.select("seed", F.xxhash64("item_id", "item_text").alias("number")).orderBy("seed", "number").toArrow()
-        found = _sharing(F.col("text"), got.column("seed").to_numpy(), got.column("number").to_numpy(), params)
+        found = _sharing(F.col("text"), _known(named, params), params)
         # dealt anew, so that a part of the table with many hits, or copies of one, is no single task's tiling
         parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         pairs = texts.withColumn("number", F.explode(found)).repartition(parts).join(F.broadcast(named), "number")
