@@ -384,35 +384,37 @@ def template_clusters(pairs: DataFrame) -> DataFrame:
     return components(checkpointed(pairs.select("left_rpid", "right_rpid")), "left_rpid", "right_rpid").withColumnsRenamed({"node": "rpid", "component": "cluster"})
 
 
-def cluster_edges(candidates: DataFrame, entities: DataFrame) -> DataFrame:
-    """cluster_id and each candidate of it. Clusters are numbered by their first candidate in the order of the archive.
+def numbered_clusters(links: DataFrame, entities: DataFrame) -> DataFrame:
+    """cluster_id and rpid of each group of linked comments; groups are numbered by their first candidate.
 
-    candidates: as templates() gives them; entities: rpid, first_seen_at. Candidates are ordered by the left comment's
-    time and id, then the right one's.
+    links: all candidates, or template_links(), which connect the same and hold each group's first candidate.
+    entities: rpid, first_seen_at. Candidates are ordered by the earlier comment's time and id, then the later one's.
     """
-    pairs = checkpointed(candidates)
-    time = lambda s: entities.select(F.col("rpid").alias(f"{s}_rpid"), F.col("first_seen_at").alias(f"{s}_at"))
-    parts = template_clusters(pairs).select(F.col("rpid").alias("left_rpid"), "cluster")
-    edges = checkpointed(pairs.join(time("left"), "left_rpid").join(time("right"), "right_rpid").join(parts, "left_rpid"))
-    order = ("left_at", "left_rpid", "right_at", "right_rpid")
-    first = edges.groupBy("cluster").agg(F.min(F.struct(*order)).alias("f")).select("cluster", "f.*")
-    return edges.drop("left_at", "right_at").join(numbered(first, "cluster_id", *order).select("cluster", "cluster_id"), "cluster").drop("cluster")
+    pairs = checkpointed(links.select("left_rpid", "right_rpid"))
+    parts = checkpointed(template_clusters(pairs))
+    time = lambda s: entities.select(F.col("rpid").alias(f"{s}_rpid"), F.struct("first_seen_at", "rpid").alias(s))
+    timed = pairs.join(time("left"), "left_rpid").join(time("right"), "right_rpid").join(parts.withColumnRenamed("rpid", "left_rpid"), "left_rpid")
+    first = timed.groupBy("cluster").agg(F.min(F.struct(F.least("left", "right").alias("a"), F.greatest("left", "right").alias("b"))).alias("f")).select("cluster", "f.a", "f.b")
+    return parts.join(numbered(first, "cluster_id", "a", "b").select("cluster", "cluster_id"), "cluster").select("cluster_id", "rpid")
 
 
-def cluster_members(edges: DataFrame, entities: DataFrame) -> DataFrame:
+def cluster_edges(candidates: DataFrame, clusters: DataFrame) -> DataFrame:
+    """cluster_id and each candidate of it. clusters: of numbered_clusters()."""
+    return candidates.join(clusters.withColumnRenamed("rpid", "left_rpid"), "left_rpid")
+
+
+def cluster_members(clusters: DataFrame, entities: DataFrame) -> DataFrame:
     """cluster_id and each member with what a reader sees of it; its raw_payload_id is evidence of the cluster.
 
     entities: rpid, bvid, author_mid, author_name, first_content, first_seen_at, first_raw_payload_id.
     """
-    ids = edges.select("cluster_id", F.explode(F.array("left_rpid", "right_rpid")).alias("rpid")).distinct()
-    return ids.join(entities.select("rpid", "bvid", "author_mid", "author_name", F.coalesce("first_content", F.lit("")).alias("content"), "first_seen_at", F.col("first_raw_payload_id").alias("raw_payload_id")), "rpid")
+    return clusters.join(entities.select("rpid", "bvid", "author_mid", "author_name", F.coalesce("first_content", F.lit("")).alias("content"), "first_seen_at", F.col("first_raw_payload_id").alias("raw_payload_id")), "rpid")
 
 
-def cluster_summaries(edges: DataFrame, members: DataFrame) -> DataFrame:
-    """cluster_id, members, candidates and distinct raw payloads of each cluster, and what it may be taken for."""
-    of_edges = edges.groupBy("cluster_id").agg(F.count("*").alias("candidates"), F.min("similarity").alias("least_similarity"))
-    of_members = members.groupBy("cluster_id").agg(F.count("*").alias("members"), F.count_distinct("bvid").alias("videos"), F.count_distinct("raw_payload_id").alias("raw_payloads"))
-    return of_edges.join(of_members, "cluster_id").withColumns({"candidate_only": F.lit(True), "interpretation_limit": F.lit("candidate_only_not_proof_of_coordination")})
+def cluster_summaries(members: DataFrame) -> DataFrame:
+    """cluster_id, members, videos, authors, distinct raw payloads, first and last sight of each cluster, and what it may be taken for."""
+    out = members.groupBy("cluster_id").agg(F.count("*").alias("members"), F.count_distinct("bvid").alias("videos"), F.count_distinct("author_mid").alias("authors"), F.count_distinct("raw_payload_id").alias("raw_payloads"), F.min("first_seen_at").alias("first_seen_at"), F.max("first_seen_at").alias("last_seen_at"))
+    return out.withColumns({"candidate_only": F.lit(True), "interpretation_limit": F.lit("candidate_only_not_proof_of_coordination")})
 
 
 def evidence_index(**ids: DataFrame) -> DataFrame:

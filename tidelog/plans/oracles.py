@@ -196,9 +196,8 @@ ORACLES = {
     "stream_trends": f"WITH {OBS}, {WORDS} SELECT keyword, us // 86400000000 * 86400 AS bucket, count(DISTINCT rpid) AS distinct_comments, count(*) AS observations FROM obs, words WHERE contains(lower(content), keyword) GROUP BY ALL",
     "template_cluster_edges": f"WITH RECURSIVE {CLUSTERED} SELECT cluster_id, left_rpid, right_rpid, similarity, seconds_apart FROM edges",
     "template_cluster_members": f"WITH RECURSIVE {CLUSTERED} SELECT cluster_id, rpid, bvid, author_mid, author_name, sha256(content) AS content, first_seen_at, raw_payload_id FROM members JOIN records USING (rpid)",
-    "template_cluster_summaries": f"""WITH RECURSIVE {CLUSTERED}, e AS (SELECT cluster_id, count(*) AS candidates, min(similarity) AS least_similarity FROM edges GROUP BY cluster_id),
- m AS (SELECT cluster_id, count(*) AS members, count(DISTINCT bvid) AS videos, count(DISTINCT raw_payload_id) AS raw_payloads FROM members JOIN records USING (rpid) GROUP BY cluster_id)
- SELECT *, true AS candidate_only, 'candidate_only_not_proof_of_coordination' AS interpretation_limit FROM e JOIN m USING (cluster_id)""",
+    "template_cluster_summaries": f"""WITH RECURSIVE {CLUSTERED} SELECT cluster_id, count(*) AS members, count(DISTINCT bvid) AS videos, count(DISTINCT author_mid) AS authors, count(DISTINCT raw_payload_id) AS raw_payloads, min(first_seen_at) AS first_seen_at, max(first_seen_at) AS last_seen_at,
+ true AS candidate_only, 'candidate_only_not_proof_of_coordination' AS interpretation_limit FROM members JOIN records USING (rpid) GROUP BY cluster_id""",
     "template_candidate_records": f"""WITH {EXACT}, {RECORDS} SELECT p.*, 7::BIGINT AS event_id, 'e-7' AS event_slug, 86400::BIGINT AS window_seconds, 1.0::DOUBLE AS min_similarity, true AS candidate_only,
  l.author_mid AS left_author_mid, l.author_name AS left_author_name, sha256(l.content) AS left_content, l.first_seen_at AS left_first_seen_at, l.raw_payload_id AS left_raw_payload_id,
  r.author_mid AS right_author_mid, r.author_name AS right_author_name, sha256(r.content) AS right_content, r.first_seen_at AS right_first_seen_at, r.raw_payload_id AS right_raw_payload_id

@@ -390,27 +390,31 @@ def comment_records(spark, sf_dir):
     return c.select("rpid", "bvid", "author_mid", F.concat(F.lit("n"), F.col("author_mid")).alias("author_name"), "first_content", "first_seen_at", F.when(F.col("rpid") % 4 != 3, F.floor(F.col("rpid") / 3)).cast("long").alias("first_raw_payload_id"))
 
 
-def edges_of_clusters(spark, sf_dir):
-    return event.cluster_edges(event.templates(b.comments(spark, sf_dir), DAY, 1.0), b.comments(spark, sf_dir))
+def numbered_clusters(spark, sf_dir):
+    own = b.comments(spark, sf_dir)
+    return event.numbered_clusters(event.template_links(own, DAY), own)
 
 
 @query
 def template_cluster_edges(spark, sf_dir):
     """Candidates by the cluster that they make."""
-    return edges_of_clusters(spark, sf_dir).select("cluster_id", "left_rpid", "right_rpid", "similarity", "seconds_apart")
+    found = event.templates(b.comments(spark, sf_dir), DAY, 1.0)
+    return event.cluster_edges(found, numbered_clusters(spark, sf_dir)).select("cluster_id", "left_rpid", "right_rpid", "similarity", "seconds_apart")
+
+
+def members_of_clusters(spark, sf_dir):
+    return event.cluster_members(numbered_clusters(spark, sf_dir), comment_records(spark, sf_dir))
 
 
 @query
 def template_cluster_members(spark, sf_dir):
     """Members of clusters with author, text and raw payload."""
-    found = event.cluster_members(edges_of_clusters(spark, sf_dir), comment_records(spark, sf_dir))
-    return found.withColumn("content", F.sha2("content", 256))
+    return members_of_clusters(spark, sf_dir).withColumn("content", F.sha2("content", 256))
 
 
 @query
 def template_cluster_summaries(spark, sf_dir):
-    edges = edges_of_clusters(spark, sf_dir)
-    return event.cluster_summaries(edges, event.cluster_members(edges, comment_records(spark, sf_dir)))
+    return event.cluster_summaries(members_of_clusters(spark, sf_dir))
 
 
 @query
