@@ -214,10 +214,26 @@ def flag_counts(flags: DataFrame) -> DataFrame:
     return ends.where("rpid is not null").groupBy("rpid").agg(F.sum("origins").alias("origins"), F.sum(1 - F.col("origins")).alias("amplified"))
 
 
+def template_flags(candidates: DataFrame, seconds: int, least: float, min_chars: int = 4) -> DataFrame:
+    """Drafts of template_like_comment from candidates: the earlier comment is the subject, the similarity the confidence.
+
+    algorithm_version says how they were found, so another setting's flags have other keys.
+    """
+    version = f"sequence_matcher-v1:min={least:.6f}:window={seconds}:minchars={min_chars}"
+    return candidates.select(F.lit("template_like_comment").alias("flag_type"), F.col("left_rpid").alias("subject_rpid"), F.col("right_rpid").alias("related_rpid"), F.col("similarity").alias("confidence"), F.lit("sequence_matcher").alias("algorithm"), F.lit(version).alias("algorithm_version"))
+
+
+def refreshed(drafts: DataFrame, existing: DataFrame) -> DataFrame:
+    """matched and created flags of a refresh by kind: drafts with their keys, against the keys that are there."""
+    keys = existing.select("stable_key", F.lit(True).alias("there")).distinct()
+    return drafts.join(keys, "stable_key", "left").groupBy("flag_type").agg(F.count("*").alias("matched"), F.count_if(F.col("there").isNull()).alias("created"))
+
+
 def keyed_flags(drafts: DataFrame, version: str = "1") -> DataFrame:
     """Drafts (event_id, flag_type, subject_rpid, related_rpid, evidence_scope) with their stable keys, one for each key."""
     text = lambda c: F.col(c).cast("string")
-    key = stable_key(algorithm_version=F.lit(f'"{version}"'), event_id=text("event_id"), evidence_scope=quoted(F.col("evidence_scope")), flag_type=quoted(F.col("flag_type")), related_rpid=text("related_rpid"), subject_rpid=text("subject_rpid"))
+    own = quoted(F.col("algorithm_version")) if "algorithm_version" in drafts.columns else F.lit(f'"{version}"')
+    key = stable_key(algorithm_version=own, event_id=text("event_id"), evidence_scope=quoted(F.col("evidence_scope")), flag_type=quoted(F.col("flag_type")), related_rpid=text("related_rpid"), subject_rpid=text("subject_rpid"))
     return drafts.withColumn("stable_key", key).dropDuplicates(["stable_key"])
 
 
@@ -351,15 +367,23 @@ def timeline(since: datetime | None = None, until: datetime | None = None, bvid:
     return out if bvid is None else out.where(F.col("bvid") == bvid)
 
 
-def coverage_summary(rows: DataFrame, videos: DataFrame) -> DataFrame:
-    """One row: coverage of the active videos; ratios are null where nothing was asked for."""
+def coverage_summary(rows: DataFrame, videos: DataFrame, since=None, until=None, targets: list | None = None) -> DataFrame:
+    """One row: coverage of the active videos (or those of them in targets), of what finished from since to before until.
+
+    Ratios are null where nothing was asked for.
+    """
+    if since is not None and until is not None and until <= since:
+        raise ValueError("until must be after since")
     active = videos.where("active").select("target_id").distinct()
+    if targets is not None:
+        active = active.where(F.col("target_id").isin(*targets))
     n = active.agg(F.count("*").alias("active_videos"))
-    c = rows.join(active, "target_id", "left_semi")
+    c = within(rows, "finished_at", since, until).join(active, "target_id", "left_semi")
     total = lambda x: F.coalesce(F.sum(x), F.lit(0))
     s = c.agg(
         F.count_distinct("target_id").alias("covered_videos"), F.count("*").alias("coverage_rows"), *(F.count_if(F.col("status") == k).alias(k) for k in ("succeeded", "partial", "failed")),
         total("pages_requested").alias("pages_requested"), total("pages_succeeded").alias("pages_succeeded"), total("request_errors").alias("request_errors"), F.count_if("truncated").alias("truncated"),
+        total("items_observed").alias("items_observed"), total("raw_payloads_saved").alias("raw_payloads_saved"), total("parse_errors").alias("parse_errors"), F.count_if("corrupted").alias("corrupted"),
         F.datediff(F.min("started_at"), F.lit("1970-01-01").cast("date")).alias("first_day"), F.datediff(F.max("finished_at"), F.lit("1970-01-01").cast("date")).alias("last_day"),
     )
     return n.crossJoin(s).withColumn("video_ratio", ratio(F.col("covered_videos"), F.col("active_videos"))).withColumn("page_ratio", ratio(F.col("pages_succeeded"), F.col("pages_requested")))  # one row each

@@ -16,7 +16,7 @@ def failure_window(runs: DataFrame, since: Column, now: Column) -> DataFrame:
     """One row over runs finished in the window, closed at both ends."""
     w = runs.where(F.col("finished_at").between(since, now))
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
-    return w.agg(F.count("*").alias("runs"), total("pages_requested"), total("pages_succeeded"), total("request_errors"))
+    return w.agg(F.count("*").alias("runs"), total("pages_requested"), total("pages_succeeded"), total("request_errors"), total("parse_errors"))
 
 
 def coverage_by_kind(runs: DataFrame) -> DataFrame:

@@ -45,8 +45,9 @@ def hot_replay(pages: DataFrame, on_page: DataFrame, media: DataFrame, top_n: in
     return pages.join(comments, "page_id", "left").withColumn("comments", F.coalesce("comments", F.array()))
 
 
-def visibility_replay(events: DataFrame, obs: DataFrame) -> DataFrame:
-    """Visibility events with the observations before and after as evidence, where there are any."""
+def visibility_replay(events: DataFrame, obs: DataFrame, since: datetime | None = None, until: datetime | None = None) -> DataFrame:
+    """Visibility events from since to before until, with the observations before and after as evidence, where there are any."""
+    events = within(events, "created_at", since, until)
     seen = lambda side: obs.select(F.col("id").alias(f"{side}_id"), F.col("raw_payload_id").alias(f"{side}_raw_payload_id"), F.col("captured_at").alias(f"{side}_captured_at"))
     return events.join(seen("previous"), "previous_id", "left").join(seen("current"), "current_id", "left")
 

@@ -28,7 +28,7 @@ ALNUM = DOCS + ", f AS (SELECT *, regexp_replace(folded, '[^\\p{L}\\p{N}]', '',
 SAME = f"{ALNUM}, same AS (SELECT a.author_mid, a.rpid AS subject_rpid, b.rpid AS related_rpid FROM f a JOIN f b ON a.author_mid = b.author_mid AND a.key = b.key AND a.rpid < b.rpid WHERE a.key <> '')"
 TALK = "talk AS (SELECT conv_id * 1000 + turn AS rpid, 'v' || (conv_id % 15) AS bvid, CASE WHEN turn > 0 THEN conv_id * 1000 END AS root_rpid, 1704067200 + conv_id * 60 + turn AS s, conv_id, turn, role, text FROM conversations WHERE turn IS NOT NULL)"
 COVERAGE = """cover AS (SELECT l_suppkey AS target_id, CAST(o_orderdate AS DATE) AS started_at, CAST(l_shipdate AS DATE) AS finished_at, o_orderpriority AS task_kind, CASE l_returnflag WHEN 'N' THEN 'succeeded' WHEN 'R' THEN 'partial' ELSE 'failed' END AS status,
-  CAST(floor(l_quantity) AS BIGINT) AS pages_requested, CAST(floor(l_quantity * (1 - l_discount)) AS BIGINT) AS pages_succeeded, CAST(l_linenumber AS BIGINT) AS request_errors, l_linestatus = 'O' AS truncated FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+  CAST(floor(l_quantity) AS BIGINT) AS pages_requested, CAST(floor(l_quantity * (1 - l_discount)) AS BIGINT) AS pages_succeeded, CAST(l_linenumber AS BIGINT) AS request_errors, l_linestatus = 'O' AS truncated, l_partkey % 30 AS items_observed, CAST(l_linenumber AS BIGINT) AS raw_payloads_saved, l_suppkey % 3 AS parse_errors, l_partkey % 17 = 0 AS corrupted FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 MEDIA = "media AS (SELECT l_orderkey AS id, CAST(l_linenumber AS BIGINT) AS position, l_partkey % 50 AS media_source_id, o_custkey AS rpid, CAST(l_shipdate AS DATE) AS arrived FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
 CHANGES = f"""{OBS}, p AS (SELECT *, sha256(trim(content)) AS h, CASE WHEN like_count IS NULL THEN 'unknown' WHEN like_count < 10 THEN '0-9' WHEN like_count < 100 THEN '10-99' WHEN like_count < 1000 THEN '100-999' WHEN like_count < 10000 THEN '1k-9999' WHEN like_count < 100000 THEN '10k-99999' ELSE '100k+' END AS likes FROM obs),
  q AS (SELECT *, lag(id) OVER w AS pid, lag(h) OVER w AS ph, lag(likes) OVER w AS pl, lag(reply_count) OVER w AS pr, lag(sort_mode) OVER w AS pm, lag(position) OVER w AS pp FROM p WINDOW w AS (PARTITION BY rpid ORDER BY us, id)),
@@ -161,10 +161,13 @@ ORACLES = {
  UNION ALL SELECT * FROM (WITH {SEEN} SELECT 'comment_visibility_event', created_at, 'comment_visibility_events:' || concat_ws(':', rpid, coalesce(current_id, previous_id), event_type), bvid FROM vis))
  WHERE bvid = 'v4' AND "at" >= 1704067200000000 AND "at" < epoch_us(TIMESTAMP '2024-01-25')""",
     "coverage": f"""WITH {COVERAGE}, v AS (SELECT s_suppkey AS target_id FROM supplier WHERE s_suppkey % 5 <> 0), c AS (SELECT * FROM cover WHERE target_id IN (SELECT target_id FROM v)),
- s AS (SELECT (SELECT count(*) FROM v) AS active_videos, count(DISTINCT target_id) AS covered_videos, count(*) AS coverage_rows, count(*) FILTER (status = 'succeeded') AS succeeded, count(*) FILTER (status = 'partial') AS partial, count(*) FILTER (status = 'failed') AS failed, CAST(coalesce(sum(pages_requested), 0) AS BIGINT) AS pages_requested, CAST(coalesce(sum(pages_succeeded), 0) AS BIGINT) AS pages_succeeded, CAST(coalesce(sum(request_errors), 0) AS BIGINT) AS request_errors, count(*) FILTER (truncated) AS truncated, CAST(min(started_at) - DATE '1970-01-01' AS BIGINT) AS first_day, CAST(max(finished_at) - DATE '1970-01-01' AS BIGINT) AS last_day FROM c)
+ s AS (SELECT (SELECT count(*) FROM v) AS active_videos, count(DISTINCT target_id) AS covered_videos, count(*) AS coverage_rows, count(*) FILTER (status = 'succeeded') AS succeeded, count(*) FILTER (status = 'partial') AS partial, count(*) FILTER (status = 'failed') AS failed, CAST(coalesce(sum(pages_requested), 0) AS BIGINT) AS pages_requested, CAST(coalesce(sum(pages_succeeded), 0) AS BIGINT) AS pages_succeeded, CAST(coalesce(sum(request_errors), 0) AS BIGINT) AS request_errors, count(*) FILTER (truncated) AS truncated, CAST(coalesce(sum(items_observed), 0) AS BIGINT) AS items_observed, CAST(coalesce(sum(raw_payloads_saved), 0) AS BIGINT) AS raw_payloads_saved, CAST(coalesce(sum(parse_errors), 0) AS BIGINT) AS parse_errors, count(*) FILTER (corrupted) AS corrupted, CAST(min(started_at) - DATE '1970-01-01' AS BIGINT) AS first_day, CAST(max(finished_at) - DATE '1970-01-01' AS BIGINT) AS last_day FROM c)
+ SELECT *, round(covered_videos / active_videos, 6) AS video_ratio, round(pages_succeeded / pages_requested, 6) AS page_ratio FROM s""",
+    "coverage_window": f"""WITH {COVERAGE}, v AS (SELECT s_suppkey AS target_id FROM supplier WHERE s_suppkey % 5 <> 0 AND s_suppkey IN (1, 2, 3, 4, 5, 6, 7, 8)), c AS (SELECT * FROM cover WHERE target_id IN (SELECT target_id FROM v) AND finished_at >= DATE '1995-02-01' AND finished_at < DATE '1996-02-01'),
+ s AS (SELECT (SELECT count(*) FROM v) AS active_videos, count(DISTINCT target_id) AS covered_videos, count(*) AS coverage_rows, count(*) FILTER (status = 'succeeded') AS succeeded, count(*) FILTER (status = 'partial') AS partial, count(*) FILTER (status = 'failed') AS failed, CAST(coalesce(sum(pages_requested), 0) AS BIGINT) AS pages_requested, CAST(coalesce(sum(pages_succeeded), 0) AS BIGINT) AS pages_succeeded, CAST(coalesce(sum(request_errors), 0) AS BIGINT) AS request_errors, count(*) FILTER (truncated) AS truncated, CAST(coalesce(sum(items_observed), 0) AS BIGINT) AS items_observed, CAST(coalesce(sum(raw_payloads_saved), 0) AS BIGINT) AS raw_payloads_saved, CAST(coalesce(sum(parse_errors), 0) AS BIGINT) AS parse_errors, count(*) FILTER (corrupted) AS corrupted, CAST(min(started_at) - DATE '1970-01-01' AS BIGINT) AS first_day, CAST(max(finished_at) - DATE '1970-01-01' AS BIGINT) AS last_day FROM c)
  SELECT *, round(covered_videos / active_videos, 6) AS video_ratio, round(pages_succeeded / pages_requested, 6) AS page_ratio FROM s""",
     "coverage_by_kind": f"WITH {COVERAGE} SELECT task_kind, status, count(*) AS runs, CAST(sum(pages_requested) AS BIGINT) AS pages_requested, CAST(sum(pages_succeeded) AS BIGINT) AS pages_succeeded, count(*) FILTER (truncated) AS truncated FROM cover GROUP BY ALL",
-    "failure_window": f"WITH {COVERAGE} SELECT count(*) AS runs, CAST(coalesce(sum(pages_requested), 0) AS BIGINT) AS pages_requested, CAST(coalesce(sum(pages_succeeded), 0) AS BIGINT) AS pages_succeeded, CAST(coalesce(sum(request_errors), 0) AS BIGINT) AS request_errors FROM cover WHERE finished_at BETWEEN DATE '1995-01-01' AND DATE '1995-12-31'",
+    "failure_window": f"WITH {COVERAGE} SELECT count(*) AS runs, CAST(coalesce(sum(pages_requested), 0) AS BIGINT) AS pages_requested, CAST(coalesce(sum(pages_succeeded), 0) AS BIGINT) AS pages_succeeded, CAST(coalesce(sum(request_errors), 0) AS BIGINT) AS request_errors, CAST(coalesce(sum(parse_errors), 0) AS BIGINT) AS parse_errors FROM cover WHERE finished_at BETWEEN DATE '1995-01-01' AND DATE '1995-12-31'",
     "queue_depth": "SELECT CASE o_orderstatus WHEN 'O' THEN 'pending' WHEN 'F' THEN 'succeeded' ELSE 'running' END AS status, o_orderpriority AS kind, count(*) AS tasks, CAST(greatest(DATE '1998-12-31' - CAST(min(o_orderdate) AS DATE), 0) AS BIGINT) AS oldest_days FROM orders GROUP BY ALL",
     "core_videos": f"""WITH {METRICS}, {VIDEOS}, l AS (SELECT * FROM metrics WHERE us < {NOW}000000 QUALIFY row_number() OVER (PARTITION BY bvid ORDER BY us DESC, raw_payload_id DESC) = 1), i AS (SELECT * FROM metrics WHERE us < {NOW}000000 AND raw_payload_id % 3 = 0 QUALIFY row_number() OVER (PARTITION BY bvid ORDER BY us DESC, raw_payload_id DESC) = 1)
  SELECT v.bvid, active, association_reason, confidence, first_seen_at, 't' || i.raw_payload_id AS title, i.owner_mid, 'o' || i.owner_mid AS owner_name, i.raw_payload_id AS info_raw_payload_id, l.us AS captured_at, l.view_count, l.like_count, l.coin_count, l.raw_payload_id FROM videos v LEFT JOIN l USING (bvid) LEFT JOIN i USING (bvid)""",
@@ -230,6 +233,12 @@ ORACLES = {
     "raw_archive": """WITH a AS (SELECT DISTINCT page_id % 10 AS d, page_id % 3 AS r, sha256(html) AS h, octet_length(encode(html)) AS n FROM pages WHERE html IS NOT NULL)
  SELECT strftime(DATE '2024-01-01' + CAST(d AS INT), '%Y-%m-%d') AS date, 'run' || r AS run, count(*) AS payloads, CAST(sum(n) AS BIGINT) AS bytes, count(*) AS intact FROM a GROUP BY d, r""",
     "raw_archive_day": "SELECT DISTINCT 'run' || (page_id % 3) AS run, sha256(html) AS payload_hash, '.html' AS suffix, octet_length(encode(html)) AS bytes, true AS intact FROM pages WHERE html IS NOT NULL AND page_id % 10 = 3",
+    "visibility_replay_window": f"WITH {SEEN} SELECT vis.*, p.raw_payload_id AS previous_raw_payload_id, p.us AS previous_captured_at, c.raw_payload_id AS current_raw_payload_id, c.us AS current_captured_at FROM vis LEFT JOIN (SELECT * FROM obs WHERE event_type <> 'signup') p ON p.id = previous_id LEFT JOIN (SELECT * FROM obs WHERE event_type <> 'signup') c ON c.id = current_id WHERE created_at >= 1704412800000000 AND created_at < 1705276800000000",
+    "template_flags": f"""WITH {EXACT}, d AS (SELECT 3::BIGINT AS event_id, 'template_like_comment' AS flag_type, left_rpid AS subject_rpid, right_rpid AS related_rpid, similarity AS confidence, 'sequence_matcher' AS algorithm, 'sequence_matcher-v1:min=1.000000:window=86400:minchars=4' AS algorithm_version FROM pairs)
+ SELECT *, sha256('{{"algorithm_version":"' || algorithm_version || '","event_id":3,"evidence_scope":null,"flag_type":"' || flag_type || '","related_rpid":' || related_rpid || ',"subject_rpid":' || subject_rpid || '}}') AS stable_key FROM d""",
+    "flags_refreshed": f"""WITH {PAGES}, {SAME}, shown AS (SELECT page_id, rpid FROM on_page GROUP BY ALL HAVING count(*) > 1), {EXACT[len(ALNUM) + 2:]},
+ d AS (SELECT 'same_user_duplicate_submission' AS flag_type, subject_rpid FROM same UNION ALL SELECT 'same_rpid_duplicate_display', rpid FROM shown UNION ALL SELECT 'template_like_comment', left_rpid FROM pairs)
+ SELECT flag_type, count(*) AS matched, count(*) FILTER (subject_rpid % 3 <> 0) AS created FROM d GROUP BY flag_type""",
     "tier_history": f"WITH {TIERED} SELECT bvid, effective, candidate, downgrades FROM tiered",
     "stream_tiers": f"WITH {TIERED} SELECT bvid, effective, k AS assessments FROM tiered",
     "stream_closed_counts": f"WITH {CLOSED} SELECT * FROM closed",

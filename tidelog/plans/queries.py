@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from datetime import UTC, datetime, timedelta
+from datetime import UTC, date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,7 +13,7 @@ from tidelog.functions.values import iso_time, url_base
 from tidelog.functions.windows import as_of, bucket, newest
 from tidelog.operators import assess, chains, cohorts, derive, event, flatten, graph, quality, video
 from tidelog.sources import bindings as b
-from tidelog.session import checkpoint_folder
+from tidelog.session import checkpoint_folder, checkpointed
 from tidelog.sources import files, sinks
 from tidelog.streaming import jobs, ordered
 
@@ -209,14 +209,18 @@ def template_candidates_fuzzy(spark, sf_dir):
     return event.templates(b.comments(spark, sf_dir), 3600, 0.85)
 
 
-@query
-def comment_flags(spark, sf_dir):
+def flagged_comments(spark, sf_dir):
     same = event.same_author_texts(b.comments(spark, sf_dir)).select(F.lit(1).alias("event_id"), F.lit("same_user_duplicate_submission").alias("flag_type"), "subject_rpid", "related_rpid", F.lit(None).cast("string").alias("evidence_scope"))
     _, on_page = b.hot_pages(b.observations(spark, sf_dir))
     shown = event.duplicate_display(on_page).select(F.lit(1).alias("event_id"), F.lit("same_rpid_duplicate_display").alias("flag_type"), F.col("rpid").alias("subject_rpid"), F.lit(None).cast("long").alias("related_rpid"), F.col("page_id").alias("evidence_scope"))
     return event.keyed_flags(same.unionByName(shown))
 
 
+@query
+def comment_flags(spark, sf_dir):
+    return flagged_comments(spark, sf_dir)
+
+
 @query
 def propagation_nodes(spark, sf_dir):
     own = b.comments(spark, sf_dir).withColumn("root_rpid", F.when(F.col("rpid") % 3 == 0, F.col("rpid") - 1))
@@ -316,6 +320,13 @@ def coverage(spark, sf_dir):
     return event.coverage_summary(b.coverage(spark, sf_dir), videos)
 
 
+@query
+def coverage_window(spark, sf_dir):
+    """Of a list of videos, what finished in a window."""
+    videos = b.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("target_id"), (F.col("s_suppkey") % 5 != 0).alias("active"))
+    return event.coverage_summary(b.coverage(spark, sf_dir), videos, date(1995, 2, 1), date(1996, 2, 1), list(range(1, 9)))
+
+
 @query
 def coverage_by_kind(spark, sf_dir):
     return quality.coverage_by_kind(b.coverage(spark, sf_dir))
@@ -698,6 +709,29 @@ def raw_archive_day(spark, sf_dir):
     return day.select("run", "payload_hash", "suffix", F.octet_length("body").alias("bytes"), "intact")
 
 
+@query
+def visibility_replay_window(spark, sf_dir):
+    obs, marks = split_marks(spark, sf_dir)
+    return video.visibility_replay(derive.visibility_events(obs, marks), obs, datetime(2024, 1, 5, tzinfo=UTC), datetime(2024, 1, 15, tzinfo=UTC))
+
+
+@query
+def template_flags(spark, sf_dir):
+    """Flags of candidates, keyed by how they were found."""
+    drafts = event.template_flags(event.templates(b.comments(spark, sf_dir), DAY, 1.0), DAY, 1.0)
+    return event.keyed_flags(drafts.withColumns({"event_id": F.lit(3), "evidence_scope": F.lit(None).cast("string")})).drop("evidence_scope")
+
+
+@query
+def flags_refreshed(spark, sf_dir):
+    """A refresh of all three kinds of flags, where those of every third subject are there already."""
+    columns = ["event_id", "flag_type", "subject_rpid", "related_rpid", "evidence_scope", "stable_key"]
+    templates_ = event.template_flags(event.templates(b.comments(spark, sf_dir), DAY, 1.0), DAY, 1.0)
+    third = event.keyed_flags(templates_.withColumns({"event_id": F.lit(1), "evidence_scope": F.lit(None).cast("string")})).select(*columns)
+    drafts = checkpointed(flagged_comments(spark, sf_dir).select(*columns).unionByName(third))
+    return event.refreshed(drafts, drafts.where("subject_rpid % 3 = 0"))
+
+
 @query
 def finalized_components(spark, sf_dir):
     t = b.tasks(spark, sf_dir).select("id", F.when(F.col("status") == "succeeded", "complete").when(F.col("status") == "running", "blocked").otherwise(F.col("status")).alias("status"), (F.col("id") * 100).alias("deadline"))

@@ -87,6 +87,7 @@ def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_suppkey").alias("target_id"), F.to_date("o_orderdate").alias("started_at"), F.to_date("l_shipdate").alias("finished_at"), F.col("o_orderpriority").alias("task_kind"),
         F.when(F.col("l_returnflag") == "N", "succeeded").when(F.col("l_returnflag") == "R", "partial").otherwise("failed").alias("status"), F.floor("l_quantity").cast("long").alias("pages_requested"),
         F.floor(F.col("l_quantity") * (1 - F.col("l_discount"))).cast("long").alias("pages_succeeded"), F.col("l_linenumber").cast("long").alias("request_errors"), (F.col("l_linestatus") == "O").alias("truncated"),
+        (F.col("l_partkey") % 30).alias("items_observed"), F.col("l_linenumber").cast("long").alias("raw_payloads_saved"), (F.col("l_suppkey") % 3).alias("parse_errors"), (F.col("l_partkey") % 17 == 0).alias("corrupted"),
     )
 
 
