@@ -91,6 +91,15 @@ RECORDS = "records AS (SELECT doc_id AS rpid, source AS bvid, doc_id % 5 AS auth
 CLUSTERED = f"""{EXACT}, {RECORDS}, {closure('pairs', 'left_rpid', 'right_rpid')}, firsts AS (SELECT cluster, row_number() OVER (ORDER BY min(left_rpid * 10000000 + right_rpid)) AS cluster_id FROM pairs JOIN parts ON node = left_rpid GROUP BY cluster),
   edges AS (SELECT cluster_id, pairs.* FROM pairs JOIN parts ON node = left_rpid JOIN firsts USING (cluster)), members AS (SELECT cluster_id, left_rpid AS rpid FROM edges UNION SELECT cluster_id, right_rpid FROM edges)"""
 
+LOG = """log AS (SELECT epoch_us(CAST(o_orderdate AS TIMESTAMP)) AS ts, o_orderkey AS k, CASE o_orderkey % 7 WHEN 0 THEN 'set_active' WHEN 1 THEN 'attach' ELSE 'add' END AS op, o_custkey % 5 AS event_id, ['uid', 'keyword', 'seed_bvid'][o_orderkey % 3 + 1] AS target_type,
+  CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'Word ' ELSE 'v' END || (o_custkey % 40) AS target_value, lower(CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'Word ' ELSE 'v' END || (o_custkey % 40)) AS normalized_value, o_orderkey % 11 AS priority, o_custkey % 2 = 0 AS active, o_orderpriority, 'v' || (o_custkey % 40) AS bvid, 'by ' || o_orderstatus AS reason, o_orderkey % 4 / 4 AS confidence FROM orders),
+ adds AS (SELECT * FROM log WHERE op = 'add'), firsts AS (SELECT event_id, target_type, normalized_value, arg_min(k, (ts, k)) AS target_id, min((ts, k)) AS since FROM adds GROUP BY ALL),
+ entries AS (SELECT event_id, target_type, normalized_value, name, arg_max(value, (ts, k)) AS value FROM (SELECT *, 'k' || (k % 4) AS name, o_orderpriority AS value FROM adds UNION ALL SELECT *, 'last', CAST(k AS VARCHAR) FROM adds) GROUP BY ALL),
+ extras AS (SELECT event_id, target_type, normalized_value, string_agg(name || '=' || value, ',' ORDER BY name) AS extra FROM entries GROUP BY ALL),
+ states AS (SELECT event_id, target_type, normalized_value, arg_max(CASE WHEN op = 'add' THEN true ELSE active END, (ts, k)) AS active, max(ts) AS updated_at FROM log WHERE op <> 'attach' GROUP BY ALL),
+ shown AS (SELECT event_id, target_type, normalized_value, arg_max(target_value, (ts, k)) AS target_value, max(priority) AS priority, min(ts) AS first_seen_at, max(ts) AS last_seen_at FROM adds GROUP BY ALL),
+ targets AS (SELECT target_id, event_id, target_type, normalized_value, target_value, priority, active, extra, first_seen_at, last_seen_at, updated_at FROM firsts JOIN extras USING (event_id, target_type, normalized_value) JOIN states USING (event_id, target_type, normalized_value) JOIN shown USING (event_id, target_type, normalized_value))"""
+
 TIERED = f"""RECURSIVE {OBS}, a AS (SELECT bvid, row_number() OVER (PARTITION BY bvid ORDER BY captured_at, id) AS k, reply_count % 4 AS d FROM obs),
   h(bvid, k, e, c, n) AS (SELECT DISTINCT bvid, 0::BIGINT, 3::BIGINT, NULL::BIGINT, 0::BIGINT FROM a UNION ALL
     SELECT bvid, k, CASE WHEN d <= e OR m >= 2 THEN d ELSE e END, CASE WHEN d <= e OR m >= 2 THEN NULL ELSE d END, CASE WHEN d <= e OR m >= 2 THEN 0 ELSE m END
@@ -239,6 +248,15 @@ ORACLES = {
     "flags_refreshed": f"""WITH {PAGES}, {SAME}, shown AS (SELECT page_id, rpid FROM on_page GROUP BY ALL HAVING count(*) > 1), {EXACT[len(ALNUM) + 2:]},
  d AS (SELECT 'same_user_duplicate_submission' AS flag_type, subject_rpid FROM same UNION ALL SELECT 'same_rpid_duplicate_display', rpid FROM shown UNION ALL SELECT 'template_like_comment', left_rpid FROM pairs)
  SELECT flag_type, count(*) AS matched, count(*) FILTER (subject_rpid % 3 <> 0) AS created FROM d GROUP BY flag_type""",
+    "target_states": f"WITH {LOG} SELECT * FROM targets",
+    "target_keywords": f"WITH {LOG} SELECT event_id, target_id AS source_target_id, target_value AS keyword, normalized_value AS normalized_keyword, 1::BIGINT AS version, active, first_seen_at FROM targets WHERE target_type = 'keyword'",
+    "target_tasks": f"WITH {LOG} SELECT 'fetch_video_stats:video:' || t.normalized_value || ':event:' || t.event_id AS idempotency_key, t.normalized_value AS target_id, log.priority, t.target_id AS source_target_id, 'event_seed' AS reason, log.ts AS not_before FROM targets t JOIN log ON log.k = t.target_id WHERE t.target_type = 'seed_bvid'",
+    "target_videos": f"""WITH {LOG}, steps AS (SELECT l.event_id, l.normalized_value AS bvid, ts, k, target_id AS source, 'seed_bvid' AS reason, 1.0::DOUBLE AS confidence, NULL::BIGINT AS of_target, true AS state FROM adds l JOIN firsts USING (event_id, target_type, normalized_value) WHERE target_type = 'seed_bvid'
+  UNION ALL SELECT event_id, bvid, ts, k, NULL, reason, confidence, NULL, true FROM log WHERE op = 'attach'
+  UNION ALL SELECT l.event_id, l.normalized_value, ts, k, NULL, NULL, NULL, target_id, l.active FROM log l JOIN firsts USING (event_id, target_type, normalized_value) WHERE op = 'set_active' AND target_type = 'seed_bvid'),
+ s AS (SELECT *, last_value(source IGNORE NULLS) OVER (PARTITION BY event_id, bvid ORDER BY ts, k ROWS UNBOUNDED PRECEDING) AS now FROM steps)
+ SELECT event_id, bvid, arg_max(now, (ts, k)) AS source_target_id, arg_max(reason, (ts, k)) FILTER (reason IS NOT NULL) AS association_reason, arg_max(confidence, (ts, k)) FILTER (reason IS NOT NULL) AS confidence, arg_max(state, (ts, k)) FILTER (of_target IS NULL OR of_target = now) AS active,
+  min(ts) FILTER (reason IS NOT NULL) AS first_seen_at, max(ts) FILTER (reason IS NOT NULL) AS last_seen_at FROM s GROUP BY event_id, bvid HAVING count(reason) > 0""",
     "tier_history": f"WITH {TIERED} SELECT bvid, effective, candidate, downgrades FROM tiered",
     "stream_tiers": f"WITH {TIERED} SELECT bvid, effective, k AS assessments FROM tiered",
     "stream_closed_counts": f"WITH {CLOSED} SELECT * FROM closed",

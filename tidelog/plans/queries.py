@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidelog.functions.text import fold_text
 from tidelog.functions.values import iso_time, url_base
 from tidelog.functions.windows import as_of, bucket, newest
-from tidelog.operators import assess, chains, cohorts, derive, event, flatten, graph, quality, video
+from tidelog.operators import assess, chains, cohorts, derive, event, flatten, graph, quality, targets, video
 from tidelog.sources import bindings as b
 from tidelog.session import checkpoint_folder, checkpointed
 from tidelog.sources import files, sinks
@@ -732,6 +732,40 @@ def flags_refreshed(spark, sf_dir):
     return event.refreshed(drafts, drafts.where("subject_rpid % 3 = 0"))
 
 
+def target_log(spark, sf_dir):
+    """Orders as the log of five events' targets."""
+    o, k, n = b.read(spark, sf_dir, "orders"), F.col("o_orderkey"), F.col("o_custkey") % 40
+    kind = F.element_at(F.array(*(F.lit(x) for x in ("uid", "keyword", "seed_bvid"))), (k % 3 + 1).cast("int"))
+    value = F.when(kind == "uid", n.cast("string")).when(kind == "keyword", F.concat(F.lit("Word "), n)).otherwise(F.concat(F.lit("v"), n))
+    op = F.when(k % 7 == 0, "set_active").when(k % 7 == 1, "attach").otherwise("add")
+    extra = F.map_from_arrays(F.array(F.concat(F.lit("k"), k % 4), F.lit("last")), F.array("o_orderpriority", k.cast("string")))
+    return o.select(b.utc(F.col("o_orderdate").cast("timestamp_ntz")).alias("ts"), k.alias("seq"), op.alias("op"), (F.col("o_custkey") % 5).alias("event_id"), kind.alias("target_type"), value.alias("target_value"), F.lower(value).alias("normalized_value"), (k % 11).alias("priority"), (F.col("o_custkey") % 2 == 0).alias("active"), extra.alias("extra"), F.concat(F.lit("v"), n).alias("bvid"), F.concat(F.lit("by "), F.col("o_orderstatus")).alias("association_reason"), (k % 4 / 4).alias("confidence"))
+
+
+@query
+def target_states(spark, sf_dir):
+    """Targets after all of the log."""
+    extra = F.array_join(F.transform(F.map_entries("extra"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    return targets.targets(target_log(spark, sf_dir)).withColumn("extra", extra)
+
+
+@query
+def target_keywords(spark, sf_dir):
+    return targets.keywords(targets.targets(target_log(spark, sf_dir)))
+
+
+@query
+def target_videos(spark, sf_dir):
+    log = target_log(spark, sf_dir)
+    return targets.videos(log, targets.targets(log))
+
+
+@query
+def target_tasks(spark, sf_dir):
+    log = target_log(spark, sf_dir)
+    return targets.first_tasks(log, targets.targets(log))
+
+
 @query
 def finalized_components(spark, sf_dir):
     t = b.tasks(spark, sf_dir).select("id", F.when(F.col("status") == "succeeded", "complete").when(F.col("status") == "running", "blocked").otherwise(F.col("status")).alias("status"), (F.col("id") * 100).alias("deadline"))
