@@ -441,6 +441,21 @@ def cluster_summaries(members: DataFrame) -> DataFrame:
     return out.withColumns({"candidate_only": F.lit(True), "interpretation_limit": F.lit("candidate_only_not_proof_of_coordination")})
 
 
+#: What holds of every report.
+GENERAL_LIMITS = ("only_successfully_collected_data_in_the_window", "coverage_by_finish_time", "absence_is_no_deletion_and_candidates_no_proof", "check_against_raw_evidence")
+
+
+def limitations(coverage: DataFrame) -> DataFrame:
+    """limitation: what a reader of a report has to keep in mind, from its one row of coverage_summary()."""
+    c = F.col
+    own = [
+        F.when(c("active_videos") == 0, "no_active_videos").when(F.coalesce(c("video_ratio"), F.lit(0.0)) != 1, "videos_without_coverage"),
+        F.when((c("partial") > 0) | (c("failed") > 0), "partial_or_failed_runs"),
+        F.when((c("truncated") > 0) | (c("corrupted") > 0), "truncated_or_corrupted_runs"),
+    ]
+    return coverage.select(F.explode(F.array_compact(F.array(*(F.lit(t) for t in GENERAL_LIMITS), *own))).alias("limitation"))
+
+
 def evidence_index(**ids: DataFrame) -> DataFrame:
     """Distinct (kind, id) of one-column frames of ids; prefixes previous_, current_ and info_ are dropped."""
     out = None

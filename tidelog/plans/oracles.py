@@ -298,3 +298,10 @@ ORACLES = {
 }
 #: A stream that ends where a batch job ends is held against the batch job's SQL.
 ORACLES["stream_watchlist"] = ORACLES["watchlist"]
+ORACLES["report_sections"] = f"""SELECT 'coverage' AS section, coverage_rows || ':' || items_observed AS key FROM ({ORACLES["coverage"]}) UNION ALL SELECT 'key_timeline', source_key FROM ({ORACLES["timeline"]})
+ UNION ALL SELECT 'core_videos', concat_ws(':', bvid, view_count) FROM ({ORACLES["core_videos"]}) UNION ALL SELECT 'hot_comment_changes', current_page_id || ':' || current_observation_ids FROM ({ORACLES["hot_changes"]})
+ UNION ALL SELECT 'keyword_trends', concat_ws(':', keyword, bucket, distinct_comments) FROM ({ORACLES["keyword_trends"]}) UNION ALL SELECT 'template_clusters', cluster_id || ':' || members FROM ({ORACLES["template_cluster_summaries"]})
+ UNION ALL SELECT 'evidence_index', kind || ':' || id FROM ({ORACLES["evidence_index"]}) UNION ALL SELECT 'event', 'e-7' UNION ALL SELECT 'window', '1704067200000000:1706745600000000'
+ UNION ALL SELECT 'limitations', unnest(['only_successfully_collected_data_in_the_window', 'coverage_by_finish_time', 'absence_is_no_deletion_and_candidates_no_proof', 'check_against_raw_evidence'])
+ UNION ALL SELECT 'limitations', CASE WHEN active_videos = 0 THEN 'no_active_videos' ELSE 'videos_without_coverage' END FROM ({ORACLES["coverage"]}) WHERE coalesce(video_ratio, 0) <> 1
+ UNION ALL SELECT 'limitations', 'partial_or_failed_runs' FROM ({ORACLES["coverage"]}) WHERE partial > 0 OR failed > 0 UNION ALL SELECT 'limitations', 'truncated_or_corrupted_runs' FROM ({ORACLES["coverage"]}) WHERE truncated > 0 OR corrupted > 0"""

@@ -766,6 +766,30 @@ def target_tasks(spark, sf_dir):
     return targets.first_tasks(log, targets.targets(log))
 
 
+#: Sections of a report from named queries, and what names a row of one.
+REPORT = {
+    "coverage": ("coverage", ("coverage_rows", "items_observed")), "key_timeline": ("timeline", ("source_key",)), "core_videos": ("core_videos", ("bvid", "view_count")), "hot_comment_changes": ("hot_changes", ("current_page_id", "current_observation_ids")),
+    "keyword_trends": ("keyword_trends", ("keyword", "bucket", "distinct_comments")), "template_clusters": ("template_cluster_summaries", ("cluster_id", "members")), "evidence_index": ("evidence_index", ("kind", "id")),
+}
+
+
+@query
+def report_sections(spark, sf_dir):
+    """The ten sections of an event's report, published as one version and read back; a row is known by its names."""
+    path = shared_folder(spark, "report")
+    sections = {name: QUERIES[made](spark, sf_dir) for name, (made, _) in REPORT.items()}
+    of_event = spark.range(1).select(F.lit("e-7").alias("slug"), F.lit("active").alias("status"))
+    window = spark.range(1).select(F.lit(b.SINCE).alias("since"), F.lit(b.UNTIL).alias("until"))
+    limits = event.limitations(coverage(spark, sf_dir))
+    sinks.publish_report(path, event=of_event, window=flat(window), limitations=limits, **sections)
+    names = {name: keys for name, (_, keys) in REPORT.items()} | {"event": ("slug",), "window": ("since", "until"), "limitations": ("limitation",)}
+    found = sinks.read_report(spark, path)
+    key = F.lit(None).cast("string")
+    for name, keys in names.items():
+        key = F.when(F.col("section") == name, F.concat_ws(":", *(F.get_json_object("value", f"$.{k}") for k in keys))).otherwise(key)
+    return found.select("section", key.alias("key"))
+
+
 @query
 def finalized_components(spark, sf_dir):
     t = b.tasks(spark, sf_dir).select("id", F.when(F.col("status") == "succeeded", "complete").when(F.col("status") == "running", "blocked").otherwise(F.col("status")).alias("status"), (F.col("id") * 100).alias("deadline"))

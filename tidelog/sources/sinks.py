@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from datetime import UTC
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.functions.values import iso_utc
+from tidelog.sources.files import register
 
 
 def contract(df: DataFrame, algorithm: str, limit: str, version: int = 1) -> DataFrame:
@@ -61,3 +62,25 @@ def write_report(path: str, **sections: DataFrame) -> None:
     """JSON lines of each section, however long, in a folder of its own."""
     for name, df in sections.items():
         write_json_lines(df, f"{path}/{name}")
+
+
+def report_lines(**sections: DataFrame) -> DataFrame:
+    """section and value: each row of each section as a JSON line."""
+    out = None
+    for name, df in sections.items():
+        part = json_lines(df).select(F.lit(name).alias("section"), "value")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def publish_report(path: str, **sections: DataFrame) -> None:
+    """All sections as one version at path: readers see the whole report before or the whole new one."""
+    lines = report_lines(**sections)
+    register(lines.sparkSession)
+    lines.write.format("tidelog_versions").mode("overwrite").save(path)
+
+
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    """section and value of the report that is current at path."""
+    line = F.from_json("value", "section string, value string")
+    return register(spark).read.format("tidelog_versions").load(path).select(line.alias("l")).select("l.*")
