@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidelog.catalog import QUERIES
 from tidelog.functions import values, windows
 from tidelog.functions.text import fold_text, seq_ratio
-from tidelog.operators import assess, derive, event, flatten, graph, quality, video
+from tidelog.operators import assess, cohorts, derive, event, flatten, graph, quality, video
 from tidelog.operators.components import components
 from tidelog.sources import sinks
 from tidelog.streaming import jobs, ordered
@@ -246,9 +246,9 @@ def test_times_do_not_depend_on_the_session_zone(spark, tmp_path):
             got = sinks.read_window(spark, path, "at", datetime(2024, 2, 1, tzinfo=far), datetime(2024, 3, 1, tzinfo=far)).collect()
             assert {r.id for r in got} == {1, 2}
             p = assess.Policy()
-            marks = df.select("id", assess.in_activity(F.col("at"), p).alias("busy"), assess.focus_slot(F.col("at"), p.zone, 9, 18, ("11:31",)).alias("focus"), assess.slot_key(F.lit("routine"), F.lit("v"), F.unix_seconds("at")).alias("key"), values.iso_time(F.col("at")).alias("iso"))
+            marks = df.select("id", assess.in_activity(F.col("at"), p).alias("busy"), assess.focus_slot(F.col("at"), p.zone, 9, 18, ("11:31",)).alias("focus"), cohorts.routine_key(F.lit("v"), F.unix_seconds("at")).alias("key"), values.iso_time(F.col("at")).alias("iso"))
             assert [tuple(r) for r in marks.orderBy("id").collect()] == [
-                (1, False, False, "routine:v:2024-01-31T20:00:00Z", "2024-01-31T20:00:00Z"), (2, True, True, "routine:v:2024-02-01T03:31:00Z", "2024-02-01T03:31:00Z"), (3, False, False, "routine:v:2024-02-29T17:00:00Z", "2024-02-29T17:00:00Z"),
+                (1, False, False, "snapshot:v:2024-01-31T20:00:00Z:routine", "2024-01-31T20:00:00Z"), (2, True, True, "snapshot:v:2024-02-01T03:31:00Z:routine", "2024-02-01T03:31:00Z"), (3, False, False, "snapshot:v:2024-02-29T17:00:00Z:routine", "2024-02-29T17:00:00Z"),
             ]
             videos = spark.createDataFrame([("A", datetime(2024, 1, 31, 13, tzinfo=UTC)), ("B", datetime(2024, 1, 31, 15, tzinfo=UTC))], "bvid string, pubdate timestamp").withColumn("first_seen_at", F.col("pubdate")).withColumn("available", F.lit(True))
             none = spark.createDataFrame([], "bvid string, date string")
@@ -317,3 +317,38 @@ def test_window_checks():
         windows.check_window(T0, T0)
     with pytest.raises(ValueError):
         windows.check_window(datetime(2026, 1, 1), T0)
+
+
+def test_target_log_in_order(spark):
+    """A target's state, its merged extra, and videos whose source changes; states before a first addition say nothing."""
+    from tidelog.operators import targets
+
+    add = lambda seq, kind, value, priority, **extra: (T0 + timedelta(minutes=seq), seq, "add", 1, kind, value, value.lower(), priority, None, {k: str(v) for k, v in extra.items()}, None, None, None)
+    state = lambda seq, kind, value, on: (T0 + timedelta(minutes=seq), seq, "set_active", 1, kind, value, value.lower(), None, on, {}, None, None, None)
+    attach = lambda seq, bvid, reason: (T0 + timedelta(minutes=seq), seq, "attach", 1, None, None, None, None, None, {}, bvid, reason, 0.5)
+    rows = [state(0, "keyword", "News", False), add(1, "keyword", "News", 5, a=1, b=1), add(2, "keyword", "NEWS", 3, b=2), state(3, "keyword", "news", False), add(4, "seed_bvid", "v1", 7), attach(5, "v1", "search"), state(6, "seed_bvid", "v1", False), attach(7, "v2", "search"), add(8, "seed_bvid", "v1", 1)]
+    log = spark.createDataFrame(rows[::-1], "ts timestamp, seq long, op string, event_id long, target_type string, target_value string, normalized_value string, priority long, active boolean, extra map<string,string>, bvid string, association_reason string, confidence double").repartition(3)
+    folded = targets.targets(log)
+    got = {r.normalized_value: (r.target_id, r.target_value, r.priority, r.active, r.extra) for r in folded.collect()}
+    assert got == {"news": (1, "NEWS", 5, False, {"a": "1", "b": "2"}), "v1": (4, "v1", 7, True, {})}
+    assert [(r.source_target_id, r.keyword, r.active) for r in targets.keywords(folded).collect()] == [(1, "NEWS", False)]
+    seen = lambda n: {r.bvid: (r.source_target_id, r.association_reason, r.active) for r in targets.videos(log.where(f"seq <= {n}"), targets.targets(log.where(f"seq <= {n}"))).collect()}
+    assert seen(5) == {"v1": (4, "search", True)}
+    assert seen(7) == {"v1": (4, "search", False), "v2": (None, "search", True)}
+    assert seen(8)["v1"] == (4, "seed_bvid", True)
+    assert [(r.idempotency_key, r.priority) for r in targets.first_tasks(log, folded).collect()] == [("fetch_video_stats:video:v1:event:1", 7)]
+
+
+def test_recovery_takes_the_widest_pages(spark):
+    """Of missed checkpoints one recovery, its hot pages the widest recorded or planned; the routine slot gives way."""
+    videos = spark.createDataFrame([("A", "s", "active", True, True, True), ("B", "c", "dormant", False, False, True), ("C", "a", "active", True, True, True)], "bvid string, tier string, stage string, frontier_complete boolean, first_active boolean, routine_due boolean")
+    due = spark.createDataFrame([("A", 6, "missed", False), ("A", 12, "missed", False), ("A", 18, "planned", False), ("C", 6, "planned", True)], "bvid string, hours int, state string, in_bucket boolean")
+    tried = spark.createDataFrame([("A", 6, "hot_core", "failed", 1, 9), ("A", 6, "video_metrics", "complete", None, None)], "bvid string, hours int, component_kind string, status string, start_page long, end_page long")
+    plan = cohorts.cohort_plans(videos, due, tried, 1_704_067_200, {"s": 3, "a": 2, "b": 1, "c": 1}, {"s": 5, "a": 2, "b": 1, "c": 1}).collect()
+    of = lambda bvid, reason: {(r.component_kind, r.priority, r.start_page, r.end_page) for r in plan if (r.bvid, r.reason) == (bvid, reason)}
+    assert of("A", "recovery") == {("video_metrics", 117, None, None), ("hot_core", 116, 1, 9), ("hot_deep", 115, 4, 5), ("latest_reconciliation", 115, None, None)}
+    assert of("A", "age_checkpoint") == {("video_metrics", 122, None, None), ("hot_core", 121, 1, 3), ("hot_deep", 120, 4, 5), ("latest_reconciliation", 120, None, None)}
+    assert not of("A", "routine") and not of("C", "routine") and of("C", "age_checkpoint")
+    assert of("B", "routine") == {("video_metrics", 72, None, None), ("hot_core", 71, 1, 1)}
+    assert {r.component_key for r in plan if r.bvid == "B"} == {"snapshot:B:2024-01-01T00:00:00Z:routine:video_metrics", "snapshot:B:2024-01-01T00:00:00Z:routine:hot_core"}
+    assert {r.cohort_key for r in plan if r.reason == "recovery"} == {"snapshot:A:recovery:through:12h"}

@@ -80,16 +80,18 @@ def hysteresis_steps(p: Policy) -> list[list[int]]:
 def tier_history(assessments: DataFrame, p: Policy, key: str = "bvid", time: str = "at", block: Column | None = None, fan: int = 64) -> DataFrame:
     """The effective tier after a whole history of desired tiers, from c.
 
-    Each block of a key's time (a day of `time`, unless given) becomes a map from the state before it to the state
+    Each block of a key's time (unless given: a day of a timestamp, else 512 rows) becomes a map from the state before it to the state
     after it. Maps compose in any grouping that keeps their order, so `fan` neighbouring blocks become one, until
     there is one a key: no list is longer than a block or `fan`, however long a history is.
     """
     states, steps = hysteresis_states(p), hysteresis_steps(p)
     table = F.array(*(F.array(*(F.lit(s) for s in row)) for row in steps))
     same = F.array(*(F.lit(n) for n in range(len(states))))
-    day = F.floor(F.unix_seconds(time) / 86_400) if block is None else block
+    if block is None:
+        dated = dict(assessments.dtypes)[time] == "timestamp"
+        block = F.floor(F.unix_seconds(time) / 86_400) if dated else F.floor((F.row_number().over(Window.partitionBy(key).orderBy(time)) - 1) / 512)
     ordered_ = lambda *c: F.array_sort(F.collect_list(F.struct(*c)))
-    rows = assessments.where(F.col("desired").isin(*TIERS)).select(key, day.cast("long").alias("block"), F.col(time).alias("at"), (rank(F.col("desired")) - 1).alias("d"))
+    rows = assessments.where(F.col("desired").isin(*TIERS)).select(key, block.cast("long").alias("block"), F.col(time).alias("at"), (rank(F.col("desired")) - 1).alias("d"))
     # equal tiers in a row act as the first `confirmations` of them
     w = Window.partitionBy(key, "block").orderBy("at")
     back = F.array(*(F.lag("d", k).over(w) for k in range(1, p.confirmations + 1)))
