@@ -352,3 +352,48 @@ def test_recovery_takes_the_widest_pages(spark):
     assert of("B", "routine") == {("video_metrics", 72, None, None), ("hot_core", 71, 1, 1)}
     assert {r.component_key for r in plan if r.bvid == "B"} == {"snapshot:B:2024-01-01T00:00:00Z:routine:video_metrics", "snapshot:B:2024-01-01T00:00:00Z:routine:hot_core"}
     assert {r.cohort_key for r in plan if r.reason == "recovery"} == {"snapshot:A:recovery:through:12h"}
+
+
+def test_older_keys_of_maps_win(spark):
+    rows = [(1, 5, T0, {"a": None, "b": 1}), (2, 5, minutes(1), {"a": 2, "c": 3}), (3, 6, T0, None), (4, 6, T0, {}), (5, None, T0, {"z": 9}), (5, None, T0, {"z": 9})]
+    obs = spark.createDataFrame(rows, "id long, rpid long, captured_at timestamp, extra map<string,int>").selectExpr("*", "'A' bvid", "'x' content", "id raw_payload_id")
+    out = {r.rpid: r.extra for r in derive.entities(obs, later=(), maps=("extra",)).collect()}
+    assert out == {5: {"a": None, "b": 1, "c": 3}, 6: None, None: {"z": 9}}
+
+
+def test_evidence_of_signals(spark):
+    points = spark.createDataFrame([("A", "p1", "p2", T0, [1], [2, 3], 1.0), ("A", "p2", "p3", T0, [], [], 0.1)], "bvid string, previous_page_id string, current_page_id string, captured_at timestamp, entered array<long>, exited array<long>, turnover_rate double")
+    assert sorted((r.kind, r.id) for r in event.turnover_evidence(points, 0.5).collect()) == [("current_page", "p2"), ("entered", "1"), ("exited", "2"), ("exited", "3"), ("previous_page", "p1")]
+    infos = spark.createDataFrame([("A", minutes(1), 9, "t9", 3, "o"), ("A", minutes(1), 8, "t8", 3, "o"), ("B", minutes(-1), 1, "t", 3, "o"), ("C", minutes(1), 2, "t", 4, None), ("D", minutes(9), 3, "t", 3, "o")], "bvid string, captured_at timestamp, raw_payload_id long, title string, owner_mid long, owner_name string")
+    targets = spark.createDataFrame([(7, "uid", "3", True, '{"role":"Major_Creator"}'), (8, "uid", "4", False, '{"role":"major_creator"}')], "id long, target_type string, normalized_value string, active boolean, extra string")
+    assert [(r.scope, r.title, r.event_target_id, r.raw_payload_id) for r in event.creator_evidence(infos, targets, T0, minutes(9)).collect()] == [("A", "t8", 7, 8)]
+
+
+def test_planning_signals(spark):
+    now = minutes(120)
+    second = int(T0.timestamp())
+    videos = spark.createDataFrame([("A", second, None), ("B", second + 9000, "a"), ("C", second, None), ("D", second, None)], "bvid string, anchor long, pinned_tier string")
+    sources = spark.createDataFrame([("A", True, True, True), ("B", True, True, False)], "bvid string, active boolean, official boolean, monitored boolean")
+    of_event = spark.createDataFrame([(1, "A", True), (2, "C", True), (1, "D", False)], "event_id long, bvid string, active boolean")
+    events = spark.createDataFrame([(1, "active"), (2, "archived")], "id long, status string")
+    metrics = spark.createDataFrame([("C", minutes(0), 10), ("C", minutes(110), 20), ("D", minutes(61), 0), ("D", minutes(119), 900), ("D", minutes(121), 9)], "bvid string, captured_at timestamp, view_count long")
+    frontiers = spark.createDataFrame([("C", "baseline_complete"), ("D", "running")], "bvid string, baseline_status string")
+    out = {r.bvid: r for r in assess.planning_signals(videos, sources, of_event, events, metrics, frontiers, now, assess.Policy(dormant_seconds=3600, archive_seconds=7200)).collect()}
+    assert {k: (r.official, r.event_core, r.views_hour, r.age_seconds, r.low_growth, r.stage, r.frontier_complete) for k, r in out.items()} == {
+        "A": (True, True, None, 7200, None, "active", False), "B": (False, False, None, 0, None, "active", False),
+        "C": (False, False, 10, 7200, True, "archived", True), "D": (False, False, 900, 7200, False, "active", False),
+    }
+
+
+def test_records_hold_their_fields(spark):
+    rows = spark.createDataFrame([("A", T0, 1, None)], "bvid string, at timestamp, id long, note string")
+    out = event.timeline(comment_state_event=(rows, F.col("at"), F.col("id"), ["id", "note"])).collect()
+    assert [(r.source_table, r.source_key, r.data) for r in out] == [("comment_state_events", "comment_state_events:1", '{"id":1,"note":null}')]
+
+
+def test_links_get_the_asset_of_their_content(spark):
+    links = spark.createDataFrame([(1, 10), (2, 11), (3, 12), (4, None)], "id long, media_source_id long")
+    blobs = spark.createDataFrame([(11, b"x"), (10, b"x")], "id long, body binary")
+    sources = blobs.select(F.col("id").alias("media_source_id"), F.sha2("body", 256).alias("blob_sha256"))
+    out = derive.with_assets(links, sources, derive.exact_assets(blobs))
+    assert {r.id: r.media_asset_id for r in out.collect()} == {1: 10, 2: 10, 3: None, 4: None}

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from datetime import datetime
+from datetime import datetime, timedelta
 from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.functions.values import local_seconds
+from tidelog.operators import video
 
 TIERS = ("s", "a", "b", "c")
 
@@ -259,3 +260,21 @@ def signals(videos: DataFrame, sources: DataFrame, event_videos: DataFrame, grow
     core = event_videos.where("active").select("bvid", F.lit(True).alias("event_core")).distinct()
     out = videos.join(official, "bvid", "left").join(core, "bvid", "left").join(growth, "bvid", "left")
     return out.fillna(False, ["official", "event_core"])
+
+
+def planning_signals(videos: DataFrame, sources: DataFrame, event_videos: DataFrame, events: DataFrame, metrics: DataFrame, frontiers: DataFrame, now: datetime, p: Policy) -> DataFrame:
+    """What a planning round knows of each video: official, event_core, views_hour, age_seconds, pinned_tier, low_growth, stage and frontier_complete.
+
+    videos: bvid, anchor (epoch seconds) and pinned_tier; frontiers: bvid and baseline_status of latest comments. Only videos that
+    are active in an active event are core. Views an hour are those of the hour before now. A video of an active event, a pinned
+    one or one that grows again is active, whatever its age; without two snapshots nothing is known of its growth (null).
+    """
+    on = events.where("status = 'active'").select(F.col("id").alias("event_id"))
+    core = event_videos.where("active").join(on, "event_id", "left_semi")
+    growth = video.view_growth(metrics, now - timedelta(hours=1), now).withColumnRenamed("view_growth", "views_hour")
+    complete = frontiers.where("baseline_status = 'baseline_complete'").select("bvid", F.lit(True).alias("frontier_complete")).distinct()
+    out = signals(videos, sources, core, growth).join(complete, "bvid", "left").fillna(False, ["frontier_complete"])
+    low = F.col("views_hour") < p.thresholds["b"][0]
+    out = out.withColumn("age_seconds", F.greatest(F.lit(int(now.timestamp())) - F.col("anchor"), F.lit(0))).withColumn("low_growth", low)
+    kept_on = F.col("event_core") | F.col("pinned_tier").isNotNull() | F.coalesce(~low, F.lit(False))
+    return out.withColumn("stage", F.when(kept_on, "active").otherwise(life_stage(p)))

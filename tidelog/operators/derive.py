@@ -14,15 +14,23 @@ BY_TIME = ("captured_at", "id")
 
 
 def entities(obs: DataFrame, later: tuple[str, ...] = ("author_mid", "author_name"), maps: tuple[str, ...] = ()) -> DataFrame:
-    """Comment dimension: first-seen values, later fields by their first non-null, maps with older keys winning."""
+    """Comment dimension: first-seen values, later fields by their first non-null, maps with older keys winning (null without keys)."""
     order = F.struct(*BY_TIME)
     first = F.min_by(F.struct("bvid", "content", "captured_at", "raw_payload_id"), order)
     filled = [F.min_by(F.when(F.col(c).isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), order)).alias(c) for c in later]
-    folded = [F.reduce(F.transform(F.array_sort(F.collect_list(F.struct(*BY_TIME, F.col(c).alias("m")))), lambda x: x["m"]), F.lit(None).cast(dict(obs.dtypes)[c]), lambda a, m: F.when(a.isNull(), m).when(m.isNull(), a).otherwise(F.map_concat(a, F.map_filter(m, lambda k, v, a=a: ~F.map_contains_key(a, k))))).alias(c) for c in maps]
-    grouped = obs.groupBy("rpid").agg(first.alias("f"), *filled, *folded)
+    grouped = obs.groupBy("rpid").agg(first.alias("f"), *filled)
+    for c in maps:
+        folded = first_keys(obs, c).groupBy(F.col("rpid").alias("_rpid")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")), lambda x, y: F.when(x["key"] < y["key"], -1).when(x["key"] > y["key"], 1).otherwise(0))).alias(c))
+        grouped = grouped.join(folded, F.col("rpid").eqNullSafe(F.col("_rpid")), "left").drop("_rpid")
     return grouped.select("rpid", F.col("f.bvid").alias("bvid"), F.col("f.content").alias("first_content"), F.col("f.captured_at").alias("first_seen_at"), F.col("f.raw_payload_id").alias("first_raw_payload_id"), *later, *maps)
 
 
+def first_keys(obs: DataFrame, column: str) -> DataFrame:
+    """rpid, key and value of the keys that a comment's maps have: each as its first observation has it, null values too."""
+    each = obs.select("rpid", *BY_TIME, F.explode(column).alias("key", "value"))
+    return each.groupBy("rpid", "key").agg(F.min_by("value", F.struct(*BY_TIME)).alias("value"))
+
+
 def state_changes(obs: DataFrame) -> DataFrame:
     """Changes against a comment's observation before: rpid, ids, event_type, old_value, new_value, created_at."""
     w = Window.partitionBy("rpid").orderBy(*BY_TIME)
@@ -126,13 +134,16 @@ class WatchPolicy:
 
 
 def watch_candidates(obs: DataFrame, policy: WatchPolicy) -> DataFrame:
-    """Scored observations of root comments that some signal marks; of equal priorities the signal named first gives the reason."""
+    """Scored observations of root comments that some signal marks; of equal priorities the signal named first gives the reason.
+
+    extra: what the signals saw, as JSON without the fields of those that are not met.
+    """
     obs = obs.where(F.col("root_rpid").isNull() | (F.col("root_rpid") == 0))
     w = Window.partitionBy("rpid").orderBy(*BY_TIME)
     p = obs.withColumn("was", F.lag(F.struct("reply_count", "like_count")).over(w)).withColumn("first_seen", F.row_number().over(w) == 1)
     p = p.withColumn("replies", F.col("reply_count") - F.col("was.reply_count")).withColumn("likes", F.col("like_count") - F.col("was.like_count"))
     folded = fold_text(F.coalesce("content", F.lit("")), "fold")
-    p = p.withColumn("folded", folded).withColumn("hits", F.size(F.filter(F.array(*(F.lit(k) for k in policy.keywords)) if policy.keywords else F.array().cast("array<string>"), lambda k: F.contains(F.col("folded"), k))))
+    p = p.withColumn("folded", folded).withColumn("matched", F.filter(F.array(*(F.lit(k) for k in policy.keywords)) if policy.keywords else F.array().cast("array<string>"), lambda k: F.contains(F.col("folded"), k))).withColumn("hits", F.size("matched"))
 
     def signal(when: Column, rank: int, reason: str, priority: Column, score: Column) -> Column:
         return F.when(when, F.struct(priority.cast("int").alias("priority"), F.lit(-rank).alias("order"), F.lit(reason).alias("reason"), score.cast("double").alias("score")))
@@ -146,12 +157,14 @@ def watch_candidates(obs: DataFrame, policy: WatchPolicy) -> DataFrame:
     )
     p = p.withColumn("signals", F.filter(signals, lambda s: s.isNotNull())).where(F.size("signals") > 0).withColumn("top", F.array_max("signals"))
     bonus = F.when(F.col("first_seen"), policy.first_seen_bonus).otherwise(0)
-    return p.select("bvid", "rpid", "id", "captured_at", F.col("top.reason").alias("reason"), F.least(F.col("top.priority") + bonus, F.lit(100)).alias("priority"), (F.aggregate("signals", F.lit(0.0), lambda a, s: a + s["score"]) + bonus).alias("score"), F.when(F.col("sort_mode") == "hot", F.col("position")).alias("hot_position"), "reply_count", "like_count")
+    seen = {"hot_position": (hot, F.col("position")), "reply_delta": (F.col("replies") >= policy.reply_growth_min, F.col("replies")), "like_delta": (F.col("likes") >= policy.like_growth_min, F.col("likes")), "controversy_keywords": (F.col("hits") > 0, F.col("matched")), "recent_first_seen": (F.col("first_seen"), F.lit(True))}
+    extra = F.to_json(F.struct(*(F.when(met, value).alias(name) for name, (met, value) in seen.items())))
+    return p.select(extra.alias("extra"), "bvid", "rpid", "id", "captured_at", F.col("top.reason").alias("reason"), F.least(F.col("top.priority") + bonus, F.lit(100)).alias("priority"), (F.aggregate("signals", F.lit(0.0), lambda a, s: a + s["score"]) + bonus).alias("score"), F.when(F.col("sort_mode") == "hot", F.col("position")).alias("hot_position"), "reply_count", "like_count")
 
 
 def watchlist(candidates: DataFrame) -> DataFrame:
-    """The list's row for each comment: best candidate's reason, latest one's counts, a day to live."""
-    best = F.max_by(F.struct("reason", "priority", "score"), F.struct("priority", "captured_at", "id"))
+    """The list's row for each comment: best candidate's reason and extra, latest one's counts, a day to live."""
+    best = F.max_by(F.struct("reason", "priority", "score", "extra"), F.struct("priority", "captured_at", "id"))
     last = F.max_by(F.struct("reply_count", "like_count", "id", "captured_at"), F.struct("captured_at", "id"))
     hot = F.max_by(F.when(F.col("hot_position").isNotNull(), F.col("hot_position")), F.when(F.col("hot_position").isNotNull(), F.struct("captured_at", "id")))
     out = candidates.groupBy("bvid", "rpid").agg(best.alias("b"), last.alias("l"), hot.alias("hot_position"), F.min("captured_at").alias("first_seen_at"))

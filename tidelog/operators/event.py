@@ -333,6 +333,28 @@ def creator_signals(infos: DataFrame, targets: DataFrame, since: datetime, until
     return signals(first.where(F.col("at") >= F.lit(since)), "major_creator_involvement", "video", F.unix_seconds("at"), F.col("bvid"), F.lit(1.0))
 
 
+def turnover_evidence(turnover: DataFrame, threshold: float) -> DataFrame:
+    """signal_type, scope, bucket, kind (previous_page, current_page, entered, exited) and id as text: what each signal of turnover rests on."""
+    one = lambda kind, c: F.array(F.struct(F.lit(kind).alias("kind"), F.col(c).cast("string").alias("id")))
+    many = lambda kind, c: F.transform(c, lambda x: F.struct(F.lit(kind).alias("kind"), x.cast("string").alias("id")))
+    ids = F.concat(one("previous_page", "previous_page_id"), one("current_page", "current_page_id"), many("entered", "entered"), many("exited", "exited"))
+    met = turnover.where(F.col("turnover_rate") >= threshold)
+    return met.select(F.lit("hot_turnover").alias("signal_type"), F.col("bvid").alias("scope"), F.unix_seconds("captured_at").alias("bucket"), F.explode(ids).alias("e")).select("signal_type", "scope", "bucket", "e.*")
+
+
+def creator_evidence(infos: DataFrame, targets: DataFrame, since: datetime, until: datetime) -> DataFrame:
+    """The snapshot and the target that each signal of a major creator rests on.
+
+    Of a video's snapshots before until by an owner in the role the first counts (of equal times the least payload id),
+    where it is not before since.
+    """
+    owners = with_role(targets, "major_creator", "owner_mid").select("owner_mid", F.explode("target_ids").alias("event_target_id"))
+    snapshot = F.struct("captured_at", "raw_payload_id", "title", "owner_mid", "owner_name")
+    first = infos.where(F.col("captured_at") < F.lit(until)).join(owners.select("owner_mid").distinct(), "owner_mid", "left_semi").groupBy("bvid").agg(F.min(snapshot).alias("s"))
+    met = first.select("bvid", "s.*").where(F.col("captured_at") >= F.lit(since)).join(owners, "owner_mid")
+    return met.select(F.lit("major_creator_involvement").alias("signal_type"), F.col("bvid").alias("scope"), F.unix_seconds("captured_at").alias("bucket"), "title", "owner_mid", "owner_name", "event_target_id", F.lit("major_creator").alias("event_target_role"), "raw_payload_id")
+
+
 def reply_edges(entities: DataFrame) -> DataFrame:
     """root_rpid to reply, where the root exists."""
     roots = entities.select(F.col("rpid").alias("root_rpid"), F.col("first_seen_at").alias("root_seen_at"))
@@ -354,14 +376,16 @@ def propagation_replay(videos: DataFrame, entities: DataFrame, flags: DataFrame,
 TIMELINE = {"event_video_associated": "event_videos", "video_metric_snapshot": "video_metric_snapshots", "comment_state_event": "comment_state_events", "comment_visibility_event": "comment_visibility_events"}
 
 
-def timeline(since: datetime | None = None, until: datetime | None = None, bvid: str | None = None, **sources: tuple[DataFrame, Column, Column]) -> DataFrame:
+def timeline(since: datetime | None = None, until: datetime | None = None, bvid: str | None = None, **sources: tuple) -> DataFrame:
     """Records of an event's sources (by record type: rows with bvid, time, key): record_type, at, source_key and bvid.
 
+    Where sources give a list of columns too, data holds them as JSON, nulls included, and source_table tells where they are from.
     The window is half-open, and either end may be open; rows of other videos than bvid are left out.
     """
     out = None
-    for kind, (df, time, key) in sources.items():
-        part = df.select(F.lit(kind).alias("record_type"), time.alias("at"), F.concat(F.lit(f"{TIMELINE[kind]}:"), key.cast("string")).alias("source_key"), "bvid")
+    for kind, (df, time, key, *data) in sources.items():
+        more = [c for fields in data for c in (F.lit(TIMELINE[kind]).alias("source_table"), F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("data"))]
+        part = df.select(F.lit(kind).alias("record_type"), time.alias("at"), F.concat(F.lit(f"{TIMELINE[kind]}:"), key.cast("string")).alias("source_key"), "bvid", *more)
         out = part if out is None else out.unionByName(part)
     out = within(out, "at", since, until)
     return out if bvid is None else out.where(F.col("bvid") == bvid)

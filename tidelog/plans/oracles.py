@@ -127,8 +127,10 @@ ORACLES = {
  c AS (SELECT *, greatest(p0, p1, p2, p3) AS top, CASE WHEN first_seen THEN 2 ELSE 0 END AS bonus, coalesce(p0, 0) + CASE WHEN p1 IS NULL THEN 0 ELSE dr END + CASE WHEN p2 IS NULL THEN 0 ELSE dl / 5 END + CASE WHEN p3 IS NULL THEN 0 ELSE hits * 10 END AS raw FROM s WHERE coalesce(p0, p1, p2, p3) IS NOT NULL),
  d AS (SELECT *, CASE top WHEN p0 THEN 'hot_top' WHEN p1 THEN 'reply_growth' WHEN p2 THEN 'like_growth' ELSE 'controversy_keyword' END AS reason, least(top + bonus, 100) AS priority, raw + bonus AS score FROM c),
  r AS (SELECT *, row_number() OVER (PARTITION BY bvid, rpid ORDER BY priority DESC, us DESC, id DESC) AS best, row_number() OVER (PARTITION BY bvid, rpid ORDER BY us DESC, id DESC) AS latest, min(us) OVER (PARTITION BY bvid, rpid) AS first_us FROM d),
+ x AS (SELECT *, '{{' || concat_ws(',', CASE WHEN p0 IS NOT NULL THEN '"hot_position":' || position END, CASE WHEN p1 IS NOT NULL THEN '"reply_delta":' || dr END, CASE WHEN p2 IS NOT NULL THEN '"like_delta":' || dl END,
+   CASE WHEN hits > 0 THEN '"controversy_keywords":[' || concat_ws(',', CASE WHEN contains(lower(content), 'error') THEN '"error"' END, CASE WHEN contains(lower(content), 'purchase') THEN '"purchase"' END) || ']' END, CASE WHEN first_seen THEN '"recent_first_seen":true' END) || '}}' AS extra FROM r),
  h AS (SELECT bvid, rpid, position AS hot_position FROM d WHERE sort_mode = 'hot' QUALIFY row_number() OVER (PARTITION BY bvid, rpid ORDER BY us DESC, id DESC) = 1)
- SELECT b.bvid, b.rpid, b.rpid AS root_rpid, true AS active, b.reason, CAST(b.priority AS BIGINT) AS priority, round(CAST(b.score AS DOUBLE), 6) AS score, CAST(hot_position AS BIGINT) AS hot_position, l.reply_count, l.like_count, l.id AS last_comment_observation_id, b.first_us AS first_seen_at, l.us AS last_seen_at, l.us + 86400000000 AS expires_at FROM r b JOIN r l ON b.bvid = l.bvid AND b.rpid = l.rpid AND l.latest = 1 LEFT JOIN h ON h.bvid = b.bvid AND h.rpid = b.rpid WHERE b.best = 1""",
+ SELECT b.bvid, b.rpid, b.rpid AS root_rpid, true AS active, b.reason, CAST(b.priority AS BIGINT) AS priority, round(CAST(b.score AS DOUBLE), 6) AS score, extra, CAST(hot_position AS BIGINT) AS hot_position, l.reply_count, l.like_count, l.id AS last_comment_observation_id, b.first_us AS first_seen_at, l.us AS last_seen_at, l.us + 86400000000 AS expires_at FROM x b JOIN r l ON b.bvid = l.bvid AND b.rpid = l.rpid AND l.latest = 1 LEFT JOIN h ON h.bvid = b.bvid AND h.rpid = b.rpid WHERE b.best = 1""",
     "media_changes": f"""WITH {MEDIA}, lists AS (SELECT id, rpid, list(media_source_id ORDER BY position, media_source_id) AS ids FROM media GROUP BY ALL), p AS (SELECT *, lag(id) OVER w AS pid, lag(ids) OVER w AS was FROM lists WINDOW w AS (PARTITION BY rpid ORDER BY id)), q AS (SELECT *, list_sort(list_distinct(ids)) <> list_sort(list_distinct(was)) AS changed FROM p WHERE was IS NOT NULL)
  SELECT rpid, pid AS previous_id, id AS current_id, 'media_changed' AS event_type, '' AS ids FROM q WHERE changed
  UNION ALL SELECT rpid, pid, id, 'media_added', array_to_string(list_sort(list_distinct(list_filter(ids, lambda x: NOT list_contains(was, x)))), ',') FROM q WHERE changed AND len(list_filter(ids, lambda x: NOT list_contains(was, x))) > 0
@@ -162,6 +164,13 @@ ORACLES = {
     "keyword_spike": f"WITH {K_SPIKE} SELECT * FROM kspikes",
     "turnover_signal": f"WITH {TURNOVER} SELECT {T_SIGNAL}",
     "creator_signal": f"WITH {CREATOR} SELECT * FROM creators",
+    "turnover_signal_evidence": f"""WITH {TURNOVER}, t AS (SELECT 'hot_turnover' AS signal_type, bvid AS scope, captured_at // 1000000 AS bucket, * FROM turnover WHERE rate >= 0.9)
+ SELECT signal_type, scope, bucket, 'previous_page' AS kind, previous_page_id AS id FROM t UNION ALL SELECT signal_type, scope, bucket, 'current_page', current_page_id FROM t
+ UNION ALL SELECT signal_type, scope, bucket, 'entered', CAST(unnest(entered) AS VARCHAR) FROM t UNION ALL SELECT signal_type, scope, bucket, 'exited', CAST(unnest(exited) AS VARCHAR) FROM t""",
+    "creator_signal_evidence": f"""WITH {VIDEOS}, f AS (SELECT 'v' || (user_id % 15) AS bvid, epoch_us(ts) AS us, event_id, user_id FROM events WHERE event_id % 3 = 0 AND user_id = 3 AND ts < TIMESTAMP '2024-02-01'
+  QUALIFY row_number() OVER (PARTITION BY 'v' || (user_id % 15) ORDER BY ts, event_id) = 1)
+ SELECT 'major_creator_involvement' AS signal_type, bvid AS scope, us // 1000000 AS bucket, 't' || event_id AS title, user_id AS owner_mid, 'o' || user_id AS owner_name, CAST(1 AS BIGINT) AS event_target_id, 'major_creator' AS event_target_role, event_id AS raw_payload_id
+ FROM f WHERE us >= 1704067200000000 AND bvid IN (SELECT bvid FROM videos WHERE active)""",
     "turning_points": f"SELECT * FROM (WITH {C_SPIKE} SELECT * FROM spikes) UNION ALL SELECT * FROM (WITH {K_SPIKE} SELECT * FROM kspikes) UNION ALL SELECT * FROM (WITH {TURNOVER} SELECT {T_SIGNAL}) UNION ALL SELECT * FROM (WITH {CREATOR} SELECT * FROM creators)",
     "timeline": f"""SELECT * FROM (
  SELECT * FROM (WITH {VIDEOS} SELECT 'event_video_associated' AS record_type, first_seen_at AS at, 'event_videos:1:' || bvid AS source_key, bvid FROM videos)
@@ -169,6 +178,12 @@ ORACLES = {
  UNION ALL SELECT * FROM (WITH {CHANGES} SELECT 'comment_state_event', created_at, 'comment_state_events:' || rpid || ':' || current_id || ':' || event_type, bvid FROM changes)
  UNION ALL SELECT * FROM (WITH {SEEN} SELECT 'comment_visibility_event', created_at, 'comment_visibility_events:' || concat_ws(':', rpid, coalesce(current_id, previous_id), event_type), bvid FROM vis))
  WHERE bvid = 'v4' AND "at" >= 1704067200000000 AND "at" < epoch_us(TIMESTAMP '2024-01-25')""",
+    "timeline_records": f"""SELECT record_type, "at", source_table, source_table || ':' || key AS source_key, bvid, CAST(data AS VARCHAR) AS data FROM (
+ SELECT * FROM (WITH {VIDEOS} SELECT 'event_video_associated' AS record_type, first_seen_at AS at, 'event_videos' AS source_table, '1:' || bvid AS key, bvid, to_json({{'active': active, 'association_reason': association_reason, 'confidence': confidence}}) AS data FROM videos)
+ UNION ALL SELECT * FROM (WITH {METRICS} SELECT 'video_metric_snapshot', us, 'video_metric_snapshots', bvid || ':' || strftime(captured_at, '%Y-%m-%dT%H:%M:%S') || CASE WHEN us % 1000000 = 0 THEN 'Z' ELSE '.' || lpad(CAST(us % 1000000 AS VARCHAR), 6, '0') || 'Z' END, bvid, to_json({{'view_count': view_count, 'like_count': like_count, 'coin_count': coin_count, 'raw_payload_id': raw_payload_id}}) FROM metrics)
+ UNION ALL SELECT * FROM (WITH {CHANGES} SELECT 'comment_state_event', created_at, 'comment_state_events', rpid || ':' || current_id || ':' || event_type, bvid, to_json({{'rpid': rpid, 'event_type': event_type, 'previous_comment_observation_id': previous_id, 'current_comment_observation_id': current_id, 'old_value': old_value, 'new_value': new_value}}) FROM changes)
+ UNION ALL SELECT * FROM (WITH {SEEN} SELECT 'comment_visibility_event', created_at, 'comment_visibility_events', concat_ws(':', rpid, coalesce(current_id, previous_id), event_type), bvid, to_json({{'rpid': rpid, 'event_type': event_type, 'previous_comment_observation_id': previous_id, 'current_comment_observation_id': current_id, 'old_visibility': old_visibility, 'new_visibility': new_visibility}}) FROM vis))
+ WHERE "at" >= 1704067200000000 AND "at" < 1706745600000000""",
     "coverage": f"""WITH {COVERAGE}, v AS (SELECT s_suppkey AS target_id FROM supplier WHERE s_suppkey % 5 <> 0), c AS (SELECT * FROM cover WHERE target_id IN (SELECT target_id FROM v)),
  s AS (SELECT (SELECT count(*) FROM v) AS active_videos, count(DISTINCT target_id) AS covered_videos, count(*) AS coverage_rows, count(*) FILTER (status = 'succeeded') AS succeeded, count(*) FILTER (status = 'partial') AS partial, count(*) FILTER (status = 'failed') AS failed, CAST(coalesce(sum(pages_requested), 0) AS BIGINT) AS pages_requested, CAST(coalesce(sum(pages_succeeded), 0) AS BIGINT) AS pages_succeeded, CAST(coalesce(sum(request_errors), 0) AS BIGINT) AS request_errors, count(*) FILTER (truncated) AS truncated, CAST(coalesce(sum(items_observed), 0) AS BIGINT) AS items_observed, CAST(coalesce(sum(raw_payloads_saved), 0) AS BIGINT) AS raw_payloads_saved, CAST(coalesce(sum(parse_errors), 0) AS BIGINT) AS parse_errors, count(*) FILTER (corrupted) AS corrupted, CAST(min(started_at) - DATE '1970-01-01' AS BIGINT) AS first_day, CAST(max(finished_at) - DATE '1970-01-01' AS BIGINT) AS last_day FROM c)
  SELECT *, round(covered_videos / active_videos, 6) AS video_ratio, round(pages_succeeded / pages_requested, 6) AS page_ratio FROM s""",
@@ -286,6 +301,16 @@ ORACLES = {
     "failed_attempts": "SELECT o_orderkey, epoch_us(CAST(o_orderdate AS TIMESTAMP)) AS started_at, epoch_us(CAST(o_orderdate AS TIMESTAMP)) + (o_orderkey % 7 - 1) * 60000000 AS finished_at, CASE o_orderstatus WHEN 'F' THEN 'failed' ELSE 'abandoned' END AS outcome, greatest((o_orderkey % 7 - 1) * 60000, 0) AS duration_ms FROM orders WHERE o_orderstatus IN ('F', 'P') AND o_orderdate >= DATE '1995-01-01'",
     "comment_media": f"WITH {TALK}, l AS (SELECT rpid, 'https://x.org/' || conv_id AS base, '?q=' || turn AS q FROM talk) SELECT rpid, CAST(0 AS BIGINT) AS position, base || q AS url, base FROM l UNION ALL SELECT rpid, 1, base || q || '&b', base FROM l",
     "user_videos": "SELECT o_custkey AS source_mid, 'v' || o_orderkey AS bvid, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey + 1700000000 ELSE o_orderkey + 1600000000 END * 1000000 AS pubdate FROM orders WHERE o_orderkey % 5 <> 0 AND (o_orderkey % 3 <> 0 OR o_orderkey % 2 = 0)",
+    "planning_signals": f"""WITH {ASSESSED}, {SIGHT}, off AS (SELECT DISTINCT bvid FROM sight WHERE pool_id <> 'P' AND k % 2 = 0),
+ h AS (SELECT bvid, max(us) AS last_at, arg_max(view_count, us) AS last, arg_max(view_count, us) FILTER (us <= {NOW - 3600}000000) AS base, max(us) FILTER (us <= {NOW - 3600}000000) AS base_at, arg_min(view_count, us) FILTER (us > {NOW - 3600}000000) AS first, min(us) FILTER (us > {NOW - 3600}000000) AS first_at
+  FROM metrics WHERE us <= {NOW}000000 AND view_count IS NOT NULL GROUP BY bvid),
+ r AS (SELECT bvid, CASE WHEN coalesce(base_at, first_at) <> last_at THEN greatest(last - coalesce(base, first), 0) END AS views_hour FROM h),
+ s AS (SELECT a.bvid, anchor, CASE WHEN n = 9 THEN 'b' END AS pinned_tier, off.bvid IS NOT NULL AS official, n < 15 AND n % 3 = 0 AND n % 5 <> 0 AS event_core, views_hour, n % 2 = 0 AS frontier_complete, greatest({NOW} - anchor, 0) AS age_seconds, views_hour < 300 AS low_growth FROM a LEFT JOIN off USING (bvid) LEFT JOIN r USING (bvid))
+ SELECT *, CASE WHEN event_core OR pinned_tier IS NOT NULL OR low_growth IS NOT TRUE THEN 'active' WHEN age_seconds >= 19 * 86400 THEN 'archived' WHEN age_seconds >= 18 * 86400 THEN 'dormant' ELSE 'active' END AS stage FROM s""",
+    "entity_keys": f"""WITH {OBS}, o AS (SELECT rpid, us, id, event_type AS key, CASE WHEN id % 3 <> 0 THEN id END AS value FROM obs WHERE id % 5 <> 0 UNION ALL SELECT rpid, us, id, 'k' || (reply_count % 3), reply_count FROM obs WHERE id % 5 <> 0)
+ SELECT rpid, key, value FROM o QUALIFY row_number() OVER (PARTITION BY rpid, key ORDER BY us, id) = 1""",
+    "media_backfill": """WITH blobs AS (SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_type) AS asset FROM part WHERE p_size % 7 <> 0)
+ SELECT l_orderkey AS comment_observation_id, CAST(l_linenumber AS BIGINT) AS position, l_partkey AS media_source_id, asset AS media_asset_id FROM lineitem LEFT JOIN blobs ON l_partkey = p_partkey""",
     "assessment_signals": f"WITH {SIGHT}, v AS (SELECT bvid, CAST(substring(bvid, 2) AS BIGINT) AS n, bool_or(pool_id <> 'P' AND k % 2 = 0) AS official FROM sight GROUP BY bvid) SELECT bvid, official, n % 4 = 0 AS event_core, CASE WHEN n % 3 = 0 THEN n * 10 END AS views_hour FROM v",
     "hot_page_plan": "WITH t AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 5 - c_custkey % 4 ELSE greatest(3 - c_custkey % 4, 1) END AS total FROM customer) SELECT id, CAST(1 AS BIGINT) AS core_start, CAST(least(total, 1) AS BIGINT) AS core_pages, CAST(2 AS BIGINT) AS deep_start, CAST(greatest(total - 1, 0) AS BIGINT) AS deep_pages FROM t",
     "active_targets": "SELECT c_custkey AS id, c_nationkey AS event_id FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey % 2 = 0 AND c_custkey % 5 <> 0 AND n_nationkey % 6 <> 5 AND (n_nationkey % 4 = 0 OR n_nationkey % 4 <= 2) AND (n_nationkey % 3 = 0 OR n_nationkey % 3 > 1)",

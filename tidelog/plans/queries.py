@@ -292,6 +292,16 @@ def creator_signal(spark, sf_dir):
     return event.creator_signals(event.in_scope(b.metrics(spark, sf_dir), b.event_videos(spark)), b.event_targets(spark), b.SINCE, b.UNTIL)
 
 
+@query
+def turnover_signal_evidence(spark, sf_dir):
+    return event.turnover_evidence(turnover(spark, sf_dir), 0.9)
+
+
+@query
+def creator_signal_evidence(spark, sf_dir):
+    return event.creator_evidence(event.in_scope(b.infos(spark, sf_dir), b.event_videos(spark)), b.event_targets(spark), b.SINCE, b.UNTIL)
+
+
 @query
 def turning_points(spark, sf_dir):
     out = comment_spike(spark, sf_dir)
@@ -314,6 +324,21 @@ def timeline(spark, sf_dir):
     )
 
 
+@query
+def timeline_records(spark, sf_dir):
+    """Records of all four sources with what they hold."""
+    at, created = F.col("captured_at"), F.col("created_at")
+    of_change = F.concat_ws(":", "rpid", F.coalesce("current_id", "previous_id"), "event_type")
+    of_comment = ["rpid", "event_type", F.col("previous_id").alias("previous_comment_observation_id"), F.col("current_id").alias("current_comment_observation_id")]
+    return event.timeline(
+        b.SINCE, b.UNTIL,
+        event_video_associated=(b.event_videos(spark), F.col("first_seen_at"), F.concat_ws(":", "event_id", "bvid"), ["active", "association_reason", "confidence"]),
+        video_metric_snapshot=(b.metrics(spark, sf_dir), at, F.concat_ws(":", "bvid", iso_time(at)), ["view_count", "like_count", "coin_count", "raw_payload_id"]),
+        comment_state_event=(derive.state_changes(b.observations(spark, sf_dir)), created, of_change, [*of_comment, "old_value", "new_value"]),
+        comment_visibility_event=(derive.visibility_events(*split_marks(spark, sf_dir)), created, of_change, [*of_comment, "old_visibility", "new_visibility"]),
+    )
+
+
 @query
 def coverage(spark, sf_dir):
     videos = b.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("target_id"), (F.col("s_suppkey") % 5 != 0).alias("active"))
@@ -865,6 +890,34 @@ def assessment_signals(spark, sf_dir):
     return assess.signals(videos, s.withColumn("active", F.col("pool_id") != "P"), videos.select("bvid", (n % 4 == 0).alias("active")), videos.where(n % 3 == 0).select("bvid", (n * 10).alias("views_hour")))
 
 
+@query
+def planning_signals(spark, sf_dir):
+    """Signals of each video at NOW, of metrics, customers' videos as sources, two events and frontiers."""
+    a = assessed(spark, sf_dir).select("bvid", "anchor", "n", "pinned_tier")
+    events = spark.createDataFrame([(1, "active"), (2, "closed")], "id long, status string")
+    of_event = b.event_videos(spark).withColumn("event_id", F.when(F.substring("bvid", 2, 9).cast("int") % 3 == 0, 1).otherwise(2))
+    sources = sightings(spark, sf_dir).withColumn("active", F.col("pool_id") != "P")
+    frontiers = a.select("bvid", F.when(F.col("n") % 2 == 0, "baseline_complete").otherwise("running").alias("baseline_status"))
+    return assess.planning_signals(a.drop("n"), sources, of_event, events, b.metrics(spark, sf_dir), frontiers, NOW, assess.Policy(dormant_seconds=18 * DAY, archive_seconds=19 * DAY))
+
+
+@query
+def entity_keys(spark, sf_dir):
+    """Keys of the maps that a comment's observations hold, as its first ones have them."""
+    o = b.observations(spark, sf_dir)
+    extra = F.create_map(F.col("event_type"), F.when(F.col("id") % 3 != 0, F.col("id")), F.concat(F.lit("k"), F.col("reply_count") % 3), F.col("reply_count"))
+    folded = derive.entities(o.withColumn("extra", F.when(F.col("id") % 5 != 0, extra)), later=(), maps=("extra",))
+    return folded.select("rpid", F.explode("extra").alias("key", "value"))
+
+
+@query
+def media_backfill(spark, sf_dir):
+    """Order lines as links to parts; parts of one type hold one blob, some hold none yet."""
+    links = b.read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("comment_observation_id"), F.col("l_linenumber").alias("position"), F.col("l_partkey").alias("media_source_id"))
+    blobs = b.read(spark, sf_dir, "part").where("p_size % 7 != 0").select(F.col("p_partkey").alias("id"), F.col("p_type").cast("binary").alias("body"))
+    return derive.with_assets(links, blobs.select(F.col("id").alias("media_source_id"), F.sha2("body", 256).alias("blob_sha256")), derive.exact_assets(blobs))
+
+
 @query
 def hot_page_plan(spark, sf_dir):
     """Core and deep pages of each customer's slot."""
