@@ -506,6 +506,37 @@ def test_language_model(documents, empty):
     assert sorted((r.doc_id or -1, r.n_tokens, r.score) for r in got) == [pytest.approx(x, rel=1e-4, abs=1e-3) for x in sorted((i or -1, n, s) for i, n, s in texts)]
 
 
+def test_scores_do_not_depend_on_files(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    params = lm.Params(part_root=50)
+    one, many = ({r.doc_id: r.score for r in lm.score(d, params).collect()} for d in (docs.coalesce(1), docs.orderBy(F.desc("doc_id")).repartition(7)))
+    assert one == pytest.approx(many, rel=1e-5)
+
+
+def test_parts_are_averaged_level_by_level(spark):
+    values = np.arange(9, dtype=np.float32)
+    rows = [(t, p, (values + t + p).tobytes(), t + 1) for t in range(11) for p in range(2)]
+    got = lm.averaged(spark.createDataFrame(rows, lm.PART).repartition(3), 11, 3).orderBy("part").collect()
+    for p, r in enumerate(got):
+        want = sum((values + t + p) * (t + 1) for t in range(11)) / 66
+        assert r.part == p and r.n == 66 and np.frombuffer(r.part_values, np.float32) == pytest.approx(want, rel=1e-5)
+    assert len(got) == 2
+
+
+def test_long_words_stay_off_the_driver(spark):
+    rows = [(n, "common words " * 5 + chr(97 + n % 7) * 200_000) for n in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = lm.fit(docs)
+    assert max(map(len, model.units.head)) <= 128 and sum(n for n, _ in model.groups.values()) + sum(r.c for r in model.counts.collect() if bytes(r.word) in model.units.head) == model.total
+    assert max(len(r.word) for r in lm.most_frequent(model.counts, 1000, 128).collect()) <= 128
+    out = {r.doc_id: r for r in lm.score(docs, model=model).collect()}
+    assert len(out) == 40 and {r.n_tokens for r in out.values()} == {12} and all(math.isfinite(r.score) for r in out.values())
+    train = [ws for n, ws in ((n, t.encode().split() + [b""]) for n, t in rows) if zlib.crc32(str(n).encode()) % 5 != 1]
+    c = Counter(w for ws in train for w in ws)
+    for n, t in rows:
+        assert out[n].base_score == pytest.approx(sum(math.log10((c[w] + 0.5) / (model.total + 0.5 * (len(c) + 1))) for w in t.encode().split() + [b""]))
+
+
 def test_model_beats_the_base_on_held_out_documents(spark, sf):
     docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")
     r = lm.score(docs).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.sum("n_tokens").alias("n")).first()

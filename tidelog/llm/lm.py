@@ -10,12 +10,15 @@ units in the order of frequency, as many as the root of their number and about e
 a token costs twice that root of products. On both levels a score is the context vector's product with an
 output vector, plus a bias, and scoring normalises over all classes and over all units of the class.
 
-Training: a short start on the driver over a bounded sample, then every task goes once over all its
-training documents from there, and the tasks' parameters are averaged, weighted by tokens. Noise comes
-from the frequencies of classes, and of units in their class; it is shared by a batch.
+Training: a short start on the driver over a bounded sample, then the training documents are dealt by a
+hash into parts, whose number follows from their tokens alone. A task goes once over all of its part
+from there, in the order of the hash, and the parts' parameters are averaged, weighted by tokens. So the
+model does not depend on how the table is laid out in files. Noise comes from the frequencies of classes,
+and of units in their class; it is shared by a batch.
 
 Counts are of all training tokens. The `sent` most frequent words' go to every task; the rest of a
-document's words meet theirs in a shuffled join.
+document's words meet theirs in a shuffled join, and so do words longer than `longest` bytes, which have
+no units of their own either: what comes to the driver is bounded in bytes.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ from itertools import chain, repeat
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +40,7 @@ from tidelog.llm.common import checkpointed, raw_text, words
 END = b""
 #: Parameters in a row of a task's result.
 BLOCK = 16_384
+PART = "task long, part long, part_values binary, n long"
 
 
 @dataclass(frozen=True)
@@ -56,9 +61,11 @@ class Params:
     start_documents: int = 1500
     start_bytes: int = 8_000_000
     start_rounds: int = 3
-    #: Tasks that train, each with parameters of its own.
-    most_tasks: int = 2048
+    #: Parts that train, each with parameters of its own: the root of the training tokens over this.
+    part_root: int = 128
     sent: int = 200_000
+    #: Bytes of a word that the driver and every task may hold.
+    longest: int = 128
 
 
 @dataclass
@@ -280,8 +287,9 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.select("raw").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def most_frequent(counts: DataFrame, most: int) -> DataFrame:
-    """All words above a count, at most `most`; the count comes from how many words have each count."""
+def most_frequent(counts: DataFrame, most: int, longest: int) -> DataFrame:
+    """All words of at most `longest` bytes above a count, at most `most`; the count comes from how many words have each count."""
+    counts = counts.where(F.octet_length("word") <= longest)
     sizes = counts.groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("c"))
     least, total = None, 0
     for r in sizes.toLocalIterator():
@@ -295,11 +303,12 @@ def most_frequent(counts: DataFrame, most: int) -> DataFrame:
 def make_units(counts: DataFrame, total: int, params: Params) -> tuple[Units, dict[int, tuple[int, int]]]:
     """Units from the counts of `total` tokens, and (sum, number) of each group's words; a bounded number of rows comes to the driver."""
     most = int(min(max(params.head_rate * np.sqrt(total), params.least_head), params.most_head))
-    head = {bytes(r.word): r.c for r in counts.orderBy(F.desc(F.col("word") == F.lit(END)), F.desc("c"), "word").limit(most).collect()} or {END: 0}
+    short = F.octet_length("word") <= params.longest
+    head = {bytes(r.word): r.c for r in counts.where(short).orderBy(F.desc(F.col("word") == F.lit(END)), F.desc("c"), "word").limit(most).collect()} or {END: 0}
     least = min((c for w, c in head.items() if w != END), default=0)
     # words as frequent as the last one are on either side; those are told by name
     tied = [F.lit(w) for w, c in head.items() if c == least or w == END]
-    rest = counts.where((F.col("c") <= least) & ~F.col("word").isin(tied))
+    rest = counts.where(~short | ((F.col("c") <= least) & ~F.col("word").isin(tied)))
     by_ending = checkpointed(rest.groupBy(F.substring("word", -2, 2).alias("ending")).agg(F.sum("c").alias("c"), F.count("*").alias("v")))
     top = by_ending.orderBy(F.desc("c"), "ending").limit(params.endings).collect()
     all_c, all_v = by_ending.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
@@ -308,8 +317,21 @@ def make_units(counts: DataFrame, total: int, params: Params) -> tuple[Units, di
     return units, groups
 
 
-def train(texts: DataFrame, units: Units, params: Params) -> Network:
-    """The network, over all texts (columns row, raw): a start from a sample, then averaged passes of all tasks."""
+def averaged(parts: DataFrame, count: int, fan: int = 64) -> DataFrame:
+    """One row for each block of parameters: their mean over `count` parts by tokens, `fan` parts at a time, in the order of parts."""
+
+    def mean(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("task")
+        total = sum(np.frombuffer(v, np.float32) * float(n) for v, n in zip(rows["part_values"], rows["n"], strict=True))
+        n = rows["n"].sum()
+        return pd.DataFrame({"task": rows["task"].iloc[:1] // fan, "part": rows["part"].iloc[:1], "part_values": [(total / n).astype(np.float32).tobytes()], "n": [n]})
+
+    parts = parts.groupBy("part", F.floor(F.col("task") / fan)).applyInPandas(mean, PART)
+    return parts if count <= fan else averaged(parts, -(-count // fan), fan)
+
+
+def train(texts: DataFrame, units: Units, params: Params, total: int) -> Network:
+    """The network, over all texts (columns row, raw; total tokens): a start from a sample, then averaged passes over all parts."""
     start = Network(units.frequency, units.starts, params)
     rng = np.random.default_rng(5)
     # the sample is bounded in documents and in bytes: whole texts, in the order of a hash, while they fit
@@ -336,14 +358,13 @@ def train(texts: DataFrame, units: Units, params: Params) -> Network:
                 total += len(tokens)
         if total:
             parts = [own.values[k : k + BLOCK].tobytes() for k in range(0, len(own.values), BLOCK)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts))), pa.array(parts, pa.binary()), pa.array([total] * len(parts))], names=["part", "part_values", "n"])
-
-    def mean(rows: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(v, np.float32) * float(n) for v, n in zip(rows["part_values"], rows["n"], strict=True))
-        return pd.DataFrame({"part": rows["part"].iloc[:1], "part_values": [(total / rows["n"].sum()).astype(np.float32).tobytes()]})
+            task = [TaskContext.get().partitionId() % count] * len(parts)
+            yield pa.RecordBatch.from_arrays([pa.array(task, pa.int64()), pa.array(range(len(parts)), pa.int64()), pa.array(parts, pa.binary()), pa.array([total] * len(parts), pa.int64())], names=["task", "part", "part_values", "n"])
 
-    parts = texts.select("raw").coalesce(params.most_tasks).mapInArrow(run, "part long, part_values binary, n long")
-    got = parts.groupBy("part").applyInPandas(mean, "part long, part_values binary").orderBy("part").toArrow().column("part_values").to_pylist()
+    count = max(1, round(total**0.5 / params.part_root))
+    dealt = texts.select("row", "raw").repartition(count, "row").sortWithinPartitions("row")
+    parts = dealt.select("raw").mapInArrow(run, PART)
+    got = averaged(parts, count).orderBy("part").toArrow().column("part_values").to_pylist()
     return Network(units.frequency, units.starts, params, np.frombuffer(b"".join(got), np.float32)) if got else start
 
 
@@ -378,7 +399,7 @@ def fit(documents: DataFrame, params: Params = Params(), fold: int = 1, folds: i
     counts = checkpointed(count_words(texts))
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     units, groups = make_units(counts, total, params)
-    return Model(units, train(texts, units, params), counts, total, distinct, groups)
+    return Model(units, train(texts, units, params, total), counts, total, distinct, groups)
 
 
 def score(documents: DataFrame, params: Params = Params(), fold: int = 1, folds: int = 5, model: Model | None = None) -> DataFrame:  # noqa: B008
@@ -386,7 +407,8 @@ def score(documents: DataFrame, params: Params = Params(), fold: int = 1, folds:
 
     held_out: crc32 of the id as text leaves `fold` over `folds`; null ids are not held out. Null and
     empty texts are one end; texts count whole, however long. Scores are log10 probabilities of whole
-    texts. Every row gives a row, repeated ones too; an empty table gives none; without training documents
+    texts, the same (but for rounding) however the rows are dealt over files; very long words cost memory in
+    their own task alone. Every row gives a row, repeated ones too; an empty table gives none; without training documents
     all counts are 0. Other columns are not read.
     """
     model = model or fit(documents, params, fold, folds)
@@ -395,7 +417,7 @@ def score(documents: DataFrame, params: Params = Params(), fold: int = 1, folds:
     bottom = model.bottoms()
     base_bottom = total + 0.5 * (model.distinct + 1)
 
-    top = most_frequent(counts, params.sent).toArrow()
+    top = most_frequent(counts, params.sent, params.longest).toArrow()
     sent = documents.sparkSession.sparkContext.broadcast((top.column("word").to_pylist(), top.column("c").to_numpy()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
