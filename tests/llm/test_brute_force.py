@@ -8,6 +8,7 @@ import time
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -467,6 +468,53 @@ def test_messages_give_exact_marginals():
     assert right / all_ > 0.95
 
 
+def test_text_of_pages_that_mark_it(spark, sf):
+    """Every given page has one article: its text by the standard library's parser, block by block."""
+    from html.parser import HTMLParser
+
+    from tidelog.llm.queries import ORACLES, op7_html
+
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.inside, self.parts = 0, []
+
+        def handle_starttag(self, tag, attributes):
+            self.inside += tag == "article"
+            self.parts += [" "] * (tag != "b")
+
+        def handle_endtag(self, tag):
+            self.inside -= tag == "article"
+            self.parts += [" "] * (tag != "b")
+
+        def handle_data(self, text):
+            self.parts += [text] * (self.inside > 0)
+
+    pages = f"{sf}/pages.parquet"
+    got = {r.page_id: r.text for r in op7_html(spark, sf).collect()}
+    for r in spark.read.parquet(pages).collect():
+        plain = Article()
+        plain.feed(r.html)
+        plain.close()
+        assert got[r.page_id] == " ".join("".join(plain.parts).split())
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{pages}'")
+    assert sorted(got.items()) == sorted((r[0], r[2]) for r in con.sql(f"select page_id, url, text from ({ORACLES['op7_html']})").fetchall())
+
+
+def test_pages_label_themselves(spark):
+    page = html.marked(html.parse("<div>x<article><h1>t</h1><aside><p>a</p></aside><p>b<form>f</form></article></div><p>c"))
+    assert list(zip(page.tags, page.labels, strict=True)) == [("html", 0), ("div", 0), ("article", 1), ("h1", 1), ("aside", 0), ("p", 0), ("p", 1), ("form", 0), ("p", 0)]
+    assert html.marked(html.parse("<article>a</article><article>b</article>")) is None and html.marked(html.parse("<p>")) is None
+    # the model learns the words of a site's own boxes from pages that say where their text is
+    body = "<p>One sentence follows another here. So does a third one.</p>"
+    rows = [(n, f"u{n}", f'<div class="zork"><p>{n} people like this page. So do you, we hope.</p></div><article>{body * (1 + n % 5)}</article>') for n in range(60)]
+    pages = spark.createDataFrame([*rows, (None, None, None), (99, "u", "")], "page_id long, url string, html string")
+    plain = spark.createDataFrame([(0, "u", f'<div class="zork"><p>4 people like this page. So do you, we hope.</p></div><div>{body * 3}</div>')], "page_id long, url string, html string")
+    assert "people like" not in html.extract(plain, html.fit(pages, layouts=100)).first().text
+    assert html.fit(pages.limit(0), layouts=5).weights.shape == html.train([html.parse(q) for q in [html.Layouts(7)] for q in [q.page() for _ in range(5)]]).weights.shape
+
+
 def test_language_model(documents, empty):
     params = lm.Params(head_rate=0, least_head=40, endings=8, sent=50)
     model = lm.fit(documents, params)

@@ -13,7 +13,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -441,12 +441,44 @@ def default_model(pages: int = 400, seed: int = 7) -> Model:
     return train([parse(layouts.page()) for _ in range(pages)])
 
 
+#: Elements in an article that are beside its text.
+BESIDE = frozenset("nav aside header footer form".split())
+
+
+def marked(page: Page) -> Page | None:
+    """The page with the labels that its own markup gives it: its article element and what is below it, but for BESIDE.
+
+    None where it doesn't have just one article.
+    """
+    if page.tags.count("article") != 1:
+        return None
+    labels: list[int] = []
+    for up, tag in zip(page.parent, page.tags, strict=True):
+        labels.append(int(tag == "article" or (up >= 0 and labels[up] == 1 and tag not in BESIDE)))
+    return replace(page, labels=labels)
+
+
+def fit(pages: DataFrame, most: int = 200, most_bytes: int = 100_000, layouts: int = 300, seed: int = 7) -> Model:
+    """The model of pages of the table that label their text themselves (see marked), and of made layouts beside them.
+
+    Of the pages that have an article element and at most most_bytes bytes, the `most` first ones by a hash of
+    their ids are taken: a bounded sample, whatever the table's size. Layouts tell what those pages don't
+    show; where no page is labelled, they are all there is.
+    """
+    labelled = pages.where(F.col("html").contains("<article") & (F.octet_length("html") <= most_bytes))
+    rows = labelled.select(F.xxhash64("page_id", "url").alias("key"), "html").orderBy("key", "html").limit(most).collect()
+    own = [p for p in (marked(parse(r.html)) for r in rows) if p]
+    made = Layouts(seed)
+    return train(own + [parse(made.page()) for _ in range(layouts)])
+
+
 def extract(pages: DataFrame, model: Model | None = None) -> DataFrame:
-    """page_id, url, text and n_chars (code points) of each row.
+    """page_id, url, text and n_chars (code points) of each row, by a model of fit() or that of made layouts alone.
 
     Text is '' where html is null or empty or holds no content. Character references are decoded, white
-    space within a block becomes one space, and blocks stand in page order with a space between. Every
-    row gives a row, repeated ones and null ids too; other columns are not read.
+    space within a block becomes one space, and blocks stand in page order with a space between. Pages
+    count whole, however long, in time linear in their length. Every row gives a row, repeated ones and
+    null ids too; an empty table gives none; other columns are not read.
     """
     used = model or default_model()
 

@@ -30,7 +30,8 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.extract(table(spark, sf_dir, "pages"))
+    pages = table(spark, sf_dir, "pages")
+    return html.extract(pages, html.fit(pages))
 
 
 def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,6 +90,11 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 _TERMS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
 
 ORACLES: dict[str, str] = {
+    # every given page marks its text by one article element, and holds few character references
+    "op7_html": r"""WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article[^>]*>(.*)</article>', 1) AS h FROM pages),
+ t AS (SELECT page_id, url, regexp_replace(regexp_replace(h, '</?b>', '', 'g'), '<[^>]+>', ' ', 'g') AS t FROM a),
+ d AS (SELECT page_id, url, trim(regexp_replace(replace(replace(replace(replace(replace(t, '&quot;', '"'), '&middot;', '·'), '&copy;', '©'), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM t)
+ SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM d""",
     "op11_ranking": f"""WITH d AS (SELECT doc_id, {_TERMS} AS ts FROM documents), total AS (SELECT count(*) AS n, CAST(sum(len(ts)) AS BIGINT) AS l FROM d WHERE len(ts) > 0),
  asked AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark), each AS (SELECT doc_id, len(ts) AS n, unnest(ts) AS term FROM d),
  tf AS (SELECT doc_id, n, term, count(*) AS tf FROM each WHERE term IN (SELECT term FROM asked) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
