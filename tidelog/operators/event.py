@@ -492,6 +492,15 @@ def evidence_index(**ids: DataFrame) -> DataFrame:
     return out.distinct()
 
 
+def hot_change_payloads(turnover: DataFrame, payloads: DataFrame) -> DataFrame:
+    """current_page_id, side (previous, current) and raw_payload_id: a row for each payload that a point's pages came from.
+
+    payloads: page_id and raw_payload_id. Pages without payloads give no row.
+    """
+    sides = F.explode(F.array(*(F.struct(F.lit(s).alias("side"), F.col(f"{s}_page_id").alias("page_id")) for s in ("previous", "current"))))
+    return turnover.select("current_page_id", sides.alias("s")).select("current_page_id", "s.*").join(payloads.distinct(), "page_id").select("current_page_id", "side", "raw_payload_id")
+
+
 def hot_changes(turnover: DataFrame, on_page: DataFrame) -> DataFrame:
     """Turnover points with the observation ids of both of their pages."""
     ids = on_page.groupBy("page_id").agg(F.array_sort(F.collect_set("comment_observation_id")).alias("ids"))

@@ -278,6 +278,8 @@ ORACLES = {
     "stream_spikes": f"""WITH {CLOSED}, s AS (SELECT keyword, bucket, n, lag(bucket) OVER w AS b, CASE WHEN lag(bucket) OVER w = bucket - 86400 THEN lag(n) OVER w ELSE 0 END AS was FROM closed WINDOW w AS (PARTITION BY keyword ORDER BY bucket))
  SELECT keyword, bucket, was, n, 'folded' AS kind FROM s WHERE b IS NOT NULL AND n >= greatest(3, was * 1.1::DOUBLE)""",
     "stream_state_changes": f"WITH {CHANGES} SELECT * FROM changes",
+    "hot_change_payloads": f"""WITH {TURNOVER} SELECT current_page_id, 'previous' AS side, id AS raw_payload_id FROM turnover JOIN on_page ON page_id = previous_page_id
+ UNION ALL SELECT current_page_id, 'current', id FROM turnover JOIN on_page ON page_id = current_page_id""",
     "hot_changes": f"WITH {TURNOVER}, e AS (SELECT page_id, string_agg(id, ',' ORDER BY id) AS ids FROM on_page GROUP BY page_id) SELECT current_page_id, p.ids AS previous_observation_ids, c.ids AS current_observation_ids FROM turnover LEFT JOIN e p ON p.page_id = previous_page_id LEFT JOIN e c ON c.page_id = current_page_id",
     "media_sources": "SELECT 'p' AS platform, sha256('https://x.org/' || (l_partkey % 50)) AS url_hash, 'https://x.org/' || (l_partkey % 50) AS source_url, epoch_us(CAST(min(o_orderdate) AS TIMESTAMP)) AS first_seen_at, epoch_us(CAST(max(o_orderdate) AS TIMESTAMP)) AS last_seen_at, arg_min(l_orderkey, (o_orderdate, l_orderkey)) AS first_page_id, arg_max(l_orderkey, (o_orderdate, l_orderkey)) AS last_page_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL",
     "known_videos": f"WITH {SIGHT} SELECT bvid, lpad(CAST(k AS VARCHAR), 12, '0') AS source_mid, us AS pubdate, us AS first_seen_at FROM sight QUALIFY row_number() OVER (PARTITION BY bvid ORDER BY us, k) = 1",
@@ -323,6 +325,8 @@ ORACLES = {
 }
 #: A stream that ends where a batch job ends is held against the batch job's SQL.
 ORACLES["stream_watchlist"] = ORACLES["watchlist"]
+#: A first batch of drafts finds no alerts: those that are triggered start.
+ORACLES["stream_alerts"] = f"SELECT alert_key, 'triggered' AS action, true AS active, CAST(1 AS BIGINT) AS occurrences, CAST(6000 AS BIGINT) AS notified_at FROM ({ORACLES['alert_drafts']}) WHERE triggered"
 ORACLES["report_sections"] = f"""SELECT 'coverage' AS section, coverage_rows || ':' || items_observed AS key FROM ({ORACLES["coverage"]}) UNION ALL SELECT 'key_timeline', source_key FROM ({ORACLES["timeline"]})
  UNION ALL SELECT 'core_videos', concat_ws(':', bvid, view_count) FROM ({ORACLES["core_videos"]}) UNION ALL SELECT 'hot_comment_changes', current_page_id || ':' || current_observation_ids FROM ({ORACLES["hot_changes"]})
  UNION ALL SELECT 'keyword_trends', concat_ws(':', keyword, bucket, distinct_comments) FROM ({ORACLES["keyword_trends"]}) UNION ALL SELECT 'template_clusters', cluster_id || ':' || members FROM ({ORACLES["template_cluster_summaries"]})

@@ -590,6 +590,14 @@ def hot_changes(spark, sf_dir):
     return event.hot_changes(video.hot_turnover(pages, on_page, 5), on_page).select("current_page_id", "previous_observation_ids", "current_observation_ids")
 
 
+@query
+def hot_change_payloads(spark, sf_dir):
+    obs = b.observations(spark, sf_dir)
+    pages, on_page = b.hot_pages(obs)
+    payloads = on_page.join(obs.select(F.col("id").alias("comment_observation_id"), "raw_payload_id"), "comment_observation_id").select("page_id", "raw_payload_id")
+    return event.hot_change_payloads(video.hot_turnover(pages, on_page, 5), payloads)
+
+
 @query
 def media_sources(spark, sf_dir):
     links = b.read(spark, sf_dir, "lineitem").join(b.read(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
