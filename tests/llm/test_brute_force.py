@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidelog.llm import ann, decontamination, html, lm, neardup, packing, pii, substrings, tokens, toxicity
+from tidelog.llm import ann, common, decontamination, html, lm, neardup, packing, pii, substrings, tokens, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, raw string, row_key long, signature string, n_chars long"
@@ -502,6 +502,13 @@ def test_text_of_pages_that_mark_it(spark, sf):
     assert sorted(got.items()) == sorted((r[0], r[2]) for r in con.sql(f"select page_id, url, text from ({ORACLES['op7_html']})").fetchall())
 
 
+def test_first_rows_by_hash(spark):
+    df = spark.range(5000).union(spark.range(5000)).select(F.xxhash64("id").alias("k"), "id").repartition(5)
+    keys = sorted({r.k for r in df.collect()})
+    assert [r.k for r in common.first_by_hash(df, "k", 100, 10_000).collect()] == keys[:100]
+    assert [r.k for r in common.first_by_hash(df, "k", 9000, 10_000).collect()] == keys and common.first_by_hash(df.limit(0), "k", 3, 0).count() == 0
+
+
 def test_pages_label_themselves(spark):
     page = html.marked(html.parse("<div>x<article><h1>t</h1><aside><p>a</p></aside><p>b<form>f</form></article></div><p>c"))
     assert list(zip(page.tags, page.labels, strict=True)) == [("html", 0), ("div", 0), ("article", 1), ("h1", 1), ("aside", 0), ("p", 0), ("p", 1), ("form", 0), ("p", 0)]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidelog.session import checkpointed
 
 
-__all__ = ["Windows", "WordHasher", "checkpointed", "fresh", "gram_hashes", "mixed", "raw_text", "table", "words"]
+__all__ = ["Windows", "WordHasher", "checkpointed", "first_by_hash", "fresh", "gram_hashes", "mixed", "raw_text", "table", "words"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,16 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def first_by_hash(df: DataFrame, key: str, most: int, total: int) -> DataFrame:
+    """The rows of the `most` least keys (well-mixed longs; rows of one key are equal, and one stands for them), in order; total: rows of df.
+
+    Of the keys only a share comes to be ordered that twice as many are expected in, so that tasks send few rows.
+    """
+    share = min(1.0, (2 * most + 100) / max(total, 1))
+    low = F.col(key).cast("double") < (share - 0.5) * 2.0**64 if share < 1 else F.lit(True)
+    return df.where(low).dropDuplicates([key]).orderBy(key).limit(most)
+
+
 class WordHasher:
     """64-bit hashes of words, with those of words seen before kept in a bounded map."""
 

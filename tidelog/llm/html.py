@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.llm.common import first_by_hash
+
 #: Fixed by the HTML standard: elements without content, and with text that is not markup.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math".split())
@@ -461,12 +463,12 @@ def marked(page: Page) -> Page | None:
 def fit(pages: DataFrame, most: int = 200, most_bytes: int = 100_000, layouts: int = 300, seed: int = 7) -> Model:
     """The model of pages of the table that label their text themselves (see marked), and of made layouts beside them.
 
-    Of the pages that have an article element and at most most_bytes bytes, the `most` first ones by a hash of
-    their ids are taken: a bounded sample, whatever the table's size. Layouts tell what those pages don't
+    Of the pages that have an article element and at most most_bytes bytes, the `most` first ones by a hash are
+    taken: a bounded sample, whatever the table's size. Layouts tell what those pages don't
     show; where no page is labelled, they are all there is.
     """
-    labelled = pages.where(F.col("html").contains("<article") & (F.octet_length("html") <= most_bytes))
-    rows = labelled.select(F.xxhash64("page_id", "url").alias("key"), "html").orderBy("key", "html").limit(most).collect()
+    labelled = pages.where(F.col("html").contains("<article") & (F.octet_length("html") <= most_bytes)).select(F.xxhash64("page_id", "url", "html").alias("key"), "html")
+    rows = first_by_hash(labelled, "key", most, labelled.count()).collect()
     own = [p for p in (marked(parse(r.html)) for r in rows) if p]
     made = Layouts(seed)
     return train(own + [parse(made.page()) for _ in range(layouts)])

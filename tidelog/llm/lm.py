@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import checkpointed, raw_text, words
+from tidelog.llm.common import checkpointed, first_by_hash, raw_text, words
 
 END = b""
 #: Parameters in a row of a task's result.
@@ -330,12 +330,12 @@ def averaged(parts: DataFrame, count: int, fan: int = 64) -> DataFrame:
     return parts if count <= fan else averaged(parts, -(-count // fan), fan)
 
 
-def train(texts: DataFrame, units: Units, params: Params, total: int) -> Network:
-    """The network, over all texts (columns row, raw; total tokens): a start from a sample, then averaged passes over all parts."""
+def train(texts: DataFrame, units: Units, params: Params, total: int, documents: int) -> Network:
+    """The network, over all texts (columns row, raw; total tokens in so many documents): a start from a sample, then averaged passes over all parts."""
     start = Network(units.frequency, units.starts, params)
     rng = np.random.default_rng(5)
     # the sample is bounded in documents and in bytes: whole texts, in the order of a hash, while they fit
-    listed = texts.select("row", F.octet_length("raw").alias("size")).orderBy(F.xxhash64("row"), "row").limit(params.start_documents).collect()
+    listed = first_by_hash(texts.select("row", F.octet_length("raw").alias("size")), "row", params.start_documents, documents).collect()
     sizes = np.cumsum([r.size or 0 for r in listed])
     chosen = sorted({r.row for r, size in zip(listed, sizes, strict=True) if size <= params.start_bytes})
     few = texts.where(F.col("row").isin(chosen)).dropDuplicates(["row"]).orderBy("row").select("raw").toArrow().column("raw").to_pylist() if chosen else []
@@ -399,7 +399,8 @@ def fit(documents: DataFrame, params: Params = Params(), fold: int = 1, folds: i
     counts = checkpointed(count_words(texts))
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     units, groups = make_units(counts, total, params)
-    return Model(units, train(texts, units, params, total), counts, total, distinct, groups)
+    ends = counts.where(F.col("word") == F.lit(END)).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    return Model(units, train(texts, units, params, total, ends), counts, total, distinct, groups)
 
 
 def score(documents: DataFrame, params: Params = Params(), fold: int = 1, folds: int = 5, model: Model | None = None) -> DataFrame:  # noqa: B008
