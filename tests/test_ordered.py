@@ -70,3 +70,58 @@ def test_composed_maps_equal_a_fold(spark, confirmations, fan, width):
     got = {r.bvid: (r.effective, r.candidate, r.downgrades) for r in assess.tier_history(table, assess.Policy(confirmations=confirmations), block=F.floor(F.col("at") / width), fan=fan).collect()}
     assert got == {f"v{v}": plain_tiers([d for b, _, d in rows if b == f"v{v}"], confirmations)[1] for v in range(1, 4)}
     assert assess.tier_history(table.limit(0), assess.Policy(), block=F.col("at")).count() == 0
+
+
+def test_folds_run_whatever_state_store_the_session_has(spark, tmp_path):
+    other = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    rows = [("v", at(n), n, d) for n, d in enumerate("csbbaacc")]
+    with jobs.settings(spark, {jobs.PROVIDER: other}):
+        stream = files(spark, str(tmp_path / "in"), [rows[4:], rows[:4], [("end", ordered.END, 0, "c")]], "bvid string, at timestamp, id long, desired string")
+        out = jobs.drained(jobs.tiers(stream, assess.Policy()), str(tmp_path / "out")).collect()
+        assert spark.conf.get(jobs.PROVIDER) == other
+    assert [r.effective for r in sorted(out, key=lambda r: r.at)] == plain_tiers("csbbaacc")[0]
+
+
+class Kept:
+    """Value and list states of one key, in memory."""
+
+    def __init__(self):
+        self.value = None
+
+    def exists(self):
+        return bool(self.value)
+
+    def get(self):
+        return iter(self.value) if isinstance(self.value, list) else self.value
+
+    def update(self, value):
+        self.value = value
+
+    put = update
+
+    def appendList(self, rows):  # noqa: N802
+        self.value = [*(self.value or []), *rows]
+
+    def clear(self):
+        self.value = None
+
+
+def test_a_key_of_many_rows_is_folded_in_parts_of_bounded_size(monkeypatch):
+    sizes, timers = [], []
+
+    def fold(held, rows):
+        sizes.append(len(rows))
+        return (rows[-1][0],), rows
+
+    handle = type("Handle", (), {"getValueState": lambda *_: Kept(), "getListState": lambda *_: Kept(), "registerTimer": lambda _, t: timers.append(t)})()
+    at_mark = lambda ms: type("Times", (), {"getCurrentWatermarkInMs": lambda _: ms})()
+    one = ordered.OrderedFold("at bigint, id bigint", "at bigint", "at bigint, id bigint", fold, None, 10**9)
+    one.init(handle)
+    monkeypatch.setattr(ordered, "AT_A_TIME", 10)
+    # rows that repeat time and id stand at the ends of parts, too
+    rows = sorted([(k * 1000, k % 3) for k in range(40)] + [(9000, 0)] * 15, key=lambda r: hash(r))
+    for part in (rows[:20], rows[20:]):
+        list(one.handleInputRows(("k",), iter([ordered.frame(part, "at bigint, id bigint").astype("int64")]), at_mark(0)))
+    out = [tuple(r) for f in one.handleExpiredTimer(("k",), at_mark(30), None) for r in f.itertuples(index=False)]
+    assert out == sorted(r for r in rows if r[0] < 30_000) and max(sizes) == 10
+    assert sorted(one.pending.value) == sorted(r for r in rows if r[0] >= 30_000) and timers[-1] == 31

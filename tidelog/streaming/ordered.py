@@ -9,7 +9,7 @@ out as late instead of being folded. A key that has been silent for `keep` is fo
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from datetime import UTC, datetime
 
 import pandas as pd
@@ -23,22 +23,46 @@ LATE = "late"
 END = datetime(2200, 1, 1, tzinfo=UTC)
 
 
-def plain(value):
-    """A pandas value as the state stores take it."""
-    if value is None or value is pd.NaT or (isinstance(value, float) and value != value) or value is pd.NA:
-        return None
-    return value.item() if hasattr(value, "item") else value
+#: Rows of a key that a fold holds in memory at a time, at most twice as many while they are chosen.
+AT_A_TIME = 400_000
+
+
+def plain(column: pd.Series) -> list:
+    """A column's values as the state stores take them; pandas makes whole numbers beside nulls floats."""
+    whole = int if column.dtype.kind == "f" else lambda v: v
+    return [None if v is None or v != v else whole(v) for v in column.tolist()]
+
+
+def frame(rows: list[tuple], schema: str) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=names_of(schema), dtype=object)
+
+
+def names_of(schema: str) -> list[str]:
+    return [f.strip().split()[0] for f in schema.split(",")]
+
+
+def least(rows: Iterable[tuple], order: Callable, limit: int) -> list[tuple]:
+    """The `limit` first rows in an order, without holding more than twice as many."""
+    held: list[tuple] = []
+    for r in rows:
+        held.append(r)
+        if len(held) == 2 * limit:
+            held.sort(key=order)
+            del held[limit:]
+    held.sort(key=order)
+    return held[:limit]
 
 
 class OrderedFold(StatefulProcessor):
-    """fold(held, rows) -> (held, out): held is the tuple of what is kept (None at first), rows are in order.
+    """fold(held, rows) -> (held, out): held is the tuple of what is kept (None at first), rows are tuples in order.
 
-    late(key, rows, n) -> out: for rows that came too late, n of them so far. Times are in microseconds.
+    late(rows, n) -> out: for rows that came too late, n of them so far. out: tuples. Times are in microseconds.
     """
 
-    def __init__(self, rows: str, held: str, fold: Callable, late: Callable, keep: int):
-        self.rows, self.kept, self.fold, self.too_late, self.keep = rows, held, fold, late, keep
-        self.names = [f.strip().split()[0] for f in rows.split(",")]
+    def __init__(self, rows: str, held: str, out: str, fold: Callable, late: Callable, keep: int):
+        self.rows, self.kept, self.out, self.fold, self.too_late, self.keep = rows, held, out, fold, late, keep
+        self.names = names_of(rows)
+        self.at, self.id = self.names.index("at"), self.names.index("id")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -46,40 +70,54 @@ class OrderedFold(StatefulProcessor):
         self.pending = handle.getListState("pending", self.rows)
         self.told = handle.getValueState("told", "folded_at bigint, late bigint")
 
+    def order(self, r: tuple) -> tuple:
+        return r[self.at], r[self.id]
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        got = pd.concat(list(rows))[self.names]
         folded_at, n = self.told.get() if self.told.exists() else (None, 0)
-        if folded_at is not None:
-            late = got[got["at"] < folded_at]
-            if len(late):
-                n += len(late)
-                self.told.update((folded_at, n))
-                yield self.too_late(key, late.sort_values(["at", "id"]), n)
-                got = got[got["at"] >= folded_at]
-        if len(got):
-            self.pending.appendList([tuple(plain(v) for v in r) for r in got.itertuples(index=False)])
-            self.handle.registerTimer(int(got["at"].min()) // 1000 + 1)
+        first, late = None, []
+        for part in rows:
+            got = list(zip(*(plain(part[c]) for c in self.names), strict=True))
+            if folded_at is not None:
+                late += [r for r in got if r[self.at] < folded_at]
+                got = [r for r in got if r[self.at] >= folded_at]
+            if got:
+                self.pending.appendList(got)
+                first = min(r[self.at] for r in got) if first is None else min(first, *(r[self.at] for r in got))
+        if late:
+            n += len(late)
+            self.told.update((folded_at, n))
+            yield frame(self.too_late(sorted(late, key=self.order), n), self.out)
+        if first is not None:
+            self.handle.registerTimer(first // 1000 + 1)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         mark = timerValues.getCurrentWatermarkInMs()
-        waiting = sorted(self.pending.get(), key=lambda r: (r[self.names.index("at")], r[self.names.index("id")])) if self.pending.exists() else []
-        at = self.names.index("at")
-        due = [r for r in waiting if r[at] // 1000 + 1 <= mark]
-        rest = waiting[len(due) :]
         folded_at, n = self.told.get() if self.told.exists() else (None, 0)
-        if due:
-            folded_at = due[-1][at]
-            held, out = self.fold(self.held.get() if self.held.exists() else None, pd.DataFrame(due, columns=self.names, dtype=object))
-            self.held.update(tuple(plain(v) for v in held))
-            self.told.update((folded_at, n))
-            self.pending.put(rest) if rest else self.pending.clear()
-            yield out
+        rest, before = [], folded_at
+        if self.pending.exists():
+            # rows with their places in the list, which tell equal ones apart
+            order = lambda x: (*self.order(x[1]), x[0])
+            waiting = lambda due: (x for x in enumerate(self.pending.get()) if (x[1][self.at] // 1000 + 1 <= mark) is due)
+            held, last = self.held.get() if self.held.exists() else None, None
+            while rows := least((x for x in waiting(True) if last is None or order(x) > last), order, AT_A_TIME):
+                held, out = self.fold(held, [r for _, r in rows])
+                last = order(rows[-1])
+                yield frame(out, self.out)
+                if len(rows) < AT_A_TIME:
+                    break
+            rest = [r for _, r in waiting(False)]
+            if last is not None:
+                folded_at = last[0]
+                self.held.update(held)
+                self.told.update((folded_at, n))
+                self.pending.put(rest) if rest else self.pending.clear()
         if rest:
-            self.handle.registerTimer(rest[0][at] // 1000 + 1)
+            self.handle.registerTimer(min(r[self.at] for r in rest) // 1000 + 1)
         elif folded_at is not None and folded_at // 1000 + self.keep <= mark:
             self.held.clear()
             self.told.clear()
-        elif folded_at is not None and due:
+        elif folded_at is not None and folded_at != before:
             self.handle.registerTimer(folded_at // 1000 + self.keep)
 
     def close(self) -> None:
@@ -91,43 +129,36 @@ def folded(stream: DataFrame, key: str, time: str, rows: str, held: str, out: st
 
     rows: the schema of what the fold sees, with key, at (microseconds) and id; the stream has the other columns.
     """
-    names = [f.strip().split()[0] for f in rows.split(",")]
+    names = names_of(rows)
     # only the time in microseconds goes on, so Spark hands rows behind the watermark over, too
     seen = stream.withWatermark(time, delay).withColumn("at", F.unix_micros(time)).select(*names)
-    return seen.groupBy(key).transformWithStateInPandas(OrderedFold(rows, held, fold, late, keep_days * 86_400_000), out, "Append", "EventTime")
+    return seen.groupBy(key).transformWithStateInPandas(OrderedFold(rows, held, out, fold, late, keep_days * 86_400_000), out, "Append", "EventTime")
 
 
 CHANGE = "rpid long, bvid string, previous_id long, current_id long, event_type string, old_value string, new_value string, created_us long"
 CHANGE_HELD = "id bigint, hash string, likes string, replies string, sort_mode string, position string"
+CHANGED = names_of(CHANGE_HELD)
 #: Kind, and the column that changes.
 CHANGES = (("content_hash_changed", "hash"), ("like_bucket_changed", "likes"), ("reply_count_changed", "replies"), ("hot_position_changed", "position"))
 
 
-def _different(a: pd.Series, b: pd.Series) -> pd.Series:
-    return (a != b) & ~(a.isna() & b.isna())
-
-
-def change_fold(held: tuple | None, r: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
-    """Changes of each observation against the one before, by one shift of the rows."""
-    names = ["id", "hash", "likes", "replies", "sort_mode", "position"]
-    was = r[names].shift()
-    if held is not None:
-        was.iloc[0] = held
-    was = was.astype(object)
-    first = was["id"].isna()
-    both_hot = (was["sort_mode"] == "hot") & (r["sort_mode"] == "hot")
-    frames = [(first, "first_seen", pd.Series(None, r.index, object), pd.Series(None, r.index, object))]
-    for kind, name in CHANGES:
-        on = ~first & _different(was[name], r[name])
-        frames.append((on & both_hot if name == "position" else on, kind, was[name], r[name]))
-    out = [pd.DataFrame({"rpid": r["rpid"], "bvid": r["bvid"], "previous_id": was["id"], "current_id": r["id"], "event_type": kind, "old_value": old, "new_value": new, "created_us": r["at"]})[on] for on, kind, old, new in frames]
-    every = pd.concat(out).astype({"rpid": "int64", "previous_id": "Int64", "current_id": "Int64", "created_us": "int64"})
-    return tuple(r[names].iloc[-1]), every.astype({c: object for c in ("bvid", "old_value", "new_value")})
+def change_fold(held: tuple | None, rows: list[tuple]) -> tuple[tuple, list[tuple]]:
+    """Changes of each observation against the one before."""
+    out = []
+    for rpid, bvid, at, *now in rows:
+        was = None if held is None else dict(zip(CHANGED, held, strict=True))
+        one = dict(zip(CHANGED, now, strict=True))
+        if was is None:
+            out.append((rpid, bvid, None, one["id"], "first_seen", None, None, at))
+        else:
+            both_hot = was["sort_mode"] == one["sort_mode"] == "hot"
+            out += [(rpid, bvid, was["id"], one["id"], kind, was[c], one[c], at) for kind, c in CHANGES if was[c] != one[c] and (both_hot or c != "position")]
+        held = tuple(now)
+    return held, out
 
 
-def late_changes(key: tuple, r: pd.DataFrame, n: int) -> pd.DataFrame:
-    count = [str(k) for k in range(n - len(r) + 1, n + 1)]
-    return pd.DataFrame({"rpid": r["rpid"].astype("int64"), "bvid": r["bvid"], "previous_id": pd.Series(pd.NA, r.index, "Int64"), "current_id": r["id"].astype("Int64"), "event_type": LATE, "old_value": None, "new_value": count, "created_us": r["at"].astype("int64")})
+def late_changes(rows: list[tuple], n: int) -> list[tuple]:
+    return [(rpid, bvid, None, id_, LATE, None, str(k), at) for k, (rpid, bvid, at, id_, *_) in enumerate(rows, n - len(rows) + 1)]
 
 
 def state_changes(stream: DataFrame, values: dict, delay: str = "1 hour", keep_days: int = 90) -> DataFrame:
@@ -151,20 +182,20 @@ def tiers(stream: DataFrame, order: tuple[str, ...], confirmations: int, delay:
     """
     rank = {t: n for n, t in enumerate(order)}
 
-    def fold(held: tuple | None, r: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+    def fold(held: tuple | None, rows: list[tuple]) -> tuple[tuple, list[tuple]]:
         effective, candidate, n = held or (order[-1], None, 0)
-        after = []
-        for desired in r["desired"]:
+        out = []
+        for bvid, at, id_, desired in rows:
             if rank[desired] <= rank[effective]:
                 effective, candidate, n = desired, None, 0
             else:
                 n = n + 1 if candidate == desired else 1
                 effective, candidate, n = (desired, None, 0) if n >= confirmations else (effective, desired, n)
-            after.append(effective)
-        return (effective, candidate, n), pd.DataFrame({"bvid": r["bvid"], "at_us": r["at"].astype("int64"), "id": r["id"].astype("int64"), "effective": after, "kind": "folded"})
+            out.append((bvid, at, id_, effective, "folded"))
+        return (effective, candidate, n), out
 
-    def late(key: tuple, r: pd.DataFrame, n: int) -> pd.DataFrame:
-        return pd.DataFrame({"bvid": r["bvid"], "at_us": r["at"].astype("int64"), "id": r["id"].astype("int64"), "effective": None, "kind": LATE})
+    def late(rows: list[tuple], n: int) -> list[tuple]:
+        return [(bvid, at, id_, None, LATE) for bvid, at, id_, _ in rows]
 
     timed = stream.withColumnRenamed("at", "assessed_at")
     out = folded(timed, "bvid", "assessed_at", "bvid string, at bigint, id bigint, desired string", "effective string, candidate string, n bigint", TIER, fold, late, delay, keep_days)
@@ -181,27 +212,27 @@ def spikes(counts: DataFrame, seconds: int, multiplier: float, least: int, delay
     keyword was folded is put out as late.
     """
 
-    def fold(held: tuple | None, r: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
-        bucket, n = r["id"].astype("int64"), r["n"].astype("int64")
-        before, last = bucket.shift(), n.shift()
-        if held is not None:
-            before.iloc[0], last.iloc[0] = held
-        was = last.where(before == bucket - seconds, 0).fillna(0).astype("int64")
-        on = before.notna() & (n >= (was * multiplier).clip(lower=least))
-        out = pd.DataFrame({"keyword": r["keyword"], "bucket": bucket, "was": was, "n": n, "kind": "folded"})[on]
-        return (bucket.iloc[-1], n.iloc[-1]), out
+    def fold(held: tuple | None, rows: list[tuple]) -> tuple[tuple, list[tuple]]:
+        out = []
+        for keyword, _, bucket, n in rows:
+            if held is not None:
+                was = held[1] if held[0] == bucket - seconds else 0
+                if n >= max(was * multiplier, least):
+                    out.append((keyword, bucket, was, n, "folded"))
+            held = (bucket, n)
+        return held, out
 
-    def late(key: tuple, r: pd.DataFrame, n: int) -> pd.DataFrame:
-        return pd.DataFrame({"keyword": r["keyword"], "bucket": r["id"].astype("int64"), "was": pd.Series(0, r.index, "int64"), "n": r["n"].astype("int64"), "kind": LATE})
+    def late(rows: list[tuple], n: int) -> list[tuple]:
+        return [(keyword, bucket, 0, count, LATE) for keyword, _, bucket, count in rows]
 
     timed = counts.withColumn("starts", F.timestamp_seconds("bucket")).withColumn("id", F.col("bucket"))
     return folded(timed, "keyword", "starts", "keyword string, at bigint, id bigint, n bigint", "bucket bigint, n bigint", SPIKE, fold, late, delay, keep_days)
 
 
-def in_triggers(rows: DataFrame, folder: str, time: str, parts: int = 3, by: str = "id", end: dict | None = None) -> DataFrame:
-    """rows as a stream of `parts` files, one a trigger, that are followed by a row at END (with the values of end, else nulls)."""
+def in_triggers(rows: DataFrame, folder: str, time: str, parts: int = 3, end: dict | None = None) -> DataFrame:
+    """rows as a stream of `parts` triggers, each of as many files as tasks run at once, that are followed by a row at END (with the values of end, else nulls)."""
     spark, last = rows.sparkSession, {time: END} | (end or {})
-    for n in range(parts):
-        rows.where(F.pmod(F.xxhash64(by), F.lit(parts)) == n).coalesce(1).write.mode("append").parquet(folder)
-    spark.range(1).select(*(F.lit(last.get(f.name)).cast(f.dataType).alias(f.name) for f in rows.schema)).write.mode("append").parquet(folder)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    files = spark.sparkContext.defaultParallelism
+    rows.repartition(parts * files).write.mode("append").parquet(folder)
+    spark.range(1, numPartitions=1).select(*(F.lit(last.get(f.name)).cast(f.dataType).alias(f.name) for f in rows.schema)).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(folder)
