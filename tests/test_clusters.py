@@ -90,3 +90,23 @@ def test_ascii_folds_like_the_rest(spark):
     for mode, fold in text.FOLDS.items():
         for r in df.select("t", text.fold_text(F.col("t"), mode).alias("f")).collect():
             assert r.f == (None if r.t is None else fold(r.t)), (mode, r.t)
+
+
+def test_letters_and_signs_of_latin_1_fold_like_the_rest(spark):
+    from tidelog.functions import text
+
+    plain = [chr(c) for c in (*range(0x80, 0x180), 0x2013, 0x2014, *range(0x2018, 0x2023), 0x2026, 0x20AC, 0x1E9E, 0x301)]
+    texts = [f"A{c}b {c}" for c in plain] + ["Straße ÉÈ\u00a0Ñandú «x» — e\u0301", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    # of Latin-1, only letters (and the two signs among them) stay
+    assert df.where(~F.col("t").rlike(text.PLAIN) & ~F.col("t").rlike("[^\\x00-\\xFF]")).count() == 64
+    for mode, fold in text.FOLDS.items():
+        for r in text.with_folded(df, "f", F.col("t"), mode).collect():
+            assert r.f == fold(r.t), (mode, r.t)
+
+
+def test_a_folded_text_is_worked_out_once(spark):
+    df = spark.createDataFrame([(1, "Ab"), (2, None)], "id long, content string")
+    plan = event.matched(df, ["a", "b", "c"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp") + plan.lower().count("rlike") <= 3, plan
+    assert [r.hits for r in event.matched(df, ["a", "b", "c"]).collect()] == [["a", "b"]]
