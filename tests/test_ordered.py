@@ -125,3 +125,14 @@ def test_a_key_of_many_rows_is_folded_in_parts_of_bounded_size(monkeypatch):
     out = [tuple(r) for f in one.handleExpiredTimer(("k",), at_mark(30), None) for r in f.itertuples(index=False)]
     assert out == sorted(r for r in rows if r[0] < 30_000) and max(sizes) == 10
     assert sorted(one.pending.value) == sorted(r for r in rows if r[0] >= 30_000) and timers[-1] == 31
+
+
+def test_visibility_folds_rows_one_by_one_across_triggers():
+    row = lambda n, visibility: (1, "v", n, n * 10, visibility, visibility is not None)
+    rows = [row(1, "visible"), row(2, "folded"), row(3, None), row(4, None), row(5, "visible"), row(6, None)]
+    want = [(1, 2, "folded", "visible", "folded"), (2, None, "disappeared", "folded", "missing"), (2, 5, "reappeared", "missing", "visible"), (2, 5, "unfolded", "folded", "visible"), (5, None, "disappeared", "visible", "missing")]
+    for cut in range(len(rows) + 1):
+        held, first = jobs.visibility_fold((None, None, None), rows[:cut])
+        held, second = jobs.visibility_fold(held, rows[cut:])
+        assert [r[2:7] for r in first + second] == want and held == (False, 5, "visible")
+    assert jobs.visibility_fold((None, None, None), [row(7, None)])[1] == [(1, "v", None, None, "disappeared", "visible", "missing", 70)]
