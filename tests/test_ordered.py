@@ -1,6 +1,8 @@
 """Folds in event-time order: triggers, late rows, bounded state; tier histories by composed maps."""
 
 import random
+import threading
+import time
 from datetime import UTC, datetime, timedelta
 
 import pytest
@@ -82,6 +84,25 @@ def test_folds_run_whatever_state_store_the_session_has(spark, tmp_path):
     assert [r.effective for r in sorted(out, key=lambda r: r.at)] == plain_tiers("csbbaacc")[0]
 
 
+def test_streams_that_start_at_once_in_one_session_keep_their_settings(spark):
+    name, seen, inside = "spark.sql.shuffle.partitions", [], threading.Event()
+
+    def first():
+        with jobs.settings(spark, {name: "3"}):
+            inside.set()
+            time.sleep(1)
+            seen.append(spark.conf.get(name))
+
+    before, one = spark.conf.get(name), threading.Thread(target=first)
+    one.start()
+    inside.wait()
+    with jobs.settings(spark, {name: "5"}):
+        time.sleep(2)
+        seen.append(spark.conf.get(name))
+    one.join()
+    assert seen == ["3", "5"] and spark.conf.get(name) == before
+
+
 class Kept:
     """Value and list states of one key, in memory."""
 
