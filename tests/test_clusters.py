@@ -110,3 +110,23 @@ def test_a_folded_text_is_worked_out_once(spark):
     plan = event.matched(df, ["a", "b", "c"])._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp") + plan.lower().count("rlike") <= 3, plan
     assert [r.hits for r in event.matched(df, ["a", "b", "c"]).collect()] == [["a", "b"]]
+
+
+def test_most_long_texts_end_before_their_common_subsequence_and_none_is_lost(monkeypatch):
+    rng, asked = random.Random(5), []
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 9))) for _ in range(300)]
+    prose = lambda n: "".join(rng.choices(words, k=n))
+    whole = lambda a, b: 2 * sum(m.size for m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()) / (len(a) + len(b))
+    reaches = text._subsequence_reaches
+    monkeypatch.setattr(text, "_subsequence_reaches", lambda *a: asked.append(1) or reaches(*a))
+    for _ in range(40):
+        a, b = prose(250), prose(250)
+        assert text._ratio(a, b, 0.85) == (round(whole(a, b), 6) if whole(a, b) >= 0.85 else None)
+    assert len(asked) < 20
+    for _ in range(60):
+        a = prose(60)
+        b = list(a)
+        for k in sorted(rng.sample(range(len(a)), rng.randint(0, 60)), reverse=True):
+            b[k : k + rng.randint(0, 1)] = rng.choice(["", "x", "漢"])
+        b = "".join(b)
+        assert text._ratio(a, b, 0.85) == (round(whole(a, b), 6) if whole(a, b) >= 0.85 else None)
