@@ -14,7 +14,7 @@ from tidelog.functions import values, windows
 from tidelog.functions.text import fold_text, seq_ratio
 from tidelog.operators import assess, cohorts, derive, event, flatten, graph, quality, video
 from tidelog.operators.components import components
-from tidelog.sources import sinks
+from tidelog.sources import bindings, sinks
 from tidelog.streaming import jobs, ordered
 
 T0 = datetime(2026, 7, 10, 10, tzinfo=UTC)
@@ -397,3 +397,15 @@ def test_links_get_the_asset_of_their_content(spark):
     sources = blobs.select(F.col("id").alias("media_source_id"), F.sha2("body", 256).alias("blob_sha256"))
     out = derive.with_assets(links, sources, derive.exact_assets(blobs))
     assert {r.id: r.media_asset_id for r in out.collect()} == {1: 10, 2: 10, 3: None, 4: None}
+
+
+def test_media_links_are_dealt_into_parts_by_the_rows_of_the_table(spark, tmp_path):
+    rows = spark.range(0, 1_000, 1, 2)
+    rows.selectExpr("id % 300 l_orderkey", "cast(id div 300 as int) l_linenumber", "id l_partkey", "date'2024-01-01' l_shipdate").write.parquet(f"{tmp_path}/lineitem.parquet")
+    rows.where("id < 300").selectExpr("id o_orderkey", "id % 7 o_custkey").write.parquet(f"{tmp_path}/orders.parquet")
+    assert bindings.parts_of(spark, str(tmp_path), "lineitem") == spark.sparkContext.defaultParallelism
+    assert bindings.parts_of(spark, str(tmp_path), "lineitem", 30) == 34
+    links = bindings.media_links(spark, str(tmp_path))
+    assert links.count() == 1_000 and links.select("comment_observation_id", "position").distinct().count() == 1_000
+    changes = derive.media_changes(links, links.selectExpr("comment_observation_id id", "rpid"), 9)
+    assert changes.rdd.getNumPartitions() == 9 and {r.event_type for r in changes.collect()} >= {"media_changed", "media_added", "media_removed"}

@@ -87,15 +87,18 @@ def media_lists(links: DataFrame) -> DataFrame:
     return out.withColumn("ordered_hash", F.sha2(text(F.col("ids")), 256)).withColumn("set_hash", F.sha2(text(F.array_sort(F.array_distinct("ids"))), 256))
 
 
-def media_changes(links: DataFrame, observation_ids: DataFrame) -> DataFrame:
+def media_changes(links: DataFrame, observation_ids: DataFrame, parts: int | None = None) -> DataFrame:
     """Media events against the observation just before by id, where both have media.
 
-    observation_ids: id and rpid of all observations, also those without media.
+    observation_ids: id and rpid of all observations, also those without media. parts: how many partitions the
+    comments are dealt into (as the session has it, if none).
     """
     w = Window.partitionBy("rpid").orderBy("id")
     lists = media_lists(links).withColumnRenamed("comment_observation_id", "id").drop("rpid")
     now = F.struct("id", "ids", "ordered_hash", "set_hash")
-    p = observation_ids.select("id", "rpid").distinct().join(lists, "id", "left").withColumn("was", F.lag(now).over(w)).where("ids is not null and was.ids is not null")
+    p = observation_ids.select("id", "rpid").distinct().join(lists, "id", "left")
+    p = p.repartition(parts, "rpid") if parts else p
+    p = p.withColumn("was", F.lag(now).over(w)).where("ids is not null and was.ids is not null")
     removed, added = F.array_except("was.ids", "ids"), F.array_except("ids", "was.ids")
     changed = F.col("was.set_hash") != F.col("set_hash")
 
