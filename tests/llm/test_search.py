@@ -293,3 +293,32 @@ def test_a_common_line_brings_no_item_to_tiling(spark):
     assert [(r.doc_id, r.n) for r in found] == [(500, 7)]
     for p in (params, decontamination.Params(most_sent=1)):
         assert [(r.doc_id, r.item_id) for r in decontamination.matches(docs, items, p).collect()] == [(500, 7)]
+
+
+def test_word_hasher_holds_no_words():
+    """Words that were seen were kept in a map of Python objects, which took more time and memory than hashing them."""
+    import tracemalloc
+
+    from tidelog.llm.common import WordHasher
+
+    hasher, kept = WordHasher(), 0
+    tracemalloc.start()
+    try:
+        for k in range(20):
+            hasher([b"w%d" % n for n in range(k * 1000, (k + 1) * 1000)])
+        kept = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert kept < 500_000
+
+
+def test_gram_hashes_by_halves():
+    """Sequences of any length have the hash of their words one by one."""
+    import numpy as np
+
+    from tidelog.llm.common import BASE, gram_hashes, mixed
+
+    hashes = np.random.default_rng(5).integers(0, 2**64, 70, np.uint64)
+    for n in (1, 2, 3, 4, 5, 7, 12, 34, 70, 71):
+        plain = [sum(int(h) * BASE ** (n - 1 - k) for k, h in enumerate(hashes[i : i + n])) + n for i in range(len(hashes) - n + 1)]
+        assert gram_hashes(hashes, n).tolist() == mixed(np.array([x % (1 << 64) for x in plain], np.uint64)).tolist()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import repeat
+from collections.abc import Iterable
 
 import numpy as np
 import xxhash
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidelog.session import checkpointed
 
 
-__all__ = ["Windows", "WordHasher", "checkpointed", "first_by_hash", "fresh", "gram_hashes", "mixed", "raw_text", "table", "words"]
+__all__ = ["Windows", "WordHasher", "checkpointed", "digests_of", "first_by_hash", "fresh", "gram_hashes", "mixed", "raw_text", "table", "words"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,20 +50,15 @@ def first_by_hash(df: DataFrame, key: str, most: int, total: int) -> DataFrame:
 
 
 class WordHasher:
-    """64-bit hashes of words, with those of words seen before kept in a bounded map."""
-
-    def __init__(self, most: int = 150_000):
-        self.most, self.known = most, {}
+    """64-bit hashes of words. Hashing a word takes less time than looking it up among those seen before."""
 
     def __call__(self, found: list[bytes]) -> np.ndarray:
-        out = np.fromiter(map(self.known.get, found, repeat(0)), np.uint64, len(found))
-        open_ = np.flatnonzero(out == 0)
-        own = {w: xxhash.xxh3_64_intdigest(w) or 1 for w in {found[i] for i in open_}}
-        out[open_] = np.fromiter((own[found[i]] for i in open_), np.uint64, len(open_))
-        if len(self.known) + len(own) > self.most:
-            self.known.clear()
-        self.known.update(own)
-        return out
+        return digests_of(found)
+
+
+def digests_of(found: Iterable[bytes | memoryview]) -> np.ndarray:
+    """64-bit digests; as bytes they are joined without a Python number for each."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, found)), ">u8").astype(np.uint64)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -74,10 +69,20 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of the n-word sequences that begin at each word but the last n-1."""
-    out = np.zeros(max(0, len(hashes) - n + 1), np.uint64)
-    for k in range(n):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + len(out)]
+    """Hashes of the n-word sequences that begin at each word but the last n-1, put together from those of halves."""
+    out, held, span, done = None, hashes, 1, 0
+    factor = BASE
+    count = max(0, len(hashes) - n + 1)
+    while span <= n:
+        if n & span:
+            # sequences of the lower bits of n begin where this one ends
+            tail = held[n - done - span : n - done - span + count]
+            out = tail if out is None else tail * np.uint64(pow(BASE, done, 1 << 64)) + out
+            done += span
+        if 2 * span <= n:
+            held = held[: max(0, len(held) - span)] * np.uint64(factor) + held[span:]
+            factor = factor * factor % (1 << 64)
+        span *= 2
     return mixed(out + np.uint64(n))
 
 

@@ -27,11 +27,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import Windows, WordHasher, checkpointed, gram_hashes, mixed, raw_text, words
+from tidelog.llm.common import Windows, WordHasher, checkpointed, digests_of, gram_hashes, mixed, raw_text, words
 
 SEGMENT = 1 << 22
 
@@ -53,7 +52,7 @@ def digests(found: list[bytes], first: np.ndarray, last: np.ndarray) -> np.ndarr
     whole = memoryview(b" ".join(found))
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)
     low, high = np.concatenate(([0], ends))[first].tolist(), (ends[last - 1] - 1).tolist()
-    return np.fromiter((xxhash.xxh3_64_intdigest(whole[i:j]) for i, j in zip(low, high, strict=True)), np.uint64, len(low))
+    return digests_of(map(whole.__getitem__, map(slice, low, high)))
 
 
 def paths(found: list[bytes], hashes: np.ndarray, length: int, core: int) -> tuple[np.ndarray, ...]:
