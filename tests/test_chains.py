@@ -8,7 +8,7 @@ from tidelog.operators import chains
 
 
 def links_of(crawls: dict[int, int], seed: int) -> dict[tuple[int, int], int | None]:
-    """Random successors: runs in order of the ids, jumps, ends and loops.."""
+    """Random successors: runs in order of the ids, jumps, ends and loops, on sparse ids."""
     r, out = random.Random(seed), {}
     for crawl, n in crawls.items():
         ids = [k * 7 - 20 for k in range(n)]
