@@ -10,6 +10,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -561,6 +562,21 @@ def test_language_model(documents, empty):
     assert sorted((r.doc_id or -1, r.n_tokens, r.score) for r in got) == [pytest.approx(x, rel=1e-4, abs=1e-3) for x in sorted((i or -1, n, s) for i, n, s in texts)]
 
 
+def test_words_are_looked_up_once(spark):
+    texts = [None, b"", b" \t ", b" A\x0bb\x0cB c\r\n", b"\xc3\x84 X\x1cY \x85q", b"abc", b"x\x00Y z"]
+    for raw in (pa.array(texts, pa.binary()), pa.array(texts, pa.large_binary()).slice(2), pa.array([], pa.binary()), pa.array([b"b A", b"a"], pa.binary())):
+        distinct, code, lengths = lm.tokens_of(raw)
+        lists = [(t or b"").lower().split() + [b""] for t in raw.to_pylist()]
+        assert [distinct[k].as_py() for k in code.tolist()] == [w for x in lists for w in x] and lengths.tolist() == [len(x) for x in lists]
+    distinct, code, _ = lm.tokens_of(pa.array([b"one Two three " * 50_000] * 2, pa.binary()))
+    assert len(distinct) == 4 and len(code) == 300_002
+    # units come for whole arrays of distinct words
+    units = lm.Units.of_counts({b"": 9, b"one": 5}, {b"wo": 3, b"x": 1}, 2)
+    assert units.of(distinct).tolist() == [units.head[b"one"], units.endings[b"wo"], units.other, units.head[b""]]
+    assert units.of(pa.array([b"x", b"ax"], pa.binary())).tolist() == [units.endings[b"x"], units.other]
+    assert lm.spans(pa.array([b"a" * 9, None, b"b" * 25, b"", b"c"], pa.binary()), 10) == [(0, 2), (2, 5)] and lm.spans(pa.array([], pa.binary()), 10) == []
+
+
 def test_scores_do_not_depend_on_files(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     params = lm.Params(part_root=50)

@@ -23,19 +23,19 @@ no units of their own either: what comes to the driver is bounded in bytes.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, repeat
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import checkpointed, first_by_hash, raw_text, words
+from tidelog.llm.common import checkpointed, first_by_hash, raw_text
 
 END = b""
 #: Parameters in a row of a task's result.
@@ -91,10 +91,14 @@ class Units:
         starts = np.unique(np.searchsorted(np.cumsum(frequency), np.arange(classes) / classes, side="right"))
         return cls(names[0], names[1], names[2][b""], frequency, starts)
 
-    def of(self, found: list[bytes]) -> np.ndarray:
-        unit = np.fromiter(map(self.head.get, found, repeat(-1)), np.int32, len(found))
+    def of(self, found: pa.Array) -> np.ndarray:
+        """The units of words (binary)."""
+        at = pc.fill_null(pc.index_in(found, pa.array(self.head.keys(), pa.binary())), len(self.head)).to_numpy()
+        unit = np.fromiter((*self.head.values(), -1), np.int32, len(self.head) + 1)[at]
         rest = np.flatnonzero(unit < 0)
-        unit[rest] = np.fromiter((self.endings.get(found[i][-2:], self.other) for i in rest), np.int32, len(rest))
+        ending = pc.dictionary_encode(pc.binary_slice(found.take(pa.array(rest)), -2))
+        named = ending.dictionary.to_pylist()
+        unit[rest] = np.fromiter((self.endings.get(e, self.other) for e in named), np.int32, len(named))[ending.indices.to_numpy()]
         return unit
 
     @property
@@ -102,9 +106,30 @@ class Units:
         return len(self.frequency)
 
 
-def ended(lists: list[list[bytes]]) -> tuple[list[bytes], np.ndarray]:
-    """The words of all texts with an end behind each, and each text's number of tokens."""
-    return list(chain.from_iterable([*x, END] for x in lists)), np.array([len(x) + 1 for x in lists], np.int64)
+def tokens_of(raw: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct lower-cased words of texts and the end, all texts' tokens as numbers of these, an end behind each text, and each text's number of tokens."""
+    texts = pc.fill_null(raw, b"").view(pa.large_string() if pa.types.is_large_binary(raw.type) else pa.string())
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    of_text = np.repeat(np.arange(len(raw)), pc.list_value_length(lists).to_numpy())
+    encoded = pc.dictionary_encode(lists.flatten())
+    code, distinct = encoded.indices.to_numpy(), encoded.dictionary.cast(pa.binary())
+    # blanks around a text leave empty words, which are no tokens; the empty word is the end
+    empty = np.flatnonzero(pc.binary_length(distinct).to_numpy() == 0)
+    if len(empty):
+        full = code != empty[0]
+        code, of_text = code[full], of_text[full]
+    else:
+        distinct = pa.concat_arrays([distinct, pa.array([END], pa.binary())])
+    out = np.full(len(code) + len(raw), empty[0] if len(empty) else len(distinct) - 1, np.int32)
+    out[np.arange(len(code)) + of_text] = code
+    return distinct, out, np.bincount(of_text, minlength=len(raw)) + 1
+
+
+def spans(raw: pa.Array, size: int) -> list[tuple[int, int]]:
+    """Where texts are cut into runs of about `size` bytes, of which no text is cut."""
+    group = np.cumsum(pc.fill_null(pc.binary_length(raw), 0).to_numpy(), dtype=np.int64) // size
+    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(raw)]
+    return [(i, j) for i, j in zip(cuts, cuts[1:]) if i < j]
 
 
 def padded(unit: np.ndarray, lengths: np.ndarray, end: int, context: int) -> tuple[np.ndarray, np.ndarray]:
@@ -116,6 +141,11 @@ def padded(unit: np.ndarray, lengths: np.ndarray, end: int, context: int) -> tup
     return out, tokens
 
 
+def small(x: np.ndarray, count: int) -> np.ndarray:
+    """Numbers below count, in the type that sorts fastest."""
+    return x.astype(np.uint16) if count <= 1 << 16 else x
+
+
 def log_sum(score: np.ndarray, far: bool) -> np.ndarray:
     """Logarithms of the rows' sums of exponentials; score is overwritten. far: scores may be too large for them."""
     most = score.max(axis=1, keepdims=True) if far else np.float32(0)
@@ -126,9 +156,13 @@ def log_sum(score: np.ndarray, far: bool) -> np.ndarray:
 
 
 def nce(true: np.ndarray, false: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Gradients of the mean loss by the scores of data (n) and of noise (n rows), both less their log expected noise."""
+    """Gradients of the mean loss by the scores of data (n) and of noise (n rows, overwritten), both less their log expected noise."""
     n = np.float32(len(true))
-    return -1 / (1 + np.exp(np.clip(true, -40, 40))) / n, 1 / (1 + np.exp(-np.clip(false, -40, 40))) / n
+    hit = np.negative(np.clip(false, -40, 40, out=false), out=false)
+    np.exp(hit, out=hit)
+    hit += 1
+    hit *= n
+    return -1 / (1 + np.exp(np.clip(true, -40, 40))) / n, np.reciprocal(hit, out=hit)
 
 
 class Network:
@@ -156,8 +190,11 @@ class Network:
     def hidden(self, sequence: np.ndarray, low: int, high: int) -> np.ndarray:
         """Context vectors of the places low to high: each unit's vector is looked up once, and shifted."""
         back = self.params.context
-        vectors = self.r[sequence[low - back : high]]
-        return sum(vectors[back - i : len(vectors) - i] * self.c[i - 1] for i in range(1, back + 1))
+        vectors = self.r.take(sequence[low - back : high], axis=0)
+        out = vectors[back - 1 : len(vectors) - 1] * self.c[0]
+        for i in range(2, back + 1):
+            out += vectors[back - i : len(vectors) - i] * self.c[i - 1]
+        return out
 
     def scores(self, sequence: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Normalised natural log-probabilities of the units at these places (rising, behind the first context)."""
@@ -169,14 +206,17 @@ class Network:
             here = at[k : k + self.params.score_batch]
             low, high = int(here[0]), int(here[-1]) + 1
             unit = sequence[here]
-            order = np.argsort(self.of_class[unit], kind="stable")
+            order = np.argsort(small(self.of_class[unit], len(self.starts)), kind="stable")
             unit = unit[order]
             of = self.of_class[unit]
             hidden = np.ones((len(here), self.params.size + 1), np.float32)
-            hidden[:, :-1] = self.hidden(sequence, low, high)[here[order] - low]
+            hidden[:, :-1] = self.hidden(sequence, low, high).take(here[order] - low, axis=0)
             far = longest * float(np.linalg.norm(hidden, axis=1).max()) > 60
-            each = np.einsum("ij,ij->i", hidden, classes[of]).astype(np.float64) - log_sum(hidden @ classes.T, far)
-            each += np.where(self.alone[of], 0.0, np.einsum("ij,ij->i", hidden, units[unit]))
+            each = np.einsum("ij,ij->i", hidden, classes.take(of, axis=0)).astype(np.float64)
+            # so few rows at a time that their scores stay in the cache
+            for i in range(0, len(hidden), 2048):
+                each[i : i + 2048] -= log_sum(hidden[i : i + 2048] @ classes.T, far)
+            each += np.where(self.alone[of], 0.0, np.einsum("ij,ij->i", hidden, units.take(unit, axis=0)))
             bounds = np.searchsorted(of, np.arange(len(self.starts) + 1)).tolist()
             for c in np.unique(of).tolist():
                 if not self.alone[c]:
@@ -191,9 +231,10 @@ class Network:
             seen += gradient * gradient
             table -= self.params.rate * gradient / np.sqrt(seen)
             return
-        own, place = np.unique(rows, return_inverse=True)
-        flat = gradient if gradient.ndim > 1 else gradient[:, None]
-        total = np.stack([np.bincount(place, flat[:, d], len(own)) for d in range(flat.shape[1])], axis=1).astype(np.float32).reshape(len(own), *gradient.shape[1:])
+        order = np.argsort(small(rows, len(table)), kind="stable")
+        rows = rows[order]
+        first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+        own, total = rows[first], np.add.reduceat(gradient.take(order, axis=0), first, axis=0)
         seen[own] += total * total
         table[own] -= self.params.rate * total / np.sqrt(seen[own])
 
@@ -207,20 +248,26 @@ class Network:
         for k in rng.permutation(np.arange(0, len(at), batch)):
             here = at[k : k + batch]
             low, high = int(here[0]), int(here[-1]) + 1
-            here = here[np.argsort(self.of_class[sequence[here]], kind="stable")]
+            # classes are runs of units, so this is also the order of classes
+            here = here[np.argsort(small(sequence[here], self.units), kind="stable")]
             target = sequence[here]
             of = self.of_class[target]
-            hidden = self.hidden(sequence, low, high)[here - low]
+            hidden = self.hidden(sequence, low, high).take(here - low, axis=0)
+            present, first = np.unique(of, return_index=True)
+            unit_first = np.flatnonzero(np.append(True, target[1:] != target[:-1]))
 
             # the classes
             noise = np.minimum(np.searchsorted(drawn, rng.random(p.noise) * drawn[-1]), len(drawn) - 1)
-            true = np.einsum("ij,ij->i", hidden, self.p[of]) + self.a[of] - class_noise[of]
-            miss, hit = nce(true, hidden @ self.p[noise].T + self.a[noise] - class_noise[noise])
-            given = hit @ self.p[noise] + miss[:, None] * self.p[of]
-            class_rows, class_gradient, class_bias = np.concatenate([of, noise]), np.concatenate([miss[:, None] * hidden, hit.T @ hidden]), np.concatenate([miss, hit.sum(axis=0)])
+            own = self.p.take(of, axis=0)
+            true = np.einsum("ij,ij->i", hidden, own) + (self.a - class_noise)[of]
+            miss, hit = nce(true, hidden @ self.p[noise].T + (self.a[noise] - class_noise[noise]))
+            given = hit @ self.p[noise]
+            own *= miss[:, None]
+            given += own
+            class_rows, class_bias = np.concatenate([present, noise]), np.concatenate([np.add.reduceat(miss, first), hit.sum(axis=0)])
+            class_gradient = np.concatenate([np.add.reduceat(np.multiply(miss[:, None], hidden, out=own), first), hit.T @ hidden])
 
             # the units in them: for each class some of its own as noise
-            present, first = np.unique(of, return_index=True)
             begin = self.total[self.starts[present]] - self.in_class[present] * self.own_share[self.starts[present]]
             noise = np.searchsorted(self.total, begin[:, None] + rng.random((len(present), p.inner_noise)) * self.in_class[present][:, None], side="right")
             noise = np.clip(noise, self.starts[present][:, None], self.ends[present][:, None] - 1)
@@ -230,22 +277,24 @@ class Network:
             for n, i, j in runs:
                 np.matmul(hidden[i:j], vectors[n].T, out=false[i:j])
             false += np.repeat(self.b[noise] - unit_noise[noise], last - first, axis=0)
-            true = np.einsum("ij,ij->i", hidden, self.q[target]) + self.b[target] - unit_noise[target]
+            own = self.q.take(target, axis=0)
+            true = np.einsum("ij,ij->i", hidden, own) + (self.b - unit_noise)[target]
             miss, hit = nce(true, false)
             noise_gradient = np.empty((len(present), p.inner_noise, p.size), np.float32)
             for n, i, j in runs:
                 given[i:j] += hit[i:j] @ vectors[n]
                 noise_gradient[n] = hit[i:j].T @ hidden[i:j]
-            given += miss[:, None] * self.q[target]
-            rows = np.concatenate([target, noise.ravel()])
-            gradient = np.concatenate([miss[:, None] * hidden, noise_gradient.reshape(-1, p.size)])
-            bias = np.concatenate([miss, np.add.reduceat(hit, first).ravel()])
+            own *= miss[:, None]
+            given += own
+            rows = np.concatenate([target[unit_first], noise.ravel()])
+            gradient = np.concatenate([np.add.reduceat(np.multiply(miss[:, None], hidden, out=own), unit_first), noise_gradient.reshape(-1, p.size)])
+            bias = np.concatenate([np.add.reduceat(miss, unit_first), np.add.reduceat(hit, first).ravel()])
 
             # each place's part in the contexts behind it, gathered before one pass over the units
             back = np.zeros((high - low + p.context, p.size), np.float32)
             back[here - low + p.context] = given
             window = sequence[low - p.context : high]
-            vectors = self.r[window]
+            vectors = self.r.take(window, axis=0)
             given = np.zeros_like(back)
             c_gradient = np.empty_like(self.c)
             for i in range(1, p.context + 1):
@@ -260,29 +309,15 @@ class Network:
             self._step(self.c, c_seen, c_gradient)
 
 
-def lowered(texts: list[bytes | None]) -> list[list[bytes]]:
-    return [words(t.lower() if t else t) for t in texts]
-
-
 def count_words(texts: DataFrame) -> DataFrame:
     """word (bytes; '' is the end) and c of all tokens of the texts (column raw)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
-
-        def out() -> pa.RecordBatch:
-            got = pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], names=["word", "c"])
-            counts.clear()
-            return got
-
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                for found in lowered(batch.column("raw").slice(at, 256).to_pylist()):
-                    counts.update(found)
-                    counts[END] += 1
-                if len(counts) > 500_000:
-                    yield out()
-        yield out()
+            raw = batch.column("raw")
+            for i, j in spans(raw, 8_000_000):
+                distinct, code, _ = tokens_of(raw.slice(i, j - i))
+                yield pa.RecordBatch.from_arrays([distinct, pa.array(np.bincount(code, minlength=len(distinct)))], names=["word", "c"])
 
     return texts.select("raw").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -338,11 +373,11 @@ def train(texts: DataFrame, units: Units, params: Params, total: int, documents:
     listed = first_by_hash(texts.select("row", F.octet_length("raw").alias("size")), "row", params.start_documents, documents).collect()
     sizes = np.cumsum([r.size or 0 for r in listed])
     chosen = sorted({r.row for r, size in zip(listed, sizes, strict=True) if size <= params.start_bytes})
-    few = texts.where(F.col("row").isin(chosen)).dropDuplicates(["row"]).orderBy("row").select("raw").toArrow().column("raw").to_pylist() if chosen else []
+    few = texts.where(F.col("row").isin(chosen)).dropDuplicates(["row"]).orderBy("row").select("raw").toArrow().column("raw").combine_chunks() if chosen else []
     for _ in range(params.start_rounds):
         for at in range(0, len(few), 250):
-            flat, lengths = ended(lowered(few[at : at + 250]))
-            sequence, tokens = padded(units.of(flat), lengths, units.head[END], params.context)
+            distinct, code, lengths = tokens_of(few[at : at + 250])
+            sequence, tokens = padded(units.of(distinct)[code], lengths, units.head[END], params.context)
             start.learn(sequence, tokens, rng, params.start_batch)
     begun, seen = start.values, start.seen
 
@@ -352,8 +387,8 @@ def train(texts: DataFrame, units: Units, params: Params, total: int, documents:
         rng, total = np.random.default_rng(3), 0
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                flat, lengths = ended(lowered(batch.column("raw").slice(at, 256).to_pylist()))
-                sequence, tokens = padded(units.of(flat), lengths, units.head[END], params.context)
+                distinct, code, lengths = tokens_of(batch.column("raw").slice(at, 256))
+                sequence, tokens = padded(units.of(distinct)[code], lengths, units.head[END], params.context)
                 own.learn(sequence, tokens, rng, params.batch)
                 total += len(tokens)
         if total:
@@ -425,32 +460,29 @@ def score(documents: DataFrame, params: Params = Params(), fold: int = 1, folds:
         names, c = sent.value
         place = dict(zip(names, range(len(names)), strict=True))
         base_log = np.append(np.log10((c + 0.5) / base_bottom), 0.0)
-        unit_of = np.append(units.of(names), -1).astype(np.int32)
+        unit_of = np.append(units.of(pa.array(names, pa.binary())), -1).astype(np.int32)
         under = bottom[unit_of[:-1]]
         inner = np.append(np.where(under > 0, np.log10((c + 0.5) / np.where(under > 0, under, 1)), 0.0), 0.0)
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                lists = lowered(part.column("raw").to_pylist())
-                flat, lengths = ended(lists)
-                found = np.fromiter(map(place.get, flat, repeat(-1)), np.int64, len(flat))
-                rare_at = np.flatnonzero(found < 0)
+            for i, j in spans(batch.column("raw"), 2_000_000):
+                part = batch.slice(i, j - i)
+                # each distinct word is looked up once
+                distinct, code, lengths = tokens_of(part.column("raw"))
+                found = np.fromiter(map(place.get, distinct.to_numpy(zero_copy_only=False), repeat(-1)), np.int64, len(distinct))
+                rare = np.flatnonzero(found < 0)
                 unit = unit_of[found]
-                unit[rare_at] = units.of([flat[i] for i in rare_at.tolist()])
-                sequence, tokens = padded(unit, lengths, units.head[END], params.context)
-                each = network.scores(sequence, tokens) / np.log(10)
-                ends = np.cumsum(lengths)
-                cut = np.concatenate(([0], ends))
-                sums = np.diff(np.concatenate(([0.0], np.cumsum(each)))[cut])
-                sums += np.diff(np.concatenate(([0.0], np.cumsum(inner[found])))[cut])
-                base = np.diff(np.concatenate(([0.0], np.cumsum(base_log[found])))[cut])
-                known = np.diff(np.concatenate(([0], np.cumsum(found >= 0)))[cut])
-                owner = np.searchsorted(ends, rare_at, side="right").tolist()
-                tails = Counter(zip(owner, [flat[i] for i in rare_at.tolist()], strict=True))
-                keys = sorted(tails)
-                under = bottom[units.of([w for _, w in keys])]
-                offsets = np.concatenate(([0], np.cumsum(np.bincount([d for d, _ in keys], minlength=len(lists)))))
-                held = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array([w for _, w in keys], pa.binary()), pa.array([tails[k] for k in keys], pa.int64()), pa.array(under, pa.float64())], ["word", "tf", "under"]))
+                unit[rare] = units.of(distinct.take(pa.array(rare)))
+                sequence, tokens = padded(unit[code], lengths, units.head[END], params.context)
+                each = network.scores(sequence, tokens) / np.log(10) + inner[found][code]
+                starts = np.cumsum(lengths) - lengths
+                sums, base = np.add.reduceat(each, starts), np.add.reduceat(base_log[found][code], starts)
+                known = np.add.reduceat((found >= 0).astype(np.int64)[code], starts)
+                rare_at = np.flatnonzero((found < 0)[code])
+                owner = np.searchsorted(starts, rare_at, side="right") - 1
+                tails, tf = np.unique(owner * len(distinct) + code[rare_at], return_counts=True)
+                owner, which = np.divmod(tails, len(distinct))
+                offsets = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(lengths)))))
+                held = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([distinct.take(pa.array(which)), pa.array(tf, pa.int64()), pa.array(bottom[unit[which]], pa.float64())], ["word", "tf", "under"]))
                 columns = [part.column("doc_id"), part.column("held_out"), pa.array(lengths), pa.array(known), pa.array(base), pa.array(sums), held]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "known", "base", "sum", "rare"])
 
