@@ -828,6 +828,28 @@ def test_maximal_spans_end_at_branches():
     assert (a.tolist(), n.tolist()) == ([0, 22], [22, 13])
 
 
+def test_stages_send_small_batches(spark, sf):
+    import corpus_pipeline
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.createDataFrame([(n, "x" * 900_000) for n in range(12)], "doc_id long, text string").coalesce(1)
+    for _, stage in corpus_pipeline.STAGES:
+        spark.conf.unset(key)
+        stage(spark, docs.limit(0), sf)
+        sizes = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in batches), "n long").collect()
+        assert max(r.n for r in sizes) < 4_000_000
+    spark.conf.unset(key)
+
+
+def test_pieces_are_forgotten():
+    own = packing.encoder(packing.vocabulary_path("byte_bpe_50k.json"))
+    before = own.encode(["some words of a text", None])
+    assert own.slots > 1
+    own.forget()
+    assert own.slots == 1 and len(own.known) == 1
+    assert all(np.array_equal(x, y) for x, y in zip(before, own.encode(["some words of a text", None]), strict=True))
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 

@@ -55,9 +55,10 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.merger = RankMerger(path)
-        self._reset()
+        self.forget()
 
-    def _reset(self) -> None:
+    def forget(self) -> None:
+        """Give up the pieces that are held."""
         self.known: dict[str, int] = {END: 0}
         self.ids = np.zeros(1 << 20, np.uint32)
         self.used, self.slots = 1, 1
@@ -103,7 +104,7 @@ class Encoder:
         alone: numbers of the texts that the library takes as a whole.
         """
         if self.slots > CACHED:
-            self._reset()
+            self.forget()
         keys: list[str] = []
         whole: dict[str, np.ndarray] = {}
         for n, text in enumerate(texts):
@@ -249,13 +250,14 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def pack(documents: DataFrame, size: int = 1024, vocabulary: str = "byte_bpe_50k.json", costs: Costs = Costs()) -> DataFrame:  # noqa: B008
+def pack(documents: DataFrame, size: int = 1024, vocabulary: str = "byte_bpe_50k.json", costs: Costs = Costs(), forget: bool = False) -> DataFrame:  # noqa: B008
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset.
 
     A document is its ids and a 0; null and empty texts are the 0 alone. Repeated rows are packed
     once each, null ids stay null, an empty table gives no rows, and other columns are not read.
     Sequence ids are unique over the table: a partition's number times 2^32, plus a counter.
-    Memory: the ids of TOKEN_STEP tokens, or of one text where that is longer.
+    Memory: the ids of TOKEN_STEP tokens, or of one text where that is longer. forget: whether a task gives
+    up the pieces of text that it holds, which the next one in its worker would find there otherwise.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,6 +277,8 @@ def pack(documents: DataFrame, size: int = 1024, vocabulary: str = "byte_bpe_50k
                 at += len(texts)
                 if len(packer.ids) >= TOKEN_STEP:
                     yield settled(False)
+        if forget:
+            own.forget()
         yield settled(True)
 
     return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, {COLUMNS}")
