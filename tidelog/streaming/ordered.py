@@ -11,8 +11,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from datetime import UTC, datetime
+from itertools import islice
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -25,6 +28,11 @@ END = datetime(2200, 1, 1, tzinfo=UTC)
 
 #: Rows of a key that a fold holds in memory at a time, at most twice as many while they are chosen.
 AT_A_TIME = 400_000
+#: Rows of a key that come together from which on they wait as one packed table, as the state takes each row for itself dearly.
+PACKED = 128
+#: Bytes of columns that are chosen at a time of packed rows, where this is more rows than AT_A_TIME; twice as many meanwhile.
+CHOSEN = 32 << 20
+TYPES = {"bigint": pa.int64(), "long": pa.int64(), "string": pa.string()}
 
 
 def plain(column: pd.Series) -> list:
@@ -53,6 +61,56 @@ def least(rows: Iterable[tuple], order: Callable, limit: int) -> list[tuple]:
     return held[:limit]
 
 
+def table(part: pd.DataFrame, schema: str) -> pa.Table:
+    kinds = dict(f.split() for f in schema.split(","))
+    return pa.table({name: pa.Array.from_pandas(part[name], type=TYPES[kind]) for name, kind in kinds.items()})
+
+
+def packed(rows: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(body: bytes) -> pa.Table:
+    return pa.ipc.open_stream(pa.py_buffer(body)).read_all()
+
+
+def numbers(column: pa.ChunkedArray) -> np.ndarray:
+    return column.fill_null(-(1 << 63)).to_numpy()
+
+
+def least_of(tables: Iterable[pa.Table], after: tuple | None, mark: int) -> tuple[pa.Table | None, tuple | None]:
+    """The first rows by at, id and place behind `after`, of those that are due, and at, id and place of the last one.
+
+    Places are those in all tables. Without holding more than twice as many rows as CHOSEN bytes, or AT_A_TIME, are.
+    """
+    held: list[pa.Table] = []
+    place, many, limit = 0, 0, AT_A_TIME
+
+    def first() -> pa.Table:
+        rows = pa.concat_tables(held).combine_chunks()
+        return rows.take(np.lexsort((numbers(rows["_place"]), numbers(rows["id"]), numbers(rows["at"])))[:limit])
+
+    for t in tables:
+        at, id_, places = numbers(t["at"]), numbers(t["id"]), np.arange(place, place + len(t))
+        wanted = at // 1000 + 1 <= mark
+        if after is not None:
+            wanted &= (at > after[0]) | (at == after[0]) & ((id_ > after[1]) | (id_ == after[1]) & (places > after[2]))
+        place += len(t)
+        limit = max(limit, CHOSEN * len(t) // max(t.nbytes, 1)) if not many else limit
+        held.append(t.append_column("_place", pa.array(places)).filter(pa.array(wanted)))
+        many += len(held[-1])
+        if many >= 2 * limit:
+            held = [first()]
+            many = len(held[0])
+    if not many:
+        return None, None
+    rows = first()
+    return rows.drop_columns("_place"), tuple(int(numbers(rows[c])[-1]) for c in ("at", "id", "_place"))
+
+
 class OrderedFold(StatefulProcessor):
     """fold(held, rows) -> (held, out): held is the tuple of what is kept (None at first), rows are tuples in order.
 
@@ -68,6 +126,7 @@ class OrderedFold(StatefulProcessor):
         self.handle = handle
         self.held = handle.getValueState("held", self.kept)
         self.pending = handle.getListState("pending", self.rows)
+        self.packed = handle.getListState("packed", "body binary")
         self.told = handle.getValueState("told", "folded_at bigint, late bigint")
 
     def order(self, r: tuple) -> tuple:
@@ -77,13 +136,16 @@ class OrderedFold(StatefulProcessor):
         folded_at, n = self.told.get() if self.told.exists() else (None, 0)
         first, late = None, []
         for part in rows:
-            got = list(zip(*(plain(part[c]) for c in self.names), strict=True))
             if folded_at is not None:
-                late += [r for r in got if r[self.at] < folded_at]
-                got = [r for r in got if r[self.at] >= folded_at]
-            if got:
-                self.pending.appendList(got)
-                first = min(r[self.at] for r in got) if first is None else min(first, *(r[self.at] for r in got))
+                early = part["at"] < folded_at
+                late += self.tuples(part[early])
+                part = part[~early]
+            if len(part):
+                if len(part) < PACKED:
+                    self.pending.appendList(self.tuples(part))
+                else:
+                    self.packed.appendList([(packed(table(part, self.rows)),)])
+                first = int(part["at"].min()) if first is None else min(first, int(part["at"].min()))
         if late:
             n += len(late)
             self.told.update((folded_at, n))
@@ -91,29 +153,78 @@ class OrderedFold(StatefulProcessor):
         if first is not None:
             self.handle.registerTimer(first // 1000 + 1)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        mark = timerValues.getCurrentWatermarkInMs()
-        folded_at, n = self.told.get() if self.told.exists() else (None, 0)
-        rest, before = [], folded_at
-        if self.pending.exists():
+    def tuples(self, part: pd.DataFrame) -> list[tuple]:
+        return list(zip(*(plain(part[c]) for c in self.names), strict=True))
+
+    def due(self, mark: int) -> Iterator[list[tuple]]:
+        """The rows that the watermark has passed, in order, at most AT_A_TIME of them at once."""
+        last = None
+        if not self.packed.exists():
             # rows with their places in the list, which tell equal ones apart
             order = lambda x: (*self.order(x[1]), x[0])
-            waiting = lambda due: (x for x in enumerate(self.pending.get()) if (x[1][self.at] // 1000 + 1 <= mark) is due)
-            held, last = self.held.get() if self.held.exists() else None, None
-            while rows := least((x for x in waiting(True) if last is None or order(x) > last), order, AT_A_TIME):
-                held, out = self.fold(held, [r for _, r in rows])
+            while self.pending.exists():
+                rows = least((x for x in enumerate(self.pending.get()) if self.is_due(x[1], mark) and (last is None or order(x) > last)), order, AT_A_TIME)
+                if not rows:
+                    return
                 last = order(rows[-1])
-                yield frame(out, self.out)
+                yield [r for _, r in rows]
                 if len(rows) < AT_A_TIME:
-                    break
-            rest = [r for _, r in waiting(False)]
-            if last is not None:
-                folded_at = last[0]
-                self.held.update(held)
-                self.told.update((folded_at, n))
+                    return
+            return
+        while True:
+            rows, last = least_of(self.tables(), last, mark)
+            if rows is None:
+                return
+            for n in range(0, len(rows), AT_A_TIME):
+                yield list(zip(*(c.to_pylist() for c in rows.slice(n, AT_A_TIME).select(self.names).columns), strict=True))
+
+    def is_due(self, row: tuple, mark: int) -> bool:
+        return row[self.at] // 1000 + 1 <= mark
+
+    def tables(self) -> Iterator[pa.Table]:
+        """All that waits."""
+        rows = iter(self.pending.get() if self.pending.exists() else ())
+        while part := list(islice(rows, 10_000)):
+            yield table(frame(part, self.rows), self.rows)
+        for (body,) in self.packed.get():
+            yield unpacked(body)
+
+    def keep_waiting(self, mark: int, changed: bool) -> int | None:
+        """Forget the rows that were folded; the time of the first one that is left."""
+        first = []
+        if self.pending.exists():
+            rest = [r for r in self.pending.get() if not self.is_due(r, mark)]
+            first += [min(r[self.at] for r in rest)] if rest else []
+            if changed:
                 self.pending.put(rest) if rest else self.pending.clear()
-        if rest:
-            self.handle.registerTimer(min(r[self.at] for r in rest) // 1000 + 1)
+        if self.packed.exists():
+            bodies = []
+            for (body,) in self.packed.get():
+                rows = unpacked(body)
+                at = numbers(rows["at"])
+                waits = at // 1000 + 1 > mark
+                if waits.any():
+                    bodies.append((body if waits.all() else packed(rows.filter(pa.array(waits))),))
+                    first.append(int(at[waits].min()))
+            if changed:
+                self.packed.put(bodies) if bodies else self.packed.clear()
+        return min(first, default=None)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        mark = timerValues.getCurrentWatermarkInMs()
+        folded_at, n = self.told.get() if self.told.exists() else (None, 0)
+        before, held, last = folded_at, self.held.get() if self.held.exists() else None, None
+        for rows in self.due(mark):
+            held, out = self.fold(held, rows)
+            last = rows[-1][self.at]
+            yield frame(out, self.out)
+        if last is not None:
+            folded_at = last
+            self.held.update(held)
+            self.told.update((folded_at, n))
+        first = self.keep_waiting(mark, last is not None)
+        if first is not None:
+            self.handle.registerTimer(first // 1000 + 1)
         elif folded_at is not None and folded_at // 1000 + self.keep <= mark:
             self.held.clear()
             self.told.clear()
