@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidelog.functions import text, windows
-from tidelog.operators import event
+from tidelog.operators import event, similar
 
 T0 = datetime(2026, 1, 1, tzinfo=UTC)
 
@@ -130,3 +130,50 @@ def test_most_long_texts_end_before_their_common_subsequence_and_none_is_lost(mo
             b[k : k + rng.randint(0, 1)] = rng.choice(["", "x", "漢"])
         b = "".join(b)
         assert text._ratio(a, b, 0.85) == (round(whole(a, b), 6) if whole(a, b) >= 0.85 else None)
+
+
+def test_texts_are_shuffled_by_themselves_and_not_once_a_pair(spark):
+    rng = random.Random(8)
+    rows = [(n, "AB"[n % 2], T0 + timedelta(seconds=n), "".join(rng.choices("abcdefghijklmnop", k=3000))) for n in range(40)]
+    own = spark.createDataFrame(rows, "rpid long, bvid string, first_seen_at timestamp, first_content string")
+    sc = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        sc.listenerBus().waitUntilEmpty()
+        return sc.statusStore().executorList(True).head().totalShuffleWrite()
+
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    held, before = spark.conf.get(name), shuffled()
+    spark.conf.set(name, "-1")
+    try:
+        assert event.templates(own, 3600, 0.85).collect() == []
+    finally:
+        spark.conf.set(name, held)
+    assert shuffled() - before < 3 * 40 * 3000
+
+
+@pytest.mark.parametrize(("most", "chars"), [(20_000, 16 << 20), (25, 16 << 20), (20_000, 900), (7, 300)])
+def test_similar_pairs_of_busy_bands_are_found_once(spark, monkeypatch, most, chars):
+    monkeypatch.setattr(similar, "ROWS", most)
+    monkeypatch.setattr(similar, "CHARS", chars)
+    rng = random.Random(most + chars)
+    base = ["".join(rng.choices("abcdefgh", k=n)) for n in (5, 9, 14, 14, 30, 41, 60)]
+    rows = []
+    for n in range(150):
+        t = "".join(c if rng.random() > 0.04 else rng.choice("xyz") for c in rng.choice(base))
+        # most in one window; times that repeat, at the ends of windows and bands too
+        second = rng.choice([rng.randrange(-700, 2500), 60 * rng.randrange(8), 61 * 4 * rng.randrange(9) - rng.randrange(2), 100])
+        rows.append((None if n % 37 == 0 else n // 2 if n % 29 == 0 else n, None if n % 41 == 0 else rng.choice("ABC"), None if n % 43 == 0 else datetime.fromtimestamp(second, UTC), None if n % 47 == 0 else t))
+    own = spark.createDataFrame(rows, "rpid long, bvid string, first_seen_at timestamp, first_content string").repartition(3)
+    got = [tuple(r) for r in event.templates(own, 60, 0.8).collect()]
+    order = lambda r: (r[2], r[0] is not None, r[0] or 0)
+    want = []
+    whole = [r for r in rows if None not in r[1:]]
+    for a in whole:
+        for b in whole:
+            apart = (b[2] - a[2]).total_seconds()
+            if order(a) < order(b) and a[1] != b[1] and apart <= 60:
+                ratio = difflib.SequenceMatcher(None, a[3], b[3], autojunk=False).ratio()
+                if ratio >= 0.8:
+                    want.append((a[0], b[0], a[1], b[1], round(ratio, 6), int(apart), f"{'normalized_exact' if a[3] == b[3] else 'similar'}_text_cross_video"))
+    assert sorted(got, key=str) == sorted(want, key=str) and len({r[6] for r in want}) == 2
