@@ -4,6 +4,7 @@ import difflib
 import random
 from datetime import UTC, datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -177,3 +178,16 @@ def test_similar_pairs_of_busy_bands_are_found_once(spark, monkeypatch, most, ch
                 if ratio >= 0.8:
                     want.append((a[0], b[0], a[1], b[1], round(ratio, 6), int(apart), f"{'normalized_exact' if a[3] == b[3] else 'similar'}_text_cross_video"))
     assert sorted(got, key=str) == sorted(want, key=str) and len({r[6] for r in want}) == 2
+
+
+def test_one_text_with_many_is_compared_as_with_each():
+    rng = random.Random(11)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(60)]
+    base = rng.choices(words, k=80)
+    others = ["".join(w if rng.random() > share else rng.choice(words) for w in base) for share in (0, 0.02, 0.05, 0.1, 0.15, 0.2, 0.4, 1) for _ in range(8)] + ["", "ab", "abab" * 100, "漢" * 300]
+    one, first = "".join(base), np.array([rng.random() < 0.5 for _ in others])
+    pairs = [(one, x) if f else (x, one) for x, f in zip(others, first, strict=True)]
+    ratios = [difflib.SequenceMatcher(None, a, b, autojunk=False).ratio() for a, b in pairs]
+    for chars in (10**6, 1000):
+        got = text.ratios_of(one, others, first, 0.85, text.Codes(chars))
+        assert got == [round(r, 6) if r >= 0.85 else None for r in ratios] and 8 < len([r for r in got if r]) < 60
