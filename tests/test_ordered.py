@@ -163,6 +163,7 @@ def test_rows_that_come_together_wait_packed_and_fold_as_the_others(monkeypatch)
     kinds = "at bigint, id bigint, word string"
     monkeypatch.setattr(ordered, "AT_A_TIME", 700)
     monkeypatch.setattr(ordered, "CHOSEN", 0, raising=False)
+    monkeypatch.setattr(ordered, "APPENDED", 80_000, raising=False)
     one = ordered.OrderedFold(kinds, "at bigint", kinds, fold, late, 10**9)
     one.init(handle)
     come = lambda rows, ms: [tuple(r) for f in one.handleInputRows(("k",), iter([ordered.frame(rows[n : n + 1000], kinds).astype({"at": "int64", "id": "int64"}) for n in range(0, len(rows), 1000)]), at_mark(ms)) for r in f.itertuples(index=False)]
@@ -170,12 +171,12 @@ def test_rows_that_come_together_wait_packed_and_fold_as_the_others(monkeypatch)
     # times and ids that repeat, at the ends of parts too, and words that are missing
     rows = [(rng.randrange(60) * 1000, rng.randrange(3) + (1 << 60), rng.choice(["a", None, "漢"])) for _ in range(5040)]
     order = lambda r: r[:2]
-    assert come(rows, 0) == [] and sum(len(x.value or []) for x in lists) <= 45
-    assert expire(0) == [] and expire(30) == [r for r in sorted(rows[5000:] + rows[:5000], key=order) if r[0] < 30_000]
+    assert come(rows, 0) == [] and sum(len(x.value or []) for x in lists) <= 2
+    assert expire(0) == [] and expire(30) == [r for r in sorted(rows, key=order) if r[0] < 30_000]
     more = [(n * 7, n, "m") for n in range(8000)]
     behind = [r for r in more if r[0] < 29_000]
     assert sorted(come(more, 30)) == sorted((at, id_, f"late {n}") for n, (at, id_, _) in enumerate(behind, 1))
-    assert sum(len(x.value or []) for x in lists) <= 145
+    assert sum(len(x.value or []) for x in lists) <= 4
     left = [r for r in rows if r[0] >= 30_000] + [r for r in more if r[0] >= 29_000]
     assert sorted(map(str, expire(10**6))) == sorted(map(str, left)) and max(sizes) == 700 and all(not x.value for x in lists)
 

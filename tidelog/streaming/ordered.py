@@ -32,6 +32,8 @@ AT_A_TIME = 400_000
 PACKED = 128
 #: Bytes of columns that are chosen at a time of packed rows, where this is more rows than AT_A_TIME; twice as many meanwhile.
 CHOSEN = 32 << 20
+#: Bytes of columns that are packed together; the state store reads a key's whole list when one is appended.
+APPENDED = 8 << 20
 TYPES = {"bigint": pa.int64(), "long": pa.int64(), "string": pa.string()}
 
 
@@ -68,6 +70,7 @@ def table(part: pd.DataFrame, schema: str) -> pa.Table:
 
 def packed(rows: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
+    rows = rows.combine_chunks()
     with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
         out.write_table(rows)
     return sink.getvalue().to_pybytes()
@@ -134,18 +137,22 @@ class OrderedFold(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         folded_at, n = self.told.get() if self.told.exists() else (None, 0)
-        first, late = None, []
+        first, late, waiting = None, [], []
         for part in rows:
             if folded_at is not None:
                 early = part["at"] < folded_at
                 late += self.tuples(part[early])
                 part = part[~early]
             if len(part):
-                if len(part) < PACKED:
+                if len(part) < PACKED and not waiting:
                     self.pending.appendList(self.tuples(part))
                 else:
-                    self.packed.appendList([(packed(table(part, self.rows)),)])
+                    waiting.append(table(part, self.rows))
+                    if sum(t.nbytes for t in waiting) >= APPENDED:
+                        self.pack(waiting)
                 first = int(part["at"].min()) if first is None else min(first, int(part["at"].min()))
+        if waiting:
+            self.pack(waiting)
         if late:
             n += len(late)
             self.told.update((folded_at, n))
@@ -153,6 +160,10 @@ class OrderedFold(StatefulProcessor):
         if first is not None:
             self.handle.registerTimer(first // 1000 + 1)
 
+    def pack(self, waiting: list[pa.Table]) -> None:
+        self.packed.appendList([(packed(pa.concat_tables(waiting)),)])
+        waiting.clear()
+
     def tuples(self, part: pd.DataFrame) -> list[tuple]:
         return list(zip(*(plain(part[c]) for c in self.names), strict=True))
 
